@@ -40,3 +40,33 @@ def let(value: Column, body) -> Column:
     element; a bound variable is computed once a row.
     """
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def map_rows(df: DataFrame, start, schema: str) -> DataFrame:
+    """Run Python over rows in Arrow batches.
+
+    `start()` is called once a task and returns a function from one input
+    row (a tuple; text as UTF-8 bytes where the column is binary) to an
+    iterable of output tuples in the order of `schema`.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    out = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        row = start()
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            got = [x for r in zip(*cols, strict=True) for x in row(*r)]
+            for i in range(0, len(got), 20_000):
+                part = list(zip(*got[i : i + 20_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(part, out, strict=True)], schema=out)
+
+    return df.mapInArrow(run, schema)
+
+
+def text_bytes(column: str = "text"):
+    """The text as UTF-8 bytes; null as none."""
+    return text_or_empty(column).cast("binary")

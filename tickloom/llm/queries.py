@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .mixing import mix_sources
 from .quality import quality_verdicts
+from .secrets import scan_secrets, span_digest
+from .tokens import token_counts
+from .toxicity import learn_lexicon, score_toxicity
 from .urls import filter_urls
 
 # The url rules (verdict, host, path prefix) and the host labels of the listed urls.
@@ -24,6 +27,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", span_digest("base_spans").alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, learn_lexicon(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list holds the urls that the table itself has on hosts of advertisers."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -31,7 +50,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_quality_rules, op8_url_filter)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op7_secret_scan, op8_url_filter, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
