@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import find_contamination, items_digest, run_words
 from .mixing import mix_sources
 from .quality import quality_verdicts
 from .secrets import scan_secrets, span_digest
@@ -33,6 +34,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    n_hit = run_words()
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        items_digest().alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", span_digest("base_spans").alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
@@ -50,7 +60,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op7_secret_scan, op8_url_filter, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op5_decontamination, op7_secret_scan, op8_url_filter, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -64,3 +64,29 @@ select page_id, host, path, rule,
 from ruled
 """
 
+
+ORACLES["op5_decontamination"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), bw as (
+  select item_id, array_to_string(w[i : i + 9], ' ') as k, least(len(w), 10) as n
+  from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)
+), sizes as (select distinct n from bw), dw as (
+  select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as k
+  from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, sizes)
+), hits as (
+  select distinct doc_id, item_id, i, dw.n from dw join bw on dw.k = bw.k and dw.n = bw.n
+), hw as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from hits) group by doc_id
+), hi as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, item_id::varchar as item from hits) group by doc_id
+)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hw using (doc_id) left join hi using (doc_id)
+"""
