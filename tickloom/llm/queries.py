@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontam import find_contamination, items_digest, run_words
 from .mixing import mix_sources
+from .near import near_duplicates
 from .quality import quality_verdicts
 from .secrets import scan_secrets, span_digest
 from .tokens import token_counts
@@ -43,6 +44,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", span_digest("base_spans").alias("base_sha256"), F.array_join("spans", ",").alias("spans"))
@@ -60,7 +65,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op5_decontamination, op7_secret_scan, op8_url_filter, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

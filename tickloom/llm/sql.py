@@ -90,3 +90,23 @@ select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hw using (doc_id) left join hi using (doc_id)
 """
+
+ORACLES["op6_minhash"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), g as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as i from w where len(w) > 0)
+), n as (select doc_id, count(*) as n from g group by doc_id
+), e as (
+  select x.doc_id as a, y.doc_id as b, count(*) as c from g x join g y on x.s = y.s and x.doc_id <> y.doc_id group by all
+), links as (
+  select a, b from e join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 75 * (na.n + nb.n - c)
+), reach(doc_id, r) as (
+  select doc_id, doc_id from documents
+  union select links.b, reach.r from reach join links on links.a = reach.doc_id where reach.r < links.b
+), comp as (select doc_id, min(r) as component_id from reach group by doc_id)
+select documents.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, documents.doc_id = component_id as kept
+from documents left join n using (doc_id) join comp using (doc_id)
+"""
