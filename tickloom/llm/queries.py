@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontam import find_contamination, items_digest, run_words
+from .lines import dedup_lines
 from .mixing import mix_sources
 from .near import near_duplicates
 from .quality import quality_verdicts
@@ -35,6 +36,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = run_words()
@@ -65,7 +71,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
