@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .near import near_duplicates
 from .quality import quality_verdicts
 from .secrets import scan_secrets, span_digest
+from .suffix import remove_repeats
 from .tokens import token_counts
 from .toxicity import learn_lexicon, score_toxicity
 from .urls import filter_urls
@@ -70,8 +71,14 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, pages.where(F.col("url").rlike(f"://[^/?#]*({LISTED_HOST})")).select("url"), URL_RULES)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
