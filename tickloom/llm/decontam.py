@@ -196,3 +196,10 @@ def items_digest(column: str = "items"):
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with their columns, whose id has no text with a benchmark window."""
+    found = find_contamination(docs, benchmark, size, id_col, text_col)
+    ids = found.where(F.size("items") > 0).select(F.col("doc_id").alias("_hit_id")).distinct()
+    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left_anti")

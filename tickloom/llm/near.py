@@ -207,3 +207,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.2, id_c
     rows = sigs.join(named, F.col("set_key") == F.col("k"), "left")
     component = F.coalesce("c", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with their columns, without the near copies: of each group the row with the smallest id stays.
+
+    Of rows that share an id one stays. Rows with a null id stay all.
+    """
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), percent, id_col=id_col, text_col=text_col)
+    ids = found.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    rows = docs.join(ids, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))
