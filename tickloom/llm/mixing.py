@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, text_or_empty
 
-BUCKETS = 4096
+#: Sources up to which their plan is sent to every task.
+MOST_BROADCAST = 100_000
 
 
 def word_count(column: str = "text") -> Column:
@@ -96,10 +97,12 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, share:
         .groupBy("t_source", "cut_band")
         .agg(F.max(F.when(F.col("in"), F.struct("draw", "id"))).alias("cut"))
     )
-    plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("t_source")), "left").select(
+    plan = checkpointed(targets.join(cuts, F.col("source").eqNullSafe(F.col("t_source")), "left").select(
         F.col("source").alias("p_source"), "source_size", "target", "whole", "cut_band", "cut"
-    )
+    ))
 
+    if plan.count() <= MOST_BROADCAST:  # a few numbers a source; beyond, the join is shuffled
+        plan = F.broadcast(plan)
     size, draw = word_count(text_col), _draw(seed, id_col)
     band = F.shiftright(draw, 48)
     extra = F.coalesce((band < F.col("cut_band")) | ((band == F.col("cut_band")) & (F.struct(draw.alias("draw"), row_id.alias("id")) <= F.col("cut"))), F.lit(False))

@@ -103,7 +103,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).join(chosen, "doc_id")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
 
     def words():
         def row(doc_id, t, toxic):
