@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import ticks as X
 from tickloom.operators import bars as B
+from tickloom.operators import book as K
+from tickloom.operators import ledger as L
+from tickloom.operators import risk as R
 from tickloom.sources import market as M
 
 QUERIES: dict = {}
@@ -182,6 +185,266 @@ def replay_price_join(spark, d):
     return B.replay_price(events, M.price_history(b), 60 * B.NS).select("seq_ord", "symbol_id", "minute_index", "close_ticks")
 
 
+def logs(spark, d):
+    b = M.base(spark, d)
+    return M.accepts(b), M.fills(b), M.cancels(b)
+
+
+def events_of(spark, d) -> DataFrame:
+    return K.order_events(*logs(spark, d))
+
+
+def changes_of(spark, d) -> DataFrame:
+    return K.level_changes(K.order_states(events_of(spark, d)))
+
+
+def snapshots_of(spark, d, depth=None) -> DataFrame:
+    steps = K.covered_steps(M.base(spark, d), HOUR * B.NS, DAY * B.NS)
+    return K.book_snapshots(changes_of(spark, d), steps, HOUR * B.NS, DAY * B.NS, depth)
+
+
+@query
+def order_events(spark, d):
+    return events_of(spark, d).select("order_id", "seq_ord", "kind", "filled")
+
+
+@query
+def order_lifecycle(spark, d):
+    return K.order_lifecycle(events_of(spark, d), logs(spark, d)[1])
+
+
+@query
+def resting_orders(spark, d):
+    return K.resting_orders(events_of(spark, d), (1705276800000, 1 << 60)).drop("a_ms", "a_ord")
+
+
+@query
+def book_levels(spark, d):
+    return K.book_levels(K.resting_orders(events_of(spark, d)), 20)
+
+
+@query
+def bbo(spark, d):
+    return K.bbo(K.book_levels(K.resting_orders(events_of(spark, d))), "symbol_id")
+
+
+@query
+def level_changes(spark, d):
+    return changes_of(spark, d).select("symbol_id", "side", "price_ticks", "seq_ord", "qty")
+
+
+@query
+def book_snapshots_1hz(spark, d):
+    """Sampled each hour, as the test log spans a month."""
+    return snapshots_of(spark, d, depth=10)
+
+
+@query
+def book_at(spark, d):
+    return snapshots_of(spark, d).where((F.col("symbol_id") == 3) & (F.col("step_ns") == 1705305600 * B.NS))
+
+
+@query
+def conflated_book(spark, d):
+    return K.conflated(changes_of(spark, d), 50_000_000)
+
+
+@query
+def crossed_books(spark, d):
+    return K.crossed(K.bbo(snapshots_of(spark, d), "symbol_id", "step_ns"))
+
+
+@query
+def depth_share(spark, d):
+    return K.depth_share(snapshots_of(spark, d, depth=5)).select("symbol_id", "step_ns", "side", "level", "qty", "share")
+
+
+@query
+def banded_price(spark, d):
+    a = logs(spark, d)[0].select("order_id", "side", "symbol_id", "seq_ms", "seq_ord")
+    seen = K.as_of(a, K.bbo_timeline(changes_of(spark, d)), "symbol_id", ["bid", "ask"])
+    return K.banded_price(seen).select("order_id", "side", "bid", "ask", "limit_ticks")
+
+
+@query
+def audit_event_log(spark, d):
+    return K.audit_event_log(*logs(spark, d))
+
+
+@query
+def audit_price_time(spark, d):
+    return K.audit_price_time(*logs(spark, d))
+
+
+@query
+def audit_crossed_final(spark, d):
+    best = K.bbo(K.book_levels(K.resting_orders(events_of(spark, d))), "symbol_id")
+    return best.select("symbol_id", "bid", "ask", K.is_crossed(best).alias("crossed"))
+
+
+@query
+def conservation(spark, d):
+    return K.conservation(events_of(spark, d))
+
+
+def legs_of(spark, d) -> DataFrame:
+    return L.fill_legs(M.fills(M.base(spark, d)))
+
+
+def cash_of(spark, d) -> DataFrame:
+    return L.cash_events(M.account_records(M.base(spark, d)), legs_of(spark, d))
+
+
+@query
+def fees(spark, d):
+    return L.fees(M.fills(M.base(spark, d)))
+
+
+@query
+def fill_legs(spark, d):
+    return legs_of(spark, d).select("seq_ord", "symbol_id", "role", "user_id", "order_id", "side", "fee", "signed_qty", "cash_delta")
+
+
+@query
+def cash_balances(spark, d):
+    return L.cash_balances(cash_of(spark, d))
+
+
+@query
+def cash_history(spark, d):
+    return L.cash_history(cash_of(spark, d)).select("user_id", "seq_ord", "leg", "delta", "balance")
+
+
+@query
+def positions(spark, d):
+    return L.positions(legs_of(spark, d))
+
+
+@query
+def open_orders(spark, d):
+    a, _, c = logs(spark, d)
+    return L.open_orders(a, legs_of(spark, d), c)
+
+
+@query
+def house_fees(spark, d):
+    return L.house_fees(M.fills(M.base(spark, d)))
+
+
+@query
+def cash_conservation(spark, d):
+    b = M.base(spark, d)
+    return L.conservation(M.account_records(b), M.fills(b))
+
+
+@query
+def portfolio(spark, d):
+    return L.portfolio(L.cash_balances(cash_of(spark, d)), L.positions(legs_of(spark, d)), M.symbol_dim(spark), M.base(spark, d).select("user_id").distinct())
+
+
+@query
+def private_timeline(spark, d):
+    a, _, c = logs(spark, d)
+    t = L.private_timeline(a, legs_of(spark, d), c, M.account_records(M.base(spark, d)), M.symbol_dim(spark))
+    return t.select("user_id", "user_seq", "seq_ord", "kind", "role", "symbol", "order_id", "qty")
+
+
+@query
+def changed_keys(spark, d):
+    a, _, c = logs(spark, d)
+    return L.changed_keys(a, legs_of(spark, d), c, M.account_records(M.base(spark, d)), 400, 900)
+
+
+@query
+def mark_to_market(spark, d):
+    return L.mark_to_market(L.cash_balances(cash_of(spark, d)), L.positions(legs_of(spark, d)), B.last_trade(prints(spark, d)))
+
+
+@query
+def state_snapshot(spark, d):
+    """A digest of each state table that doesn't depend on the order of its rows."""
+    line = lambda df, name, *c: df.select(F.lit(name).alias("tbl"), F.concat_ws(":", *c).alias("line"))
+    rows = line(L.cash_balances(cash_of(spark, d)), "cash", "user_id", "cash_ticks").union(line(L.positions(legs_of(spark, d)), "position", "user_id", "symbol_id", "position"))
+    rows = rows.union(line(K.resting_orders(events_of(spark, d)), "resting", "order_id", "rem"))
+    return rows.groupBy("tbl").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha2("line", 256), 1, 12), 16, 10).cast("long")).alias("digest"))
+
+
+@query
+def buy_cost(spark, d):
+    return logs(spark, d)[0].where("side = 1").select("order_id", X.buy_cost("price_ticks", "qty").alias("cost"))
+
+
+@query
+def reservations(spark, d):
+    return R.reservations(K.resting_orders(events_of(spark, d)))
+
+
+@query
+def available(spark, d):
+    return R.available(L.cash_balances(cash_of(spark, d)), L.positions(legs_of(spark, d)), R.reservations(K.resting_orders(events_of(spark, d))))
+
+
+def free_cash(spark, d) -> DataFrame:
+    return R.running_available(R.cash_moves(cash_of(spark, d), K.order_states(events_of(spark, d))))
+
+
+@query
+def admission_audit(spark, d):
+    units = R.running_units(legs_of(spark, d), K.order_states(events_of(spark, d)))
+    return R.admission_audit(logs(spark, d)[0], free_cash(spark, d), units, M.MARKET_MAKERS)
+
+
+@query
+def retail_short_violations(spark, d):
+    return R.retail_shorts(legs_of(spark, d), M.MARKET_MAKERS).drop("seq_ms")
+
+
+@query
+def insolvency_violations(spark, d):
+    low = free_cash(spark, d).groupBy("user_id", "seq_ord").agg(F.min("free").alias("lowest"))
+    return low.where("lowest < 0")
+
+
+@query
+def first_outcome_dedupe(spark, d):
+    """Client ids that are used again; a TTL of a day."""
+    s = M.inbound(M.base(spark, d)).where("record_type = 'submit'")
+    s = s.select("user_id", ((F.col("qty") - 1) % 10).alias("client_order_id"), "seq_ord", "timestamp_ns")
+    return R.first_outcomes(s, DAY * B.NS).select("user_id", "client_order_id", "seq_ord", "duplicate")
+
+
+@query
+def rate_limit_audit(spark, d):
+    """Two orders a day."""
+    s = M.inbound(M.base(spark, d)).where("record_type = 'submit'").select("user_id", "client_order_id", "seq_ord", "timestamp_ns")
+    return R.rate_limited(s.withColumn("timestamp_ns", F.call_function("div", F.col("timestamp_ns"), F.lit(DAY // 2))), 1.0).select("user_id", "client_order_id", "allowed")
+
+
+@query
+def reject_summary(spark, d):
+    k = F.col("k") % 4
+    reason = F.when(k == 0, "INSUFFICIENT_CASH").when(k == 1, "INVALID_PRICE").when(k == 2, "UNKNOWN_SYMBOL").otherwise("INSUFFICIENT_POSITION")
+    return R.reject_summary(M.base(spark, d).where("event_type = 'error'").select("symbol_id", "user_id", reason.alias("reason")), M.symbol_dim(spark))
+
+
+@query
+def recovery_check(spark, d):
+    """Expected: every third view and, wrongly, every third error."""
+    b = M.base(spark, d)
+    expected = b.where("event_type in ('view', 'error') and k % 3 = 0").select(F.col("seq_ord").alias("client_order_id"))
+    return R.recovery_check(expected, M.accepts(b), M.fills(b))
+
+
+@query
+def sequence_verdicts(spark, d):
+    b, private = M.base(spark, d), F.col("k") % 2 == 0
+    frames = b.select(
+        F.when(private, F.concat(F.lit("private:"), F.col("user_id"))).otherwise(F.concat(F.lit("tape:"), F.col("symbol_id"))).alias("channel"), private.alias("private"), F.col("seq_ord").alias("arrival"),
+        F.when(private, 0).otherwise(F.col("seq_ms")).alias("seq_a"), F.when(private, F.call_function("div", F.col("seq_ord"), F.lit(700))).otherwise(F.col("seq_ord") - (F.col("k") % 5) * 30).alias("seq_b"),
+    )
+    return R.sequence_verdicts(frames).select("channel", "arrival", "verdict")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

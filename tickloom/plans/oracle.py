@@ -139,3 +139,217 @@ select b.seq_ord, b.symbol_id, h.minute_index, h.close_ticks
 from (select seq_ord, symbol_id, (symbol_id * 37 + (ns - 1704067200000000000) // 60000000000) as m from base) b
 join (select symbol_id, count(*) as n from hist group by 1) c using (symbol_id) join hist h on h.symbol_id = b.symbol_id and h.minute_index = m % n
 """, "hist")
+
+# --- book -----------------------------------------------------------------
+cte("oev", """
+select a.order_id, a.symbol_id, a.side, a.price, a.qty, a.user_id, a.seq_ord as a_ord, x.seq_ord, x.seq_ms, x.ns, x.kind, x.filled, x.fp
+from acc a join (select seq_ord, seq_ms, ns, order_id, 'accept' as kind, 0 as filled, 0 as fp from acc
+  union all select seq_ord, seq_ms, ns, maker_oid, 'maker', qty, price from fill union all select seq_ord, seq_ms, ns, taker_oid, 'taker', qty, price from fill
+  union all select seq_ord, seq_ms, ns, order_id, 'cancel', 0, 0 from can) x on x.order_id = a.order_id
+where x.seq_ord > a.seq_ord or x.kind = 'accept'
+""", "acc", "fill", "can")
+cte("oev1", "select order_id, symbol_id, side, price, qty, user_id, a_ord, seq_ord, seq_ms, ns, sum(filled) as filled, bool_or(kind = 'cancel') as c from oev group by all", "oev")
+cte("ost0", """
+select *, case when bool_or(c) over w then 0 else greatest(0, qty - sum(filled) over w) end::bigint as rem from oev1 window w as (partition by order_id order by seq_ord)
+""", "oev1")
+cte("ost", "select *, rem - coalesce(lag(rem) over (partition by order_id order by seq_ord), 0) as delta from ost0", "ost0")
+cte("rest", "select order_id, symbol_id, side, price, qty, user_id, a_ord, arg_max(rem, seq_ord) as rem from ost group by all having arg_max(rem, seq_ord) > 0", "ost")
+cte("lvl0", "select symbol_id, side, price, sum(rem)::bigint as qty, count(*) as orders from rest group by all", "rest")
+cte("lvl", "select *, row_number() over (partition by symbol_id, side order by case side when 1 then -price else price end) - 1 as level from lvl0", "lvl0")
+ORACLES["order_events"] = q("select order_id, seq_ord, kind, filled::bigint as filled from oev", "oev")
+ORACLES["order_lifecycle"] = q("""
+select order_id, symbol_id, side, price as price_ticks, qty, user_id, f::bigint as filled_qty, fn::bigint as filled_notional, c as cancelled, first_ns, last_ns,
+       case when f > 0 then (fn // f)::bigint end as avg_price_ticks, case when c then 0 else greatest(0, qty - f) end::bigint as remaining,
+       case when c then 'CANCELLED' when f >= qty then 'FILLED' when f > 0 then 'PARTIAL' else 'OPEN' end as status
+from (select order_id, symbol_id, side, price, qty, user_id, sum(filled)::bigint as f, sum(filled * fp)::bigint as fn, bool_or(kind = 'cancel') as c, min(ns) as first_ns, max(ns) as last_ns from oev group by all)
+""", "oev")
+ORACLES["resting_orders"] = q("""
+select order_id, symbol_id, side, price as price_ticks, user_id, (qty - f)::bigint as rem from (
+  select order_id, symbol_id, side, price, user_id, qty, sum(filled)::bigint as f, bool_or(kind = 'cancel') as c from oev where seq_ms <= 1705276800000 group by all) where not c and f < qty
+""", "oev")
+ORACLES["book_levels"] = q("select symbol_id, side, price as price_ticks, qty, orders, level from lvl where level < 20", "lvl")
+ORACLES["bbo"] = q("""
+select symbol_id, bid, ask, bid is not null and ask is not null as two_sided, ask - bid as spread, (ask + bid) // 2 as mid
+from (select symbol_id, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask from lvl group by 1)
+""", "lvl")
+cte("chg0", "select symbol_id, side, price, seq_ord, ns, sum(delta)::bigint as delta from ost where delta <> 0 group by all having sum(delta) <> 0", "ost")
+cte("chg", "select *, sum(delta) over (partition by symbol_id, side, price order by seq_ord)::bigint as qty from chg0", "chg0")
+ORACLES["level_changes"] = q("select symbol_id, side, price as price_ticks, seq_ord, qty from chg", "chg")
+cte("step", "select unnest(generate_series(u, u + 86400000000000 - 3600000000000, 3600000000000)) as step_ns from (select distinct ns // 86400000000000 * 86400000000000 as u from base)", "base")
+cte("iv", """
+select *, coalesce(lead(ns) over (partition by symbol_id, side, price order by ns), 9000000000000000000) as to_ns
+from (select symbol_id, side, price, ns, arg_max(qty, seq_ord) as qty from chg group by all)
+""", "chg")
+cte("snap0", "select symbol_id, step_ns, side, price, qty from iv join step on iv.ns < step_ns + 3600000000000 and to_ns >= step_ns + 3600000000000 where qty > 0", "iv", "step")
+cte("snap", "select *, row_number() over (partition by symbol_id, step_ns, side order by case side when 1 then -price else price end) - 1 as level from snap0", "snap0")
+ORACLES["book_snapshots_1hz"] = q("select symbol_id, step_ns, side, price as price_ticks, qty, level from snap where level < 10", "snap")
+ORACLES["book_at"] = q("select symbol_id, step_ns, side, price as price_ticks, qty, level from snap where symbol_id = 3 and step_ns = 1705305600000000000", "snap")
+ORACLES["conflated_book"] = q("""
+select symbol_id, side, price as price_ticks, ns // 50000000 * 50000000 as window_ns, arg_max(qty, seq_ord) as qty, max(seq_ord) as seq_ord from chg group by all
+""", "chg")
+cte("best", "select symbol_id, step_ns, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask from snap group by all", "snap")
+ORACLES["crossed_books"] = q("""
+select symbol_id, sum(n)::bigint as snapshots, sum(run)::bigint as crossed, max(run)::bigint as longest_run from (
+  select symbol_id, island, count(*) as n, sum(c) as run from (
+    select *, sum(1 - c) over (partition by symbol_id order by step_ns) as island from (select *, case when bid >= ask then 1 else 0 end as c from best)) group by all) group by 1
+""", "best")
+ORACLES["depth_share"] = q("select symbol_id, step_ns, side, level, qty, qty / max(qty) over (partition by symbol_id, step_ns) as share from snap where level < 5", "snap")
+cte("bb", """
+select symbol_id, at_ord as seq_ord, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask from (
+  select distinct c.symbol_id, c.seq_ord as at_ord, l.side, l.price from chg c left join (
+    select *, coalesce(lead(seq_ord) over (partition by symbol_id, side, price order by seq_ord), 9000000000) as to_ord from chg) l
+  on l.symbol_id = c.symbol_id and l.qty > 0 and l.seq_ord <= c.seq_ord and c.seq_ord < l.to_ord) group by all
+""", "chg")
+ORACLES["banded_price"] = q("""
+select order_id, side, bid, ask, case when side = 1 then (ask * 10500 + 9999) // 10000 else greatest(1, bid * 9500 // 10000) + (bid - bid) end as limit_ticks
+from (select a.order_id, a.side, b.bid, b.ask from acc a asof left join bb b on a.symbol_id = b.symbol_id and a.seq_ord > b.seq_ord)
+""", "acc", "bb")
+cte("bef", "select order_id, seq_ord, rem - delta as before from ost where seq_ord > a_ord", "ost")
+cte("fx", """
+select f.*, m.before as mr, ma.side as ms, ma.symbol_id as msy, ma.price as mp, t.before as tr, ta.side as ts, ta.symbol_id as tsy
+from fill f left join bef m on m.order_id = maker_oid and m.seq_ord = f.seq_ord left join acc ma on ma.order_id = m.order_id
+left join bef t on t.order_id = taker_oid and t.seq_ord = f.seq_ord left join acc ta on ta.order_id = t.order_id
+""", "fill", "bef", "acc")
+_RULES = {
+    "maker_unknown": "mr is null", "taker_unknown": "tr is null", "maker_gone": "mr = 0", "taker_gone": "tr = 0", "same_side": "ms = ts", "aggressor_side": "aggr <> ts",
+    "symbol": "msy <> symbol_id or tsy <> symbol_id", "price": "mp <> price", "qty": "qty <= 0", "maker_overfill": "mr > 0 and qty > mr", "taker_overfill": "tr > 0 and qty > tr",
+}
+ORACLES["audit_event_log"] = q(
+    " union all ".join(f"select seq_ms, seq_ord, '{r}' as rule from fx where {c}" for r, c in _RULES.items())
+    + " union all select seq_ms, seq_ord, r from (select c.*, before, unnest([case when before is null then 'cancel_unknown' when before = 0 then 'cancel_gone' when before <> remaining_qty then 'cancel_qty' end]) as r from can c left join bef b on b.order_id = c.order_id and b.seq_ord = c.seq_ord) where r is not null",
+    "fx", "can",
+)
+cte("live", "select order_id, symbol_id, side, price, a_ord as f, coalesce(min(seq_ord) filter (rem = 0), 9000000000) as t from ost group by all", "ost")
+ORACLES["audit_price_time"] = q("""
+select seq_ms, seq_ord, maker_oid as maker_order_id, better as better_order_id from (
+  select f.seq_ms, f.seq_ord, f.maker_oid, arg_min(l.order_id, case t.side when 1 then l.price else -l.price end * 100000000 + l.f) as better
+  from fill f join acc t on t.order_id = f.taker_oid and t.seq_ord < f.seq_ord
+  join live l on l.symbol_id = t.symbol_id and l.side <> t.side and l.f < f.seq_ord and l.t >= f.seq_ord and case t.side when 1 then l.price <= t.price else l.price >= t.price end
+  group by all) where better <> maker_oid
+""", "fill", "acc", "live")
+ORACLES["audit_crossed_final"] = q("select symbol_id, bid, ask, coalesce(bid >= ask, false) as crossed from (select symbol_id, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask from lvl group by 1)", "lvl")
+ORACLES["conservation"] = q("""
+select symbol_id, sum(qty)::bigint as accepted, sum(fl)::bigint as filled, sum(off)::bigint as cancelled, sum(rem)::bigint as resting, (sum(qty) - sum(fl) - sum(off) - sum(rem))::bigint as difference
+from (select symbol_id, order_id, qty, arg_max(rem, seq_ord) as rem, sum(case when c then -delta else 0 end) as off, sum(case when not c and delta < 0 then -delta else 0 end) as fl from ost group by all) group by 1
+""", "ost")
+
+# --- ledger ---------------------------------------------------------------
+cte("fee", "select *, price * qty as notional, price * qty * 2 // 10000 as mfee, price * qty * 10 // 10000 as tfee from fill", "fill")
+ORACLES["fees"] = q("select seq_ms, seq_ord, symbol_id, notional, mfee as maker_fee, tfee as taker_fee, mfee + tfee as total_fee from fee", "fee")
+cte("leg", """
+select seq_ms, seq_ord, symbol_id, price, qty, 'maker' as role, maker_uid as user_id, maker_oid as order_id, 3 - aggr as side, mfee as fee,
+       case when aggr = 2 then qty else -qty end as sq, case when aggr = 2 then -notional else notional end - mfee as cash from fee
+union all select seq_ms, seq_ord, symbol_id, price, qty, 'taker', taker_uid, taker_oid, aggr, tfee, case when aggr = 1 then qty else -qty end, case when aggr = 1 then -notional else notional end - tfee from fee
+""", "fee")
+ORACLES["fill_legs"] = q("select seq_ord, symbol_id, role, user_id, order_id, side, fee, sq as signed_qty, cash as cash_delta from leg", "leg")
+cte("cev", """
+select user_id, seq_ms, seq_ord, 0 as leg, created, amount as delta from acct union all select user_id, seq_ms, seq_ord, case role when 'maker' then 1 else 2 end, false, cash from leg
+""", "acct", "leg")
+cte("bal", """
+select user_id, coalesce(sum(delta) filter (seq_ord * 10 + leg >= since), 0)::bigint as cash_ticks
+from (select *, coalesce(max(case when created then seq_ord * 10 + leg end) over (partition by user_id), -1) as since from cev) group by 1
+""", "cev")
+ORACLES["cash_balances"] = q("select * from bal", "bal")
+ORACLES["cash_history"] = q("""
+select user_id, seq_ord, leg, delta, sum(delta) over (partition by user_id, e order by seq_ord, leg)::bigint as balance
+from (select *, sum(case when created then 1 else 0 end) over (partition by user_id order by seq_ord, leg) as e from cev)
+""", "cev")
+cte("pos", "select user_id, symbol_id, sum(sq)::bigint as position from leg group by all having sum(sq) <> 0", "leg")
+ORACLES["positions"] = q("select * from pos", "pos")
+ORACLES["open_orders"] = q("""
+select a.order_id, user_id, symbol_id, side, price as price_ticks, qty, (qty - coalesce(off, 0))::bigint as remaining from acc a left join (
+  select m.order_id, sum(off) as off from (select order_id, seq_ord, qty as off from leg union all select order_id, seq_ord, remaining_qty from can) m join acc using (order_id)
+  where m.seq_ord > acc.seq_ord group by 1) o using (order_id) where qty - coalesce(off, 0) > 0
+""", "acc", "leg", "can")
+ORACLES["house_fees"] = q("""
+select symbol_id, strftime(make_timestamp(ns // 1000), '%Y-%m-%d') as date, sum(mfee + tfee)::bigint as fees, count(*) as fills from fee group by grouping sets ((symbol_id, date), (symbol_id), ())
+""", "fee")
+ORACLES["cash_conservation"] = q("""
+select c as cash, f as fees, d as deposits, n as largest_net_position, c + f - d as difference from (
+  select (select sum(cash_ticks) from bal)::bigint as c, (select sum(mfee + tfee) from fee)::bigint as f, (select sum(amount) from acct)::bigint as d,
+         (select coalesce(max(abs(n)), 0) from (select sum(position) as n from pos group by symbol_id))::bigint as n)
+""", "bal", "fee", "acct", "pos")
+ORACLES["portfolio"] = q("""
+select user_id, coalesce(cash_ticks, 0) as cash_ticks, coalesce(n, 0) as n_positions, coalesce(p, '') as positions
+from (select distinct user_id from base) left join bal using (user_id)
+left join (select user_id, count(*) as n, string_agg(name || ':' || position, ' ' order by name) as p from pos join sym using (symbol_id) group by 1) using (user_id)
+""", "base", "bal", "pos", "sym")
+cte("priv", """
+select user_id, seq_ord, 0 as leg, 'accepted' as kind, null as role, symbol_id, order_id, qty from acc
+union all select user_id, seq_ord, case role when 'maker' then 1 else 2 end, 'fill', role, symbol_id, order_id, qty from leg
+union all select user_id, seq_ord, 0, 'cancelled', null, symbol_id, order_id, remaining_qty from can
+union all select user_id, seq_ord, 0, case when created then 'account_created' else 'cash_credited' end, null, null, null, amount from acct
+""", "acc", "leg", "can", "acct")
+ORACLES["private_timeline"] = q("""
+select user_id, row_number() over (partition by user_id order by seq_ord, leg) as user_seq, seq_ord, kind, role, name as symbol, order_id, qty from priv left join sym using (symbol_id)
+""", "priv", "sym")
+ORACLES["changed_keys"] = q("""
+select distinct kind, user_id, other from (
+  select 'account' as kind, user_id, null::bigint as other, seq_ord from acct union all select 'account', user_id, null, seq_ord from leg union all select 'position', user_id, symbol_id, seq_ord from leg
+  union all select 'order', user_id, order_id, seq_ord from acc union all select 'order', user_id, order_id, seq_ord from leg union all select 'order', user_id, order_id, seq_ord from can) where seq_ord > 400 and seq_ord <= 900
+""", "acct", "leg", "acc", "can")
+cte("lt", "select symbol_id, arg_max(price, seq_ord) as px from fill group by 1", "fill")
+ORACLES["mark_to_market"] = q("""
+select user_id, cash_ticks, coalesce(h, 0)::bigint as holdings, (cash_ticks + coalesce(h, 0))::bigint as equity from bal left join (select user_id, sum(position * px) as h from pos join lt using (symbol_id) group by 1) using (user_id)
+""", "bal", "pos", "lt")
+cte("state_rows", """
+select 'cash' as tbl, user_id || ':' || cash_ticks as line from bal union all select 'position', user_id || ':' || symbol_id || ':' || position from pos union all select 'resting', order_id || ':' || rem from rest
+""", "bal", "pos", "rest")
+ORACLES["state_snapshot"] = q("select tbl, count(*) as n, sum(('0x' || substr(sha256(line), 1, 12))::bigint)::bigint as digest from state_rows group by 1", "state_rows")
+
+# --- risk -----------------------------------------------------------------
+_COST = "{q} * (price + (price * 10 + 9999) // 10000)"
+ORACLES["buy_cost"] = q(f"select order_id, {_COST.format(q='qty')} as cost from acc where side = 1", "acc")
+cte("resv", f"select user_id, symbol_id, sum(case when side = 1 then {_COST.format(q='rem')} else 0 end)::bigint as cash, sum(case when side = 2 then rem else 0 end)::bigint as units from rest group by all", "rest")
+ORACLES["reservations"] = q("select * from resv", "resv")
+ORACLES["available"] = q("""
+select user_id, null::int as symbol_id, (coalesce(cash_ticks, 0) - coalesce(r, 0))::bigint as available from bal full join (select user_id, sum(cash) as r from resv group by 1) using (user_id)
+union all select user_id, symbol_id, (coalesce(position, 0) - coalesce(units, 0))::bigint from pos full join (select * from resv where units > 0) using (user_id, symbol_id)
+""", "bal", "resv", "pos")
+cte("mv", f"""
+select user_id, seq_ord, leg, created, delta, 0 as reserve from cev union all
+select user_id, seq_ord, 3, false, 0, {_COST.format(q='delta')} from ost where side = 1 and delta <> 0
+""", "cev", "ost")
+cte("free", """
+select user_id, seq_ord, arg_max(free, n) as free, min(free) as lowest from (
+  select *, (sum(delta) over (partition by user_id, e order by seq_ord, leg rows unbounded preceding) - sum(reserve) over (partition by user_id order by seq_ord, leg rows unbounded preceding))::bigint as free, leg as n from (
+    select *, sum(case when created then 1 else 0 end) over (partition by user_id order by seq_ord, leg rows unbounded preceding) as e from mv)) group by all
+""", "mv")
+cte("funits", """
+select user_id, symbol_id, seq_ord, sum(d) over (partition by user_id, symbol_id order by seq_ord)::bigint as fu from (
+  select user_id, symbol_id, seq_ord, sum(d) as d from (select user_id, symbol_id, seq_ord, sq as d from leg union all select user_id, symbol_id, seq_ord, -delta from ost where side = 2 and delta <> 0) group by all)
+""", "leg", "ost")
+ORACLES["admission_audit"] = q(f"""
+select order_id, reason from (
+  select a.order_id, case when side = 1 and coalesce(free, 0) < {_COST.format(q='qty')} then 'INSUFFICIENT_CASH' when side = 2 and a.user_id >= 10 and coalesce(fu, 0) < qty then 'INSUFFICIENT_POSITION' end as reason
+  from acc a asof left join free on a.user_id = free.user_id and a.seq_ord > free.seq_ord asof left join funits u on a.user_id = u.user_id and a.symbol_id = u.symbol_id and a.seq_ord > u.seq_ord) where reason is not null
+""", "acc", "free", "funits")
+ORACLES["retail_short_violations"] = q("""
+select user_id, symbol_id, seq_ord, position from (
+  select user_id, symbol_id, seq_ord, sum(d) over (partition by user_id, symbol_id order by seq_ord)::bigint as position from (select user_id, symbol_id, seq_ord, sum(sq) as d from leg where user_id >= 10 group by all)) where position < 0
+""", "leg")
+ORACLES["insolvency_violations"] = q("select user_id, seq_ord, lowest from free where lowest < 0", "free")
+cte("dsub", "select seq_ord, ns, user_id, k % 10 as cid, row_number() over (partition by user_id, k % 10 order by ns, seq_ord) as rn from base where event_type in ('view', 'click')", "base")
+cte("dfold", """
+select user_id, cid, rn, seq_ord, ns, ns as kept, false as dup from dsub where rn = 1
+union all select s.user_id, s.cid, s.rn, s.seq_ord, s.ns, case when s.ns - d.kept < 86400000000000 then d.kept else s.ns end, s.ns - d.kept < 86400000000000
+from dfold d join dsub s on s.user_id = d.user_id and s.cid = d.cid and s.rn = d.rn + 1
+""", "dsub")
+ORACLES["first_outcome_dedupe"] = q("select user_id, cid as client_order_id, seq_ord, dup as duplicate from dfold", "dfold")
+ORACLES["reject_summary"] = q("""
+select name, r as reason, count(*) as orders, count(distinct user_id) as users from (
+  select symbol_id, user_id, case k % 4 when 0 then 'INSUFFICIENT_CASH' when 1 then 'INVALID_PRICE' when 2 then 'UNKNOWN_SYMBOL' else 'INSUFFICIENT_POSITION' end as r from base where event_type = 'error') left join sym using (symbol_id) group by all
+""", "base", "sym")
+ORACLES["recovery_check"] = q("""
+select 'missing' as problem, seq_ord as id from base where event_type in ('view', 'error') and k % 3 = 0 and event_type <> 'view' union all
+select 'extra', order_id from acc where side = 2 or order_id not in (select seq_ord from base where event_type = 'view' and k % 3 = 0) union all
+select 'duplicate_fill', taker_oid from fill group by maker_oid, taker_oid having count(*) > 1
+""", "base", "acc", "fill")
+cte("frm", """
+select case when k % 2 = 0 then 'private:' || user_id else 'tape:' || symbol_id end as channel, k % 2 = 0 as private, seq_ord as arrival,
+       case when k % 2 = 0 then 0 else seq_ms end as a, case when k % 2 = 0 then seq_ord // 700 else seq_ord - (k % 5) * 30 end as b from base
+""", "base")
+ORACLES["sequence_verdicts"] = q("""
+select channel, arrival, case when pb is null then 'ok' when a = pa and b = pb then 'duplicate' when a < pa or (a = pa and b < pb) then 'out_of_order' when private and b > pb + 1 then 'gap' else 'ok' end as verdict
+from (select *, lag(a) over w as pa, lag(b) over w as pb from frm window w as (partition by channel order by arrival))
+""", "frm")
