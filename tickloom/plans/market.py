@@ -10,6 +10,8 @@ from tickloom.operators import bars as B
 from tickloom.operators import book as K
 from tickloom.operators import ledger as L
 from tickloom.operators import risk as R
+from tickloom.operators import backtest as G
+from tickloom.operators import quality as Q
 from tickloom.sources import market as M
 
 QUERIES: dict = {}
@@ -445,6 +447,177 @@ def sequence_verdicts(spark, d):
     return R.sequence_verdicts(frames).select("channel", "arrival", "verdict")
 
 
+# Fixed values: (run_id, minutes of a bar, fast and slow windows, quantity).
+RUNS = [(1, 15, 3, 8, 5), (2, 15, 5, 20, 5), (3, 60, 2, 5, 3)]
+
+
+def swept(spark, d, runs=RUNS[:1]) -> DataFrame:
+    params = spark.createDataFrame(runs, "run_id long, minutes int, fast int, slow int, qty long")
+    return G.sweep(M.price_history(M.base(spark, d)), params, sorted({r[1] for r in runs}), max(r[3] for r in runs))
+
+
+def curve_of(spark, d) -> DataFrame:
+    return G.run_backtests(swept(spark, d)).where("kind = 'bar'")
+
+
+@query
+def sma_signal(spark, d):
+    return swept(spark, d).select("run_id", "symbol_id", "bar_index", "long")
+
+
+@query
+def backtest_trades(spark, d):
+    t = G.run_backtests(swept(spark, d)).where("kind = 'trade'")
+    return t.select("run_id", "symbol_id", "bar_index", "side", "qty", "price_ticks", "fee_ticks", "realised_ticks")
+
+
+@query
+def equity_curve(spark, d):
+    return curve_of(spark, d).select("run_id", "symbol_id", "bar_index", "cash_ticks", "position", "equity_ticks", "refused")
+
+
+@query
+def realised_pnl(spark, d):
+    t = G.run_backtests(swept(spark, d)).where("kind = 'trade'")
+    return t.groupBy("run_id", "symbol_id").agg(F.sum("realised_ticks").alias("realised_ticks"), F.count("*").alias("trades"))
+
+
+@query
+def max_drawdown(spark, d):
+    return G.drawdown(curve_of(spark, d))
+
+
+@query
+def bar_returns(spark, d):
+    return G.risk_ratios(G.bar_returns(curve_of(spark, d)))
+
+
+@query
+def buy_and_hold(spark, d):
+    return G.buy_and_hold(swept(spark, d))
+
+
+@query
+def backtest_metrics(spark, d):
+    b = swept(spark, d)
+    return G.metrics(b, G.run_backtests(b))
+
+
+@query
+def backtest_sweep(spark, d):
+    b = swept(spark, d, RUNS)
+    return G.metrics(b, G.run_backtests(b))
+
+
+@query
+def backtest_report(spark, d):
+    b = swept(spark, d, RUNS)
+    return G.report(G.metrics(b, G.run_backtests(b)), M.symbol_dim(spark))
+
+
+def load_steps(spark) -> DataFrame:
+    """Ten equal ranges over the month of the log."""
+    began = 1704067200 * B.NS + F.col("id") * (3 * DAY * B.NS)
+    return spark.range(10).select(F.col("id").alias("step"), began.alias("began"), (began + (3 * DAY * B.NS - 1)).alias("ended"))
+
+
+def spreads(spark, d) -> DataFrame:
+    return Q.spread_samples(snapshots_of(spark, d, depth=10), 5, 3)
+
+
+def obligations(spark, d) -> DataFrame:
+    """Makers' own books: one book per maker and symbol."""
+    own = F.col("user_id") < M.MARKET_MAKERS
+    states = K.order_states(events_of(spark, d)).where(own).withColumn("symbol_id", (F.col("user_id") * 100 + F.col("symbol_id")).cast("long"))
+    steps = K.covered_steps(M.base(spark, d), HOUR * B.NS, DAY * B.NS)
+    best = K.book_snapshots(K.level_changes(states), steps, HOUR * B.NS, DAY * B.NS, 1)
+    quotes = best.select(F.call_function("div", F.col("symbol_id"), F.lit(100)).alias("user_id"), (F.col("symbol_id") % 100).alias("symbol_id"), "step_ns", "side", "price_ticks", "qty")
+    pairs = logs(spark, d)[0].where(own).select("user_id", F.col("symbol_id").cast("long").alias("symbol_id")).distinct()
+    return Q.obligation_samples(quotes, pairs, steps, 2000, 20)
+
+
+@query
+def spread_bps(spark, d):
+    return spreads(spark, d).select("symbol_id", "step_ns", "one_sided", "spread_bps")
+
+
+@query
+def thin_side_depth(spark, d):
+    return spreads(spark, d).where("not one_sided").select("symbol_id", "step_ns", "thin_qty")
+
+
+@query
+def nearest_rank(spark, d):
+    s = M.load_samples(M.base(spark, d)).select("status", (F.col("acked_ns") - F.col("intended_ns")).alias("x"))
+    return Q.nearest_rank(s, "x", ["status"], {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999})
+
+
+@query
+def quality_by_step(spark, d):
+    return Q.by_step(spreads(spark, d), Q.breach_rows(obligations(spark, d)), load_steps(spark))
+
+
+@query
+def obligation_samples(spark, d):
+    return Q.breach_rows(obligations(spark, d))
+
+
+@query
+def obligation_summary(spark, d):
+    return Q.obligation_summary(obligations(spark, d), 0.95)
+
+
+@query
+def maker_activity(spark, d):
+    a, _, c = logs(spark, d)
+    return Q.maker_activity(a, c, L.positions(legs_of(spark, d)), M.MARKET_MAKERS)
+
+
+@query
+def quote_panel(spark, d):
+    """What each user with a position would quote around the last price, and whether an unskewed bid would have to move."""
+    last = B.last_trade(prints(spark, d)).select("symbol_id", F.col("price_ticks").alias("fair"))
+    rows = L.positions(legs_of(spark, d)).withColumnRenamed("position", "inventory").join(F.broadcast(last), "symbol_id")
+    p = Q.quote_panel(rows, 25, 25, 100)
+    still = F.col("fair") - F.greatest(F.lit(1).cast("long"), X.floor_div(F.col("fair") * 25, 10_000))
+    return p.select("user_id", "symbol_id", "fair", "inventory", "bid", "ask", (F.col("bid") != still).alias("requote"))
+
+
+@query
+def order_trace(spark, d):
+    b = M.base(spark, d)
+    return Q.order_trace(M.inbound(b), M.accepts(b), M.fills(b))
+
+
+@query
+def ambiguous_client_ids(spark, d):
+    return Q.ambiguous_ids(M.base(spark, d).where("event_type = 'view'").select(F.col("k").alias("client_order_id"), "user_id"))
+
+
+@query
+def load_result(spark, d):
+    s = M.load_samples(M.base(spark, d))
+    receipts = s.where("k % 4 <> 0").select("client_order_id", (F.col("acked_ns") + 5).alias("received_ns"))
+    return Q.load_result(s, receipts, load_steps(spark), HOUR * B.NS)
+
+
+def delays(spark, d) -> DataFrame:
+    hour = X.bucket("timestamp_ns", HOUR * B.NS)
+    frames = changes_of(spark, d).groupBy("symbol_id", hour.alias("h")).agg(F.max("seq_ord").alias("frame_seq")).select("symbol_id", "frame_seq", (F.col("h") + HOUR // 2 * B.NS).alias("arrival_ns"))
+    return Q.next_frame(logs(spark, d)[0].withColumnRenamed("timestamp_ns", "stamped_ns"), frames)
+
+
+@query
+def conflation_delay(spark, d):
+    return delays(spark, d)
+
+
+@query
+def update_delay(spark, d):
+    users = logs(spark, d)[0].select("symbol_id", "seq_ord", (F.col("user_id") % 4).alias("clients"))
+    return Q.delay_summary(delays(spark, d).join(users, ["symbol_id", "seq_ord"]), ["clients"])
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -353,3 +353,135 @@ ORACLES["sequence_verdicts"] = q("""
 select channel, arrival, case when pb is null then 'ok' when a = pa and b = pb then 'duplicate' when a < pa or (a = pa and b < pb) then 'out_of_order' when private and b > pb + 1 then 'gap' else 'ok' end as verdict
 from (select *, lag(a) over w as pa, lag(b) over w as pb from frm window w as (partition by channel order by arrival))
 """, "frm")
+
+# --- backtests ------------------------------------------------------------
+cte("prm", "select * from (values (1, 15, 3, 8, 5), (2, 15, 5, 20, 5), (3, 60, 2, 5, 3)) t(run_id, minutes, fast, slow, qty)")
+cte("rbar", """
+select run_id, symbol_id, minute_index // minutes as i, arg_min(close_ticks, minute_index) as o, max(close_ticks) as h, min(close_ticks) as l, arg_max(close_ticks, minute_index) as c, any_value(fast) as fast, any_value(slow) as slow, any_value(qty) as qty
+from hist, prm group by run_id, symbol_id, minutes, minute_index // minutes having count(*) = minutes
+""", "hist", "prm")
+cte("sig", """
+select r.*, (select case when count(*) = r.slow then sum(c) filter (i > r.i - r.fast) * r.slow > sum(c) * r.fast end from rbar x where x.run_id = r.run_id and x.symbol_id = r.symbol_id and x.i <= r.i and x.i > r.i - r.slow) as long,
+       first_value(o) over (partition by run_id, symbol_id order by i) * 10 as cash0, count(*) over (partition by run_id, symbol_id) as nb
+from rbar r
+""", "rbar")
+_FEE = "(s.o * abs({q}) * 10 // 10000)"
+cte("btf", """
+select run_id, symbol_id, i, o, c, long, qty, cash0, cash0 as cash, 0::bigint as pos, 0::bigint as basis, case when long then qty else 0 end::bigint as gap, long is not null as live, 0::bigint as tq, 0::bigint as fee, 0::bigint as gain, 0::bigint as refused
+from sig where i = 0 and nb > 1
+union all
+select run_id, symbol_id, i, o, c, long, qty, cash0, cash, pos, basis, case when long then qty else 0 end - pos, long is not null, tq, fee, gain, refused from (
+  select s.run_id, s.symbol_id, s.i, s.o, s.c, s.long, s.qty, s.cash0, g.refused + case when g.want > 0 and not g.ok then 1 else 0 end as refused,
+         case when g.ok then g.cash - s.o * g.want - g.f else g.cash end::bigint as cash, case when g.ok then g.pos + g.want else g.pos end::bigint as pos,
+         case when not g.ok then g.basis when g.want > 0 then (g.basis * g.pos + s.o * g.want) // (g.pos + g.want) when g.pos + g.want = 0 then 0 else g.basis end::bigint as basis,
+         case when g.ok then g.want else 0 end::bigint as tq, case when g.ok then g.f else 0 end::bigint as fee, case when g.ok and g.want < 0 then (s.o - g.basis) * -g.want - g.f else 0 end::bigint as gain
+  from (select b.*, s2.i as ni, case when b.live then b.gap else 0 end as want, s2.o * abs(case when b.live then b.gap else 0 end) * 10 // 10000 as f,
+               case when not b.live or b.gap = 0 then false when b.gap > 0 then s2.o * b.gap + s2.o * b.gap * 10 // 10000 <= b.cash else true end as ok
+        from btf b join sig s2 on s2.run_id = b.run_id and s2.symbol_id = b.symbol_id and s2.i = b.i + 1) g
+  join sig s on s.run_id = g.run_id and s.symbol_id = g.symbol_id and s.i = g.ni)
+""", "sig")
+ORACLES["sma_signal"] = q("select run_id, symbol_id, i as bar_index, long from sig where run_id = 1", "sig")
+ORACLES["backtest_trades"] = q("select run_id, symbol_id, i as bar_index, case when tq > 0 then 1 else 2 end as side, abs(tq) as qty, o as price_ticks, fee as fee_ticks, gain as realised_ticks from btf where run_id = 1 and tq <> 0", "btf")
+ORACLES["equity_curve"] = q("select run_id, symbol_id, i as bar_index, cash as cash_ticks, pos as position, (cash + pos * c)::bigint as equity_ticks, refused from btf where run_id = 1", "btf")
+ORACLES["realised_pnl"] = q("select run_id, symbol_id, sum(gain)::bigint as realised_ticks, count(*) as trades from btf where run_id = 1 and tq <> 0 group by all", "btf")
+cte("eq", "select run_id, symbol_id, i, cash + pos * c as e from btf", "btf")
+cte("dd", """
+select run_id, symbol_id, round(coalesce(max(case when peak > 0 then (peak - e) / peak end), 0) * 100, 6) as dd from (select *, max(e) over (partition by run_id, symbol_id order by i) as peak from eq) group by all
+""", "eq")
+cte("ret", "select run_id, symbol_id, i, (e - b) / b as r from (select *, lag(e) over (partition by run_id, symbol_id order by i) as b from eq) where b > 0", "eq")
+cte("rat", """
+select run_id, symbol_id, round(sd * 100, 6) as vol, round(case when sd > 0 then m / sd else 0 end, 6) as sharpe from (select run_id, symbol_id, avg(r) as m, case when count(*) > 1 then stddev_pop(r) else 0 end as sd from ret group by all)
+""", "ret")
+cte("bh", """
+select run_id, symbol_id, case when entry > 0 and k > 0 then round((cash0 - (entry * k + entry * k * 10 // 10000) + k * lastc - cash0) / cash0 * 100, 6) else 0 end as bh from (
+  select run_id, symbol_id, cash0, entry, lastc, list_max(list_filter(generate_series(0, cash0 // entry), lambda x: entry * x + entry * x * 10 // 10000 <= cash0)) as k from (
+    select run_id, symbol_id, any_value(cash0) as cash0, max(o) filter (i = 1) as entry, arg_max(c, i) as lastc from sig group by run_id, symbol_id having count(*) > 1))
+""", "sig")
+ORACLES["max_drawdown"] = q("select run_id, symbol_id, dd as max_drawdown_pct from dd where run_id = 1", "dd")
+ORACLES["bar_returns"] = q("select run_id, symbol_id, vol as volatility_per_bar_pct, sharpe as sharpe_per_bar from rat where run_id = 1", "rat")
+ORACLES["buy_and_hold"] = q("select run_id, symbol_id, bh as buy_and_hold_return_pct from bh where run_id = 1", "bh")
+_METRICS = """
+select run_id, symbol_id, cash0 as initial_cash_ticks, fe as final_equity_ticks, (fe - cash0)::bigint as pnl_ticks, round((fe - cash0) / cash0 * 100, 6) as return_pct, n as trade_count, wins as win_count,
+       case when closing > 0 then round(wins / closing * 100, 6) else 0 end as win_rate_pct, coalesce(dd, 0) as max_drawdown_pct, coalesce(vol, 0) as volatility_per_bar_pct, coalesce(sharpe, 0) as sharpe_per_bar, fees as fees_paid_ticks,
+       bh as buy_and_hold_return_pct, round(round((fe - cash0) / cash0 * 100, 6) - bh, 6) as excess_return_pct, refused, pend as unfilled_at_end, ft as first_trade_bar
+from (select run_id, symbol_id, any_value(cash0) as cash0, arg_max(cash + pos * c, i)::bigint as fe, count(*) filter (tq <> 0) as n, count(*) filter (gain > 0) as wins, count(*) filter (gain <> 0) as closing, sum(fee)::bigint as fees,
+             max(refused)::bigint as refused, arg_max(case when live and gap <> 0 then 1 else 0 end, i)::bigint as pend, min(i) filter (tq <> 0) as ft from btf group by all)
+join dd using (run_id, symbol_id) left join rat using (run_id, symbol_id) left join bh using (run_id, symbol_id)
+"""
+ORACLES["backtest_metrics"] = q(_METRICS + " where run_id = 1", "btf", "dd", "rat", "bh")
+ORACLES["backtest_sweep"] = q(_METRICS, "btf", "dd", "rat", "bh")
+
+# --- quality --------------------------------------------------------------
+cte("sp0", "select *, row_number() over (partition by symbol_id, step_ns, side order by level) as rk from snap where level < 10 and price > 5", "snap")
+cte("sp", """
+select symbol_id, step_ns, bid, ask, bid is null or ask is null as one_sided, (ask - bid) / ((bid + ask) / 2) * 10000 as spread_bps, case when bid is not null and ask is not null then least(bq, aq) end::bigint as thin_qty from (
+  select symbol_id, step_ns, max(price) filter (side = 1 and rk = 1) as bid, max(price) filter (side = 2 and rk = 1) as ask, sum(qty) filter (side = 1 and rk <= 3) as bq, sum(qty) filter (side = 2 and rk <= 3) as aq from sp0 group by all)
+""", "sp0")
+ORACLES["spread_bps"] = q("select symbol_id, step_ns, one_sided, spread_bps from sp", "sp")
+ORACLES["thin_side_depth"] = q("select symbol_id, step_ns, thin_qty from sp where not one_sided", "sp")
+cte("smp", """
+select seq_ord as client_order_id, ns as intended, ns + k * 1000 + price * 1000 as acked, case event_type when 'view' then 202 when 'click' then 202 when 'purchase' then 200 when 'error' then 429 else 500 end as status, k from base
+""", "base")
+
+
+def _rank(col: str, qv: float) -> str:
+    return f"list_sort(list({col}))[least(floor({qv}::double * count({col}))::bigint, count({col}) - 1) + 1]"
+
+
+ORACLES["nearest_rank"] = q(f"""
+select status, count(*) as n, min(x) as least, {_rank('x', .5)} as p50, {_rank('x', .95)} as p95, {_rank('x', .99)} as p99, {_rank('x', .999)} as p999, max(x) as greatest from (select status, acked - intended as x from smp) group by status
+""", "smp")
+cte("steps10", "select n as step, 1704067200000000000 + n * 259200000000000 as began, 1704067200000000000 + (n + 1) * 259200000000000 - 1 as ended from (select unnest(generate_series(0, 9)) as n)")
+cte("mst", "select (user_id * 100 + symbol_id) as bk, side, price, seq_ord, ns, sum(delta)::bigint as delta from ost where user_id < 10 and delta <> 0 group by all having sum(delta) <> 0", "ost")
+cte("mch", "select *, sum(delta) over (partition by bk, side, price order by seq_ord)::bigint as qty from mst", "mst")
+cte("miv", "select *, coalesce(lead(ns) over (partition by bk, side, price order by ns), 9000000000000000000) as to_ns from (select bk, side, price, ns, arg_max(qty, seq_ord) as qty from mch group by all)", "mch")
+cte("mq", """
+select bk, step_ns, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask, arg_max(qty, price) filter (side = 1) as bq, arg_min(qty, price) filter (side = 2) as aq
+from miv join step on miv.ns < step_ns + 3600000000000 and to_ns >= step_ns + 3600000000000 where qty > 0 group by all
+""", "miv", "step")
+cte("ob", """
+select bk // 100 as user_id, bk % 100 as symbol_id, step_ns, bid is not null and ask is not null as two_sided, bid, ask, bq, aq
+from (select distinct user_id * 100 + symbol_id as bk from acc where user_id < 10) p cross join step left join mq using (bk, step_ns)
+""", "acc", "step", "mq")
+cte("br", """
+select user_id, symbol_id, step_ns, 'not_two_sided' as kind from ob where not two_sided union all select user_id, symbol_id, step_ns, 'spread_too_wide' from ob where two_sided and (ask + bid) // 2 > 0 and cast(floor((ask - bid) * 10000 / ((ask + bid) // 2)) as bigint) > 2000
+union all select user_id, symbol_id, step_ns, 'size_too_small' from ob where two_sided and bq < 20 union all select user_id, symbol_id, step_ns, 'size_too_small' from ob where two_sided and aq < 20
+""", "ob")
+ORACLES["obligation_samples"] = q("select * from br", "br")
+ORACLES["obligation_summary"] = q("""
+select user_id, symbol_id, samples, round(up, 4) as two_sided_uptime, up >= 0.95 as meets, coalesce(a, 0) as not_two_sided, coalesce(b, 0) as spread_too_wide, coalesce(c, 0) as size_too_small, coalesce(a + b + c, 0) as total
+from (select user_id, symbol_id, count(*) as samples, avg(two_sided::int) as up from ob group by all) left join (
+  select user_id, symbol_id, count(*) filter (kind = 'not_two_sided') as a, count(*) filter (kind = 'spread_too_wide') as b, count(*) filter (kind = 'size_too_small') as c from br group by all) using (user_id, symbol_id)
+""", "ob", "br")
+ORACLES["quality_by_step"] = q(f"""
+select step, n, least, p50, p95, greatest, coalesce(a, 0) as not_two_sided, coalesce(b, 0) as spread_too_wide, coalesce(c, 0) as size_too_small from steps10
+left join (select step, count(*) as n, min(spread_bps) as least, {_rank('spread_bps', .5)} as p50, {_rank('spread_bps', .95)} as p95, max(spread_bps) as greatest
+  from (select * from sp where spread_bps is not null) join steps10 on step_ns between began and ended group by step) using (step)
+left join (select step, count(*) filter (kind = 'not_two_sided') as a, count(*) filter (kind = 'spread_too_wide') as b, count(*) filter (kind = 'size_too_small') as c from br join steps10 on step_ns between began and ended group by step) using (step)
+""", "sp", "steps10", "br")
+ORACLES["maker_activity"] = q("""
+select user_id, symbol_id, coalesce(p, 0) as placed, coalesce(c, 0) as cancelled, coalesce(position, 0) as position from (select user_id, symbol_id, count(*) as p from acc where user_id < 10 group by all)
+full join (select user_id, symbol_id, count(*) as c from can where user_id < 10 group by all) using (user_id, symbol_id) full join (select * from pos where user_id < 10) using (user_id, symbol_id)
+""", "acc", "can", "pos")
+ORACLES["quote_panel"] = q("""
+select user_id, symbol_id, fair, inventory, bid, greatest(bid + 1, mid + half) as ask, bid <> fair - half as requote from (
+  select *, greatest(1, mid - half) as bid from (select *, fair - sign(inventory)::bigint * (fair * 25 * abs(inventory) // 1000000) as mid, greatest(1, fair * 25 // 10000) as half from (select user_id, symbol_id, px as fair, position as inventory from pos join lt using (symbol_id))))
+""", "pos", "lt")
+ORACLES["order_trace"] = q("""
+select a.user_id, a.order_id as client_order_id, 1 as accept_hop_ms, coalesce(f, 0) as fills, ff - a.seq_ms as fill_hop_ms
+from acc a left join (select order_id, count(*) filter (kind <> 'accept' and kind <> 'cancel') as f, min(seq_ms) filter (kind <> 'accept' and kind <> 'cancel') as ff from oev group by 1) using (order_id)
+""", "acc", "oev")
+ORACLES["ambiguous_client_ids"] = q("select k as client_order_id, count(distinct user_id) as users, count(*) as orders from base where event_type = 'view' group by 1 having count(distinct user_id) > 1", "base")
+ORACLES["load_result"] = q(f"""
+select step, attempted, accepted, limited, errors, other, received, timed, fastest, p50, p99, p999, slowest, round(accepted / ((ended - began - 3600000000000) / 1e9), 6) as achieved_per_s from (
+  select step, began, ended, count(*) as attempted, count(*) filter (status = 202) as accepted, count(*) filter (status = 429) as limited, count(*) filter (status >= 500) as errors, count(*) filter (status not in (202, 429) and status < 500) as other,
+         count(*) filter (k % 4 <> 0) as received, nullif(count(x), 0) as timed, min(x) as fastest, {_rank('x', .5)} as p50, {_rank('x', .99)} as p99, {_rank('x', .999)} as p999, max(x) as slowest
+  from (select *, case when status = 202 then acked - intended end as x from smp) join steps10 on intended between began + 3600000000000 and ended group by all)
+""", "smp", "steps10")
+cte("fr", "select symbol_id, max(seq_ord) as fseq, ns // 3600000000000 as h from chg group by symbol_id, ns // 3600000000000", "chg")
+cte("cd", "select a.symbol_id, a.seq_ord, f.fseq as frame_seq, h * 3600000000000 + 1800000000000 - a.ns as delay_ns from acc a asof left join fr f on f.symbol_id = a.symbol_id and a.seq_ord <= f.fseq", "acc", "fr")
+ORACLES["conflation_delay"] = q("select * from cd", "cd")
+ORACLES["update_delay"] = q(f"""
+select user_id % 4 as clients, count(*) filter (delay_ns < 0) as negative, count(*) filter (delay_ns is null) as unmatched, nullif(count(delay_ns), 0) as n, min(delay_ns) as least, {_rank('delay_ns', .5)} as p50, {_rank('delay_ns', .99)} as p99, max(delay_ns) as greatest
+from cd join acc using (symbol_id, seq_ord) group by 1
+""", "cd", "acc")
