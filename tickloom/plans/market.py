@@ -12,6 +12,9 @@ from tickloom.operators import ledger as L
 from tickloom.operators import risk as R
 from tickloom.operators import backtest as G
 from tickloom.operators import quality as Q
+from tickloom.sources.sinks import archive_scan as read_archive
+from tickloom.sources.sinks import archive_write, shared_folder
+from tickloom.streaming import queries as S
 from tickloom.sources import market as M
 
 QUERIES: dict = {}
@@ -437,14 +440,18 @@ def recovery_check(spark, d):
     return R.recovery_check(expected, M.accepts(b), M.fills(b))
 
 
-@query
-def sequence_verdicts(spark, d):
-    b, private = M.base(spark, d), F.col("k") % 2 == 0
-    frames = b.select(
+def frames_of(b: DataFrame) -> DataFrame:
+    """Frames of private channels, numbered densely with gaps, and of tapes, with steps back."""
+    private = F.col("k") % 2 == 0
+    return b.select(
         F.when(private, F.concat(F.lit("private:"), F.col("user_id"))).otherwise(F.concat(F.lit("tape:"), F.col("symbol_id"))).alias("channel"), private.alias("private"), F.col("seq_ord").alias("arrival"),
         F.when(private, 0).otherwise(F.col("seq_ms")).alias("seq_a"), F.when(private, F.call_function("div", F.col("seq_ord"), F.lit(700))).otherwise(F.col("seq_ord") - (F.col("k") % 5) * 30).alias("seq_b"),
     )
-    return R.sequence_verdicts(frames).select("channel", "arrival", "verdict")
+
+
+@query
+def sequence_verdicts(spark, d):
+    return R.sequence_verdicts(frames_of(M.base(spark, d))).select("channel", "arrival", "verdict")
 
 
 # Fixed values: (run_id, minutes of a bar, fast and slow windows, quantity).
@@ -618,6 +625,58 @@ def update_delay(spark, d):
     return Q.delay_summary(delays(spark, d).join(users, ["symbol_id", "seq_ord"]), ["clients"])
 
 
+@query
+def stream_tape(spark, d):
+    return S.run_to_end(S.stream_tape(S.stream_log(spark, f"{d}/events.parque[t]")), shared_folder(spark, "stream"))
+
+
+@query
+def stream_bars(spark, d):
+    return S.run_to_end(S.stream_bars(S.stream_log(spark, f"{d}/events.parque[t]"), HOUR), shared_folder(spark, "stream"))
+
+
+def stateful(spark, d, build) -> DataFrame:
+    return S.with_rocks(spark, lambda: S.run_to_end(build(S.stream_log(spark, f"{d}/events.parque[t]")), shared_folder(spark, "stream")))
+
+
+@query
+def stream_bars_on_next_trade(spark, d):
+    return stateful(spark, d, lambda log: S.stream_bars_on_next_trade(log, HOUR))
+
+
+@query
+def stream_book(spark, d):
+    return stateful(spark, d, S.stream_book)
+
+
+@query
+def stream_private(spark, d):
+    return stateful(spark, d, S.stream_private)
+
+
+@query
+def stream_gaps(spark, d):
+    return stateful(spark, d, lambda log: S.stream_gaps(frames_of(log)))
+
+
+@query
+def stream_ledger(spark, d):
+    folder = shared_folder(spark, "stream")
+    q = S.stream_ledger(S.stream_log(spark, f"{d}/events.parque[t]"), folder)
+    q.awaitTermination()
+    last = q.lastProgress["batchId"] if q.lastProgress else 0
+    return spark.read.parquet(f"{folder}/balances/v={last}")
+
+
+@query
+def archive_scan(spark, d):
+    """Trades written by symbol and day, read back for two symbols and ten days."""
+    folder = shared_folder(spark, "archive")
+    archive_write(prints(spark, d), M.symbol_dim(spark), folder, "timestamp_ns")
+    rows = read_archive(spark, folder, ["QAB", "QAE"], "2024-01-10", "2024-01-19")
+    return rows.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), "seq_ord", "price_ticks", "qty")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -485,3 +485,16 @@ ORACLES["update_delay"] = q(f"""
 select user_id % 4 as clients, count(*) filter (delay_ns < 0) as negative, count(*) filter (delay_ns is null) as unmatched, nullif(count(delay_ns), 0) as n, min(delay_ns) as least, {_rank('delay_ns', .5)} as p50, {_rank('delay_ns', .99)} as p99, max(delay_ns) as greatest
 from cd join acc using (symbol_id, seq_ord) group by 1
 """, "cd", "acc")
+
+# --- streams and archive ---------------------------------------------------
+ORACLES["stream_tape"] = ORACLES["tape"]
+_B = "select symbol_id, open_ns, open_ticks, high_ticks, low_ticks, close_ticks, volume, trades from bar where bucket_seconds = 3600 and "
+ORACLES["stream_bars"] = q(_B + "open_ns + 3600000000000 <= (select max(ns) // 1000000 * 1000000 from fill)", "bar", "fill")
+ORACLES["stream_bars_on_next_trade"] = q("select * exclude (bucket_seconds, closed) from (select *, " + _LATER + " as closed from bar where bucket_seconds = 3600) where closed", "bar")
+ORACLES["stream_book"] = ORACLES["level_changes"]
+ORACLES["stream_private"] = q("select user_id, row_number() over (partition by user_id order by seq_ord) as user_seq, seq_ord, event_type from base", "base")
+ORACLES["stream_ledger"] = ORACLES["cash_balances"]
+ORACLES["stream_gaps"] = ORACLES["sequence_verdicts"]
+ORACLES["archive_scan"] = q("""
+select name as symbol, strftime(make_timestamp(ns // 1000), '%Y-%m-%d') as date, seq_ord, price as price_ticks, qty from fill join sym using (symbol_id) where symbol_id in (2, 5) and ns >= 1704844800000000000 and ns < 1705708800000000000
+""", "fill", "sym")

@@ -25,8 +25,13 @@ def symbol_dim(spark: SparkSession) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def view(events: DataFrame) -> DataFrame:
+    """The log's base view of an events table or stream."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return events.select(
         F.call_function("div", us, F.lit(1000)).alias("seq_ms"),
         F.col("event_id").alias("seq_ord"),
         (us * 1000).alias("timestamp_ns"),
@@ -65,10 +70,14 @@ def cancels(b: DataFrame) -> DataFrame:
     )
 
 
-def account_records(b: DataFrame) -> DataFrame:
-    """AccountCreated (a user's first signup) and CashCredited (later ones)."""
+def account_records(b: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """AccountCreated (a user's first signup) and CashCredited (later ones); users in `known` have signed up before."""
     first = F.row_number().over(W.partitionBy("user_id").orderBy(*SEQ)) == 1
-    return b.where("event_type = 'signup'").select(
+    b = b.where("event_type = 'signup'")
+    if known is not None:
+        b = b.join(known.select("user_id", F.lit(True).alias("_known")), "user_id", "left")
+        first = first & F.col("_known").isNull()
+    return b.select(
         *SEQ, "timestamp_ns", "user_id", first.alias("created"), F.when(first, F.lit(INITIAL_CASH)).otherwise(F.col("price_ticks")).cast("long").alias("amount_ticks")
     )
 
