@@ -17,7 +17,7 @@ ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-CONTEXT = re.compile(rb"password|passwd|passphrase|secret|token|api[_-]?key|credential|private[_ -]?key|access[_ -]?key|bearer|auth")
+CONTEXT = re.compile(rb"password|passwd|passphrase|secret|token|api[ _-]?key|credential|private[_ -]?key|access[_ -]?key|bearer|auth")
 CONTEXT_WORDS = (b"passw", b"passphrase", b"secret", b"token", b"api", b"credential", b"private", b"access", b"bearer", b"auth")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
 # What source code and identifiers commonly hold; it primes the compressor.
