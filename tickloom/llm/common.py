@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 #: A word of the contracts: code points that are not ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Rows of an Arrow batch, and rows that are taken apart at once in Python.
+BATCH = 1000
+SLICE = 250
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -42,6 +45,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with batches of at most BATCH rows.
+
+    Texts may be long, and a batch is held several times over by the JVM and
+    by Python; the session's setting is lowered where it is higher.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, start, schema: str) -> DataFrame:
     """Run Python over rows in Arrow batches.
 
@@ -58,13 +74,14 @@ def map_rows(df: DataFrame, start, schema: str) -> DataFrame:
     def run(batches):
         row = start()
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            got = [x for r in zip(*cols, strict=True) for x in row(*r)]
-            for i in range(0, len(got), 20_000):
-                part = list(zip(*got[i : i + 20_000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(part, out, strict=True)], schema=out)
-
-    return df.mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, SLICE):  # few texts at a time are Python objects
+                cols = [c.to_pylist() for c in batch.slice(at, SLICE).columns]
+                got = [x for r in zip(*cols, strict=True) for x in row(*r)]
+                for i in range(0, len(got), 20_000):
+                    part = list(zip(*got[i : i + 20_000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(part, out, strict=True)], schema=out)
+
+    return map_batches(df, run, schema)
 
 
 def text_bytes(column: str = "text"):

@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, text_bytes
+from .common import checkpointed, map_batches, map_rows, text_bytes
 
 #: Any byte to the byte that words are made of, or to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -48,12 +48,12 @@ def term_counts(docs: DataFrame, terms: set[bytes]) -> DataFrame:
 
         n: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                n.update(terms.intersection(w := words_of(t)) and [x for x in w if x in terms])
+            for t in b.column(0):
+                n.update(x for x in words_of(t.as_py()) if x in terms)
         found = sorted(n.items())
         yield pa.RecordBatch.from_pydict({"term": pa.array([k for k, _ in found], pa.binary()), "n": pa.array([v for _, v in found], pa.int64())})
 
-    return docs.select("t").mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return map_batches(docs.select("t"), run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def postings(docs: DataFrame, terms: set[bytes]) -> DataFrame:

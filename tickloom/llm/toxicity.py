@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_bytes
+from .common import map_batches, map_rows, text_bytes
 
 # Look-alike letters and digits that stand for letters.
 HOMOGLYPHS = {
@@ -178,7 +178,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", thresh
 
     def run(batches):
         for b in batches:
-            col = b.column(at).cast(pa.large_binary())
-            yield b.filter(pa.array([not t or lexicon.score(t) < threshold for t in col.to_pylist()], type=pa.bool_()))
+            col = b.column(at).cast(pa.binary())
+            yield b.filter(pa.array([lexicon.score(t.as_py() or b"") < threshold for t in col], type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
