@@ -13,7 +13,7 @@ from .common import checkpointed, map_rows, text_bytes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
+HASHES = 2 * BANDS * ROWS  # the bands take the first half, estimates take all
 BITS = 4
 PER_LONG = 64 // BITS
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -56,15 +56,15 @@ def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
 def minima(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each of the hash functions over a set, in pieces that fit the cache."""
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 1024):
-        part = shingles[None, i : i + 1024] * MULTIPLY[:, None]
+    for i in range(0, len(shingles), 512):
+        part = shingles[None, i : i + 512] * MULTIPLY[:, None]
         part += ADD[:, None]
         np.minimum(out, part.min(axis=1), out=out)
     return out
 
 
 def band_keys(mins: np.ndarray) -> np.ndarray:
-    return _scramble((mins.reshape(BANDS, ROWS) * MIX[:ROWS]).sum(axis=1, dtype=np.uint64) ^ BAND_SALT).view(np.int64)
+    return _scramble((mins[: BANDS * ROWS].reshape(BANDS, ROWS) * MIX[:ROWS]).sum(axis=1, dtype=np.uint64) ^ BAND_SALT).view(np.int64)
 
 
 def packed_bits(mins: np.ndarray) -> np.ndarray:
@@ -127,8 +127,17 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+def linked(both, x, y, percent: int):
+    """100 * intersection >= percent * union, from the size of the intersection and of both sets."""
+    return 100 * both >= percent * (x + y - both)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, edits: bool = False) -> DataFrame:
+    """The (a, b) whose full shingle sets are linked.
+
+    With `edits` every pair comes, with `is_link`, the sizes of both sets and
+    the shingles that b adds to and removes from those of a.
+    """
 
     def start():
         hashes = WordHashes()
@@ -139,29 +148,39 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 last[:] = [a, shingle_set(ta, hashes)]
             x, y = last[1], shingle_set(tb, hashes)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both) and both:
+            link = bool(both) and linked(both, len(x), len(y), percent)
+            if edits:
+                added, removed = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
+                yield a, b, link, len(x), len(y), added.view(np.int64).tolist(), removed.view(np.int64).tolist()
+            elif link:
                 yield a, b
 
         return row
 
     kind = pairs.schema["a"].dataType.simpleString()
     t = lambda side: texts.select(F.col("doc_id").alias(side), F.col("t").alias(f"t{side}"))
-    return map_rows(pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb"), start, f"a {kind}, b {kind}")
+    more = ", is_link boolean, n_a int, n_b int, added array<long>, removed array<long>" if edits else ""
+    return map_rows(pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb"), start, f"a {kind}, b {kind}{more}")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.125, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of `docs`.
 
     Rows with equal shingle sets are one class; classes are compared through
     their smallest id. Candidates share one of 32 bands of 4 minima: a pair
     at the threshold is missed with a chance of 5 in a million. Estimates
-    from packed bits drop candidates more than `slack`, five standard
-    deviations, below the threshold; what is left is confirmed on full sets.
+    from packed bits drop candidates more than `slack`, four and a half
+    standard deviations, below the threshold; what is left is confirmed on
+    full sets.
 
     A band's bucket is not paired with itself. First each member is compared
-    with the bucket's smallest; then, in the buckets that still hold several
-    components, members of different components. Members that are connected
-    already need no comparison, so a large group of near copies stays linear.
+    with the bucket's hub, the member that meets most others in all its
+    bands, which is the text that near copies were made from if it is there.
+    Then members of different components are compared where they share a
+    hub or, for those far from it, a bucket. A member near its hub is known
+    by its edits of the hub's set, from which a pair's intersection follows
+    exactly inside the join. Members that are connected already need no
+    comparison.
 
     Null and empty texts have no shingles and are linked with nothing. Rows
     that share an id count as one node.
@@ -175,33 +194,53 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.2, id_c
         .select(F.col("doc_id").alias("rep"), "bands", "bits").dropDuplicates(["rep"])
     )
     members = reps.select("rep", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = checkpointed(members.join(shared, "band"))
+    meets = members.groupBy("rep").agg(F.sum("n").alias("meets"))
+    hubs = members.join(meets, "rep").groupBy("band").agg(F.max(F.struct("meets", "rep")).alias("hub")).select("band", F.col("hub.rep").alias("leader"))
+    members = checkpointed(members.join(hubs, "band").select("band", "rep", "leader"))
     least = percent / 100 - slack
 
-    def close(pairs: DataFrame) -> DataFrame:
+    def with_bits(pairs: DataFrame) -> DataFrame:
         bits = lambda side: reps.select(F.col("rep").alias(side), F.col("bits").alias(f"bits_{side}"))
         both = pairs.join(bits("a"), "a").join(bits("b"), "b")
         return both.where(estimated_similarity(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(close(pairs))
+    def confirmed(pairs: DataFrame, edits: bool = False) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
         texts = d.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").dropDuplicates(["doc_id"])
-        return checkpointed(confirm(pairs, texts, percent))
-
-    tried = members.where(F.col("rep") != F.col("leader")).select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = confirmed(tried)
-    first = components(links)
-
-    placed = members.join(first, members["rep"] == first["node"], "left").select("band", "leader", "rep", F.coalesce("component", "rep").alias("c"))
-    open_bands = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    mixed = checkpointed(placed.join(open_bands, "band", "left_semi"))
-    left = mixed.where(F.col("rep") != F.col("leader")).select("band", F.col("rep").alias("a"), F.col("c").alias("ca"))
-    right = mixed.where(F.col("rep") != F.col("leader")).select("band", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    more = confirmed(across)
-    found = components(links.union(more))
+        return checkpointed(confirm(pairs, texts, percent, edits))
+
+    met = members.where(F.col("rep") != F.col("leader"))
+    tried = checkpointed(with_bits(met.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()))
+    seen = confirmed(tried, edits=True)
+    links = seen.where("is_link").select("a", "b")
+    first = checkpointed(components(links))
+    label = lambda n: first.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
+
+    # Members near their hub, by their edits of the hub's set: the join itself decides exactly and gives links only.
+    placed = seen.join(label("a"), "a", "left").join(label("b"), "b", "left")
+    placed = placed.withColumn("hub_c", F.coalesce("c_a", "a")).withColumn("c", F.coalesce("c_b", "b"))
+    apart = placed.where("c <> hub_c")
+    x = apart.select(F.col("a").alias("h"), F.col("b").alias("x"), F.col("c").alias("cx"), F.col("n_a"), F.col("n_b").alias("nx"), F.col("added").alias("ax"), F.col("removed").alias("rx"))
+    y = placed.join(apart.select(F.col("a").alias("h")).distinct(), F.col("a") == F.col("h"), "left_semi")
+    y = y.select(F.col("a").alias("h"), F.col("b").alias("y"), F.col("c").alias("cy"), F.col("n_b").alias("ny"), F.col("added").alias("ay"), F.col("removed").alias("ry"))
+    both = F.col("n_a") - F.size(F.array_union("rx", "ry")) + F.size(F.array_intersect("ax", "ay"))
+    roomy = linked(F.least("nx", "ny"), F.col("nx"), F.col("ny"), percent)
+    around = checkpointed(x.join(y, (x["h"] == y["h"]) & (F.col("cx") != F.col("cy")) & roomy & linked(both, F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+
+    # Pairs of a band with a member far from its hub: estimates inside the join, full sets after it.
+    labelled = members.join(label("rep"), "rep", "left").select("band", "leader", "rep", F.coalesce("c_rep", "rep").alias("c"))
+    open_bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band")
+    near_hub = tried.select(F.col("a").alias("leader"), F.col("b").alias("rep"), F.lit(True).alias("near"))
+    rest = labelled.where(F.col("rep") != F.col("leader")).join(open_bands, "band", "left_semi").join(near_hub, ["leader", "rep"], "left")
+    rest = checkpointed(rest.join(reps.select("rep", "bits"), "rep").select("band", "rep", "c", F.coalesce("near", F.lit(False)).alias("near"), "bits"))
+    side = lambda n: rest.select("band", F.col("rep").alias(n), F.col("c").alias(f"c{n}"), F.col("near").alias(f"near_{n}"), F.col("bits").alias(f"bits_{n}"))
+    likely = estimated_similarity(F.col("bits_a"), F.col("bits_b")) >= least
+    p, o = side("a").where("not near_a"), side("b")
+    across = p.join(o, (p["band"] == o["band"]) & (F.col("ca") != F.col("cb")) & (F.col("near_b") | (F.col("a") < F.col("b"))) & likely).select("a", "b").distinct()
+    more = confirmed(checkpointed(across))
+    found = components(links.union(around).union(more))
 
     named = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("c"))
     rows = sigs.join(named, F.col("set_key") == F.col("k"), "left")
