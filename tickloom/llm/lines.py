@@ -1,4 +1,4 @@
-"""Line dedup: exact copies by 128-bit keys, near copies by a segment-partition edit join.
+"""Line dedup: exact copies by 128 bits of each line, near copies by a segment-partition edit join.
 
 Of two lines within `tau` byte edits of each other one has a segment, of
 tau + 1, that stands unchanged in the other. Each line stores its segments
@@ -15,13 +15,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, text_bytes
+from .common import checkpointed, map_batches, map_rows, text_bytes
 
 _rng = np.random.default_rng(4)
 BASES = [np.uint64(int(x) * 8 + 5) for x in _rng.integers(1 << 58, 1 << 60, 3)]
 SALTS = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GRAM = np.uint64(int(_rng.integers(1 << 58, 1 << 60)) * 2 + 1)
-CHUNK = 1 << 20
+#: Bytes of text that are hashed at once, and lines that a task remembers.
+CHUNK = 1 << 18
+SEEN = 1 << 18
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -33,12 +35,16 @@ def _scramble(h: np.ndarray) -> np.ndarray:
 class Hashes:
     """Hashes of any substring of a buffer from its prefix sums; `base` is odd, so powers can be undone."""
 
+    powers: dict = {}
+
     def __init__(self, data: np.ndarray, base: np.uint64):
         n = len(data)
-        powers = np.cumprod(np.full(n + 1, base, np.uint64)) if n else np.array([base])
-        self.inverse = np.cumprod(np.full(n + 1, np.uint64(pow(int(base), -1, 1 << 64)), np.uint64))
+        if len(self.powers.get(base, ((),))[0]) <= n:  # the same for every buffer
+            size = 1 << max(12, (n + 1).bit_length())
+            self.powers[base] = tuple(np.cumprod(np.full(size, b, np.uint64)) for b in (base, np.uint64(pow(int(base), -1, 1 << 64))))
+        up, self.inverse = self.powers[base]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:n], out=self.sums[1:])
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _scramble((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
@@ -50,11 +56,6 @@ def line_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(data)]))
 
 
-def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each line, as two longs."""
-    return tuple(Hashes(data, b).of(start, end).view(np.int64) for b in BASES[:2])
-
-
 def gram_parities(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64 parities of a line's byte pairs. One edit changes at most 4 of them."""
     pairs = (data[:-1].astype(np.uint64) << np.uint64(8)) | data[1:].astype(np.uint64)
@@ -162,7 +163,8 @@ def _arrays(schema: str):
 def _texts(batch):
     """Groups of rows of bounded size: (row numbers' first, list of texts)."""
     texts, first, size = [], 0, 0
-    for i, t in enumerate(batch.column(1).to_pylist()):
+    for i, cell in enumerate(batch.column(1)):
+        t = cell.as_py()
         texts.append(t)
         size += len(t)
         if size > CHUNK:
@@ -182,9 +184,9 @@ def _lines(texts: list[bytes]):
 
 
 def line_table(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line, h1, h2, sig, size): every line of at least `least` bytes of (doc_id, t)."""
+    """(doc_id, line, h, sig): every line of at least `least` bytes of (doc_id, t). Lines are known by a 64-bit hash and their 64 parities."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, line int, h1 long, h2 long, sig long, size int"
+    schema = f"doc_id {kind}, line int, h long, sig long"
     out = _arrays(schema)
 
     def run(batches):
@@ -195,55 +197,60 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
                 data, row, number, start, end = _lines(texts)
                 big = end - start >= least
                 row, number, start, end = row[big], number[big], start[big], end[big]
-                h1, h2 = fingerprints(data, start, end)
-                cols = [b.column(0).slice(first).take(pa.array(row)), number.astype(np.int32), h1, h2, gram_parities(data, start, end), (end - start).astype(np.int32)]
+                h = Hashes(data, BASES[0]).of(start, end).view(np.int64)
+                cols = [b.column(0).slice(first).take(pa.array(row)), number.astype(np.int32), h, gram_parities(data, start, end)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    return docs.select("doc_id", "t").mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", "t"), run, schema)
 
 
 def segment_table(docs: DataFrame, least: int, tau: int, probing: bool) -> DataFrame:
-    """(key, sig): index entries or probes of the distinct lines of each batch."""
+    """(key, sig): index entries or probes of the distinct lines of each task, dealt out by key and made distinct there."""
     schema = "key long, sig long"
 
     def run(batches):
         import pyarrow as pa
 
+        seen: set[int] = set()
         for b in batches:
             for _, texts in _texts(b):
                 data, _, _, start, end = _lines(texts)
                 big = np.flatnonzero(end - start >= least)
-                sig = gram_parities(data, start[big], end[big])
                 h = Hashes(data, BASES[2])
-                _, once = np.unique(np.stack([sig, h.of(start[big], end[big]).view(np.int64)]), axis=1, return_index=True)
-                big, sig = big[once], sig[once]
+                ids, once = np.unique(h.of(start[big], end[big]), return_index=True)
+                new = np.fromiter((i not in seen for i in ids.tolist()), bool, len(ids))
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(ids[new].tolist())
+                big = big[once[new]]
+                sig = gram_parities(data, start[big], end[big])
                 for lines, keys in segment_keys(h, start[big], end[big], tau)[probing]:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sig[lines], pa.int64())], names=["key", "sig"])
 
-    return docs.select("doc_id", "t").mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", "t"), run, schema).repartition("key").distinct()
 
 
 def duplicate_lines(docs: DataFrame, tau: int, least: int) -> DataFrame:
     """(doc_id, line) of the lines that have an earlier copy or near copy, from (doc_id, t); a line may come twice."""
     lines = checkpointed(line_table(docs, least))
     order = F.struct("doc_id", "line")
-    firsts = checkpointed(lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.min("sig").alias("sig"), F.count("*").alias("n")))
+    firsts = checkpointed(lines.groupBy("h", "sig").agg(F.min(order).alias("first"), F.count("*").alias("n")))
 
-    keys = segment_table(docs, least, tau, False).distinct()
-    probes = segment_table(docs, least, tau, True).distinct().withColumnRenamed("sig", "other")
+    keys = segment_table(docs, least, tau, False)
+    probes = segment_table(docs, least, tau, True).withColumnRenamed("sig", "other")
     close = F.bit_count(F.col("sig").bitwiseXOR(F.col("other"))) <= 4 * tau
     pairs = keys.join(probes, "key").where(close & (F.col("sig") != F.col("other")))
     pairs = pairs.select(F.least("sig", "other").alias("s"), F.greatest("sig", "other").alias("o")).distinct()
     twins = firsts.groupBy("sig").count().where("count > 1").select(F.col("sig").alias("s"), F.col("sig").alias("o"))
     pairs = checkpointed(pairs.union(twins))
 
-    side = lambda sig, name: firsts.select(F.col("sig").alias(sig), F.col("first").alias(name), F.struct("h1", "h2").alias(f"h_{name}"))
-    both = pairs.join(side("s", "x"), "s").join(side("o", "y"), "o").where(F.col("x") < F.col("y")).select("x", "y", "h_x", "h_y")
-    swapped = pairs.where("s <> o").join(side("s", "y"), "s").join(side("o", "x"), "o").where(F.col("x") < F.col("y")).select("x", "y", "h_x", "h_y")
+    side = lambda sig, name: firsts.select(F.col("sig").alias(sig), F.col("first").alias(name))
+    both = pairs.join(side("s", "x"), "s").join(side("o", "y"), "o").where(F.col("x") < F.col("y")).select("x", "y")
+    swapped = pairs.where("s <> o").join(side("s", "y"), "s").join(side("o", "x"), "o").where(F.col("x") < F.col("y")).select("x", "y")
     asked = checkpointed(both.union(swapped).distinct())
     near = _confirmed(docs, asked, tau)
 
-    copies = lines.join(firsts.where("n > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(order != F.col("first")).select("doc_id", "line")
+    copies = lines.join(firsts.where("n > 1").select("h", "sig", "first"), ["h", "sig"]).where(order != F.col("first")).select("doc_id", "line")
     return copies.union(near.select("y.doc_id", "y.line"))
 
 
