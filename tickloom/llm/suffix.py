@@ -23,14 +23,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, text_bytes
+from .common import checkpointed, map_batches, map_rows, text_bytes
 from .lines import BASES, Hashes, _arrays, _scramble, _texts
 
 Q = 32
 BLOCK = 16
 LEFT, RIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 PLACE = np.uint64(24)
-PART = 1 << 20
+PART = 1 << 18
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,7 +122,7 @@ def anchor_table(docs: DataFrame, length: int) -> DataFrame:
                     cols = [ids.take(row), hashes.take(row), r["key"], r["before"], r["first"] + offset[own], r["n"], r["around"]]
                     yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    return docs.select("doc_id", "t", "th").mapInArrow(run, schema)
+    return map_batches(docs.select("doc_id", "t", "th"), run, schema)
 
 
 def _contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
