@@ -42,7 +42,7 @@ def fold(text: bytes) -> str:
         if RARE.search(s):
             s = HIDDEN.sub("", s).lower().translate(FOLD_WIDE)
         text = s.lower().encode()
-    return " " + " ".join([w.decode() for w in text.translate(FOLD_BYTES).split()]) + " "
+    return " ".join(["", *[w.decode() for w in text.translate(FOLD_BYTES).split()], ""])
 
 
 @dataclass
