@@ -310,6 +310,14 @@ def test_folding_and_phrases():
     assert lex.weight_of(b"clowns idiotic") == (0.0, 2) and lex.weight_of(b"") == (0.0, 0)
 
 
+def test_signs_at_the_ends_of_words():
+    lex = toxicity.Lexicon({"idiot": 3.0, "scum": 2.0, "ass": 1.0}, exceptions=("scum of the pond",))
+    for text, weight in (("idiot!", 3), ("You IDIOT!!", 3), ("scum$$$", 2), ("$cum", 2), ("!!idiot!!", 3), ("idiot2", 3), ("1d10t5!", 3), ("idi07", 3), ("a$$", 1), ("a55!", 1), ("stop!idiot", 3), ("idiot!scum", 5)):
+        assert lex.weight_of(text.encode())[0] == weight, text
+    assert lex.weight_of(b"455 a 455! $$ 1234") == (0.0, 1) and lex.weight_of(b"scum of the pond!") == (0.0, 4)
+    assert toxicity.fold(b"455 $5 idiot! scum$$$ 2nd") == " idiot scum nd "
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     rows, labels = [], []

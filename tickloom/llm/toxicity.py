@@ -28,21 +28,47 @@ EXCEPTIONS = ("clown fish", "idiot proof", "idiot light", "scum of the pond", "p
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 RARE = re.compile("[­Ͱ-ԯ​-‏⁠﻿！-～]")
 FOLD_WIDE = str.maketrans(HOMOGLYPHS | {chr(c): chr(c - 0xFEE0).lower() for c in range(0xFF01, 0xFF5F)})
-FOLD_BYTES = bytes(ord(DIGITS.get(chr(b), chr(b).lower() if chr(b).isalpha() or b > 127 else " ")) if b < 128 else b for b in range(256))
-
-
-def fold(text: bytes) -> str:
+SIGNS, STANDS = b"!$@", "".join(DIGITS).encode()
+FOLD_BYTES = bytes(b if b > 127 or chr(b) in DIGITS else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+AS_LETTERS = bytes(ord(DIGITS.get(chr(b), chr(b))) if b < 128 else b for b in range(256))
+#: A word of which some byte stands for a letter or is a number or sign, and runs of signs.
+MIXED = re.compile(b"(?<![^ ])[^ " + STANDS + b"]*[" + STANDS + b"][^ ]*")
+SIGN_RUN = re.compile(b"[" + SIGNS + b"]+")
+
+
+def readings(word: bytes):
+    """What a word with digits or signs may stand for: first as it is read without a lexicon, then with its ends read otherwise, then parted at signs."""
+    if not word.strip(STANDS):
+        yield b""  # no letter
+        return
+    ends = [(word.lstrip(x), y) for x in (SIGNS, b"", STANDS) for y in (STANDS, SIGNS, b"")]
+    for w, y in ends if word[0] in STANDS or word[-1] in STANDS else ends[:1]:
+        yield (w.rstrip(y) if y else w).translate(AS_LETTERS)
+    if SIGN_RUN.search(word.strip(SIGNS)):
+        yield b" ".join(next(readings(w)) if w.translate(None, STANDS) != w else w for w in SIGN_RUN.split(word) if w)
+
+
+def fold(text: bytes, known=frozenset()) -> str:
     """Lower case, look-alikes and digits as letters, one space between words and at both ends.
 
-    Digits and signs stand for letters only inside words that have a letter;
-    elsewhere they part words as other signs do.
+    Digits and signs stand for letters only where a letter follows in the
+    same word; signs before a word, digits and signs behind it and numbers
+    part words as other signs do. Where the word is then none of the `known`
+    ones (bytes) but another reading of it is one, the other reading is taken.
     """
     if not text.isascii():
         s = text.decode()
         if RARE.search(s):
             s = HIDDEN.sub("", s).lower().translate(FOLD_WIDE)
         text = s.lower().encode()
-    return " ".join(["", *[w.decode() for w in text.translate(FOLD_BYTES).split()], ""])
+
+    def letters(m):
+        first = next(readings(m[0]))
+        if not known or first in known:
+            return first
+        return next((r for r in readings(m[0]) if not known.isdisjoint(r.split())), first)
+
+    return " ".join(["", *[w.decode() for w in MIXED.sub(letters, b" ".join(text.translate(FOLD_BYTES).split())).split()], ""])
 
 
 @dataclass
@@ -53,9 +79,10 @@ class Lexicon:
     curve: tuple[float, float, float] = (-4.0, 1.0, 1.0)
     exceptions: tuple[str, ...] = EXCEPTIONS
     automaton: object = field(default=None, repr=False, compare=False)
+    known: frozenset = field(default=frozenset(), repr=False, compare=False)
 
     def __getstate__(self):
-        return {"weights": self.weights, "curve": self.curve, "exceptions": self.exceptions, "automaton": None}
+        return {"weights": self.weights, "curve": self.curve, "exceptions": self.exceptions, "automaton": None, "known": frozenset()}
 
     def weight_of(self, text: bytes) -> tuple[float, int]:
         """Summed weight of the listed words outside exception phrases, and the number of words."""
@@ -66,7 +93,8 @@ class Lexicon:
             for e in self.exceptions:
                 self.automaton.add_word(f" {e} ", (e, None))
             self.automaton.make_automaton()
-        folded = fold(text)
+            self.known = frozenset(w.encode() for x in (*self.weights, *self.exceptions) for w in x.split())
+        folded = fold(text, self.known)
         n = folded.count(" ") - 1
         if not len(self.automaton):
             return 0.0, n
