@@ -200,6 +200,21 @@ def test_line_dedup(spark):
     assert left == {i: texts[i] if same(i) else out[i] for i in out if same(i) or out[i].strip()}
 
 
+def test_copies_of_short_lines(spark):
+    texts = ["Les.\nA line of its own that is long enough to count\n}\né", "Les.\n}\n\nLes\né", "Lex.\nLes.\na", "a\nb", None, "", "Les."]
+    got = {x["doc_id"]: x["kept_text"] for x in lines.dedup_lines(docs_of(spark, texts), short=True).collect()}
+    assert got == {0: texts[0], 1: "}\n\nLes", 2: "Lex.\na", 3: "b", 4: "", 5: "", 6: ""}
+    left = {x["doc_id"]: x["text"] for x in lines.drop_duplicate_lines(docs_of(spark, texts), short=True).collect()}
+    assert left == {0: texts[0], 1: "}\n\nLes", 2: "Lex.\na", 3: "b", 4: None, 5: ""}
+
+
+def test_pipeline_drops_copies_of_short_lines(spark):
+    import corpus_pipeline as p
+
+    got = {x["doc_id"]: x["text"] for x in p.line_dedup(spark, docs_of(spark, ["Les.\none", "Les.\ntwo"]), "").collect()}
+    assert got == {0: "Les.\none", 1: "two"}
+
+
 def test_decontamination(spark):
     texts = some_texts(9, words=80)
     r = random.Random(2)

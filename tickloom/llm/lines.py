@@ -183,8 +183,18 @@ def _lines(texts: list[bytes]):
     return data, row, np.arange(len(start)) - np.repeat(np.cumsum(per_text) - per_text, per_text), start, end
 
 
-def line_table(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line, h, sig): every line of at least `least` bytes of (doc_id, t). Lines are known by a 64-bit hash and their 64 parities."""
+def word_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Letters, digits and bytes of other code points in each line."""
+    lower = data | 32
+    runs = np.concatenate(([0], np.cumsum((data > 127) | (data >= 48) & (data <= 57) | (lower >= 97) & (lower <= 122))))
+    return runs[end] - runs[start]
+
+
+def line_table(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
+    """(doc_id, line, h, sig): every line of at least `least` bytes of (doc_id, t), or if `short` every shorter one that holds a letter or digit.
+
+    Lines are known by a 64-bit hash and their 64 parities.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, line int, h long, sig long"
     out = _arrays(schema)
@@ -195,7 +205,7 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
         for b in batches:
             for first, texts in _texts(b):
                 data, row, number, start, end = _lines(texts)
-                big = end - start >= least
+                big = (end - start < least) & (word_bytes(data, start, end) > 0) if short else end - start >= least
                 row, number, start, end = row[big], number[big], start[big], end[big]
                 h = Hashes(data, BASES[0]).of(start, end).view(np.int64)
                 cols = [b.column(0).slice(first).take(pa.array(row)), number.astype(np.int32), h, gram_parities(data, start, end)]
@@ -230,11 +240,17 @@ def segment_table(docs: DataFrame, least: int, tau: int, probing: bool) -> DataF
     return map_batches(docs.select("doc_id", "t"), run, schema).repartition("key").distinct()
 
 
-def duplicate_lines(docs: DataFrame, tau: int, least: int) -> DataFrame:
+def duplicate_lines(docs: DataFrame, tau: int, least: int, short: bool = False) -> DataFrame:
     """(doc_id, line) of the lines that have an earlier copy or near copy, from (doc_id, t); a line may come twice."""
-    lines = checkpointed(line_table(docs, least))
     order = F.struct("doc_id", "line")
-    firsts = checkpointed(lines.groupBy("h", "sig").agg(F.min(order).alias("first"), F.count("*").alias("n")))
+
+    def copied(lines):
+        firsts = checkpointed(lines.groupBy("h", "sig").agg(F.min(order).alias("first"), F.count("*").alias("n")))
+        return firsts, lines.join(firsts.where("n > 1").select("h", "sig", "first"), ["h", "sig"]).where(order != F.col("first")).select("doc_id", "line")
+
+    firsts, copies = copied(checkpointed(line_table(docs, least)))
+    if short:
+        copies = copies.union(copied(checkpointed(line_table(docs, least, short=True)))[1])
 
     keys = segment_table(docs, least, tau, False)
     probes = segment_table(docs, least, tau, True).withColumnRenamed("sig", "other")
@@ -250,7 +266,6 @@ def duplicate_lines(docs: DataFrame, tau: int, least: int) -> DataFrame:
     asked = checkpointed(both.union(swapped).distinct())
     near = _confirmed(docs, asked, tau)
 
-    copies = lines.join(firsts.where("n > 1").select("h", "sig", "first"), ["h", "sig"]).where(order != F.col("first")).select("doc_id", "line")
     return copies.union(near.select("y.doc_id", "y.line"))
 
 
@@ -282,18 +297,19 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
     return map_rows(both.select("x", "y", "a", "b"), check, f"x {place}, y {place}")
 
 
-def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text) for every row of `docs` with its whole text.
 
     Lines are \\n-split. One of at least `least` bytes is removed if an
     earlier line, by (doc_id, place), has the same bytes or lies within
-    `tau` byte edits of it, itself removed or not. Shorter lines stay. Null
-    and empty texts have one empty line. Rows with a null id keep their
+    `tau` byte edits of it, itself removed or not. Shorter lines stay, but
+    with `short` those that hold a letter or digit go if an earlier line has
+    the same bytes. Null and empty texts have one empty line. Rows with a null id keep their
     lines. Rows that share an id are one document whose lines are numbered
     alike; a line number that falls is removed in each of them.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
-    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least).groupBy(F.col("doc_id").alias("w")).agg(F.collect_set("line").alias("gone"))
+    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least, short).groupBy(F.col("doc_id").alias("w")).agg(F.collect_set("line").alias("gone"))
 
     def start():
         def row(doc_id, t, gone):
@@ -309,10 +325,10 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "d
     return map_rows(rows, start, f"doc_id {kind}, n_lines long, n_removed long, kept_text string")
 
 
-def drop_duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The rows of `docs` with their columns and the text that is left. Rows that lost lines and have no word left go."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
-    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least).groupBy(F.col("doc_id").alias("_lines_of")).agg(F.collect_set("line").alias("_lines_gone"))
+    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least, short).groupBy(F.col("doc_id").alias("_lines_of")).agg(F.collect_set("line").alias("_lines_gone"))
     rows = docs.join(drop, F.col(id_col) == F.col("_lines_of"), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_lines_gone", i)), "\n")
     lost = F.col("_lines_gone").isNotNull()
