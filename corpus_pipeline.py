@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an earlier copy, of any length, or near copy go, and documents of which no word is left; n_chars follows the text."""
-    left = drop_duplicate_lines(docs, short=True)
+    left = drop_duplicate_lines(docs, short=True, words=True)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

@@ -208,6 +208,34 @@ def test_copies_of_short_lines(spark):
     assert left == {0: texts[0], 1: "}\n\nLes", 2: "Lex.\na", 3: "b", 4: None, 5: ""}
 
 
+def test_lines_that_differ_in_words(spark):
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 8))) for _ in range(200)]
+    pool = [[r.choice(vocab) for _ in range(n)] for n in (9, 10, 20, 38, 39, 40, 41, 59, 60, 100, 300, 400)]
+
+    def varied(w):
+        w = list(w)
+        for _ in range(r.choice([0, 1, 1, 2, 3, len(w) // 20, len(w) // 20 + 1])):
+            i = r.randrange(len(w))
+            w[i : i + r.randint(0, 1)] = [r.choice(vocab) * 2] if r.random() < 0.7 else []
+        return " ".join(w)
+
+    texts = ["\n".join(varied(r.choice(pool)) for _ in range(4)) for _ in range(30)]
+    seen, out = [], {}
+    for i, t in enumerate(texts):
+        kept = []
+        for x in t.split("\n"):
+            b, w = x.encode(), x.split()
+            gone = len(b) >= 30 and any(b == s or abs(len(b) - len(s)) <= 2 and lines.edits_within(b, s, 2) or min(len(w), len(v)) >= 10 and edit(w, v) <= max(1, min(len(w), len(v)) // 20) for s, v in seen if abs(len(w) - len(v)) <= 30)
+            seen.append((b, w))
+            kept += [] if gone else [x]
+        out[i] = "\n".join(kept)
+    got = {x["doc_id"]: x["kept_text"] for x in lines.dedup_lines(docs_of(spark, texts), words=True).collect()}
+    assert got == out
+    apart = {x["doc_id"]: x["kept_text"] for x in lines.dedup_lines(docs_of(spark, texts)).collect()}
+    assert sum(map(len, got.values())) < sum(map(len, apart.values()))
+
+
 def test_pipeline_drops_copies_of_short_lines(spark):
     import corpus_pipeline as p
 

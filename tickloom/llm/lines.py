@@ -5,6 +5,12 @@ tau + 1, that stands unchanged in the other. Each line stores its segments
 in an index by length and segment number and probes the indexes of its own
 and smaller lengths with the substrings that can match; candidates are
 verified by a banded bit-parallel edit distance.
+
+Beyond that, long lines may differ in whole words (`word_edits`). Lines up
+to WINNOWED words meet by segments of words in the same way; of longer ones
+with few enough edits RUN words in a row stand unchanged, and of these both
+lines pick the same GRAM_WORDS words (winnowing), so keys grow only in
+proportion to the words.
 """
 
 from __future__ import annotations
@@ -24,6 +30,10 @@ GRAM = np.uint64(int(_rng.integers(1 << 58, 1 << 60)) * 2 + 1)
 #: Bytes of text that are hashed at once, and lines that a task remembers.
 CHUNK = 1 << 18
 SEEN = 1 << 18
+#: Word edits: none in lines under FEW words, one up to WINNOWED, one in PER words from there on.
+FEW, WINNOWED, PER = 10, 40, 20
+#: n words less n / PER edits, in n / PER + 1 runs: one run has at least RUN words if n >= WINNOWED.
+GRAM_WORDS, RUN = 6, 13
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -136,6 +146,8 @@ def edits_within(a: bytes, b: bytes, tau: int) -> bool:
             new &= mask
             before = old, new
             state[e] = new
+        if not new:  # no diagonal is left with tau edits
+            return False
     end = len(b) - len(a) + tau
     return 0 <= end < width and bool(state[tau] >> end & 1)
 
@@ -190,6 +202,86 @@ def word_bytes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return runs[end] - runs[start]
 
 
+def word_edits(n: int) -> int:
+    """Word edits within which two lines are near, by the words of the shorter."""
+    return max(1, n // PER) if n >= FEW else 0
+
+
+def near_lines(a: bytes, b: bytes, tau: int, words: bool) -> bool:
+    """Whether two lines are within tau byte edits or, with `words`, within the word edits of the shorter."""
+    if edits_within(a, b, tau):
+        return True
+    if not words:
+        return False
+    a, b = a.split(), b.split()
+    few = word_edits(min(len(a), len(b)))
+    return few > 0 and edits_within(a, b, few)
+
+
+def word_starts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each run of bytes that are not ASCII white space."""
+    inside = np.concatenate(([False], (data != 32) & ((data < 9) | (data > 13)), [False]))
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    return turns[::2], turns[1::2]
+
+
+def winnowed(h: Hashes, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line numbers, keys): the least hash of GRAM_WORDS words in each RUN words of each line of WINNOWED words or more."""
+    lines = np.flatnonzero(last - first >= WINNOWED)
+    if not len(lines):
+        return lines, np.zeros(0, np.int64)
+    at = np.arange(len(h.sums) - GRAM_WORDS)
+    grams = _scramble(h.of(at, at + GRAM_WORDS) * SALTS[-1])
+    wide = np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM_WORDS + 1)
+    per = last[lines] - first[lines] - RUN + 1
+    line = np.repeat(lines, per)
+    window = np.arange(len(line)) - np.repeat(np.cumsum(per) - per, per) + first[line]
+    least = wide[window].min(axis=1).view(np.int64)
+    new = np.concatenate(([True], (least[1:] != least[:-1]) | (line[1:] != line[:-1])))
+    return line[new], least[new]
+
+
+def word_table(docs: DataFrame, least: int, probing: bool) -> DataFrame:
+    """(key, h, sig, n): index entries or probes by words of the distinct lines of each task, with 64 parities of their words and their number."""
+    schema = "key long, h long, sig long, n int"
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set[int] = set()
+        for b in batches:
+            for _, texts in _texts(b):
+                data, _, _, start, end = _lines(texts)
+                ws, we = word_starts(data)
+                hashes = Hashes(data, BASES[1]).of(ws, we)
+                first, last = np.searchsorted(ws, start), np.searchsorted(ws, end)
+                big = np.flatnonzero((end - start >= least) & (last - first >= FEW))
+                ids, once = np.unique(Hashes(data, BASES[0]).of(start[big], end[big]), return_index=True)
+                new = np.fromiter((i not in seen for i in ids.tolist()), bool, len(ids))
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(ids[new].tolist())
+                first, last, ids = first[big[once[new]]], last[big[once[new]]], ids[new].view(np.int64)
+                bits = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(np.uint64(1) << (_scramble(hashes * GRAM) >> np.uint64(58)))))
+                sig = (bits[last] ^ bits[first]).view(np.int64)
+                h = Hashes(hashes, BASES[2])
+                few = np.flatnonzero(last - first <= WINNOWED)
+                out = [(few[lines], keys) for lines, keys in segment_keys(h, first[few], last[few], 1)[probing]]
+                for lines, keys in (*out, winnowed(h, first, last)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((keys, pa.int64()), (ids[lines], pa.int64()), (sig[lines], pa.int64()), ((last - first)[lines].astype(np.int32), pa.int32()))], names=["key", "h", "sig", "n"])
+
+    return map_batches(docs.select("doc_id", "t"), run, schema).repartition("key").distinct()
+
+
+def word_pairs(docs: DataFrame, least: int) -> DataFrame:
+    """(s, o): hashes of lines that may be within their word edits. One edit changes at most 2 parities."""
+    keys, probes = (word_table(docs, least, p).select("key", *[F.col(c).alias(f"{c}_{p:d}") for c in ("h", "sig", "n")]) for p in (False, True))
+    few = F.greatest(F.lit(1), F.floor(F.least("n_0", "n_1") / PER))
+    close = (F.abs(F.col("n_0") - F.col("n_1")) <= few) & (F.bit_count(F.col("sig_0").bitwiseXOR(F.col("sig_1"))) <= 2 * few)
+    pairs = keys.join(probes, "key").where((F.col("h_0") != F.col("h_1")) & close)
+    return checkpointed(pairs.select(F.least("h_0", "h_1").alias("s"), F.greatest("h_0", "h_1").alias("o")).distinct())
+
+
 def line_table(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
     """(doc_id, line, h, sig): every line of at least `least` bytes of (doc_id, t), or if `short` every shorter one that holds a letter or digit.
 
@@ -240,7 +332,7 @@ def segment_table(docs: DataFrame, least: int, tau: int, probing: bool) -> DataF
     return map_batches(docs.select("doc_id", "t"), run, schema).repartition("key").distinct()
 
 
-def duplicate_lines(docs: DataFrame, tau: int, least: int, short: bool = False) -> DataFrame:
+def duplicate_lines(docs: DataFrame, tau: int, least: int, short: bool = False, words: bool = False) -> DataFrame:
     """(doc_id, line) of the lines that have an earlier copy or near copy, from (doc_id, t); a line may come twice."""
     order = F.struct("doc_id", "line")
 
@@ -263,14 +355,19 @@ def duplicate_lines(docs: DataFrame, tau: int, least: int, short: bool = False)
     side = lambda sig, name: firsts.select(F.col("sig").alias(sig), F.col("first").alias(name))
     both = pairs.join(side("s", "x"), "s").join(side("o", "y"), "o").where(F.col("x") < F.col("y")).select("x", "y")
     swapped = pairs.where("s <> o").join(side("s", "y"), "s").join(side("o", "x"), "o").where(F.col("x") < F.col("y")).select("x", "y")
-    asked = checkpointed(both.union(swapped).distinct())
-    near = _confirmed(docs, asked, tau)
+    asked = both.union(swapped)
+    if words:
+        at = lambda h, name: firsts.select(F.col("h").alias(h), F.col("first").alias(name))
+        met = word_pairs(docs, least).join(at("s", "x"), "s").join(at("o", "y"), "o")
+        asked = asked.union(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+    asked = checkpointed(asked.distinct())
+    near = _confirmed(docs, asked, tau, words)
 
     return copies.union(near.select("y.doc_id", "y.line"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
-    """The pairs (x, y) of line places whose lines are within tau edits."""
+def _confirmed(docs: DataFrame, pairs: DataFrame, tau: int, words: bool) -> DataFrame:
+    """The pairs (x, y) of line places whose lines are near."""
     places = pairs.select("x").union(pairs.select(F.col("y").alias("x"))).distinct()
     per_doc = places.groupBy(F.col("x.doc_id").alias("w")).agg(F.collect_set("x.line").alias("wanted"))
 
@@ -288,7 +385,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
 
     def check():
         def row(x, y, a, b):
-            if edits_within(a, b, tau):
+            if near_lines(a, b, tau, words):
                 yield x, y
 
         return row
@@ -297,19 +394,21 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, tau: int) -> DataFrame:
     return map_rows(both.select("x", "y", "a", "b"), check, f"x {place}, y {place}")
 
 
-def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", short: bool = False, words: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text) for every row of `docs` with its whole text.
 
     Lines are \\n-split. One of at least `least` bytes is removed if an
     earlier line, by (doc_id, place), has the same bytes or lies within
     `tau` byte edits of it, itself removed or not. Shorter lines stay, but
     with `short` those that hold a letter or digit go if an earlier line has
-    the same bytes. Null and empty texts have one empty line. Rows with a null id keep their
+    the same bytes. With `words` a line of at least `least` bytes goes also
+    if an earlier one is within `word_edits` of the shorter of both: one
+    word, from 10 words on, or 5 % of the words from 40 on. Null and empty texts have one empty line. Rows with a null id keep their
     lines. Rows that share an id are one document whose lines are numbered
     alike; a line number that falls is removed in each of them.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
-    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least, short).groupBy(F.col("doc_id").alias("w")).agg(F.collect_set("line").alias("gone"))
+    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least, short, words).groupBy(F.col("doc_id").alias("w")).agg(F.collect_set("line").alias("gone"))
 
     def start():
         def row(doc_id, t, gone):
@@ -325,10 +424,10 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "d
     return map_rows(rows, start, f"doc_id {kind}, n_lines long, n_removed long, kept_text string")
 
 
-def drop_duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def drop_duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", short: bool = False, words: bool = False) -> DataFrame:
     """The rows of `docs` with their columns and the text that is left. Rows that lost lines and have no word left go."""
     d = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
-    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least, short).groupBy(F.col("doc_id").alias("_lines_of")).agg(F.collect_set("line").alias("_lines_gone"))
+    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least, short, words).groupBy(F.col("doc_id").alias("_lines_of")).agg(F.collect_set("line").alias("_lines_gone"))
     rows = docs.join(drop, F.col(id_col) == F.col("_lines_of"), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_lines_gone", i)), "\n")
     lost = F.col("_lines_gone").isNotNull()
