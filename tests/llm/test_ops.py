@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from tickloom.llm import decontam, lines, mixing, near, quality, secrets, suffix, tokens, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -405,12 +406,29 @@ def test_suffix_dedup(spark, length):
     got = {x["doc_id"]: x for x in suffix.remove_repeats(d, length).collect()}
     import hashlib
 
-    want = suffix.brute_force([*texts, b""], length)
+    want = brute.suffix_dedup([*texts, b""], length)
     for i, w in zip([*range(len(texts)), 99], want):
         x = got[i]
         assert (x["n_bytes"], sum(e - s for s, e in x["spans"]), len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) == w
 
 
+def test_suffix_dedup_of_a_very_common_passage(spark):
+    """One passage in every text, cut at different places and with edits: a single bucket holds a row of each text."""
+    r = random.Random(9)
+    common = "".join(r.choice("abcdefghij ") for _ in range(260))
+    texts = []
+    for i in range(120):
+        a, b = r.randint(0, 80), r.randint(180, 260)
+        t = list(common[a:b])
+        if i % 3 == 0:
+            t[r.randrange(len(t))] = "#"
+        texts.append(("".join(r.choice("klmnop") for _ in range(r.randint(0, 30))) + "".join(t) + "".join(r.choice("qrstuv") for _ in range(r.randint(0, 30)))).encode())
+    d = spark.createDataFrame([(i, t.decode(), 1) for i, t in enumerate(texts)], "doc_id long, text string, key int")
+    got = {x["doc_id"]: x for x in suffix.remove_repeats(d, 100).collect()}
+    for i, w in enumerate(brute.suffix_dedup(texts, 100)):
+        assert (len(texts[i]), sum(e - s for s, e in got[i]["spans"]), len(got[i]["spans"])) == w[:3]
+
+
 def test_suffix_rows_with_one_id(spark):
     a, b = "abcdefghij" * 20, "".join(random.Random(1).choice("klmnopqrst") for _ in range(300))
     d = spark.createDataFrame([(1, a[:150] + b), (1, b), (2, None)], "doc_id long, text string")

@@ -3,31 +3,63 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts: code points that are not ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Rows of an Arrow batch, and rows that are taken apart at once in Python.
-BATCH = 1000
+#: Bytes of an Arrow batch, and rows that are taken apart at once in Python.
+BATCH = 4 << 20
 SLICE = 250
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage.
+#: Bytes of text that are taken apart at once in numpy.
+CHUNK = 1 << 18
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
 
-    The folder is the one that spark.checkpoint.dir names. Only where the
-    session names none (tests on one machine) a temporary folder is set.
+    Only where the master is local, so that all run on this machine, a
+    temporary folder may stand in for one that is not named.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        sc.setCheckpointDir(_shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Parquet tables in the shared folder: they cut lineage as a checkpoint does, but are columns, compressed, and can be dropped."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n = spark, f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """Write `df` and read it again."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing needs any more."""
+        jvm = self.spark._jvm
+        for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,19 +77,41 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with batches of at most BATCH rows.
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of about BATCH bytes.
 
     Texts may be long, and a batch is held several times over by the JVM and
-    by Python; the session's setting is lowered where it is higher.
+    by Python. Spark reads the bound when the plan runs, so it stays lowered
+    in the session; it has no influence on results.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if now <= 0 or now > BATCH:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key)
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH:
         df.sparkSession.conf.set(key, str(BATCH))
     return df.mapInArrow(run, schema)
 
 
+def arrow_schema(schema: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def text_groups(column):
+    """The texts of a binary Arrow column, so many at a time that they have about CHUNK bytes: (number of the first, list)."""
+    texts, first, size = [], 0, 0
+    for i, cell in enumerate(column):
+        t = cell.as_py()
+        texts.append(t)
+        size += len(t)
+        if size > CHUNK:
+            yield first, texts
+            texts, first, size = [], i + 1, 0
+    if texts:
+        yield first, texts
+
+
 def map_rows(df: DataFrame, start, schema: str) -> DataFrame:
     """Run Python over rows in Arrow batches.
 
@@ -66,10 +120,8 @@ def map_rows(df: DataFrame, start, schema: str) -> DataFrame:
     iterable of output tuples in the order of `schema`.
     """
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    out = arrow_schema(schema)
 
     def run(batches):
         row = start()

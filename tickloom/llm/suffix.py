@@ -1,33 +1,39 @@
 """Suffix-array dedup: repeated strings of a fixed length by bucket-pointer refinement.
 
-A position's bucket identifier for 2h bytes follows from the identifiers of
-h bytes at the position and h later, so identifiers of q, 2q, ... bytes and
-of the whole length are made from one another. Refinement goes in rounds
-over ever fewer positions:
-
-1. Each string of `length` bytes is filed under the smallest q-gram bucket
-   inside it. Neighbouring strings mostly share it, so one row stands for a
-   run of them. Alone in its bucket: settled, nothing repeats. With the same
-   surroundings elsewhere: settled, all repeat.
-2. What is left is cut in blocks of 16 strings at the same distance from
-   the q-gram, and filed under the bucket identifier of the bytes that all
-   of a block's strings share. The same two rules settle most.
-3. The few blocks left are filed string by string.
+A suffix array is not needed as a whole: of each position only whether its
+string of `length` bytes starts elsewhere too. So positions are sorted into
+buckets that are refined until each is settled:
+
+* First buckets: each string is filed under the smallest q-gram inside it,
+  which neighbouring strings share, so that one row stands for a run of
+  strings by their distances to the q-gram.
+* A bucket with one row is settled: nothing in it repeats. Rows with the
+  same bytes all around are settled too: all their strings repeat. One of
+  them stays as partner for the rows that differ.
+* What is left is refined. Rows are cut in nodes of ever fewer distances,
+  64, 8 and 1, whose strings share ever more bytes, and each node's bucket
+  is its row's bucket sorted further by the bucket identifiers of two later
+  offsets, which cover the bytes that the node shares beyond its row.
+  Identifiers of 2h bytes are made from those of h bytes at the offset and
+  h later, so that each length reuses the one before.
+
+Rounds work on ever fewer rows. Buckets are 64-bit identifiers, whose
+collisions only leave more for the next round; that strings repeat is
+decided by 128 bits of hash of all their bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, map_rows, text_bytes
-from .lines import BASES, Hashes, _arrays, _scramble, _texts
+from .common import Scratch, arrow_schema, map_batches, map_rows, text_bytes, text_groups
 
 Q = 32
-BLOCK = 16
+#: Distances in a node, by round, and bytes of the identifiers that refine its bucket: they cover the distances of the round before.
+ROUNDS = ((64, 256), (8, 64), (1, 8))
 LEFT, RIGHT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 PLACE = np.uint64(24)
 PART = 1 << 18
@@ -45,7 +51,7 @@ class Buckets:
     """Bucket identifiers of every position, by string length; longer ones reuse the shorter."""
 
     def __init__(self, data: np.ndarray):
-        self.ids = {1: _scramble(data.astype(np.uint64) + np.uint64(1))}
+        self.ids = {1: _pair(data.astype(np.uint64), np.ones(1, np.uint64))}
 
     def of(self, length: int) -> np.ndarray:
         if length not in self.ids:
@@ -68,16 +74,23 @@ def smallest_place(keys: np.ndarray, window: int) -> np.ndarray:
     return (m & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
+def wholes(data, start: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Two longs of hash of each data[start:end]."""
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    found = b"".join([digest(view[s:e], x) for s, e, x in zip(start.tolist(), end.tolist(), seed.tolist(), strict=True)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
 def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    """Runs of strings under one anchor: anchor key, distance from the first string to it, first string, count, hash of all their bytes.
+    """Runs of strings under one q-gram: its bucket, distance from the first string to it, first string, count, hash of all their bytes.
 
     `ends` has for each byte where its text ends; strings across texts don't count.
     """
     n = len(data) - length + 1
     if n <= 0:
         return {}
-    keys = Buckets(data).of(Q)
-    anchor = smallest_place(keys, length - Q + 1)
+    keys = Buckets(data).of(min(Q, length))
+    anchor = smallest_place(keys, length - min(Q, length) + 1)
     ok = np.arange(n) + length <= ends[:n]
     new = np.ones(n, bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1]) | (ends[1:n] != ends[: n - 1])
@@ -86,12 +99,12 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str,
     good = ok[first]
     first, count = first[good], count[good]
     at = anchor[first]
-    around = Hashes(data, BASES[0]).of(first, first + count - 1 + length)
-    return {"key": keys[at].view(np.int64), "before": at - first, "first": first, "n": count, "around": around.view(np.int64)}
+    w = wholes(data, first, first + count - 1 + length, at - first)
+    return {"key": keys[at].view(np.int64), "before": at - first, "run": first, "n": count, "w1": w[:, 0], "w2": w[:, 1]}
 
 
 def _parts(texts: list[bytes], length: int):
-    """Buffers of some whole texts, or of pieces of a long one that overlap by length - 1: (data, ends, text of each byte, offset of the buffer in it)."""
+    """Buffers of some whole texts, or of pieces of a long one that overlap by length - 1: (data, ends, text of each byte, offset of each text in the buffer)."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts])
     stops = np.cumsum(sizes)
@@ -101,124 +114,123 @@ def _parts(texts: list[bytes], length: int):
         yield data[a:b], stops[text] - a, text, a - (stops - sizes)
 
 
+def _kind(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
 def anchor_table(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, key, before, first, n, around): round 1 over all bytes of (doc_id, th, t)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, th long, key long, before int, first int, n int, around long"
-    out = _arrays(schema)
+    """(doc_id, th, run, key, w1, w2, before, at, n): the first buckets, over all bytes of (doc_id, th, t); `run` is the first string's place."""
+    schema = f"doc_id {_kind(docs)}, th long, run int, key long, w1 long, w2 long, before int, at int, n int"
+    out = arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             ids, hashes = b.column(0), b.column(2)
-            for first, texts in _texts(b):
+            for first, texts in text_groups(b.column(1)):
                 for data, ends, text, offset in _parts(texts, length):
                     r = anchored_runs(data, ends, length)
                     if not r:
                         continue
-                    own = text[r["first"]]
+                    own = text[r["run"]]
                     row = pa.array(own + first)
-                    cols = [ids.take(row), hashes.take(row), r["key"], r["before"], r["first"] + offset[own], r["n"], r["around"]]
+                    cols = [ids.take(row), hashes.take(row), r["run"] + offset[own], r["key"], r["w1"], r["w2"], r["before"], np.zeros(len(own), np.int32), r["n"]]
                     yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
     return map_batches(docs.select("doc_id", "t", "th"), run, schema)
 
 
+def settle(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(settled, open) of (doc_id, th, run, key, w1, w2, before, at, n).
+
+    `settled`: (doc_id, th, first, n) of nodes that have a like one. `open`:
+    of the buckets with unlike nodes one of each kind. Nodes are counted by
+    bucket first, so that those alone in theirs are gone before anything
+    else of them is shuffled.
+    """
+    sizes = nodes.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    live = scratch.table(nodes.join(sizes, "key", "left_semi"))
+    kinds = live.groupBy("key", "w1", "w2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "run", "before", "at", "n")).alias("one"))
+    kinds = scratch.table(kinds)
+    alike = live.join(kinds.where("copies > 1").select("key", "w1", "w2"), ["key", "w1", "w2"], "left_semi")
+    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    still = kinds.join(mixed, "key", "left_semi").select("one.*", "key")
+    return alike.select("doc_id", "th", (F.col("run") + F.col("at")).alias("first"), "n"), still
+
+
 def _contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, first, n, before, key, bytes): the bytes of all strings of each run."""
-    per_doc = runs.groupBy(F.col("doc_id").alias("w"), F.col("th").alias("wh")).agg(F.collect_set(F.struct("first", "n", "before", "key")).alias("runs"))
+    """(doc_id, th, run, key, before, at, n, bytes): the bytes of all strings of each open run."""
+    per_doc = runs.groupBy(F.col("doc_id").alias("w"), F.col("th").alias("wh")).agg(F.collect_set(F.struct("run", "key", "before", "n")).alias("runs"))
 
     def start():
         def row(doc_id, th, t, runs):
             for r in runs:
-                yield doc_id, th, r["first"], r["n"], r["before"], r["key"], t[r["first"] : r["first"] + r["n"] - 1 + length]
+                yield doc_id, th, r["run"], r["key"], r["before"], 0, r["n"], t[r["run"] : r["run"] + r["n"] - 1 + length]
 
         return row
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     both = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh"))).select("doc_id", "th", "t", "runs")
-    return map_rows(both, start, f"doc_id {kind}, th long, first int, n int, before int, key long, bytes binary")
-
-
-def _blocks_of(before: int, n: int):
-    """(block number, first string, end) of a run: strings by their distance to the anchor, 16 to a block."""
-    i = 0
-    while i < n:
-        j = (before - i) // BLOCK
-        end = min(n, before - j * BLOCK + 1)
-        yield j, i, end
-        i = end
-
-
-def block_table(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, first, n, shared, all): round 2, one row per block of strings."""
+    return map_rows(both, start, f"doc_id {_kind(docs)}, th long, run int, key long, before int, at int, n int, bytes binary")
 
-    def start():
-        def row(doc_id, th, first, n, before, key, text):
-            data = np.frombuffer(text, np.uint8)
-            shared, whole = Buckets(data).of(length - BLOCK + 1), Hashes(data, BASES[1])
-            blocks = list(_blocks_of(before, n))
-            number, a, b = (np.array(x) for x in zip(*blocks, strict=True))
-            core = before - number * BLOCK  # the last string's first byte, were the block full
-            ids = _pair(_pair(np.full(len(number), key, np.int64).view(np.uint64), number.astype(np.uint64)), shared[core]).view(np.int64)
-            alls = _scramble(whole.of(a, b - 1 + length) + (before - a).astype(np.uint64)).view(np.int64)
-            for x in zip(ids.tolist(), alls.tolist(), a.tolist(), b.tolist(), strict=True):
-                yield doc_id, th, first, x[2], x[3] - x[2], x[0], x[1]
-
-        return row
 
-    kind = contexts.schema["doc_id"].dataType.simpleString()
-    cols = contexts.select("doc_id", "th", "first", "n", "before", "key", "bytes")
-    return map_rows(cols, start, f"doc_id {kind}, th long, run int, at int, n int, shared long, all long")
+def split_nodes(before: np.ndarray, at: np.ndarray, n: np.ndarray, size: int):
+    """Nodes of `size` distances: (row, number, first string, count). String i of a row has the distance before - i."""
+    high, low = (before - at) // size, (before - at - n + 1) // size
+    per = high - low + 1
+    row = np.repeat(np.arange(len(at)), per)
+    number = np.repeat(high, per) - (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per))
+    first = np.maximum(before[row] - (number * size + size - 1), at[row])
+    end = np.minimum(before[row] - number * size + 1, (at + n)[row])
+    return row, number, first, end - first
 
 
-def string_table(contexts: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, first, string): round 3, one row per string of the blocks that are left."""
-    per_run = blocks.groupBy(F.col("doc_id").alias("w"), F.col("th").alias("wh"), "run").agg(F.collect_set(F.struct("at", "n")).alias("blocks"))
-    on = F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh")) & (F.col("first") == F.col("run"))
+def refined(rows: DataFrame, length: int, size: int, covered: int) -> DataFrame:
+    """The nodes of one round: from (doc_id, th, run, key, before, at, n, bytes) to the columns of `settle`."""
+    schema = f"doc_id {_kind(rows)}, th long, run int, key long, w1 long, w2 long, before int, at int, n int"
+    out = arrow_schema(schema)
+    covered = min(covered, length - size + 1)
 
-    def start():
-        def row(doc_id, th, first, before, key, text, blocks):
-            ids = Buckets(np.frombuffer(text, np.uint8)).of(length)
-            base = np.uint64(key & 0xFFFFFFFFFFFFFFFF)
-            for b in blocks:
-                at = np.arange(b["at"], b["at"] + b["n"])
-                k = _pair(np.full(len(at), base), (before - at).astype(np.uint64)).view(np.int64)
-                for i, x, y in zip(at.tolist(), ids[at].view(np.int64).tolist(), k.tolist(), strict=True):
-                    yield doc_id, th, first + i, x, y
-
-        return row
+    def run(batches):
+        import pyarrow as pa
 
-    kind = contexts.schema["doc_id"].dataType.simpleString()
-    rows = contexts.join(per_run, on).select("doc_id", "th", "first", "before", "key", "bytes", "blocks")
-    return map_rows(rows, start, f"doc_id {kind}, th long, first int, s1 long, s2 long")
+        for b in batches:
+            numbers = [b.column(i).to_numpy() for i in range(2, 7)]
+            for first, texts in text_groups(b.column(7)):
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                base = np.cumsum([0] + [len(t) for t in texts[:-1]])
+                _, key, before, at, n = (x[first : first + len(texts)] for x in numbers)
+                row, number, f, c = split_nodes(before, at, n, size)
+                ids = Buckets(data).of(covered)
+                # bytes that all strings of the full node share, from its last string's first byte to its first string's last
+                lo = base[row] + before[row] - number * size
+                hi = lo - (size - 1) + length
+                bucket = _pair(_pair(key[row].view(np.uint64), number.astype(np.uint64)), _pair(ids[lo], ids[hi - covered])).view(np.int64)
+                w = wholes(data, base[row] + f, base[row] + f + c - 1 + length, before[row] - f)
+                at_row = pa.array(row + first)
+                cols = [*(b.column(i).take(at_row) for i in range(3)), bucket, w[:, 0], w[:, 1], before[row], f, c]
+                yield pa.RecordBatch.from_arrays([pa.array(x).cast(t.type) if isinstance(x, np.ndarray) else x.cast(t.type) for x, t in zip(cols, out, strict=True)], schema=out)
+
+    return map_batches(rows.select("doc_id", "th", "run", "key", "before", "at", "n", "bytes"), run, schema)
 
 
 def repeated_runs(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, first, n): all strings of `length` bytes that also start elsewhere, as runs of n from `first`; runs may come twice."""
-    anchors = checkpointed(anchor_table(docs, length))
-    kinds = F.struct("before", "n", "around")
-    keys = anchors.groupBy("key").agg(F.count("*").alias("rows"), F.min(kinds).alias("lo"), F.max(kinds).alias("hi")).where("rows > 1")
-    shared = checkpointed(anchors.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("mixed")), "key"))
-    alike = shared.groupBy("key", "before", "n", "around").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "first")).alias("one"), F.max("mixed").alias("mixed"))
-    settled = shared.join(alike.where("copies > 1").select("key", "before", "n", "around"), ["key", "before", "n", "around"], "left_semi").select("doc_id", "th", "first", "n")
-    left = alike.where("mixed").select("one.doc_id", "one.th", "one.first", "n", "before", "key")
-
-    contexts = checkpointed(_contexts(docs, left, length))
-    blocks = checkpointed(block_table(contexts, length))
-    ids = blocks.groupBy("shared").agg(F.count("*").alias("rows"), F.min("all").alias("lo"), F.max("all").alias("hi")).where("rows > 1")
-    live = blocks.join(ids.select("shared", (F.col("lo") != F.col("hi")).alias("mixed")), "shared")
-    twice = live.groupBy("shared", "all").count().where("count > 1").select("shared", "all", F.lit(True).alias("twice"))
-    live = checkpointed(live.join(twice, ["shared", "all"], "left").withColumn("twice", F.coalesce("twice", F.lit(False))))
-    settled_blocks = live.where("twice").select("doc_id", "th", (F.col("run") + F.col("at")).alias("first"), "n")
-    one = live.where("mixed and twice").groupBy("shared", "all").agg(F.min(F.struct("doc_id", "th", "run", "at", "n")).alias("x")).select("x.*")
-    open_blocks = live.where("mixed and not twice").select("doc_id", "th", "run", "at", "n").union(one)
-
-    strings = checkpointed(string_table(contexts, open_blocks, length))
-    again = strings.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2")
-    singles = strings.join(again, ["s1", "s2"], "left_semi").select("doc_id", "th", "first", F.lit(1).alias("n"))
-    return settled.unionByName(settled_blocks).unionByName(singles)
+    scratch = Scratch(docs.sparkSession, "suffix")
+    anchors = scratch.table(anchor_table(docs, length))
+    found, still = settle(scratch, anchors)
+    contexts = rows = scratch.table(_contexts(docs, still, length))
+    scratch.drop(anchors)
+    for k, (size, covered) in enumerate(ROUNDS):
+        size = min(size, 1 << (length.bit_length() - 3))
+        nodes = scratch.table(refined(rows, length, size, covered))
+        settled, still = settle(scratch, nodes)
+        found = found.unionByName(settled)
+        if k + 1 < len(ROUNDS):
+            same = contexts.select("doc_id", "th", "run", "bytes").dropDuplicates(["doc_id", "th", "run"])
+            on = still["doc_id"].eqNullSafe(same["doc_id"]) & (still["th"] == same["th"]) & (still["run"] == same["run"])
+            rows = still.join(same, on).select(still["*"], same["bytes"])
+    return found
 
 
 def removed_spans(runs, length: int) -> list[list[int]]:
@@ -236,16 +248,16 @@ def removed_spans(runs, length: int) -> list[list[int]]:
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every row of `docs`.
 
-    Bytes covered by a string of `length` bytes that also starts anywhere
-    else in the table, same text included, are taken out; `spans` are the
-    maximal removed runs [start, end) and `kept` the bytes that are left.
-    Null is an empty text. A row is known by its id and its text, so rows
-    with one id and different texts are apart, and equal rows are copies of
-    each other.
+    Bytes covered by a string of `length` bytes (at least Q) that also starts
+    anywhere else in the table, same text included, are taken out; `spans`
+    are the maximal removed runs [start, end) and `kept` the bytes that are
+    left. Null is an empty text. A row is known by its id and its text, so
+    rows with one id and different texts are apart, and equal rows are
+    copies of each other. Columns of `docs` beside id and text play no part.
     """
     t = text_bytes(text_col)
     d = docs.select(F.col(id_col).alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("th"))
-    runs = repeated_runs(d, length)
+    runs = repeated_runs(d.where(F.length("t") >= length), length)
     per_doc = runs.groupBy(F.col("doc_id").alias("w"), F.col("th").alias("wh")).agg(F.collect_set(F.struct("first", "n")).alias("runs"))
 
     def start():
@@ -260,20 +272,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
         return row
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = d.join(per_doc, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh")), "left").select("doc_id", "t", "runs")
-    return map_rows(rows, start, f"doc_id {kind}, n_bytes long, spans array<array<int>>, kept binary")
-
-
-def brute_force(texts: list[bytes], length: int) -> list[tuple[int, int, int, str]]:
-    """n_bytes, n_removed, n_spans and digest of each text by counting every string; for tests."""
-    from collections import Counter
-
-    n = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
-    out = []
-    for t in texts:
-        spans = removed_spans([{"first": i, "n": 1} for i in range(len(t) - length + 1) if n[t[i : i + length]] > 1], length)
-        gone = {i for s, e in spans for i in range(s, e)}
-        kept = bytes(b for i, b in enumerate(t) if i not in gone)
-        out.append((len(t), len(gone), len(spans), hashlib.sha256(kept).hexdigest()))
-    return out
+    return map_rows(rows, start, f"doc_id {_kind(d)}, n_bytes long, spans array<array<int>>, kept binary")
