@@ -237,6 +237,18 @@ def test_lines_that_differ_in_words(spark):
     assert sum(map(len, got.values())) < sum(map(len, apart.values()))
 
 
+def test_line_dedup_of_rows_with_one_id(spark):
+    """Rows with one id and different texts are apart; a unique line never goes, a copy does; null ids take part and come first."""
+    a, b, c = ("A line that many documents share, number one", "A line of its own that exists only once here", "Another line, shared by two of the documents")
+    rows = [(1, f"{a}\n{c}", 0, 0), (1, f"{b}\n{c} end of it, changed in more than two bytes", 0, 0), (1, f"{b}\n{c} end of it, changed in more than two bytes", 0, 0), (2, f"{a}!\nx", 0, 0), (None, f"{c}\ny", 0, 0), (None, None, 0, 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, th long, gone int")
+    got = sorted(map(str, ((x["doc_id"], x["kept_text"]) for x in lines.dedup_lines(d).collect())))
+    want = [(1, a), (1, rows[1][1]), (1, rows[1][1]), (2, "x"), (None, f"{c}\ny"), (None, "")]
+    assert got == sorted(map(str, want))
+    left = lines.drop_duplicate_lines(d)
+    assert left.columns == d.columns and sorted(map(str, ((x["doc_id"], x["text"]) for x in left.collect()))) == sorted(map(str, [*want[:5], (None, None)]))
+
+
 def test_pipeline_drops_copies_of_short_lines(spark):
     import corpus_pipeline as p
 

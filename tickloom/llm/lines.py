@@ -1,4 +1,4 @@
-"""Line dedup: exact copies by 128 bits of each line, near copies by a segment-partition edit join.
+"""Line dedup: exact copies by 128 bits of hash of each line, near copies by a segment-partition edit join.
 
 Of two lines within `tau` byte edits of each other one has a segment, of
 tau + 1, that stands unchanged in the other. Each line stores its segments
@@ -15,20 +15,17 @@ proportion to the words.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, map_rows, text_bytes
+from .common import Scratch, arrow_schema, digests, map_batches, map_rows, text_bytes, text_groups
 
 _rng = np.random.default_rng(4)
 BASES = [np.uint64(int(x) * 8 + 5) for x in _rng.integers(1 << 58, 1 << 60, 3)]
 SALTS = _rng.integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 GRAM = np.uint64(int(_rng.integers(1 << 58, 1 << 60)) * 2 + 1)
-#: Bytes of text that are hashed at once, and lines that a task remembers.
-CHUNK = 1 << 18
+#: Lines that a task remembers.
 SEEN = 1 << 18
 #: Word edits: none in lines under FEW words, one up to WINNOWED, one in PER words from there on.
 FEW, WINNOWED, PER = 10, 40, 20
@@ -165,27 +162,6 @@ def _common(a: bytes, b: bytes, n: int) -> int:
     return lo
 
 
-def _arrays(schema: str):
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(schema))
-
-
-def _texts(batch):
-    """Groups of rows of bounded size: (row numbers' first, list of texts)."""
-    texts, first, size = [], 0, 0
-    for i, cell in enumerate(batch.column(1)):
-        t = cell.as_py()
-        texts.append(t)
-        size += len(t)
-        if size > CHUNK:
-            yield first, texts
-            texts, first, size = [], i + 1, 0
-    if texts:
-        yield first, texts
-
-
 def _lines(texts: list[bytes]):
     """All lines of some texts in one buffer: data, row of each line, its number in the text, start, end."""
     data = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -250,18 +226,18 @@ def word_table(docs: DataFrame, least: int, probing: bool) -> DataFrame:
 
         seen: set[int] = set()
         for b in batches:
-            for _, texts in _texts(b):
+            for _, texts in text_groups(b.column(0)):
                 data, _, _, start, end = _lines(texts)
                 ws, we = word_starts(data)
                 hashes = Hashes(data, BASES[1]).of(ws, we)
                 first, last = np.searchsorted(ws, start), np.searchsorted(ws, end)
                 big = np.flatnonzero((end - start >= least) & (last - first >= FEW))
-                ids, once = np.unique(Hashes(data, BASES[0]).of(start[big], end[big]), return_index=True)
+                ids, once = np.unique(digests(data, start[big], end[big])[:, 0], return_index=True)
                 new = np.fromiter((i not in seen for i in ids.tolist()), bool, len(ids))
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.update(ids[new].tolist())
-                first, last, ids = first[big[once[new]]], last[big[once[new]]], ids[new].view(np.int64)
+                first, last, ids = first[big[once[new]]], last[big[once[new]]], ids[new]
                 bits = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(np.uint64(1) << (_scramble(hashes * GRAM) >> np.uint64(58)))))
                 sig = (bits[last] ^ bits[first]).view(np.int64)
                 h = Hashes(hashes, BASES[2])
@@ -270,40 +246,43 @@ def word_table(docs: DataFrame, least: int, probing: bool) -> DataFrame:
                 for lines, keys in (*out, winnowed(h, first, last)):
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((keys, pa.int64()), (ids[lines], pa.int64()), (sig[lines], pa.int64()), ((last - first)[lines].astype(np.int32), pa.int32()))], names=["key", "h", "sig", "n"])
 
-    return map_batches(docs.select("doc_id", "t"), run, schema).repartition("key").distinct()
+    return map_batches(docs.select("t"), run, schema).repartition("key").distinct()
 
 
 def word_pairs(docs: DataFrame, least: int) -> DataFrame:
-    """(s, o): hashes of lines that may be within their word edits. One edit changes at most 2 parities."""
+    """(s, o): first halves of the hashes of lines that may be within their word edits. One edit changes at most 2 parities."""
     keys, probes = (word_table(docs, least, p).select("key", *[F.col(c).alias(f"{c}_{p:d}") for c in ("h", "sig", "n")]) for p in (False, True))
     few = F.greatest(F.lit(1), F.floor(F.least("n_0", "n_1") / PER))
     close = (F.abs(F.col("n_0") - F.col("n_1")) <= few) & (F.bit_count(F.col("sig_0").bitwiseXOR(F.col("sig_1"))) <= 2 * few)
     pairs = keys.join(probes, "key").where((F.col("h_0") != F.col("h_1")) & close)
-    return checkpointed(pairs.select(F.least("h_0", "h_1").alias("s"), F.greatest("h_0", "h_1").alias("o")).distinct())
+    return pairs.select(F.least("h_0", "h_1").alias("s"), F.greatest("h_0", "h_1").alias("o")).distinct()
 
 
 def line_table(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
-    """(doc_id, line, h, sig): every line of at least `least` bytes of (doc_id, t), or if `short` every shorter one that holds a letter or digit.
+    """(doc_id, th, line, n, h1, h2, sig) from (doc_id, th, t): every line of at least `least` bytes and, if `short`, every shorter one that holds a letter or digit.
 
-    Lines are known by a 64-bit hash and their 64 parities.
+    `n` are its bytes, h1 and h2 128 bits of hash, `sig` 64 parities.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, line int, h long, sig long"
-    out = _arrays(schema)
+    schema = f"doc_id {kind}, th long, line int, n int, h1 long, h2 long, sig long"
+    out = arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for first, texts in _texts(b):
+            for first, texts in text_groups(b.column(2)):
                 data, row, number, start, end = _lines(texts)
-                big = (end - start < least) & (word_bytes(data, start, end) > 0) if short else end - start >= least
-                row, number, start, end = row[big], number[big], start[big], end[big]
-                h = Hashes(data, BASES[0]).of(start, end).view(np.int64)
-                cols = [b.column(0).slice(first).take(pa.array(row)), number.astype(np.int32), h, gram_parities(data, start, end)]
+                taken = end - start >= least
+                if short:
+                    taken |= word_bytes(data, start, end) > 0
+                row, number, start, end = row[taken], number[taken], start[taken], end[taken]
+                h = digests(data, start, end)
+                at = pa.array(row + first)
+                cols = [b.column(0).take(at), b.column(1).take(at), number.astype(np.int32), (end - start).astype(np.int32), h[:, 0], h[:, 1], gram_parities(data, start, end)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    return map_batches(docs.select("doc_id", "t"), run, schema)
+    return map_batches(docs.select("doc_id", "th", "t"), run, schema)
 
 
 def segment_table(docs: DataFrame, least: int, tau: int, probing: bool) -> DataFrame:
@@ -315,73 +294,66 @@ def segment_table(docs: DataFrame, least: int, tau: int, probing: bool) -> DataF
 
         seen: set[int] = set()
         for b in batches:
-            for _, texts in _texts(b):
+            for _, texts in text_groups(b.column(0)):
                 data, _, _, start, end = _lines(texts)
                 big = np.flatnonzero(end - start >= least)
                 h = Hashes(data, BASES[2])
-                ids, once = np.unique(h.of(start[big], end[big]), return_index=True)
+                sig = gram_parities(data, start[big], end[big])
+                ids, once = np.unique(_scramble(h.of(start[big], end[big]) ^ _scramble(sig.view(np.uint64))), return_index=True)
                 new = np.fromiter((i not in seen for i in ids.tolist()), bool, len(ids))
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.update(ids[new].tolist())
-                big = big[once[new]]
-                sig = gram_parities(data, start[big], end[big])
+                big, sig = big[once[new]], sig[once[new]]
                 for lines, keys in segment_keys(h, start[big], end[big], tau)[probing]:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sig[lines], pa.int64())], names=["key", "sig"])
 
-    return map_batches(docs.select("doc_id", "t"), run, schema).repartition("key").distinct()
+    return map_batches(docs.select("t"), run, schema).repartition("key").distinct()
 
 
 def duplicate_lines(docs: DataFrame, tau: int, least: int, short: bool = False, words: bool = False) -> DataFrame:
-    """(doc_id, line) of the lines that have an earlier copy or near copy, from (doc_id, t); a line may come twice."""
-    order = F.struct("doc_id", "line")
-
-    def copied(lines):
-        firsts = checkpointed(lines.groupBy("h", "sig").agg(F.min(order).alias("first"), F.count("*").alias("n")))
-        return firsts, lines.join(firsts.where("n > 1").select("h", "sig", "first"), ["h", "sig"]).where(order != F.col("first")).select("doc_id", "line")
-
-    firsts, copies = copied(checkpointed(line_table(docs, least)))
-    if short:
-        copies = copies.union(copied(checkpointed(line_table(docs, least, short=True)))[1])
+    """(doc_id, th, line) of the lines that have an earlier copy or near copy, from (doc_id, th, t); a line may come twice."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    place = F.struct("doc_id", "th", "line")
+    lines = scratch.table(line_table(docs, least, short))
+    known = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    firsts = scratch.table(known)
+    copies = lines.join(firsts.where("copies > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "th", "line")
 
     keys = segment_table(docs, least, tau, False)
     probes = segment_table(docs, least, tau, True).withColumnRenamed("sig", "other")
     close = F.bit_count(F.col("sig").bitwiseXOR(F.col("other"))) <= 4 * tau
     pairs = keys.join(probes, "key").where(close & (F.col("sig") != F.col("other")))
-    pairs = pairs.select(F.least("sig", "other").alias("s"), F.greatest("sig", "other").alias("o")).distinct()
-    twins = firsts.groupBy("sig").count().where("count > 1").select(F.col("sig").alias("s"), F.col("sig").alias("o"))
-    pairs = checkpointed(pairs.union(twins))
-
-    side = lambda sig, name: firsts.select(F.col("sig").alias(sig), F.col("first").alias(name))
-    both = pairs.join(side("s", "x"), "s").join(side("o", "y"), "o").where(F.col("x") < F.col("y")).select("x", "y")
-    swapped = pairs.where("s <> o").join(side("s", "y"), "s").join(side("o", "x"), "o").where(F.col("x") < F.col("y")).select("x", "y")
-    asked = both.union(swapped)
+    pairs = scratch.table(pairs.select(F.least("sig", "other").alias("s"), F.greatest("sig", "other").alias("o")).distinct())
+
+    long = firsts.where(F.col("n") >= least)
+    side = lambda key, as_key, name: long.select(F.col(key).alias(as_key), F.col("first").alias(name), F.col("n").alias(f"n_{name}"))
+    twins = scratch.table(long.groupBy("sig").count().where("count > 1").select(F.col("sig").alias("s"), F.col("sig").alias("o")))
+    met = pairs.unionByName(twins).join(side("sig", "s", "x"), "s").join(side("sig", "o", "y"), "o").where(F.abs(F.col("n_x") - F.col("n_y")) <= tau).select("x", "y")
     if words:
-        at = lambda h, name: firsts.select(F.col("h").alias(h), F.col("first").alias(name))
-        met = word_pairs(docs, least).join(at("s", "x"), "s").join(at("o", "y"), "o")
-        asked = asked.union(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-    asked = checkpointed(asked.distinct())
-    near = _confirmed(docs, asked, tau, words)
+        by_words = scratch.table(word_pairs(docs, least))
+        met = met.unionByName(by_words.join(side("h1", "s", "x"), "s").join(side("h1", "o", "y"), "o").select("x", "y"))
+    asked = met.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    near = _confirmed(docs, scratch.table(asked), tau, words)
 
-    return copies.union(near.select("y.doc_id", "y.line"))
+    return copies.union(near.select("y.doc_id", "y.th", "y.line"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, tau: int, words: bool) -> DataFrame:
     """The pairs (x, y) of line places whose lines are near."""
     places = pairs.select("x").union(pairs.select(F.col("y").alias("x"))).distinct()
-    per_doc = places.groupBy(F.col("x.doc_id").alias("w")).agg(F.collect_set("x.line").alias("wanted"))
+    per_doc = places.groupBy(F.col("x.doc_id").alias("w"), F.col("x.th").alias("wh")).agg(F.collect_set("x.line").alias("wanted"))
 
     def pick():
-        def row(doc_id, t, wanted):
+        def row(doc_id, th, t, wanted):
             lines = t.split(b"\n")
             for i in wanted:
-                if i < len(lines):
-                    yield {"doc_id": doc_id, "line": i}, lines[i]
+                yield {"doc_id": doc_id, "th": th, "line": i}, lines[i]
 
         return row
 
     place = pairs.schema["x"].dataType.simpleString()
-    texts = map_rows(docs.join(per_doc, F.col("doc_id") == F.col("w")).select("doc_id", "t", "wanted"), pick, f"x {place}, t binary")
+    texts = map_rows(_with(docs, per_doc, "inner").select("doc_id", "th", "t", "wanted"), pick, f"x {place}, t binary")
 
     def check():
         def row(x, y, a, b):
@@ -390,25 +362,38 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, tau: int, words: bool) -> Data
 
         return row
 
+    texts = texts.dropDuplicates(["x"])  # equal rows hold equal lines
     both = pairs.join(texts.withColumnRenamed("t", "a"), "x").join(texts.withColumnRenamed("x", "y").withColumnRenamed("t", "b"), "y")
     return map_rows(both.select("x", "y", "a", "b"), check, f"x {place}, y {place}")
 
 
+def _with(docs: DataFrame, per_doc: DataFrame, how: str) -> DataFrame:
+    """Rows (doc_id, th, ..) with what `per_doc` has under (w, wh)."""
+    return docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh")), how)
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    t = text_bytes(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
+
+
 def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", short: bool = False, words: bool = False) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_text) for every row of `docs` with its whole text.
 
     Lines are \\n-split. One of at least `least` bytes is removed if an
-    earlier line, by (doc_id, place), has the same bytes or lies within
-    `tau` byte edits of it, itself removed or not. Shorter lines stay, but
-    with `short` those that hold a letter or digit go if an earlier line has
-    the same bytes. With `words` a line of at least `least` bytes goes also
-    if an earlier one is within `word_edits` of the shorter of both: one
-    word, from 10 words on, or 5 % of the words from 40 on. Null and empty texts have one empty line. Rows with a null id keep their
-    lines. Rows that share an id are one document whose lines are numbered
-    alike; a line number that falls is removed in each of them.
+    earlier line, by (doc_id, hash of the text, place), has the same bytes or
+    lies within `tau` byte edits of it, itself removed or not. Shorter lines
+    stay, but with `short` those that hold a letter or digit go if an earlier
+    line has the same bytes. With `words` a line of at least `least` bytes
+    goes also if an earlier one is within `word_edits` of the shorter of
+    both: one word, from 10 words on, or 5 % of the words from 40 on. Null
+    and empty texts have one empty line. A null id comes before all others.
+    A row is known by its id and its text: rows with one id and different
+    texts are apart, equal rows are one document and lose the same lines.
+    Other columns of `docs` play no part.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
-    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least, short, words).groupBy(F.col("doc_id").alias("w")).agg(F.collect_set("line").alias("gone"))
+    d = _keyed(docs, id_col, text_col)
+    drop = duplicate_lines(d, tau, least, short, words).groupBy(F.col("doc_id").alias("w"), F.col("th").alias("wh")).agg(F.collect_set("line").alias("gone"))
 
     def start():
         def row(doc_id, t, gone):
@@ -420,20 +405,15 @@ def dedup_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "d
         return row
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = d.join(drop, F.col("doc_id") == F.col("w"), "left").select("doc_id", "t", "gone")
-    return map_rows(rows, start, f"doc_id {kind}, n_lines long, n_removed long, kept_text string")
+    return map_rows(_with(d, drop, "left").select("doc_id", "t", "gone"), start, f"doc_id {kind}, n_lines long, n_removed long, kept_text string")
 
 
 def drop_duplicate_lines(docs: DataFrame, tau: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", short: bool = False, words: bool = False) -> DataFrame:
-    """The rows of `docs` with their columns and the text that is left. Rows that lost lines and have no word left go."""
-    d = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
-    drop = duplicate_lines(d.where(F.col("doc_id").isNotNull()), tau, least, short, words).groupBy(F.col("doc_id").alias("_lines_of")).agg(F.collect_set("line").alias("_lines_gone"))
-    rows = docs.join(drop, F.col(id_col) == F.col("_lines_of"), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_lines_gone", i)), "\n")
-    lost = F.col("_lines_gone").isNotNull()
-    rows = rows.withColumn(text_col, F.when(lost, kept).otherwise(F.col(text_col)))
-    return rows.where(~lost | F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).select(*docs.columns)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    """The rows of `docs` with their columns and the text that is left, by the rules of `dedup_lines`. Rows that lost lines and have no word left go."""
+    drop = duplicate_lines(_keyed(docs, id_col, text_col), tau, least, short, words)
+    drop = drop.groupBy(F.col("doc_id").alias("_lines_of"), F.col("th").alias("_lines_hash")).agg(F.collect_set("line").alias("_lines_gone"))
+    same = docs[id_col].eqNullSafe(drop["_lines_of"]) & (F.xxhash64(text_bytes(text_col)) == drop["_lines_hash"])
+    gone, text = drop["_lines_gone"], docs[text_col]
+    kept = F.when(gone.isNotNull(), F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")).otherwise(text)
+    rows = docs.join(drop, same, "left").where(gone.isNull() | kept.rlike("[^\\x20\\x09-\\x0D]"))
+    return rows.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns])

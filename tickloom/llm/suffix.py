@@ -25,11 +25,10 @@ decided by 128 bits of hash of all their bytes.
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_schema, map_batches, map_rows, text_bytes, text_groups
+from .common import Scratch, arrow_schema, digests, map_batches, map_rows, text_bytes, text_groups
 
 Q = 32
 #: Distances in a node, by round, and bytes of the identifiers that refine its bucket: they cover the distances of the round before.
@@ -74,13 +73,6 @@ def smallest_place(keys: np.ndarray, window: int) -> np.ndarray:
     return (m & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
-def wholes(data, start: np.ndarray, end: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Two longs of hash of each data[start:end]."""
-    view, digest = memoryview(data), xxhash.xxh3_128_digest
-    found = b"".join([digest(view[s:e], x) for s, e, x in zip(start.tolist(), end.tolist(), seed.tolist(), strict=True)])
-    return np.frombuffer(found, np.int64).reshape(-1, 2)
-
-
 def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Runs of strings under one q-gram: its bucket, distance from the first string to it, first string, count, hash of all their bytes.
 
@@ -99,7 +91,7 @@ def anchored_runs(data: np.ndarray, ends: np.ndarray, length: int) -> dict[str,
     good = ok[first]
     first, count = first[good], count[good]
     at = anchor[first]
-    w = wholes(data, first, first + count - 1 + length, at - first)
+    w = digests(data, first, first + count - 1 + length, at - first)
     return {"key": keys[at].view(np.int64), "before": at - first, "run": first, "n": count, "w1": w[:, 0], "w2": w[:, 1]}
 
 
@@ -146,15 +138,16 @@ def settle(scratch: Scratch, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     `settled`: (doc_id, th, first, n) of nodes that have a like one. `open`:
     of the buckets with unlike nodes one of each kind. Nodes are counted by
-    bucket first, so that those alone in theirs are gone before anything
-    else of them is shuffled.
+    bucket first, so that those alone in theirs are gone before they are
+    grouped. The counts are tables of their own, so that a join can split a
+    bucket that holds many rows.
     """
-    sizes = nodes.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
+    sizes = scratch.table(nodes.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
     live = scratch.table(nodes.join(sizes, "key", "left_semi"))
     kinds = live.groupBy("key", "w1", "w2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "run", "before", "at", "n")).alias("one"))
     kinds = scratch.table(kinds)
     alike = live.join(kinds.where("copies > 1").select("key", "w1", "w2"), ["key", "w1", "w2"], "left_semi")
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    mixed = scratch.table(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key"))
     still = kinds.join(mixed, "key", "left_semi").select("one.*", "key")
     return alike.select("doc_id", "th", (F.col("run") + F.col("at")).alias("first"), "n"), still
 
@@ -206,7 +199,7 @@ def refined(rows: DataFrame, length: int, size: int, covered: int) -> DataFrame:
                 lo = base[row] + before[row] - number * size
                 hi = lo - (size - 1) + length
                 bucket = _pair(_pair(key[row].view(np.uint64), number.astype(np.uint64)), _pair(ids[lo], ids[hi - covered])).view(np.int64)
-                w = wholes(data, base[row] + f, base[row] + f + c - 1 + length, before[row] - f)
+                w = digests(data, base[row] + f, base[row] + f + c - 1 + length, before[row] - f)
                 at_row = pa.array(row + first)
                 cols = [*(b.column(i).take(at_row) for i in range(3)), bucket, w[:, 0], w[:, 1], before[row], f, c]
                 yield pa.RecordBatch.from_arrays([pa.array(x).cast(t.type) if isinstance(x, np.ndarray) else x.cast(t.type) for x, t in zip(cols, out, strict=True)], schema=out)
