@@ -311,6 +311,20 @@ def test_near_duplicates(spark):
     assert sorted(x["doc_id"] for x in left.collect()) == [i for i in range(len(texts)) if comp[i] == i] and "rep" in left.columns
 
 
+def test_near_duplicates_of_rows_with_one_id(spark):
+    """Each text of an id keeps its own links; null ids take part; every group keeps one row and clean rows stay."""
+    r = random.Random(6)
+    long = lambda: [f"w{r.randrange(10**6)}" for _ in range(100)]
+    a, b, c = long(), long(), long()
+    edited = lambda t, k: " ".join([*t[:k], "other", *t[k + 1 :]])
+    rows = [(1, " ".join(a), "x"), (1, " ".join(b), "x"), (2, edited(a, 10), "x"), (3, edited(b, 20), "x"), (3, edited(b, 20), "x"), (None, edited(c, 30), "x"), (None, " ".join(c), "x"), (4, None, "x"), (4, "", "x"), (None, "", "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, set_key string")
+    got = sorted(map(str, ((x["doc_id"], x["component_id"], x["kept"]) for x in near.near_duplicates(d).collect())))
+    assert got == sorted(map(str, [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (None, None, True), (None, None, True), (4, 4, True), (4, 4, True), (None, None, True)]))
+    left = near.drop_near_duplicates(d).collect()
+    assert sorted(str((x["doc_id"], len(x["text"] or ""))) for x in left) == sorted(str(x) for x in [(1, len(rows[0][1])), (1, len(rows[1][1])), (None, len(next(x["text"] for x in left if x["doc_id"] is None and x["text"]))), (4, 0), (4, 0), (None, 0)])
+
+
 def test_estimates():
     """Corrected estimates are near the true similarity."""
     r = np.random.default_rng(0)

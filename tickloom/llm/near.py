@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows, text_bytes
+from .common import Scratch, checkpointed, map_rows, text_bytes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -74,23 +74,23 @@ def packed_bits(mins: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, bits) from (doc_id, t)."""
+    """(doc_id, th, n_shingles, set_key, bands, bits) from (doc_id, th, t); `set_key` is 128 bits of hash of the shingle set, null if it is empty."""
 
     def start():
         hashes = WordHashes()
 
-        def row(doc_id, t):
+        def row(doc_id, th, t):
             s = shingle_set(t, hashes)
             if not len(s):
-                yield doc_id, 0, None, None, None
+                yield doc_id, th, 0, None, None, None
             else:
                 m = minima(s)
-                yield doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(m).tolist(), packed_bits(m).tolist()
+                yield doc_id, th, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), band_keys(m).tolist(), packed_bits(m).tolist()
 
         return row
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "t"), start, f"doc_id {kind}, n_shingles long, set_key binary, bands array<long>, bits array<long>")
+    return map_rows(docs.select("doc_id", "th", "t"), start, f"doc_id {kind}, th long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
 
 
 def estimated_similarity(a: Column, b: Column) -> Column:
@@ -109,7 +109,7 @@ def estimated_similarity(a: Column, b: Column) -> Column:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node each node reaches, from (a, b).
+    """(node, component): the smallest node each node reaches, from (a, b). Nodes are of any type that has an order.
 
     Each round every node takes the smallest label around it, then that
     label's own label; a long chain takes a logarithm of its length. Labels
@@ -158,47 +158,28 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, edits: bool = Fals
         return row
 
     kind = pairs.schema["a"].dataType.simpleString()
-    t = lambda side: texts.select(F.col("doc_id").alias(side), F.col("t").alias(f"t{side}"))
+    t = lambda side: texts.select(F.col("node").alias(side), F.col("t").alias(f"t{side}"))
     more = ", is_link boolean, n_a int, n_b int, added array<long>, removed array<long>" if edits else ""
     return map_rows(pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb"), start, f"a {kind}, b {kind}{more}")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.125, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of `docs`.
-
-    Rows with equal shingle sets are one class; classes are compared through
-    their smallest id. Candidates share one of 32 bands of 4 minima: a pair
-    at the threshold is missed with a chance of 5 in a million. Estimates
-    from packed bits drop candidates more than `slack`, four and a half
-    standard deviations, below the threshold; what is left is confirmed on
-    full sets.
+def _groups(d: DataFrame, percent: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, n_shingles, set_key) of every row of (doc_id, th, t), and (set_key, component) of every shingle set.
 
-    A band's bucket is not paired with itself. First each member is compared
-    with the bucket's hub, the member that meets most others in all its
-    bands, which is the text that near copies were made from if it is there.
-    Then members of different components are compared where they share a
-    hub or, for those far from it, a bucket. A member near its hub is known
-    by its edits of the hub's set, from which a pair's intersection follows
-    exactly inside the join. Members that are connected already need no
-    comparison.
-
-    Null and empty texts have no shingles and are linked with nothing. Rows
-    that share an id count as one node.
+    Nodes are shingle sets, known by their 128-bit `set_key`, so rows that
+    share an id, or have none, take part each with its own text.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
-    sigs = checkpointed(signatures(d))
+    scratch = Scratch(d.sparkSession, "near")
+    sigs = scratch.table(signatures(d))
     full = sigs.where(F.col("n_shingles") > 0)
-    classes = checkpointed(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = checkpointed(
-        full.join(classes.where(F.col("rep").isNotNull()).select(F.col("set_key").alias("k"), "rep"), (F.col("set_key") == F.col("k")) & (F.col("doc_id") == F.col("rep")), "left_semi")
-        .select(F.col("doc_id").alias("rep"), "bands", "bits").dropDuplicates(["rep"])
-    )
-    members = reps.select("rep", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = checkpointed(members.join(shared, "band"))
+    classes = scratch.table(full.groupBy(F.col("set_key").alias("rep")).agg(F.min(F.struct("doc_id", "th")).alias("one"), F.first("bands").alias("bands"), F.first("bits").alias("bits")))
+    reps = classes.select("rep", "bits")
+    members = classes.select("rep", F.explode("bands").alias("band"))
+    shared = scratch.table(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"))
+    members = scratch.table(members.join(shared, "band"))
     meets = members.groupBy("rep").agg(F.sum("n").alias("meets"))
     hubs = members.join(meets, "rep").groupBy("band").agg(F.max(F.struct("meets", "rep")).alias("hub")).select("band", F.col("hub.rep").alias("leader"))
-    members = checkpointed(members.join(hubs, "band").select("band", "rep", "leader"))
+    members = scratch.table(members.join(scratch.table(hubs), "band").select("band", "rep", "leader"))
     least = percent / 100 - slack
 
     def with_bits(pairs: DataFrame) -> DataFrame:
@@ -207,15 +188,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.125, id
         return both.where(estimated_similarity(F.col("bits_a"), F.col("bits_b")) >= least).select("a", "b")
 
     def confirmed(pairs: DataFrame, edits: bool = False) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
-        texts = d.join(wanted, F.col("doc_id") == F.col("w"), "left_semi").dropDuplicates(["doc_id"])
-        return checkpointed(confirm(pairs, texts, percent, edits))
+        wanted = pairs.select("a").union(pairs.select("b")).distinct()
+        rows = wanted.join(classes, F.col("a") == F.col("rep")).select(F.col("rep").alias("node"), F.col("one.doc_id").alias("w"), F.col("one.th").alias("wh"))
+        texts = d.join(rows, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh"))).select("node", "t").dropDuplicates(["node"])
+        return scratch.table(confirm(pairs, scratch.table(texts), percent, edits))
 
     met = members.where(F.col("rep") != F.col("leader"))
-    tried = checkpointed(with_bits(met.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()))
+    tried = scratch.table(with_bits(met.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()))
     seen = confirmed(tried, edits=True)
     links = seen.where("is_link").select("a", "b")
-    first = checkpointed(components(links))
+    first = components(links)
     label = lambda n: first.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}"))
 
     # Members near their hub, by their edits of the hub's set: the join itself decides exactly and gives links only.
@@ -227,33 +209,81 @@ def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.125, id
     y = y.select(F.col("a").alias("h"), F.col("b").alias("y"), F.col("c").alias("cy"), F.col("n_b").alias("ny"), F.col("added").alias("ay"), F.col("removed").alias("ry"))
     both = F.col("n_a") - F.size(F.array_union("rx", "ry")) + F.size(F.array_intersect("ax", "ay"))
     roomy = linked(F.least("nx", "ny"), F.col("nx"), F.col("ny"), percent)
-    around = checkpointed(x.join(y, (x["h"] == y["h"]) & (F.col("cx") != F.col("cy")) & roomy & linked(both, F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    around = scratch.table(x.join(y, (x["h"] == y["h"]) & (F.col("cx") != F.col("cy")) & roomy & linked(both, F.col("nx"), F.col("ny"), percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
 
     # Pairs of a band with a member far from its hub: estimates inside the join, full sets after it.
     labelled = members.join(label("rep"), "rep", "left").select("band", "leader", "rep", F.coalesce("c_rep", "rep").alias("c"))
     open_bands = labelled.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("band")
     near_hub = tried.select(F.col("a").alias("leader"), F.col("b").alias("rep"), F.lit(True).alias("near"))
-    rest = labelled.where(F.col("rep") != F.col("leader")).join(open_bands, "band", "left_semi").join(near_hub, ["leader", "rep"], "left")
-    rest = checkpointed(rest.join(reps.select("rep", "bits"), "rep").select("band", "rep", "c", F.coalesce("near", F.lit(False)).alias("near"), "bits"))
+    rest = labelled.where(F.col("rep") != F.col("leader")).join(scratch.table(open_bands), "band", "left_semi").join(near_hub, ["leader", "rep"], "left")
+    rest = scratch.table(rest.join(reps, "rep").select("band", "rep", "c", F.coalesce("near", F.lit(False)).alias("near"), "bits"))
     side = lambda n: rest.select("band", F.col("rep").alias(n), F.col("c").alias(f"c{n}"), F.col("near").alias(f"near_{n}"), F.col("bits").alias(f"bits_{n}"))
     likely = estimated_similarity(F.col("bits_a"), F.col("bits_b")) >= least
     p, o = side("a").where("not near_a"), side("b")
     across = p.join(o, (p["band"] == o["band"]) & (F.col("ca") != F.col("cb")) & (F.col("near_b") | (F.col("a") < F.col("b"))) & likely).select("a", "b").distinct()
-    more = confirmed(checkpointed(across))
+    more = confirmed(scratch.table(across))
     found = components(links.union(around).union(more))
 
-    named = classes.join(found, classes["rep"] == found["node"], "left").select(F.col("set_key").alias("k"), F.coalesce("component", "rep").alias("c"))
-    rows = sigs.join(named, F.col("set_key") == F.col("k"), "left")
-    component = F.coalesce("c", "doc_id")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.select("rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("set_key"), F.coalesce("component", "rep").alias("component"))
+    return sigs.select("doc_id", "th", "n_shingles", "set_key"), scratch.table(named)
+
 
+def _with_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    t = text_bytes(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with their columns, without the near copies: of each group the row with the smallest id stays.
 
-    Of rows that share an id one stays. Rows with a null id stay all.
+def near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.125, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of `docs`.
+
+    Rows with equal shingle sets are one class; classes are compared through
+    one row's text. Candidates share one of 32 bands of 4 minima: a pair at
+    the threshold is missed with a chance of 5 in a million. Estimates from
+    packed bits drop candidates more than `slack`, four and a half standard
+    deviations, below the threshold; what is left is confirmed on full sets.
+
+    A band's bucket is not paired with itself. First each member is compared
+    with the bucket's hub, the member that meets most others in all its
+    bands, which is the text that near copies were made from if it is there.
+    Then members of different components are compared where they share a
+    hub or, for those far from it, a bucket. A member near its hub is known
+    by its edits of the hub's set, from which a pair's intersection follows
+    exactly inside the join. Members that are connected already need no
+    comparison.
+
+    Null and empty texts have no shingles and are linked with nothing: each
+    is kept under its own id. Rows that share an id are apart, each with the
+    links of its own text; of them all those are `kept` whose component has
+    no smaller id. A component without any id has a null component_id, and
+    its rows are kept. Other columns of `docs` play no part.
+    """
+    rows, groups = _groups(_with_hash(docs, id_col, text_col), percent, slack)
+    sizes = rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    groups = groups.join(sizes, "set_key")
+    smallest = groups.groupBy("component").agg(F.min("least").alias("c"))
+    named = Scratch(docs.sparkSession, "near").table(groups.join(smallest, "component").select(F.col("set_key").alias("k"), "c"))
+    found = rows.join(named, F.col("set_key") == F.col("k"), "left")
+    component = F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("c"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75, slack: float = 0.125, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with their columns, without the near copies: one row of each group stays.
+
+    It is the row with the smallest id, of rows with that id the one with
+    the smallest text hash, and of equal rows any one; a null id comes after
+    all others. Rows without shingles are in no group and stay all.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), percent, id_col=id_col, text_col=text_col)
-    ids = found.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(ids, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    d = _with_hash(docs, id_col, text_col)
+    rows, groups = _groups(d, percent, slack)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    per_set = rows.where("set_key is not null").groupBy("set_key").agg(F.min(order).alias("o"))
+    stay = groups.join(per_set, "set_key").groupBy("component").agg(F.min("o").alias("o")).select(F.col("o.doc_id").alias("_stays_id"), F.col("o.th").alias("_stays_hash"))
+    lone = rows.where("set_key is null").select(F.col("doc_id").alias("_stays_id"), F.col("th").alias("_stays_hash")).distinct()
+    stay = Scratch(docs.sparkSession, "near").table(stay.withColumn("_stays_one", F.lit(True)).unionByName(lone.withColumn("_stays_one", F.lit(False))))
+    same = docs[id_col].eqNullSafe(stay["_stays_id"]) & (F.xxhash64(text_bytes(text_col)) == stay["_stays_hash"])
+    kept = docs.join(stay, same).select(*[docs[c] for c in docs.columns], stay["_stays_id"], stay["_stays_hash"], stay["_stays_one"])
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # the caller's names may clash with others
+    kept = kept.toDF(*names, "_stays_id", "_stays_hash", "_stays_one")
+    one = kept.where("_stays_one").dropDuplicates(["_stays_id", "_stays_hash"])
+    return one.unionByName(kept.where("not _stays_one")).select(*names).toDF(*docs.columns)

@@ -117,11 +117,11 @@ with l as (
   from (select doc_id, lines, unnest(generate_series(1, len(lines))) as i
         from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))
 ), f as (
-  select t, n, min(row(doc_id, i)) as f from l where n >= 30 group by t, n
+  select t, n, min(row(doc_id, i)) as f from l where n >= 30 or regexp_matches(t, '[0-9A-Za-z]') or strlen(t) <> length(t) group by t, n
 ), near as (
-  select distinct y.t from f x join f y on x.n between y.n - 2 and y.n + 2 and x.f < y.f and levenshtein(x.t, y.t) <= 2
+  select distinct y.t from f x join f y on x.n >= 30 and y.n >= 30 and x.n between y.n - 2 and y.n + 2 and x.f < y.f and levenshtein(x.t, y.t) <= 2
 ), j as (
-  select l.*, l.n >= 30 and (row(doc_id, i) <> f.f or near.t is not null) as gone
+  select l.*, row(doc_id, i) <> f.f or near.t is not null as gone
   from l left join f on f.t = l.t left join near on near.t = l.t
 )
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
