@@ -109,11 +109,30 @@ def test_prefix_tables():
 
     path = P.path("word_bpe_49k.json")
     t, c, r = Tokenizer.from_file(path), tokens.PrefixCounter(path), random.Random(2)
-    for _ in range(200):
-        w = "".join(r.choice("thenrigatos'éß9!<") for _ in range(r.randint(1, 14)))
+    scripts = ["thenrigatos'éß9!<", "then'rrlleevv", "é'ßş́e9!≮", "日本語中文字　。'", "한한국가", "กุ่า'कि्ো", "'sStTrReEvVlLdDḿ̧", "ΣσİıΟΔ̇'1２"]
+    for k in range(600):
+        w = "".join(r.choice(scripts[k % len(scripts)]) for _ in range(r.randint(1, 14))) + r.choice(["", "<|endoftext|>", "<|endof"])
         assert c.word_prefixes(w) == [len(t.encode(w[:i], add_special_tokens=False).ids) for i in range(len(w) + 1)]
 
 
+def test_long_runs_of_any_script():
+    """Runs without a space of 20,000 characters: equal to the library at some cuts, in linear time, and not kept."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    t, c, r = Tokenizer.from_file(path), tokens.PrefixCounter(path), random.Random(7)
+    words = tokens.WordCounts(c)
+    for w in ("".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(20_000)), "é" * 5000, "a" * 20_000):
+        got = c.word_prefixes(w)
+        for i in [0, 1, 2, 777, 4001, len(w) - 1, len(w)]:
+            assert got[i] == len(t.encode(w[:i], add_special_tokens=False).ids)
+        text = w.encode()
+        n = tokens.longest_prefix(text, [words[text]], 2048, c)
+        assert got[n] <= 2048 and (n == len(w) or got[n + 1] > 2048)
+    assert not words and not c.pieces
+
+
 def test_quality(spark):
     texts = [*some_texts(6), "a b c d e f a b c d e f g", "same same same same same same same", "L one here\nL one here\n\n \nL one here", "# $ % & | < > * plain words follow here now ok yes"]
     got = {r["doc_id"]: r for r in quality.quality_verdicts(docs_of(spark, texts)).collect()}

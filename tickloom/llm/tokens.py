@@ -19,8 +19,18 @@ from .common import map_rows, text_bytes
 
 # The white space of the vocabulary's pattern.
 SPACE = r"\t-\r \x85\xa0  -     　"
+LETTER, NUMBER, OTHER = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}"), regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]+")
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-CACHE = 1_000_000
+#: Entries of a cache, bytes of the runs in it, and the longest run that is kept.
+CACHE, CACHE_BYTES, LONGEST_KEPT = 1_000_000, 1 << 26, 200
+
+
+def followers() -> frozenset[str]:
+    """Characters that may compose with the one before them although they are no combining marks."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x80, 0x20000))
+    second = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and not p[0].startswith("<")}
+    return frozenset(c for c in second if not unicodedata.combining(c)) | {chr(c) for a, b in ((0x1161, 0x1176), (0x11A7, 0x11C3)) for c in range(a, b)}
+
 
 
 def byte_symbols() -> list[str]:
@@ -58,6 +68,7 @@ class PrefixCounter:
         self.edges: dict[tuple, list] = {}
         self.joins: dict[tuple, bool] = {}
         self.pieces: dict[str, int] = {}
+        self.followers = followers()
         self.split_special = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
 
     def edge(self, token: str, side: int) -> list[tuple[str, int]]:
@@ -102,44 +113,51 @@ class PrefixCounter:
     def table(self, raw: str) -> tuple[list[str], list[int]]:
         """Last token and count of every prefix, open form."""
         last, count = [""], [0]
+        self.fill(raw, last, count, len(raw), True)
+        return last, count
+
+    def fill(self, raw: str, last: list[str], count: list[int], upto: int, whole: bool) -> None:
+        """Carry a table on to `upto` symbols; `whole` if raw starts where its piece does."""
         known, joins, longest = self.open, self.joins, self.longest
-        for i in range(1, len(raw) + 1):
+        for i in range(len(last), upto + 1):
             for j in range(i - longest if i > longest else 0, i):
                 token = raw[j:i]
-                if token in known and (not j or (joins[pair] if (pair := (last[j], token)) in joins else self.fits(*pair))):
+                if token in known and (whole and not j or (joins[pair] if (pair := (last[j], token)) in joins else self.fits(*pair))):
                     last.append(token)
                     count.append(count[j] + 1)
                     break
-        return last, count
 
-    def closed_count(self, raw: str, n: int, table: tuple[list[str], list[int]]) -> int:
+    def closed_count(self, raw: str, n: int, table: tuple[list[str], list[int]], whole: bool = True) -> int:
         """Tokens of raw[:n] where the piece ends there."""
         last, count = table
         for j in range(max(0, n - self.longest), n):
             token = raw[j:n]
-            if token in self.closed and (not j or self.fits(last[j], token + self.end)):
+            if token in self.closed and (whole and not j or self.fits(last[j], token + self.end)):
                 return count[j] + 1
         raise ValueError("a byte is missing from the vocabulary")
 
+    def closed_with(self, raw: str, n: int, table: tuple[list[str], list[int]], more: str) -> int:
+        """Tokens of raw[:n] + more where the piece ends there, from the table of raw: only its last entries are looked at."""
+        lo = max(0, n - self.longest)
+        text, last, count = raw[lo:n] + more, table[0][lo : n + 1], table[1][lo : n + 1]
+        self.fill(text, last, count, len(text) - 1, not lo)
+        return self.closed_count(text, len(text), (last, count), not lo)
+
     def symbols_of(self, piece: str) -> str:
         return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.symbols)
 
     def piece_count(self, piece: str) -> int:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) > CACHE:
-                self.pieces.clear()
             raw = self.symbols_of(piece)
             # A token of the vocabulary is its own encoding; other pieces need their last symbol closed only.
-            found = self.pieces[piece] = 1 if raw in self.closed else self.closed_count(raw, len(raw), self.table(raw[:-1]))
+            found = 1 if raw in self.closed else self.closed_count(raw, len(raw), self.table(raw[:-1]))
+            if len(piece) <= LONGEST_KEPT:
+                if len(self.pieces) > CACHE:
+                    self.pieces.clear()
+                self.pieces[piece] = found
         return found
 
-    def prefix_counts(self, piece: str) -> list[int]:
-        """counts[i]: tokens of the first i characters of a piece, for every i."""
-        raw = self.symbols_of(piece)
-        table, ends = self.table(raw), accumulate(len(c.encode()) for c in piece)
-        return [0, *(self.closed_count(raw, n, table) for n in ends)]
-
     def normal(self, word: str) -> str:
         """Composed and in lower case, character by character."""
         if word.isascii():
@@ -147,35 +165,90 @@ class PrefixCounter:
         word = unicodedata.normalize("NFC", word)
         return word.lower() if "Σ" not in word else "".join(c.lower() for c in word)
 
+    def plain_count(self, normal: str) -> int:
+        return sum(self.piece_count(p) for p in PIECE.findall(normal))
+
     def word_count(self, word: str) -> int:
         """Tokens of a run without ASCII white space; a special string inside counts as one."""
         parts = self.split_special.split(word)
-        plain = sum(self.piece_count(p) for part in parts for p in PIECE.findall(self.normal(part)))
-        return plain + len(parts) - 1
+        return sum(self.plain_count(self.normal(part)) for part in parts) + len(parts) - 1
 
     def word_prefixes(self, word: str) -> list[int]:
-        """Tokens of each prefix of a run, by characters."""
-        if word.isascii() and "'" not in word and "<|" not in word:  # pieces of a prefix are prefixes of pieces
-            done, out = 0, [0]
-            for piece in PIECE.findall(self.normal(word)):
-                inner = self.prefix_counts(piece)
-                out += [done + n for n in inner[1:]]
-                done += inner[-1]
-            return out if len(out) == len(word) + 1 else [self.word_count(word[:i]) for i in range(len(word) + 1)]
-        return [self.word_count(word[:i]) for i in range(len(word) + 1)]
+        """Tokens of each prefix of a run, by characters. A special string that is cut is plain text."""
+        out, done, at = [0], 0, 0
+        for m in self.split_special.finditer(word):
+            inner = self.plain_prefixes(word[at : m.end() - 1])
+            out += [done + n for n in inner[1:]]
+            done += inner[m.start() - at] + 1
+            out.append(done)
+            at = m.end()
+        return out + [done + n for n in self.plain_prefixes(word[at:])[1:]]
+
+    def plain_prefixes(self, word: str) -> list[int]:
+        """Tokens of each prefix of a run without special strings, in time linear in its length.
+
+        The run is cut in clusters that compose each on its own, so a cut
+        between clusters is a cut of the normal form, and the table of the
+        piece it falls in has the answer. A cut inside a cluster takes that
+        table on by what the part of the cluster is alone. Contractions look
+        ahead, so around an apostrophe the last few characters are taken anew.
+        """
+        if not word:
+            return [0]
+        starts = range(len(word)) if word.isascii() else [i for i, c in enumerate(word) if not i or not unicodedata.combining(c) and c not in self.followers]
+        clusters = [word[a:b] for a, b in zip(starts, [*starts[1:], len(word)], strict=True)]
+        normals = [self.normal(c) for c in clusters]
+        text = "".join(normals)
+        out, done, k, at = [0], 0, 0, 0  # tokens before the piece in work, its number, where the next cluster begins in text
+        spans = [*([m.span() for m in PIECE.finditer(text)] or [(0, 0)]), (len(text), len(text))]
+        work: dict[int, tuple] = {}  # symbols, table and places of the piece in work
+
+        def upto(n: int, x: str) -> int:
+            """Tokens of text[:n] + x; n never falls."""
+            nonlocal k, done
+            while spans[k + 1][0] < n:
+                done += self.piece_count(text[spans[k][0] : spans[k][1]])
+                work.clear()
+                k += 1
+            for j in range(max(0, k - 2), k + 1):
+                s = spans[j][0]
+                if n - 3 <= s < n and text[s] == "'":
+                    return done - sum(self.piece_count(text[a:b]) for a, b in spans[j:k]) + self.plain_count(text[s:n] + x)
+            s, e = spans[k]
+            if n <= s or s == e:
+                return done + self.plain_count(x)
+            kind = next((c for c in (LETTER, OTHER) if c.match(text[s])), None)
+            more = m[0] if n <= e and kind and (m := kind.match(x)) else ""
+            if s not in work:
+                raw = self.symbols_of(text[s:e])
+                work[s] = raw, self.table(raw), [0, *accumulate(len(c.encode()) for c in text[s:e])]
+            raw, table, ends = work[s]
+            at = ends[min(n, e) - s]
+            joined = self.closed_with(raw, at, table, self.symbols_of(more)) if more else self.closed_count(raw, at, table)
+            return done + joined + self.plain_count(x[len(more) :])
+
+        for raw, normal in zip(clusters, normals, strict=True):
+            out += [upto(at, self.normal(raw[:i])) for i in range(1, len(raw))]
+            at += len(normal)
+            out.append(upto(at, ""))
+        return out
 
 
 class WordCounts(dict):
-    """Tokens of runs as UTF-8 bytes, filled on first use and kept below a bound."""
+    """Tokens of runs as UTF-8 bytes, filled on first use and kept below a bound of entries and bytes; long runs aren't kept."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
-        self.counter = counter
+        self.counter, self.held = counter, 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = n = self.counter.word_count(word.decode())
+        n = self.counter.word_count(word.decode())
+        if len(word) <= LONGEST_KEPT:
+            if len(self) > CACHE or self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[word] = n
+            self.held += len(word)
         return n
 
 
@@ -215,8 +288,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     non-space characters, so that any later budget is answered from it.
     Counts are those of the vocabulary's own library, without begin, end or
     padding; special strings inside a text are one token each. Null is an
-    empty text with no tokens. Runs over 1,000 characters are counted but
-    not kept.
+    empty text with no tokens. What a worker keeps of runs it has counted is
+    bounded in entries and bytes. Time is linear in a text, also in one
+    without any space.
     """
 
     def start():
