@@ -28,7 +28,8 @@ def source_targets(sources: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, s
     what it can't take goes to the others by weight, until none is above.
     Sources in order of cap / weight are full first, so the full ones are a
     prefix and one running sum finds the level; no iteration is needed. The
-    two windows without partition run over one row per source.
+    windows without partition run over one row per source, in one task: they
+    are meant for up to some millions of sources.
     An empty table gives an empty table, a source of size 0 the target 0.
     """
     by_name, by_level = W.orderBy(F.asc_nulls_last("source")), W.orderBy("fill", F.asc_nulls_last("source"))
@@ -51,10 +52,14 @@ def source_targets(sources: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, s
     return s.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _draw(seed: int, id_col: str) -> Column:
+def _row_id(id_col: str, text_col: str) -> Column:
+    """The id as text; without one the text's digest, so that rows without id are drawn apart."""
+    return F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(text_or_empty(text_col).cast("binary"))))
+
+
+def _draw(seed: int, row_id: Column) -> Column:
     """60 seeded bits from the id; the same in every run and engine."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), row_id)), 1, 15), 16, 10).cast("long")
 
 
 def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -67,14 +72,15 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, share:
     the band where the target is crossed is ordered. After that each row
     decides for itself by comparing its draw with its source's cut.
 
-    Null text: size 0. Null source: a source of its own. Null id: draw of an
-    empty id. Equal ids share one draw and are taken together. Columns of
-    `docs` that are named like an added one are replaced.
+    Null text: size 0. Null source: a source of its own. Null id: drawn by
+    its text. Equal ids share one draw and are taken together. Columns of
+    `docs` that are named like an added one are replaced; other columns may
+    have any name.
     """
     added = ["size", "source_size", "target", "repeats", "taken"]
     keep = [F.col(c) for c in docs.columns if c not in added]
-    row_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    sized = checkpointed(docs.select(F.col(source_col).alias("source"), row_id.alias("id"), word_count(text_col).alias("size"), _draw(seed, id_col).alias("draw")).withColumn("band", F.shiftright("draw", 48)))
+    row_id = _row_id(id_col, text_col)
+    sized = checkpointed(docs.select(F.col(source_col).alias("source"), row_id.alias("id"), word_count(text_col).alias("size"), _draw(seed, row_id).alias("draw")).withColumn("band", F.shiftright("draw", 48)))
 
     bands = sized.groupBy("source", "band").agg(F.sum("size").alias("band_size"))
     targets = source_targets(bands.groupBy("source").agg(F.sum("band_size").alias("source_size")), weights, max_epochs, share)
@@ -97,15 +103,19 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, share:
         .groupBy("t_source", "cut_band")
         .agg(F.max(F.when(F.col("in"), F.struct("draw", "id"))).alias("cut"))
     )
+    own = "plan"
+    while own in docs.columns:
+        own += "_"
     plan = checkpointed(targets.join(cuts, F.col("source").eqNullSafe(F.col("t_source")), "left").select(
-        F.col("source").alias("p_source"), "source_size", "target", "whole", "cut_band", "cut"
+        F.struct("source", "source_size", "target", "whole", "cut_band", "cut").alias(own)
     ))
 
-    if plan.count() <= MOST_BROADCAST:  # a few numbers a source; beyond, the join is shuffled
+    if plan.count() <= MOST_BROADCAST:  # a few numbers a source; beyond, the join is shuffled, and adaptive execution splits hot sources
         plan = F.broadcast(plan)
-    size, draw = word_count(text_col), _draw(seed, id_col)
+    p = F.col(own)
+    size, draw = word_count(text_col), _draw(seed, row_id)
     band = F.shiftright(draw, 48)
-    extra = F.coalesce((band < F.col("cut_band")) | ((band == F.col("cut_band")) & (F.struct(draw.alias("draw"), row_id.alias("id")) <= F.col("cut"))), F.lit(False))
-    rows = docs.select(*keep).join(plan, F.col(source_col).eqNullSafe(F.col("p_source")), "left")
-    rows = rows.withColumn("size", size).withColumn("repeats", F.col("whole") + extra.cast("long"))
+    extra = F.coalesce((band < p["cut_band"]) | ((band == p["cut_band"]) & (F.struct(draw.alias("draw"), row_id.alias("id")) <= p["cut"])), F.lit(False))
+    rows = docs.join(plan, F.col(source_col).eqNullSafe(p["source"]), "left")
+    rows = rows.select(*keep, p["source_size"].alias("source_size"), p["target"].alias("target"), size.alias("size"), (p["whole"] + extra.cast("long")).alias("repeats"))
     return rows.select(*keep, "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))

@@ -5,7 +5,7 @@ ORACLES: dict[str, str] = {}
 ORACLES["op1_mixing"] = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-         ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, '')), 1, 15))::bigint as draw
+         ('0x' || substr(md5('7:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))), 1, 15))::bigint as draw
   from documents
 ), s as (
   select source, sum(size)::bigint as source_size,
