@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 BITS_PER_URL, WORDS = 16, 4
+#: Blocks up to which the filter is broadcast: 40 MB, for 16 million listed urls.
+MOST_BLOCKS = 1_000_000
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -41,26 +45,24 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
     )
 
 
-def listed_keys(keys: DataFrame, listed: DataFrame) -> DataFrame:
-    """The distinct `key`s of `keys` that `listed` has: Bloom blocks pass possible hits, an exact join keeps the true ones.
+def split_by_filter(rows: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` whose `key` may be among the keys of `listed`, and all others, which is decided without shuffling a row.
 
-    Blocks and listed keys are joined on block and key, never broadcast by
-    hand: Spark picks the join from their sizes. Null keys are not listed.
+    Up to MOST_BLOCKS blocks, 5 longs each, the filter is sent to every task;
+    a longer one is joined by block, which spreads keys evenly. A null or
+    empty key is never listed.
     """
-    listed = listed.where(F.col("key").isNotNull()).distinct()
     n_blocks = max(1, -(-listed.count() * BITS_PER_URL // (64 * WORDS)))
-    key = F.col("key")
+    blocks = checkpointed(bloom_blocks(listed, n_blocks).select(F.struct("block", *[f"w{i}" for i in range(WORDS)]).alias("bloom")))
+    if n_blocks <= MOST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    key, bloom = F.col("key"), F.col("bloom")
     hit = F.lit(True)
     for i in range(WORDS):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(_bit(key, i)) != 0)
-    possible = (
-        keys.select("key").where(key.isNotNull()).distinct()
-        .withColumn("block", F.pmod(F.xxhash64(key), F.lit(n_blocks)))
-        .join(bloom_blocks(listed, n_blocks), "block")
-        .where(hit)
-        .select("key")
-    )
-    return possible.join(listed, "key", "left_semi")
+        hit = hit & (bloom[f"w{i}"].bitwiseAND(_bit(key, i)) != 0)
+    asked = (key != "") & (F.pmod(F.xxhash64(key), F.lit(n_blocks)) == bloom["block"])
+    probed = rows.join(blocks, asked, "left").withColumn("possible", F.coalesce(hit, F.lit(False)))
+    return probed.where("possible").select(rows.columns), probed.where("not possible").select(rows.columns)
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -76,10 +78,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), canonical_url(F.col(url_col)).alias("key"))
     listed = listed.select(canonical_url(F.col("url")).alias("key")).where(F.col("key") != "")
-    known = listed_keys(rows, listed).withColumn("is_listed", F.lit(True))
+    listed = checkpointed(listed.distinct())
+    possible, others = split_by_filter(rows, listed)
+    exact = possible.join(listed.withColumn("is_listed", F.lit(True)), "key", "left")
+    rows = exact.select(*rows.columns, "is_listed").unionByName(others.withColumn("is_listed", F.lit(None).cast("boolean")))
     rule, act = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, r_host, r_path in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the longest is asked first
         fits = ((F.col("host") == r_host) | F.col("host").endswith(f".{r_host}")) & F.col("path").startswith(r_path)
         rule, act = F.when(fits, F.lit(r_host + r_path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(act)
     own = F.when(F.col("is_listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(known, "key", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(act, own).alias("verdict"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(act, own).alias("verdict"))
