@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_rows, text_bytes
+from .common import Scratch, map_batches, map_rows, text_bytes
 
 # Look-alike letters and digits that stand for letters.
 HOMOGLYPHS = {
@@ -116,15 +116,18 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, max_words: int = 500, min_texts: int = 5, min_ratio: float = 6.0) -> Lexicon:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 20_000, min_texts: int = 5, min_ratio: float = 6.0, sure: float = 2.0) -> Lexicon:
     """Fit on at most `max_rows` labelled rows that are not held out, picked by a hash of their id.
 
-    A word is listed if at least `min_texts` toxic texts and at least 2 % of
-    them hold it, and its share among toxic texts is `min_ratio` times that
-    among others; its weight is the logarithm of that ratio. Words are
-    counted by Spark; what comes to the driver is bounded by `max_words` and
-    `max_rows` rows of two numbers. Without toxic or without other labels
-    nothing is learned and every score is low.
+    A word is listed if at least `min_texts` toxic texts hold it (2 where
+    there are fewer than 20 toxic texts) and its share among toxic texts is
+    at least `min_ratio` times that among others, still so when the logarithm
+    of the ratio is taken `sure` standard errors lower than the square root
+    of `min_ratio` asks; its weight is that logarithm. Words are counted by
+    Spark. What comes to the driver are the listed words and two numbers for
+    each of the `max_rows` rows at most: of rows that share an id one is
+    taken, the least text. Without toxic or without other labels nothing is
+    learned and every score is low.
     """
     chosen = (
         labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id"))
@@ -132,26 +135,25 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t")).join(F.broadcast(chosen), "doc_id")  # at most max_rows pairs of numbers
+    rows = Scratch(docs.sparkSession, "labelled").table(rows.groupBy("doc_id", "toxic").agg(F.min("t").alias("t")).select("doc_id", "t", "toxic"))
 
     def words():
         def row(doc_id, t, toxic):
             for w in set(fold(t).split()):
-                if 2 < len(w) <= 40:
-                    yield w, toxic
+                yield w, toxic
 
         return row
 
-    n = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
     counted = map_rows(rows, words, "w string, toxic int").groupBy("w").agg(F.sum("toxic").alias("x"), F.count("*").alias("n"))
-    ratio = ((F.col("x") + 0.5) / (toxic + 1)) / ((F.col("n") - F.col("x") + 0.5) / (clean + 1))
-    top = (
-        counted.where((F.col("x") >= max(min_texts if toxic >= 20 else 2, 0.02 * toxic)) & (ratio >= min_ratio))
-        .select("w", F.log(ratio).alias("weight")).orderBy(F.desc("weight"), "w").limit(max_words)
-    )
-    lexicon = Lexicon({r["w"]: r["weight"] for r in top.collect()})
+    x, y = F.col("x") + 0.5, F.col("n") - F.col("x") + 0.5
+    weight = F.log((x / (toxic + 1)) / (y / (clean + 1)))
+    listed = (weight >= float(np.log(min_ratio))) & (weight - sure * F.sqrt(1 / x + 1 / y) >= float(np.log(min_ratio)) / 2)
+    found = counted.where((F.col("x") >= (min_texts if toxic >= 20 else 2)) & listed).select("w", weight.alias("weight")).orderBy("w")
+    lexicon = Lexicon({r["w"]: r["weight"] for r in found.collect()})
 
     def weigh():
         def row(doc_id, t, toxic):
