@@ -8,17 +8,15 @@ compared word by word.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_batches, map_rows, text_bytes
+from .common import Scratch, map_batches, map_rows, text_bytes
 
 #: Any byte to the byte that words are made of, or to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: The benchmark is a stated query set, asked in blocks of about so many words; one block's terms fit in every task.
-BLOCK_WORDS = 2_000_000
+#: The benchmark is a stated query set, asked in blocks of about so many words; the driver and each task hold one block's terms, never more.
+BLOCK_WORDS = 1_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -83,81 +81,84 @@ def proximity_matches(index: DataFrame, first: bytes, second: bytes, within: int
 
 
 def alignments(index: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, item, shift, at): posting lists less the term's place in the item; `at` are the item's places found on one alignment."""
-    hits = index.join(places, "term").select("doc_id", "item", "place", F.explode("positions").alias("p"))
-    return hits.groupBy("doc_id", "item", (F.col("p") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("at"))
-
+    """(doc_id, item, shift, at): posting lists less the term's place in the item.
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    rows = checkpointed(benchmark.select(F.col(id_col).cast("string").alias("item"), text_bytes(text_col).alias("t")).where(F.length("t") > 0))
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = -(-total // (4 * BLOCK_WORDS)) or 1
-    for k in range(n):
-        yield {i: w for i, w in enumerate((r["item"], words_of(bytes(r["t"]))) for r in rows.where(F.pmod(F.xxhash64("item", "t"), F.lit(n)) == k).collect())}
+    `at` are the item's places found on one alignment: two at least, or one
+    in items of which a window has a single place.
+    """
+    hits = index.join(places, "term").select("doc_id", "item", "place", "need", F.explode("positions").alias("p"))
+    found = hits.groupBy("doc_id", "item", (F.col("p") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("at"), F.min("need").alias("need"))
+    return found.where(F.size("at") >= F.col("need")).drop("need")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(row, doc_id, n_words, hit_runs, items) for every row of `docs` with its whole text.
+    """(doc_id, th, n_words, hit_runs, items) for every row of `docs` with its whole text.
 
     A window is `size` consecutive words of an item, or all of a shorter
     one. `hit_runs` are the maximal runs [start, end) of document words
     inside any occurrence of a window, `items` the sorted ids, as strings,
     of the items with occurring windows. Null and empty texts have no words;
     a null id is an id like others. Rows that share an id are compared each
-    by its own text. A null item id counts as an empty one.
+    by its own text, whose hash is `th`. A null item id counts as an empty
+    one. Other columns of both tables play no part.
+
+    Each block of the benchmark asks the documents for its terms' counts and
+    for the postings of its windows' rarest terms. Items stay a table: what
+    aligns is joined with its item's text by key and compared there.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), text_bytes(text_col).alias("t"))
+    scratch = Scratch(docs.sparkSession, "decontam")
+    t = text_bytes(text_col)
+    d = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("t"))
+    name = F.coalesce(F.col(item_col).cast("string"), F.lit(""))
+    items = benchmark.select(name.alias("name"), text_bytes(item_text_col).alias("item_t")).where(F.length("item_t") > 0)
+    items = scratch.table(items.distinct().withColumn("item", F.xxhash64("name", "item_t")))
+    n_blocks = -(-(items.agg(F.sum(F.length("item_t"))).first()[0] or 0) // (4 * BLOCK_WORDS))
     found = None
-    texts: list[tuple[str, list[bytes]]] = []
-    spark = docs.sparkSession
-    for block in _blocks(benchmark, item_col, item_text_col):
-        items = {i: w for i, (_, w) in block.items() if w}
-        base = len(texts)
-        texts += [block[i] for i in sorted(block)]
-        if not items:
+    for k in range(n_blocks):
+        rows = items.where(F.pmod("item", F.lit(n_blocks)) == k).select("item", "item_t").collect()  # one block
+        block = {r["item"]: w for r in rows if (w := words_of(bytes(r["item_t"])))}
+        if not block:
             continue
-        terms = {w for words in items.values() for w in words}
+        terms = {w for words in block.values() for w in words}
         counts = {bytes(r["term"]): r["n"] for r in term_counts(d, terms).collect()}  # at most the block's terms
-        asked = rare_terms(items, counts, size)
-        places = {(items[i][p], base + i, p) for i, windows in asked.items() for w in windows for p in w if all(counts.get(items[i][q]) for q in w)}
+        asked = rare_terms(block, counts, size)
+        need = {i: 1 if any(len(set(w)) == 1 for w in windows) else 2 for i, windows in asked.items()}
+        places = {(block[i][p], i, p) for i, windows in asked.items() for w in windows for p in w if all(counts.get(block[i][q]) for q in w)}
         if not places:
             continue
-        rows = spark.createDataFrame([(bytearray(t), i, p) for t, i, p in sorted(places)], "term binary, item int, place int")
-        hits = alignments(postings(d, {t for t, _, _ in places}), rows)
-        pairs = {base + i: {tuple(sorted(w)) for w in windows} for i, windows in asked.items()}
-        together = F.size("at") >= F.when(F.col("item").isin([i for i, w in pairs.items() if any(len(set(p)) == 1 for p in w)]), 1).otherwise(2)
-        hits = hits.where(together).select("doc_id", F.struct("item", "shift", "at").alias("h"))
+        table = docs.sparkSession.createDataFrame([(bytearray(w), i, p, need[i]) for w, i, p in sorted(places)], "term binary, item long, place int, need int")
+        hits = alignments(postings(d, {w for w, _, _ in places}), table)
         found = hits if found is None else found.unionByName(hits)
-    names = [name or "" for name, _ in texts]
-    item_words = [w for _, w in texts]
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def start():
-        def row(doc_id, t, hits):
+        def row(doc_id, th, t, hits):
             words = words_of(t)
-            runs, items = [], set()
+            runs, names = [], set()
             for h in hits or ():
-                item, shift, at = item_words[h["item"]], h["shift"], sorted(h["at"])
+                item = words_of(h["item_t"])
                 n = min(size, len(item))
-                done = -1
-                for a in at:
-                    for s in range(max(0, a - n + 1, done + 1), min(a, len(item) - n) + 1):
-                        done = s
-                        i = shift + s
-                        if i >= 0 and words[i : i + n] == item[s : s + n]:
-                            runs.append((i, i + n))
-                            items.add(names[h["item"]])
-            yield doc_id, len(words), [list(r) for r in joined(runs)], sorted(items)
+                for x in h["places"]:
+                    shift, done = x["shift"], -1
+                    for a in sorted(x["at"]):
+                        for s in range(max(0, a - n + 1, done + 1), min(a, len(item) - n) + 1):
+                            done = s
+                            i = shift + s
+                            if i >= 0 and words[i : i + n] == item[s : s + n]:
+                                runs.append((i, i + n))
+                                names.add(h["name"])
+            yield doc_id, th, len(words), [list(r) for r in joined(runs)], sorted(names)
 
         return row
 
-    schema = f"doc_id {kind}, n_words long, hit_runs array<array<int>>, items array<string>"
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, th long, n_words long, hit_runs array<array<int>>, items array<string>"
     if found is None:
-        rows = d.withColumn("hits", F.lit(None).cast("array<struct<item:int,shift:int,at:array<int>>>"))
+        rows = d.withColumn("hits", F.lit(None).cast("array<struct<name:string,item_t:binary,places:array<struct<shift:int,at:array<int>>>>>"))
     else:
-        per_doc = found.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set("h").alias("hits"))
-        rows = d.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "t", "hits")
-    return map_rows(rows, start, schema)
+        per_item = scratch.table(found.groupBy("doc_id", "item").agg(F.collect_set(F.struct("shift", "at")).alias("places")))
+        with_text = per_item.join(items, "item").select(F.col("doc_id").alias("hit_id"), F.struct("name", "item_t", "places").alias("h"))
+        per_doc = with_text.groupBy("hit_id").agg(F.collect_list("h").alias("hits"))
+        rows = d.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    return map_rows(rows.select("doc_id", "th", "t", "hits"), start, schema)
 
 
 def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -176,30 +177,13 @@ def run_words():
     return F.aggregate("hit_runs", F.lit(0).cast("long"), lambda a, r: a + r[1] - r[0])
 
 
-def brute_force(doc: bytes, items: dict[str, bytes], size: int = 10) -> tuple[int, int, list[str]]:
-    """n_words, n_hit and items by comparing every window with every place; for tests."""
-    words, hit, found = words_of(doc), set(), []
-    for name, text in items.items():
-        item = words_of(text)
-        windows = {tuple(item[s : s + size]) for s in window_starts(len(item), size)}
-        n = min(size, len(item))
-        at = [i for i in range(len(words) - n + 1) if n and tuple(words[i : i + n]) in windows]
-        if at:
-            found.append(name)
-            hit.update(x for i in at for x in range(i, i + n))
-    return len(words), len(hit), sorted(found)
-
-
 def items_digest(column: str = "items"):
     return F.sha2(F.array_join(column, ","), 256)
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with their columns, whose id has no text with a benchmark window."""
+    """The rows of `docs`, with their columns, whose text has no benchmark window. Rows that share an id are judged each by its own text."""
     found = find_contamination(docs, benchmark, size, id_col, text_col)
-    ids = found.where(F.size("items") > 0).select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_hit_id")), "left_anti")
+    hit = found.where(F.size("items") > 0).select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_hash")).distinct()
+    same = docs[id_col].eqNullSafe(hit["_hit_id"]) & (F.xxhash64(text_bytes(text_col)) == hit["_hit_hash"])
+    return docs.join(hit, same, "left_anti")
