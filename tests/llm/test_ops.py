@@ -62,7 +62,7 @@ def water(sizes, weights, share=1.0, cap=3):
             return got
 
 
-def test_mixing(spark):
+def test_mixing(spark, monkeypatch):
     r = random.Random(3)
     rows = [(i, " ".join("w" * r.randint(1, 4) for _ in range(r.randint(0, 30))), r.choice(["a", "b", "c", "d", None]), 0) for i in range(400)]
     rows += [(None, "x y", "tiny", 0), (7, None, "tiny", 0), (8, None, "none", 0)]
@@ -82,6 +82,25 @@ def test_mixing(spark):
         assert abs(taken[s] - want[s]) <= 30
     again = mixing.mix_sources(d.repartition(7)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)  # as with very many sources
+    far = mixing.mix_sources(d).collect()
+    assert sorted(map(str, got)) == sorted(map(str, far))
+
+
+@pytest.mark.parametrize("name", ["whole", "cut", "cut_band", "p_source", "t_source", "plan", "need", "band", "draw", "id", "source_size", "target", "repeats", "taken", "upto"])
+def test_mixing_with_clashing_names(spark, name):
+    d = spark.createDataFrame([(i, "a b c", f"s{i % 2}", "x") for i in range(20)], f"doc_id long, text string, source string, {name} string")
+    got = mixing.mix_sources(d)
+    assert got.count() == 20 and got.agg(F.sum("taken")).first()[0] == 60
+    assert {"doc_id", "text", "source", "size", "source_size", "target", "repeats", "taken", name} == set(got.columns)
+
+
+def test_mixing_rows_without_id(spark):
+    """Rows without an id are drawn apart, so their source meets its target."""
+    d = spark.createDataFrame([(None, f"w{i} x y", "a" if i < 300 else "b") for i in range(400)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(d)
+    for r in got.groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("n")).collect():
+        assert abs(r["t"] - r["n"]) <= 3
 
 
 def test_tokens(spark):
@@ -284,12 +303,24 @@ def test_decontamination(spark):
     got = decontam.find_contamination(docs_of(spark, texts).withColumn("hits", F.lit(1)), b).select("doc_id", "n_words", decontam.run_words().alias("n_hit"), "items").collect()
     for x in got:
         t = (texts[x["doc_id"]] or "").encode()
-        assert (x["n_words"], x["n_hit"], list(x["items"])) == decontam.brute_force(t, items)
+        assert (x["n_words"], x["n_hit"], list(x["items"])) == brute.decontamination(t, items)
     assert len(got) == len(texts)
     clean = {x["doc_id"] for x in got if not x["items"]}
     assert {x["doc_id"] for x in decontam.drop_contaminated(docs_of(spark, texts), b).collect()} == clean
 
 
+def test_contamination_of_rows_with_one_id(spark):
+    """A clean row stays although its id has a contaminated twin; a very frequent one-word item and extra columns do no harm."""
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, f"x {item} y", 0), (1, "nothing of that kind", 0), (None, item, 0), (None, "the end", 0), (2, None, 0)]
+    b = spark.createDataFrame([(1, item, 0), (2, "zzz", 0), (3, "", 0), (4, item, 0)], "item_id long, text string, item int")
+    d = spark.createDataFrame(rows, "doc_id long, text string, th int")
+    assert sorted(str(x["text"]) for x in decontam.drop_contaminated(d, b).collect()) == ["None", "nothing of that kind", "the end"]
+    hot = spark.createDataFrame([(5, "the"), (6, "the the the the")], "item_id long, text string")
+    got = {x["text"]: x for x in decontam.find_contamination(d, hot).join(d.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("th")), "th").collect()}
+    assert got["the end"]["items"] == ["5"] and got[item]["items"] == []
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, bytearray(b"red fish blue fish")), (2, bytearray(b"blue one two three red"))], "doc_id long, t binary")
     index = decontam.postings(d, {b"red", b"blue"})
@@ -387,9 +418,22 @@ def test_urls(spark):
     assert urls.filter_urls(p.union(p), listed, rules).count() == 2 * len(rows)
 
 
-def test_bloom_has_no_false_negatives(spark):
-    k = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
-    assert urls.listed_keys(k, k.where("key like '%7'")).count() == k.where("key like '%7'").count()
+@pytest.mark.parametrize("most", [urls.MOST_BLOCKS, 0])
+def test_bloom_has_no_false_negatives(spark, monkeypatch, most):
+    monkeypatch.setattr(urls, "MOST_BLOCKS", most)
+    k = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key")).union(spark.createDataFrame([(None,), ("",)], "key string"))
+    listed = k.where("key like '%7'")
+    possible, others = urls.split_by_filter(k, listed)
+    assert possible.join(listed, "key", "left_semi").count() == listed.count() == 300
+    assert possible.count() < 400 and possible.count() + others.count() == 3002
+
+
+def test_urls_of_one_hot_host(spark):
+    """Two thirds of the rows are one listed url or none at all, and columns have names that the operator uses."""
+    rows = [(i, ["http://bad.org/p", None, f"http://h{i}.org/x"][i % 3], "k", 1) for i in range(300)]
+    p = spark.createDataFrame(rows, "page_id long, url string, key string, block int")
+    got = urls.filter_urls(p, spark.createDataFrame([("http://bad.org/p",)] * 3, "url string"), []).collect()
+    assert sorted((x["page_id"], x["verdict"]) for x in got) == [(i, "block" if i % 3 == 0 else "allow") for i in range(300)]
 
 
 def test_folding_and_phrases():
@@ -407,6 +451,31 @@ def test_signs_at_the_ends_of_words():
     assert toxicity.fold(b"455 $5 idiot! scum$$$ 2nd") == " idiot scum nd "
 
 
+def test_lexicon_against_a_plain_search():
+    """The automaton's hits are those of searching each listed word and phrase on its own."""
+    r = random.Random(3)
+    words = ["idiot", "scum", "of", "the", "pond", "clown", "fish", "nice", "ass"]
+    lex = toxicity.Lexicon({"idiot": 3.0, "scum": 2.0, "clown": 1.0, "ass": 0.5, "the": 0.25}, exceptions=("scum of the pond", "clown fish"))
+    for _ in range(300):
+        w = [r.choice(words) for _ in range(r.randint(0, 12))]
+        free = {i + j for e in lex.exceptions for i in range(len(w)) if w[i : i + len(e.split())] == e.split() for j in range(len(e.split()))}
+        want = sum(lex.weights.get(x, 0) for i, x in enumerate(w) if i not in free)
+        assert lex.weight_of(" ".join(w).upper().encode()) == (pytest.approx(want), len(w))
+
+
+def test_novel_strings_and_words(spark):
+    """Random mixed strings in a sensitive context are novel; words, identifiers and repeats are not."""
+    r = random.Random(4)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(chars) for _ in range(r.randint(20, 40))) for _ in range(100)]
+    keys = [k for k in keys if any(c.isdigit() for c in k)]
+    plain = ["get_set_is_has_to_of_in_on_1", "x" * 24 + "1", "application/json2application/json2", "configuration_settings_2"]
+    texts = [f"é the secret of the service is {k} and more" for k in [*keys, *plain]]
+    got = {x["doc_id"]: x for x in secrets.scan_secrets(docs_of(spark, texts)).collect()}
+    found = [got[i]["spans"] == [f"novel:{texts[i].index(k)}:{texts[i].index(k) + len(k)}"] for i, k in enumerate(keys)]
+    assert np.mean(found) > 0.95 and all(not got[len(keys) + i]["n_novel"] for i in range(len(plain)))
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     rows, labels = [], []

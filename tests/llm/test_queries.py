@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontam, queries
+import brute
+from tickloom.llm import queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,7 +52,7 @@ def test_pipeline(spark):
             assert out.columns == docs.columns
         seen[n] = docs = out
     items = {str(r["item_id"]): (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
-    hit = {r["doc_id"] for r in seen["near dedup"].collect() if decontam.brute_force((r["text"] or "").encode(), items)[2]}
+    hit = {r["doc_id"] for r in seen["near dedup"].collect() if brute.decontamination((r["text"] or "").encode(), items)[2]}
     assert {r["doc_id"] for r in seen["decontamination"].collect()} == {r["doc_id"] for r in seen["near dedup"].collect()} - hit
     assert docs.where("repeats < 1").count() == 0
     a = sorted(map(str, docs.select("doc_id", "repeats", "taken").collect()))
@@ -63,6 +64,11 @@ def test_pipeline_takes_odd_rows(spark):
 
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "a b " * 3000, "en", None, 1), (3, None, "en", "b", 1)], spark.read.parquet(f"{SF}/documents.parquet").schema)
     odd = odd.withColumn("taken_by", F.lit("x"))
+    odd = odd.withColumn("whole", F.lit("y")).withColumn("th", F.lit(1)).withColumn("_lines_gone", F.lit(1))
+    kept = []
     for _, stage in p.STAGES:
         odd = stage(spark, odd, SF)
-    assert odd.count() >= 0
+        kept.append(sorted(str((r["doc_id"], len(r["text"] or ""))) for r in odd.collect()))
+        assert {"taken_by", "whole", "th", "_lines_gone"} <= set(odd.columns)
+    rows = sorted(str(x) for x in [(None, 0), (1, 0), (1, 0), (2, 12000), (3, 0)])
+    assert kept[:4] == [rows] * 4 and "(2, 12000)" in kept[4] and set(kept[4]) <= set(rows)

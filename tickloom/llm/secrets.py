@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import zstandard
@@ -85,6 +84,17 @@ def novel_matches(text: bytes, taken: list[tuple[int, int, int]], novelty: Novel
     return out
 
 
+def code_points(text: bytes, places: list[int]) -> dict[int, int]:
+    """Byte places to code points, in one walk over the text; `places` rise."""
+    if text.isascii():
+        return {i: i for i in places}
+    out, at, n = {}, 0, 0
+    for i in places:
+        n += len(text[at:i].decode())
+        out[i], at = n, i
+    return out
+
+
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.70, window: int = 64) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans) for every whole text.
 
@@ -101,8 +111,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def row(doc_id, text):
             base = sorted(base_matches(text))
             every = sorted(base + novel_matches(text, base, novelty, least, window))
-            at = (lambda i: i) if text.isascii() else (lambda i: len(text[:i].decode()))
-            name = lambda x: f"{KINDS[x[1]]}:{at(x[0])}:{at(x[2])}"
+            at = code_points(text, sorted({i for x in every for i in (x[0], x[2])}))
+            name = lambda x: f"{KINDS[x[1]]}:{at[x[0]]}:{at[x[2]]}"
             n = [sum(x[1] == k for x in every) for k in range(4)]
             yield (doc_id, *n, [name(x) for x in base], [name(x) for x in every])
 
@@ -117,6 +127,3 @@ def span_digest(column: str):
     """SHA-256 of the comma-joined spans."""
     return F.sha2(F.array_join(column, ","), 256)
 
-
-def digest(spans: list[str]) -> str:
-    return hashlib.sha256(",".join(spans).encode()).hexdigest()
