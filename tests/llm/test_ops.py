@@ -186,6 +186,15 @@ def test_divergence(spark):
         assert got[x["doc_id"]]["class_distance"] == pytest.approx(np.sqrt((kl(c) + kl(q)) / 2))
 
 
+def test_quality_of_rare_languages(spark):
+    """A language with few texts is no reference for itself; a null language, repeated ids and clashing columns are taken."""
+    rows = [(1, "@@ == ^^ ~~ " * 10 + "QRST " * 10, "xx", "c"), (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu", None, "c"), (None, None, None, "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, words string")
+    got = {x["n_words"]: x for x in quality.quality_verdicts(d).collect()}
+    assert set(got) == {50, 12, 0} and all(x["class_distance"] is None and x["word_distance"] is None for x in got.values())
+    assert got[12]["kept"] and not got[0]["kept"]
+
+
 def edit(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a):

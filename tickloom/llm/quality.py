@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, let, text_or_empty
+from .common import WORD, Scratch, let, text_or_empty
 
 # Common words of each language whose use is compared.
 COMMON_WORDS = {
@@ -39,13 +39,14 @@ def repeat_words(words: Column) -> Column:
                 before = F.when(i > 0, F.get(pairs, i - 1)["g"] == x["g"]).otherwise(F.lit(False))
                 return before | F.coalesce(F.get(pairs, i + 1)["g"] == x["g"], F.lit(False))
 
-            return F.array_sort(F.transform(F.filter(pairs, twice), lambda x: x["i"]))
+            return F.sort_array(F.transform(F.filter(pairs, twice), lambda x: x["i"]))
 
-        pairs = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
         steps = let(let(pairs, by_gram), lambda p: F.transform(p, lambda x, i: F.coalesce(F.least(F.lit(5), F.get(p, i + 1) - x), F.lit(5))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - 4), lambda i: F.xxhash64(F.slice(words, i, 5)))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))  # each word is hashed once, not once a window
+    grams = let(hashes, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)])))
     found = let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(covered(g)))
     return F.when(F.size(words) >= 6, found).otherwise(F.lit(0)).cast("long")
 
@@ -59,7 +60,7 @@ def word_runs(words: Column) -> Column:
         return let(ends, lambda e: F.transform(e, lambda x, k: F.struct(F.get(c, x - 1).alias("w"), (x - F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0))).cast("long").alias("n"))))
 
     empty = F.array().cast("array<struct<w:string,n:bigint>>")
-    return let(F.array_sort(common), lambda c: F.when(F.size(c) > 0, runs(c)).otherwise(empty))
+    return let(F.sort_array(common), lambda c: F.when(F.size(c) > 0, runs(c)).otherwise(empty))
 
 
 def text_profile(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -91,10 +92,10 @@ def text_profile(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang"
 
 
 def language_references(profile: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_words, ref_n): shares over all texts of a language. One row per language."""
-    sums = profile.groupBy("lang").agg(*[F.sum(F.get("classes", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)])
+    """(lang, ref_texts, ref_classes, ref_words, ref_n): shares over all texts of a language. One row per language."""
+    sums = profile.groupBy("lang").agg(F.count("*").alias("ref_texts"), *[F.sum(F.get("classes", F.lit(i))).alias(c) for i, c in enumerate(CLASSES)])
     total = sum((F.col(c) for c in CLASSES), F.lit(0))
-    classes = sums.select("lang", F.array(*[F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0)) for c in CLASSES]).alias("ref_classes"))
+    classes = sums.select("lang", "ref_texts", F.array(*[F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0)) for c in CLASSES]).alias("ref_classes"))
     words = (
         profile.select("lang", F.explode("runs").alias("r"))
         .groupBy("lang", F.col("r.w").alias("w")).agg(F.sum("r.n").alias("n"))
@@ -110,26 +111,32 @@ def _half(p: Column, q: Column) -> Column:
     return (part(p) + part(q)) / 2
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", min_words: int = 20, min_common: int = 25, class_limit: float = 0.28, word_limit: float = 0.80) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", min_words: int = 20, min_common: int = 25, min_texts: int = 20, class_limit: float = 0.28, word_limit: float = 0.80) -> DataFrame:
     """One row per row of `docs`: base counts, both distances, base_failed and kept.
 
     Distances are square roots of the Jensen-Shannon divergence in bits from
     the shares over all texts of the row's language (null: a language of its
-    own). A text of fewer than `min_words` words is not judged by character
-    classes, and one with fewer than `min_common` common words, or in a
-    language with fewer, is not judged by words: its distance is null and
-    doesn't count against it. Null and empty texts have no words and fail
-    the base rule.
+    own). A text of fewer than `min_words` words, or in a language of fewer
+    than `min_texts` texts, is not judged by character classes, and one with
+    fewer than `min_common` common words, or in a language with fewer, is
+    not judged by words: its distance is null and doesn't count against it.
+    Null and empty texts have no words and fail the base rule. Rows that
+    share an id are judged each; other columns of `docs` play no part.
+
+    The references are a table of one small row per language, which Spark
+    sends to every task while it is below the session's broadcast size, and
+    beyond that joins with hot languages split.
     """
-    profile = checkpointed(text_profile(docs, id_col, lang_col, text_col))
-    d = profile.join(language_references(profile), "lang", "left")
+    scratch = Scratch(docs.sparkSession, "quality")
+    profile = scratch.table(text_profile(docs, id_col, lang_col, text_col))
+    d = profile.join(scratch.table(language_references(profile)), "lang", "left")
     d = d.withColumn("n_common", F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
     n_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     by_class = F.aggregate(F.zip_with(F.transform("classes", lambda x: x / n_chars), "ref_classes", _half), F.lit(0.0), lambda a, x: a + x)
     seen = F.transform("runs", lambda r: F.struct((r["n"] / F.col("n_common")).alias("p"), F.coalesce(F.try_element_at("ref_words", r["w"]), F.lit(0.0)).alias("q")))
     by_word = let(seen, lambda s: F.aggregate(s, F.lit(0.5), lambda a, x: a + _half(x["p"], x["q"]) - x["q"] / 2))
     root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
-    d = d.withColumn("class_distance", F.when(F.col("n_words") >= min_words, root(by_class)))
+    d = d.withColumn("class_distance", F.when((F.col("n_words") >= min_words) & (F.col("ref_texts") >= min_texts), root(by_class)))
     d = d.withColumn("word_distance", F.when((F.col("n_common") >= min_common) & (F.col("ref_n") >= min_common), root(by_word)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= class_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
