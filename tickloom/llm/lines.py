@@ -31,6 +31,8 @@ SEEN = 1 << 18
 FEW, WINNOWED, PER = 10, 40, 20
 #: n words less n / PER edits, in n / PER + 1 runs: one run has at least RUN words if n >= WINNOWED.
 GRAM_WORDS, RUN = 6, 13
+#: Lines of a key that all others of it meet first.
+HUBS = 4
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -249,15 +251,21 @@ def word_table(docs: DataFrame, least: int, probing: bool) -> DataFrame:
     return map_batches(docs.select("t"), run, schema).repartition("key").distinct()
 
 
-def word_pairs(docs: DataFrame, least: int) -> DataFrame:
+def word_pairs(keys: DataFrame, probes: DataFrame) -> DataFrame:
     """(s, o): first halves of the hashes of lines that may be within their word edits. One edit changes at most 2 parities."""
-    keys, probes = (word_table(docs, least, p).select("key", *[F.col(c).alias(f"{c}_{p:d}") for c in ("h", "sig", "n")]) for p in (False, True))
+    x, y = (t.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("h", "sig", "n")]) for i, t in enumerate((keys, probes)))
     few = F.greatest(F.lit(1), F.floor(F.least("n_0", "n_1") / PER))
     close = (F.abs(F.col("n_0") - F.col("n_1")) <= few) & (F.bit_count(F.col("sig_0").bitwiseXOR(F.col("sig_1"))) <= 2 * few)
-    pairs = keys.join(probes, "key").where((F.col("h_0") != F.col("h_1")) & close)
+    pairs = x.join(y, "key").where((F.col("h_0") != F.col("h_1")) & close)
     return pairs.select(F.least("h_0", "h_1").alias("s"), F.greatest("h_0", "h_1").alias("o")).distinct()
 
 
+def hub_entries(entries: DataFrame) -> DataFrame:
+    """HUBS lines of each key at most."""
+    hubs = entries.groupBy("key", F.pmod("h", F.lit(HUBS))).agg(F.min(F.struct("h", "sig", "n")).alias("u"))
+    return hubs.select("key", "u.h", "u.sig", "u.n")
+
+
 def line_table(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
     """(doc_id, th, line, n, h1, h2, sig) from (doc_id, th, t): every line of at least `least` bytes and, if `short`, every shorter one that holds a letter or digit.
 
@@ -330,12 +338,22 @@ def duplicate_lines(docs: DataFrame, tau: int, least: int, short: bool = False,
     side = lambda key, as_key, name: long.select(F.col(key).alias(as_key), F.col("first").alias(name), F.col("n").alias(f"n_{name}"))
     twins = scratch.table(long.groupBy("sig").count().where("count > 1").select(F.col("sig").alias("s"), F.col("sig").alias("o")))
     met = pairs.unionByName(twins).join(side("sig", "s", "x"), "s").join(side("sig", "o", "y"), "o").where(F.abs(F.col("n_x") - F.col("n_y")) <= tau).select("x", "y")
+    ordered = lambda pairs: pairs.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    removed = None
     if words:
-        by_words = scratch.table(word_pairs(docs, least))
-        met = met.unionByName(by_words.join(side("h1", "s", "x"), "s").join(side("h1", "o", "y"), "o").select("x", "y"))
-    asked = met.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    near = _confirmed(docs, scratch.table(asked), tau, words)
-
+        # Each line meets a few hubs of its keys first: what goes there needs no other partner, so groups of near lines aren't paired with themselves.
+        placed = lambda pairs: pairs.join(side("h1", "s", "x"), "s").join(side("h1", "o", "y"), "o").select("x", "y")
+        keys, probes = (scratch.table(word_table(docs, least, p)) for p in (False, True))
+        hubs = scratch.table(hub_entries(keys.unionByName(probes)))
+        by_hub = word_pairs(hubs, keys.unionByName(probes))
+        removed = scratch.table(_confirmed(docs, scratch.table(ordered(placed(by_hub))), tau, words).select("y").distinct())
+        met = met.unionByName(placed(word_pairs(keys, probes)))
+    asked = ordered(met)
+    if words:
+        asked = asked.join(removed, "y", "left_anti").select("x", "y")
+    near = _confirmed(docs, scratch.table(asked), tau, words).select("y")
+    if words:
+        near = near.unionByName(removed)
     return copies.union(near.select("y.doc_id", "y.th", "y.line"))
 
 
