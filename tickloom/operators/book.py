@@ -105,20 +105,20 @@ def covered_steps(log: DataFrame, step_ns: int, unit_ns: int) -> DataFrame:
 def book_snapshots(changes: DataFrame, steps: DataFrame, step_ns: int, unit_ns: int, depth: int | None = None) -> DataFrame:
     """Long L2 table: for each covered step the book after its last record, labelled by the step's start.
 
-    A level's interval is laid out in the units it touches and the steps are
-    joined by unit, an equi-join with a residual range; only then rows are
-    made per step and level.
+    A level's interval is laid out in the covered units it touches, which are
+    one row each, and its steps there follow from its ends: no rows of
+    different levels or symbols meet before the ranks.
     """
     iv = level_intervals(changes).where("qty > 0")
     first = bucket("from_ns", step_ns)  # the step that holds from_ns ends after it
     end = F.coalesce(bucket("to_ns", step_ns), F.lit(None).cast("long"))  # not in the step in which it ends
     iv = iv.select("symbol_id", "side", "price_ticks", "qty", first.alias("lo"), end.alias("hi"))
     units = steps.select(bucket("step_ns", unit_ns).alias("unit")).distinct()
-    last = units.agg(F.max("unit").alias("last_unit"))
+    last = units.agg(F.max("unit").alias("last_unit"))  # one row
     iv = iv.join(F.broadcast(last)).withColumn("hi", F.coalesce("hi", F.col("last_unit") + unit_ns)).where("lo < hi").drop("last_unit")
-    spread = iv.withColumn("unit", F.explode(F.sequence(bucket("lo", unit_ns), bucket(F.col("hi") - 1, unit_ns), F.lit(unit_ns))))
-    s = steps.withColumn("unit", bucket("step_ns", unit_ns))
-    rows = spread.join(s, "unit").where("step_ns >= lo and step_ns < hi").select("symbol_id", "step_ns", "side", "price_ticks", "qty")
+    spread = iv.withColumn("unit", F.explode(F.sequence(bucket("lo", unit_ns), bucket(F.col("hi") - 1, unit_ns), F.lit(unit_ns)))).join(units, "unit")
+    inside = F.sequence(F.greatest("lo", "unit"), F.least("hi", F.col("unit") + unit_ns) - step_ns, F.lit(step_ns))
+    rows = spread.select("symbol_id", F.explode(inside).alias("step_ns"), "side", "price_ticks", "qty")
     out = ranked(rows, "symbol_id", "step_ns")
     return out if depth is None else out.where(F.col("level") < depth)
 

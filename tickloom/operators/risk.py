@@ -88,22 +88,27 @@ def retail_shorts(legs: DataFrame, makers_below: int) -> DataFrame:
 def first_outcomes(submissions: DataFrame, ttl_ns: int) -> DataFrame:
     """Adds `duplicate`: within the TTL of the kept first submission of the same key (user_id, client_order_id).
 
-    The TTL counts from the kept one, so each key is folded in order; a key
-    has as many rows as a client has sent with one id.
+    The TTL counts from the kept one, so each key is folded in order. Rows
+    come sorted by key and time and are folded as a stream: no key's rows
+    are held together, and a task serves all keys of its partition.
     """
-    out = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in submissions.schema)}, duplicate boolean"
-
-    def fold(pdf):
-        pdf = pdf.sort_values(["timestamp_ns", "seq_ord"], kind="stable")
-        kept, flags = None, []
-        for t in pdf["timestamp_ns"]:
-            dup = kept is not None and t - kept < ttl_ns
-            if not dup:
-                kept = t
-            flags.append(dup)
-        return pdf.assign(duplicate=flags)
-
-    return submissions.groupBy("user_id", "client_order_id").applyInPandas(fold, out)
+    import pyarrow as pa
+
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in submissions.schema)}, duplicate boolean"
+
+    def run(batches):
+        key, kept = None, 0
+        for b in batches:
+            flags = []
+            for k, t in zip(zip(b.column("user_id").to_pylist(), b.column("client_order_id").to_pylist(), strict=True), b.column("timestamp_ns").to_pylist(), strict=True):
+                dup = k == key and t - kept < ttl_ns
+                if not dup:
+                    key, kept = k, t
+                flags.append(dup)
+            yield b.append_column("duplicate", pa.array(flags, pa.bool_()))
+
+    keys = ["user_id", "client_order_id"]
+    return submissions.repartition(*keys).sortWithinPartitions(*keys, "timestamp_ns", "seq_ord").mapInArrow(run, schema)
 
 
 def rate_limited(orders: DataFrame, rate_per_second: float) -> DataFrame:
