@@ -151,21 +151,68 @@ def depth_share(snapshots: DataFrame) -> DataFrame:
 def bbo_timeline(changes: DataFrame) -> DataFrame:
     """Best bid and ask after each record that changes a level of the symbol.
 
-    Levels are laid out in half days, so records meet the levels of their
-    own symbol and half day only; the best are aggregated before the shuffle.
+    A symbol's half day is folded on its own: it begins with the levels that
+    were there before, then come its changes in order. Rows come sorted and
+    are folded as a stream with a heap per side, so work grows with the
+    changes and not with changes times levels.
     """
+    import pyarrow as pa
+
     part = 43_200 * 1_000_000_000
     iv = changes.select("symbol_id", "side", "price_ticks", *SEQ, "timestamp_ns", "qty")
     nxt = W.partitionBy("symbol_id", "side", "price_ticks").orderBy(*SEQ)
-    iv = iv.withColumn("to", F.lead(F.struct(*SEQ)).over(nxt)).withColumn("to_ns", F.lead("timestamp_ns").over(nxt)).where("qty > 0")
-    records = changes.select("symbol_id", F.struct(*SEQ).alias("at"), bucket("timestamp_ns", part).alias("part")).distinct()
-    last = records.agg(F.max("part").alias("last_part"))
-    iv = iv.join(F.broadcast(last)).withColumn("part", F.explode(F.sequence(bucket("timestamp_ns", part), F.coalesce(bucket("to_ns", part), F.col("last_part")), F.lit(part))))
-    iv = iv.withColumn("from", F.struct(*SEQ)).select("symbol_id", "part", "side", "price_ticks", "from", "to")
-    live = records.join(iv, ["symbol_id", "part"]).where("at >= from and (to is null or at < to)")
-    best = live.groupBy("symbol_id", "part", "at").agg(F.max(F.when(F.col("side") == 1, F.col("price_ticks"))).alias("bid"), F.min(F.when(F.col("side") == 2, F.col("price_ticks"))).alias("ask"))
-    out = records.join(best, ["symbol_id", "part", "at"], "left")
-    return out.select("symbol_id", "at.seq_ms", "at.seq_ord", "bid", "ask")
+    iv = iv.withColumn("to_ns", F.lead("timestamp_ns").over(nxt)).withColumn("part", bucket("timestamp_ns", part))
+    last = changes.agg(F.max(bucket("timestamp_ns", part)).alias("last_part"))  # one row
+    end = F.coalesce(bucket("to_ns", part), F.col("last_part"))
+    later = iv.where("qty > 0").join(F.broadcast(last)).where(F.col("part") < end).withColumn("part", F.explode(F.sequence(F.col("part") + part, end, F.lit(part))))
+    before = F.lit(-1).cast("long")
+    cols = ["symbol_id", "part", *SEQ, "side", "price_ticks", "qty"]
+    rows = iv.select(cols).unionByName(later.select("symbol_id", "part", before.alias(SEQ[0]), before.alias(SEQ[1]), "side", "price_ticks", "qty"))
+    schema = f"symbol_id {changes.schema['symbol_id'].dataType.simpleString()}, seq_ms long, seq_ord long, bid long, ask long"
+
+    def run(batches):
+        from heapq import heappop, heappush
+
+        book, heaps, at, done = ({}, {}), ([], []), None, []
+
+        def best(k: int):
+            while heaps[k] and abs(heaps[k][0]) not in book[k]:
+                heappop(heaps[k])
+            return abs(heaps[k][0]) if heaps[k] else None
+
+        def emit():
+            if at is not None and at[2] >= 0:
+                done.append((at[0], at[2], at[3], best(0), best(1)))
+
+        def batch():
+            names, kinds = ["symbol_id", "seq_ms", "seq_ord", "bid", "ask"], [symbol, *[pa.int64()] * 4]
+            cols = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for b in batches:
+            symbol = b.schema.field(0).type
+            for sym, slot, ms, order, side, price, qty in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                now = (sym, slot, ms, order)
+                if now != at:
+                    emit()
+                    if at is None or now[:2] != at[:2]:
+                        book, heaps = ({}, {}), ([], [])
+                    at = now
+                k = side - 1
+                if qty > 0:
+                    if price not in book[k]:
+                        heappush(heaps[k], -price if k == 0 else price)
+                    book[k][price] = qty
+                else:
+                    book[k].pop(price, None)
+            if done:
+                yield batch()
+        emit()
+        if done:
+            yield batch()
+
+    return rows.repartition("symbol_id", "part").sortWithinPartitions("symbol_id", "part", *SEQ).mapInArrow(run, schema)
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, values: list[str], strict: bool = True) -> DataFrame:
