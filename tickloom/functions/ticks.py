@@ -96,3 +96,40 @@ def unit_label(ns) -> Column:
 def half_even(value) -> Column:
     """A decimal to the nearest integer, halves to the even one."""
     return F.bround(_c(value), 0).cast("long")
+
+
+def grouped_ticks(ticks, tick_size, currency: bool = False, sign: bool = False) -> Column:
+    """`format_ticks` for display: digits grouped by the last three and then by twos, on wish a rupee mark and a plus."""
+    t = _c(ticks)
+    plain = format_ticks(F.abs(t), tick_size)
+    grouped = F.regexp_replace(F.substring_index(plain, ".", 1), r"(\d)(?=(\d\d)+\d$)", "$1,")
+    mark = F.when(t < 0, F.lit("-")).when((t > 0) & F.lit(sign), F.lit("+")).otherwise(F.lit(""))
+    return F.concat(mark, F.lit("₹" if currency else ""), grouped, F.lit("."), F.substring_index(plain, ".", -1))
+
+
+def signed_percent(value, digits: int = 2) -> Column:
+    """A percentage with its sign; zero has none."""
+    return F.concat(F.when(_c(value) > 0, F.lit("+")).otherwise(F.lit("")), F.format_string(f"%.{digits}f%%", _c(value).cast("double")))
+
+
+def tone(value) -> Column:
+    return F.when(_c(value) > 0, "up").when(_c(value) < 0, "down").otherwise("flat")
+
+
+def clock(ms) -> Column:
+    """HH:mm:ss, in the session's time zone, of milliseconds since the epoch."""
+    return F.date_format(F.timestamp_millis(_c(ms)), "HH:mm:ss")
+
+
+def day_range_minutes(first_day, last_day) -> Column:
+    """Days counted from 1, both ends in, as a struct of minutes [first, last); an error for a range that isn't one."""
+    a, b = _c(first_day), _c(last_day)
+    bad = a.isNull() | b.isNull() | (a < 1) | (b < a)
+    minutes = F.struct(((a - 1) * 1440).cast("long").alias("first"), (b * 1440).cast("long").alias("last"))
+    return F.when(bad, F.raise_error(F.lit("days must be 1 <= first <= last")).cast("struct<first:bigint,last:bigint>")).otherwise(minutes)
+
+
+def hash_halves(digest_hex) -> Column:
+    """The first 128 bits of a hex digest as a struct of two unsigned 64-bit numbers, (hi, lo)."""
+    half = lambda at: F.conv(F.substring(_c(digest_hex), at, 16), 16, 10).cast("decimal(20,0)")
+    return F.struct(half(1).alias("hi"), half(17).alias("lo"))
