@@ -217,9 +217,22 @@ def winnowed(h: Hashes, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray
     return line[new], least[new]
 
 
-def word_table(docs: DataFrame, least: int, probing: bool) -> DataFrame:
-    """(key, h, sig, n): index entries or probes by words of the distinct lines of each task, with 64 parities of their words and their number."""
-    schema = "key long, h long, sig long, n int"
+def word_parities(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each line and 256 parities of them, four longs a line."""
+    ws, we = word_starts(data)
+    first, last = np.searchsorted(ws, start), np.searchsorted(ws, end)
+    at = _scramble(Hashes(data, BASES[1]).of(ws, we) * GRAM) >> np.uint64(56)
+    out = np.zeros((len(start), 4), np.int64)
+    for k in range(4):
+        bits = np.where(at >> np.uint64(6) == k, np.uint64(1) << (at & np.uint64(63)), np.uint64(0))
+        runs = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(bits)))
+        out[:, k] = (runs[last] ^ runs[first]).view(np.int64)
+    return (last - first).astype(np.int32), out
+
+
+def word_table(docs: DataFrame, least: int) -> DataFrame:
+    """(key, h): keys by words of the distinct lines of each task."""
+    schema = "key long, h long"
 
     def run(batches):
         import pyarrow as pa
@@ -229,7 +242,6 @@ def word_table(docs: DataFrame, least: int, probing: bool) -> DataFrame:
             for _, texts in text_groups(b.column(0)):
                 data, _, _, start, end = _lines(texts)
                 ws, we = word_starts(data)
-                hashes = Hashes(data, BASES[1]).of(ws, we)
                 first, last = np.searchsorted(ws, start), np.searchsorted(ws, end)
                 big = np.flatnonzero((end - start >= least) & (last - first >= FEW))
                 ids, once = np.unique(digests(data, start[big], end[big])[:, 0], return_index=True)
@@ -238,33 +250,46 @@ def word_table(docs: DataFrame, least: int, probing: bool) -> DataFrame:
                     seen.clear()
                 seen.update(ids[new].tolist())
                 first, last, ids = first[big[once[new]]], last[big[once[new]]], ids[new]
-                bits = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(np.uint64(1) << (_scramble(hashes * GRAM) >> np.uint64(58)))))
-                sig = (bits[last] ^ bits[first]).view(np.int64)
-                h = Hashes(hashes, BASES[2])
+                h = Hashes(Hashes(data, BASES[1]).of(ws, we), BASES[2])
                 few = np.flatnonzero(last - first <= WINNOWED)
-                out = [(few[lines], keys) for lines, keys in segment_keys(h, first[few], last[few], 1)[probing]]
+                # probes of a line's own length are what it stores
+                out = [(few[lines], keys) for lines, keys in segment_keys(h, first[few], last[few], 1)[1]]
                 for lines, keys in (*out, winnowed(h, first, last)):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((keys, pa.int64()), (ids[lines], pa.int64()), (sig[lines], pa.int64()), ((last - first)[lines].astype(np.int32), pa.int32()))], names=["key", "h", "sig", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids[lines], pa.int64())], names=["key", "h"])
+
+    return map_batches(docs.select("t"), run, schema)
 
-    return map_batches(docs.select("t"), run, schema).repartition("key").distinct()
 
+def word_buckets(docs: DataFrame, least: int, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, at, words, p): the lines under each key that several lines share; `places` are (h1, at, words, p)."""
+    entries = scratch.table(word_table(docs, least))
+    shared = scratch.table(entries.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key"))
+    met = entries.join(shared, "key").distinct()
+    return scratch.table(met.join(places, met["h"] == places["h1"]).select("key", "at", "words", "p"))
 
-def word_pairs(docs: DataFrame, least: int) -> DataFrame:
-    """(s, o): first halves of the hashes of lines that may be within their word edits. One edit changes at most 2 parities."""
-    keys, probes = (word_table(docs, least, p).select("key", *[F.col(c).alias(f"{c}_{p:d}") for c in ("h", "sig", "n")]) for p in (False, True))
-    few = F.greatest(F.lit(1), F.floor(F.least("n_0", "n_1") / PER))
-    close = (F.abs(F.col("n_0") - F.col("n_1")) <= few) & (F.bit_count(F.col("sig_0").bitwiseXOR(F.col("sig_1"))) <= 2 * few)
-    pairs = keys.join(probes, "key").where((F.col("h_0") != F.col("h_1")) & close)
-    return pairs.select(F.least("h_0", "h_1").alias("s"), F.greatest("h_0", "h_1").alias("o")).distinct()
 
+def word_pairs(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """(x, y): places of lines of one key, x first, that may be within their word edits.
+
+    An edit changes two parities at most, or one and the number of words.
+    """
+    x, y = (t.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("at", "words", "p")]) for i, t in enumerate((earlier, later)))
+    few = F.greatest(F.lit(1), F.floor(F.least("words_0", "words_1") / PER))
+    apart = F.abs(F.col("words_0") - F.col("words_1"))
+    for k in range(4):
+        apart += F.bit_count(F.col("p_0")[f"p{k}"].bitwiseXOR(F.col("p_1")[f"p{k}"]))
+    return x.join(y, "key").where((F.col("at_0") < F.col("at_1")) & (apart <= 2 * few)).select(F.col("at_0").alias("x"), F.col("at_1").alias("y")).distinct()
 
-def line_table(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
+
+def line_table(docs: DataFrame, least: int, short: bool = False, words: bool = False) -> DataFrame:
     """(doc_id, th, line, n, h1, h2, sig) from (doc_id, th, t): every line of at least `least` bytes and, if `short`, every shorter one that holds a letter or digit.
 
-    `n` are its bytes, h1 and h2 128 bits of hash, `sig` 64 parities.
+    `n` are its bytes, h1 and h2 128 bits of hash, `sig` 64 parities; with
+    `words` also its words and 256 parities of them, p0 to p3.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, th long, line int, n int, h1 long, h2 long, sig long"
+    schema += ", words int, p0 long, p1 long, p2 long, p3 long" if words else ""
     out = arrow_schema(schema)
 
     def run(batches):
@@ -280,7 +305,10 @@ def line_table(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
                 h = digests(data, start, end)
                 at = pa.array(row + first)
                 cols = [b.column(0).take(at), b.column(1).take(at), number.astype(np.int32), (end - start).astype(np.int32), h[:, 0], h[:, 1], gram_parities(data, start, end)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
+                if words:
+                    many, p = word_parities(data, start, end)
+                    cols += [many, *p.T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), type=f.type) if isinstance(c, np.ndarray) else c.cast(f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
     return map_batches(docs.select("doc_id", "th", "t"), run, schema)
 
@@ -315,8 +343,9 @@ def duplicate_lines(docs: DataFrame, tau: int, least: int, short: bool = False,
     """(doc_id, th, line) of the lines that have an earlier copy or near copy, from (doc_id, th, t); a line may come twice."""
     scratch = Scratch(docs.sparkSession, "lines")
     place = F.struct("doc_id", "th", "line")
-    lines = scratch.table(line_table(docs, least, short))
-    known = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    lines = scratch.table(line_table(docs, least, short, words))
+    by_words = ["words", "p0", "p1", "p2", "p3"] if words else []
+    known = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("sig").alias("sig"), *[F.min(c).alias(c) for c in by_words])
     firsts = scratch.table(known)
     copies = lines.join(firsts.where("copies > 1").select("h1", "h2", "first"), ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "th", "line")
 
@@ -330,12 +359,21 @@ def duplicate_lines(docs: DataFrame, tau: int, least: int, short: bool = False,
     side = lambda key, as_key, name: long.select(F.col(key).alias(as_key), F.col("first").alias(name), F.col("n").alias(f"n_{name}"))
     twins = scratch.table(long.groupBy("sig").count().where("count > 1").select(F.col("sig").alias("s"), F.col("sig").alias("o")))
     met = pairs.unionByName(twins).join(side("sig", "s", "x"), "s").join(side("sig", "o", "y"), "o").where(F.abs(F.col("n_x") - F.col("n_y")) <= tau).select("x", "y")
-    if words:
-        by_words = scratch.table(word_pairs(docs, least))
-        met = met.unionByName(by_words.join(side("h1", "s", "x"), "s").join(side("h1", "o", "y"), "o").select("x", "y"))
     asked = met.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    near = _confirmed(docs, scratch.table(asked), tau, words)
-
+    if not words:
+        near = _confirmed(docs, scratch.table(asked), tau, False).select("y")
+        return copies.union(near.select("y.doc_id", "y.th", "y.line"))
+
+    # An earlier near line is enough for a line to go, so lines meet the first of each of their keys;
+    # only those that stay after that meet the other earlier ones.
+    places = long.select("h1", F.col("first").alias("at"), "words", F.struct(*by_words[1:]).alias("p"))
+    buckets = word_buckets(docs, least, places, scratch)
+    heads = buckets.groupBy("key").agg(F.min(F.struct("at", "words", "p")).alias("u")).select("key", "u.*")
+    asked = scratch.table(asked.union(word_pairs(heads, buckets)).distinct())
+    gone = scratch.table(_confirmed(docs, asked, tau, True).select("y").distinct())
+    left = buckets.join(gone, buckets["at"] == gone["y"], "left_anti")
+    others = word_pairs(buckets, left).join(asked, ["x", "y"], "left_anti")
+    near = gone.union(_confirmed(docs, scratch.table(others), tau, True).select("y"))
     return copies.union(near.select("y.doc_id", "y.th", "y.line"))
 
 
