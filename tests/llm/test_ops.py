@@ -284,6 +284,21 @@ def test_lines_that_differ_in_words(spark):
     assert sum(map(len, got.values())) < sum(map(len, apart.values()))
 
 
+def test_a_group_of_lines_that_differ_in_words_is_not_paired(spark, monkeypatch):
+    """Lines near the first of their group go without meeting each other; one that is too far from it is held against the others."""
+    words = [f"word{i}" for i in range(60)]
+    r = random.Random(3)
+    other = ["".join(r.choice("abcdefghijklmnop") for _ in range(9 + i % 5)) for i in range(200)]
+    group = [" ".join([*words[: i % 50], other[i], *words[i % 50 + 1 :]]) for i in range(200)]
+    between, far = ([f"other{k}" if i in places else w for i, w in enumerate(words)] for k, places in ((1, (3, 20, 40)), (1, (3, 20, 40, 50, 58))))
+    asked, confirmed = [], lines._confirmed
+    monkeypatch.setattr(lines, "_confirmed", lambda docs, pairs, tau, words: asked.append(pairs.count()) or confirmed(docs, pairs, tau, words))
+    texts = [" ".join(words), *group, " ".join(between), " ".join(far)]
+    got = {x["doc_id"]: x["n_removed"] for x in lines.dedup_lines(docs_of(spark, texts), words=True).collect()}
+    assert got == {i: int(i > 0) for i in range(len(texts))}
+    assert len(asked) == 2 and sum(asked) < 10 * len(texts)
+
+
 def test_line_dedup_of_rows_with_one_id(spark):
     """Rows with one id and different texts are apart; a unique line never goes, a copy does; null ids take part and come first."""
     a, b, c = ("A line that many documents share, number one", "A line of its own that exists only once here", "Another line, shared by two of the documents")
