@@ -500,6 +500,18 @@ def test_novel_strings_and_words(spark):
     assert np.mean(found) > 0.95 and all(not got[len(keys) + i]["n_novel"] for i in range(len(plain)))
 
 
+def test_novel_letters_and_digits(spark):
+    """Random letters of both cases and random digits are novel; long words, names of code and grouped numbers are not."""
+    r = random.Random(6)
+    letters = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in range(20, 60)]
+    digits = ["".join(r.choice("0123456789") for _ in range(n)) for n in range(16, 25)]
+    plain = ["Rechtsschutzversicherung", "electroencephalograph", "getUserAuthenticationToken", "978-3-16-148410-0", "1234567812345678" * 2, "=" * 20]
+    texts = [f"the secret of the service is {k} and more" for k in [*letters, *digits, *plain]]
+    got = [x["n_novel"] for x in secrets.scan_secrets(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    n = len(letters)
+    assert np.mean(got[:n]) > 0.9 and np.mean(got[n : n + len(digits)]) > 0.9 and not any(got[n + len(digits) :])
+
+
 def test_toxicity(spark):
     r = random.Random(5)
     rows, labels = [], []

@@ -59,6 +59,17 @@ class Novelty:
         return len(self.zstd.compress(before + after + candidate)) - len(self.zstd.compress(before + after))
 
 
+def word_like(run: bytes) -> bool:
+    """A run that may be a long word, an identifier or a grouped number: those add as many bytes as random characters do.
+
+    Not word-like are letters with digits, digits alone, and letters of which
+    so many neighbours differ in case as in no camel-case name.
+    """
+    if re.search(rb"[0-9]", run):
+        return not (run.isdigit() or re.search(rb"[A-Za-z]", run))
+    return len(re.findall(rb"(?=[a-z][A-Z]|[A-Z][a-z])", run)) < 0.3 * (len(run) - 1)
+
+
 def novel_matches(text: bytes, taken: list[tuple[int, int, int]], novelty: Novelty, least: float, window: int) -> list[tuple[int, int, int]]:
     lower = text.translate(LOWER)
     if not any(w in lower for w in CONTEXT_WORDS):
@@ -76,7 +87,7 @@ def novel_matches(text: bytes, taken: list[tuple[int, int, int]], novelty: Novel
         found = m[0]
         if words[k][0] > end + window or any(s < end and start < e for s, _, e in taken):
             continue
-        if not (re.search(rb"[0-9]", found) and re.search(rb"[A-Za-z]", found)):
+        if word_like(found):
             continue
         near = text[max(0, start - window) : start], text[end : end + window]
         if novelty.marginal(near[0], found, near[1]) >= least * len(found):
@@ -99,7 +110,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, n_assign, n_access, n_hex, n_novel, base_spans, spans) for every whole text.
 
     Spans are arrays of kind:start:end in code points, end exclusive, by
-    start and kind. A run of 16 or more characters with letters and digits
+    start and kind. A run of 16 or more characters that is not word-like,
     within `window` bytes of a context word, that touches no base span, is
     novel if it adds at least `least` compressed bytes a character to its
     surroundings. Null and empty texts have no spans.
