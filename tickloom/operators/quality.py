@@ -45,22 +45,28 @@ def by_step(samples: DataFrame, breaches: DataFrame, steps: DataFrame) -> DataFr
     return steps.select("step").join(q, "step", "left").join(b, "step", "left").fillna(0, kinds)
 
 
+def with_breaches(quotes: DataFrame, max_spread_bps: int, min_size: int) -> DataFrame:
+    """Adds two_sided, spread_bps and the array of breaches to quotes of (bid, ask, bid_qty, ask_qty); without both sides there is one breach."""
+    two = F.col("bid").isNotNull() & F.col("ask").isNotNull()
+    mid = floor_div(F.col("ask") + F.col("bid"), 2)
+    spread = F.when(two & (mid > 0), floor_div((F.col("ask") - F.col("bid")) * BPS, F.greatest(mid, F.lit(1))))
+    small = lambda c: F.when(two & (F.col(c) < min_size), "size_too_small")
+    found = F.array_compact(F.array(F.when(~two, "not_two_sided"), F.when(spread > max_spread_bps, "spread_too_wide"), small("bid_qty"), small("ask_qty")))
+    return quotes.withColumn("two_sided", two).withColumn("spread_bps", spread).withColumn("breaches", found)
+
+
 def obligation_samples(quotes: DataFrame, pairs: DataFrame, steps: DataFrame, max_spread_bps: int, min_size: int) -> DataFrame:
     """One row per maker, symbol and step with the array of its breaches.
 
     `quotes`: (user_id, symbol_id, step_ns, side, price_ticks, qty), the best
-    of each side. A pair without a quote of both sides breaches once.
+    of each side. A pair without a quote of both sides breaches once, so
+    every step has a row of every pair: each task lays the pairs, at most
+    makers times listed symbols, beside its own steps.
     """
     side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
     q = quotes.groupBy("user_id", "symbol_id", "step_ns").agg(side(1, "price_ticks").alias("bid"), side(2, "price_ticks").alias("ask"), side(1, "qty").alias("bid_qty"), side(2, "qty").alias("ask_qty"))
-    s = pairs.join(F.broadcast(steps)).join(q, ["user_id", "symbol_id", "step_ns"], "left")
-    two = F.col("bid").isNotNull() & F.col("ask").isNotNull()
-    mid = floor_div(F.col("ask") + F.col("bid"), 2)
-    spread = F.when(two & (mid > 0), floor_div((F.col("ask") - F.col("bid")) * BPS, F.greatest(mid, F.lit(1))))
-    found = F.array_compact(F.array(
-        F.when(~two, "not_two_sided"), F.when(spread > max_spread_bps, "spread_too_wide"), F.when(two & (F.col("bid_qty") < min_size), "size_too_small"), F.when(two & (F.col("ask_qty") < min_size), "size_too_small"),
-    ))
-    return s.select("user_id", "symbol_id", "step_ns", two.alias("two_sided"), spread.alias("spread_bps"), found.alias("breaches"))
+    s = steps.join(F.broadcast(pairs)).join(q, ["user_id", "symbol_id", "step_ns"], "left")
+    return with_breaches(s, max_spread_bps, min_size).select("user_id", "symbol_id", "step_ns", "two_sided", "spread_bps", "breaches")
 
 
 def breach_rows(samples: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from tickloom.operators import risk as R
 from tickloom.operators import backtest as G
 from tickloom.operators import quality as Q
 from tickloom.sources.sinks import archive_scan as read_archive
-from tickloom.sources.sinks import archive_write, shared_folder
+from tickloom.sources.sinks import archive_stats as stats_of_archive
+from tickloom.sources.sinks import archive_write, shared_folder, upsert
 from tickloom.streaming import queries as S
+from tickloom.sources import ingest as I
 from tickloom.sources import market as M
 
 QUERIES: dict = {}
@@ -664,8 +666,8 @@ def stream_ledger(spark, d):
     folder = shared_folder(spark, "stream")
     q = S.stream_ledger(S.stream_log(spark, f"{d}/events.parque[t]"), folder)
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{folder}/balances/v={last}")
+    versions = spark.read.schema("user_id long, cash_ticks long, v int").parquet(f"{folder}/balances")
+    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
 
 
 @query
@@ -677,6 +679,148 @@ def archive_scan(spark, d):
     return rows.select("symbol", F.date_format("date", "yyyy-MM-dd").alias("date"), "seq_ord", "price_ticks", "qty")
 
 
+def wire_log(spark, d) -> DataFrame:
+    """Accepts, fills and cancels as (stream_id, payload) of the binary log."""
+    a, f, c = logs(spark, d)
+    u = lambda name: F.greatest(F.col(name), F.lit(0))  # noqa: E731  (ids are unsigned)
+    same = lambda *names: {n: F.col(n) for n in ("seq_ms", "seq_ord", "timestamp_ns", "symbol_id", *names)}
+    made = [
+        (a, I.encode_record(10, **same("order_id", "client_order_id", "user_id", "price_ticks", "qty", "side"), tif=F.lit(1))),
+        (f, I.encode_record(12, **same("maker_user_id", "taker_user_id", "price_ticks", "qty", "aggressor_side"), maker_order_id=u("maker_order_id"), taker_order_id=u("taker_order_id"))),
+        (c, I.encode_record(13, **same("user_id", "remaining_qty", "reason"), order_id=u("order_id"))),
+    ]
+    x, y, z = (df.select(F.concat_ws("-", "seq_ms", "seq_ord").alias("stream_id"), payload.alias("payload")) for df, payload in made)
+    return x.unionByName(y).unionByName(z)
+
+
+@query
+def decode_wire_log(spark, d):
+    """The log encoded as binary records and decoded again."""
+    good, _ = I.decode_wire_log(wire_log(spark, d))
+    ids = [F.col(c).cast("long").alias(c) for c in ("order_id", "user_id", "maker_order_id", "taker_order_id", "maker_user_id", "taker_user_id")]
+    return good.select("seq_ms", "seq_ord", "timestamp_ns", "record_type", "record", "symbol_id", "price_ticks", "qty", "remaining_qty", *ids)
+
+
+@query
+def decode_quarantine(spark, d):
+    """Records of the binary log of which some are damaged: another version, an unknown type, cut off, too short, lost."""
+    at = X.stream_ord("stream_id") % 7
+    tail = lambda n: F.substring("payload", n, 1000)
+    damaged = (
+        F.when(at == 1, F.concat(F.unhex(F.lit("0900")), tail(3))).when(at == 2, F.concat(F.substring("payload", 1, 2), F.unhex(F.lit("6300")), tail(5)))
+        .when(at == 3, tail(1).substr(F.lit(1), F.length("payload") - 1)).when(at == 4, F.substring("payload", 1, 7)).when(at != 5, F.col("payload"))
+    )
+    _, bad = I.decode_wire_log(wire_log(spark, d).withColumn("payload", damaged))
+    return bad.select("stream_id", "reason")
+
+
+@query
+def feed_frames_parse(spark, d):
+    """The tape as feed frames in JSON, parsed again; each ninth line is cut off and has no kind."""
+    t = prints(spark, d)
+    frame = F.to_json(F.struct(F.concat(F.lit("tape:"), F.col("symbol_id")).alias("ch"), "seq", "price_ticks", "qty"))
+    lines = t.select(F.when(F.col("seq_ord") % 9 == 0, F.substring(frame, 1, 12)).otherwise(frame).alias("value"))
+    return I.parse_frames(lines).select("kind", "subject", "seq", "price_ticks", "qty")
+
+
+@query
+def breach_log_parse(spark, d):
+    """Log lines with breaches, other lines, and breaches without a kind."""
+    stamp = F.date_format(F.timestamp_millis("seq_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    word = F.when(F.col("event_type") == "error", " quote_sent ").otherwise(" obligation_breach ")
+    body = F.when(F.col("event_type") == "click", "{}").otherwise(F.concat(F.lit('{"kind": "'), F.col("event_type"), F.lit('"}')))
+    lines = M.base(spark, d).select(F.concat(F.lit("bots-1 | "), stamp, word, body).alias("value"))
+    return I.parse_breaches(lines).select(F.unix_seconds("at").alias("at_s"), "kind")
+
+
+@query
+def archive_stats(spark, d):
+    """Files by symbol of an archive by symbol and day: one file a day; bytes depend on the writer."""
+    folder = shared_folder(spark, "archive")
+    archive_write(prints(spark, d), M.symbol_dim(spark), folder, "timestamp_ns")
+    return stats_of_archive(spark, folder).select("symbol", "files", (F.col("bytes") > 0).alias("filled"))
+
+
+@query
+def bar_partition_audit(spark, d):
+    """Bars of which those that open at an odd hour's end are filed under the day after."""
+    b = both_bars(spark, d).where("bucket_seconds = 3600")
+    wrong = F.when(F.col("open_ns") % 7 == 3, F.lit(DAY * B.NS)).otherwise(F.lit(0))
+    return B.misfiled(b.withColumn("date", X.utc_date(F.col("open_ns") + wrong))).select("symbol_id", "open_ns", "date")
+
+
+@query
+def l2_frames(spark, d):
+    """Nested frames of five levels a side, with the depth and the best price of each."""
+    f = K.nested_frames(snapshots_of(spark, d, depth=5), 5)
+    best = lambda c: F.get(c, F.lit(0))["price_ticks"]
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x["qty"])
+    return f.select("symbol_id", "step_ns", F.size("bids").alias("bids"), F.size("asks").alias("asks"), best("bids").alias("bid"), best("asks").alias("ask"), total("bids").alias("bid_qty"), total("asks").alias("ask_qty"))
+
+
+@query
+def manifest(spark, d):
+    """Manifests of one run per symbol over its history."""
+    p = M.price_history(M.base(spark, d)).groupBy("symbol_id").agg(F.count("*").alias("minutes"), F.min("close_ticks").alias("lowest"))
+    return G.manifest(p)
+
+
+@query
+def read_model_upsert(spark, d):
+    """Positions after half the month, brought up to date by the keys that changed later."""
+    legs, half = legs_of(spark, d), 1705276800000
+    old = L.positions(legs.where(F.col("seq_ms") < half))
+    changed = legs.where(F.col("seq_ms") >= half).groupBy("user_id", "symbol_id").agg(F.sum("signed_qty").alias("more"))
+    keys = ["user_id", "symbol_id"]
+    new = changed.join(old, keys, "left").select(*keys, (F.coalesce("position", F.lit(0)) + F.col("more")).alias("position"))
+    return upsert(old, new, keys, "position = 0")
+
+
+@query
+def stream_log(spark, d):
+    return S.run_to_end(S.stream_log(spark, f"{d}/events.parque[t]"), shared_folder(spark, "stream")).drop("event_time")
+
+
+@query
+def stream_dedupe(spark, d):
+    """The rule of first_outcome_dedupe as a stream."""
+
+    def build(log):
+        s = M.inbound(log).where("record_type = 'submit'")
+        s = s.select("user_id", ((F.col("qty") - 1) % 10).alias("client_order_id"), "seq_ord", "timestamp_ns")
+        return S.stream_dedupe(s.withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("timestamp_ns"), F.lit(1000)))), DAY * B.NS)
+
+    return stateful(spark, d, build)
+
+
+@query
+def stream_obligations(spark, d):
+    """Breaches as they happen; each event is a quote sample of its user."""
+    k = F.col("k")
+    sample = lambda log: log.select(
+        "user_id", "symbol_id", F.col("timestamp_ns").alias("step_ns"), "seq_ord", F.when(k % 11 != 0, F.col("price_ticks")).alias("bid"), F.when(k % 13 != 0, F.col("price_ticks") + 1 + k * 20).alias("ask"),
+        (1 + k).alias("bid_qty"), (1 + k * 2 % 50).alias("ask_qty"),
+    )
+    return S.run_to_end(S.stream_breaches(sample(S.stream_log(spark, f"{d}/events.parque[t]")), 2000, 20), shared_folder(spark, "stream"))
+
+
+@query
+def stream_conflated_book(spark, d):
+    """One trigger: the last quantity of each level that moved."""
+    folder = shared_folder(spark, "stream")
+    emit = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/levels/v={n}")
+    S.with_rocks(spark, lambda: S.stream_conflated(S.stream_log(spark, f"{d}/events.parque[t]"), emit, folder).awaitTermination())
+    return spark.read.parquet(f"{folder}/levels").select("symbol_id", "side", "price_ticks", "qty", "seq_ord")
+
+
+@query
+def stream_archive(spark, d):
+    """Trades of the days that a later trade has sealed."""
+    folder = shared_folder(spark, "stream")
+    S.stream_archive(S.stream_log(spark, f"{d}/events.parque[t]"), M.symbol_dim(spark), folder, DAY * B.NS, "0 seconds").awaitTermination()
+    return read_archive(spark, f"{folder}/trades").select("symbol", "seq_ord", "price_ticks", "qty")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -498,3 +498,48 @@ ORACLES["stream_gaps"] = ORACLES["sequence_verdicts"]
 ORACLES["archive_scan"] = q("""
 select name as symbol, strftime(make_timestamp(ns // 1000), '%Y-%m-%d') as date, seq_ord, price as price_ticks, qty from fill join sym using (symbol_id) where symbol_id in (2, 5) and ns >= 1704844800000000000 and ns < 1705708800000000000
 """, "fill", "sym")
+
+# --- encoded, filed and streamed again --------------------------------------
+_NULL = "null::bigint"
+ORACLES["decode_wire_log"] = q(f"""
+select seq_ms, seq_ord, ns as timestamp_ns, 10 as record_type, 'OrderAccepted' as record, symbol_id::bigint as symbol_id, price as price_ticks, qty, {_NULL} as remaining_qty,
+       order_id, user_id, {_NULL} as maker_order_id, {_NULL} as taker_order_id, {_NULL} as maker_user_id, {_NULL} as taker_user_id from acc
+union all select seq_ms, seq_ord, ns, 12, 'Fill', symbol_id, price, qty, null, null, null, greatest(maker_oid, 0), greatest(taker_oid, 0), maker_uid, taker_uid from fill
+union all select seq_ms, seq_ord, ns, 13, 'OrderCancelled', symbol_id, null, null, remaining_qty, greatest(order_id, 0), user_id, null, null, null, null from can
+""", "acc", "fill", "can")
+ORACLES["decode_quarantine"] = q("""
+select seq_ms || '-' || seq_ord as stream_id, case seq_ord % 7 when 1 then 'schema_version' when 2 then 'record_type' when 3 then 'size' else 'short' end as reason
+from base where event_type <> 'signup' and seq_ord % 7 in (1, 2, 3, 4, 5)
+""", "base")
+ORACLES["feed_frames_parse"] = q("""
+select case when ok then 'tape' end as kind, case when ok then symbol_id::varchar end as subject, case when ok then seq_ms || '-' || seq_ord end as seq, case when ok then price end as price_ticks, case when ok then qty end as qty
+from (select *, seq_ord % 9 <> 0 as ok from fill)
+""", "fill")
+ORACLES["breach_log_parse"] = q("select seq_ms // 1000 as at_s, case event_type when 'click' then 'unknown' else event_type end as kind from base where event_type <> 'error'", "base")
+ORACLES["archive_stats"] = q("select name as symbol, count(distinct ns // 86400000000000) as files, true as filled from fill join sym using (symbol_id) group by 1", "fill", "sym")
+ORACLES["bar_partition_audit"] = q("select symbol_id, open_ns, strftime(make_timestamp(open_ns // 1000 + 86400000000), '%Y-%m-%d') as date from bar where bucket_seconds = 3600 and open_ns % 7 = 3", "bar")
+ORACLES["l2_frames"] = q("""
+select symbol_id, step_ns, (count(*) filter (side = 1))::int as bids, (count(*) filter (side = 2))::int as asks, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask,
+       coalesce(sum(qty) filter (side = 1), 0)::bigint as bid_qty, coalesce(sum(qty) filter (side = 2), 0)::bigint as ask_qty
+from snap where level < 5 group by 1, 2
+""", "snap")
+ORACLES["manifest"] = q("""
+select symbol_id, minutes, lowest, j as manifest_json, substr(sha256(j), 1, 16) as manifest_id
+from (select *, '{"lowest":' || lowest || ',"minutes":' || minutes || ',"symbol_id":' || symbol_id || '}' as j from (select symbol_id, count(*) as minutes, min(close_ticks) as lowest from hist group by 1))
+""", "hist")
+ORACLES["read_model_upsert"] = q("select user_id, symbol_id, position from pos where position <> 0", "pos")
+ORACLES["stream_log"] = q("select seq_ms, seq_ord, ns as timestamp_ns, symbol_id, user_id, k, event_type, price as price_ticks from base", "base")
+ORACLES["stream_dedupe"] = ORACLES["first_outcome_dedupe"]
+cte("quo", """
+select user_id, symbol_id, ns as step_ns, case when k % 11 <> 0 then price end as bid, case when k % 13 <> 0 then price + 1 + k * 20 end as ask, 1 + k as bq, 1 + k * 2 % 50 as aq from base
+""", "base")
+ORACLES["stream_obligations"] = q("""
+select user_id, symbol_id, step_ns, 'not_two_sided' as kind from quo where bid is null or ask is null
+union all select user_id, symbol_id, step_ns, 'spread_too_wide' from quo where (ask + bid) // 2 > 0 and (ask - bid) * 10000 // ((ask + bid) // 2) > 2000
+union all select user_id, symbol_id, step_ns, 'size_too_small' from quo where bid is not null and ask is not null and bq < 20
+union all select user_id, symbol_id, step_ns, 'size_too_small' from quo where bid is not null and ask is not null and aq < 20
+""", "quo")
+ORACLES["stream_conflated_book"] = q("select symbol_id, side, price as price_ticks, arg_max(qty, seq_ord) as qty, max(seq_ord) as seq_ord from chg group by 1, 2, 3", "chg")
+ORACLES["stream_archive"] = q("""
+select name as symbol, seq_ord, price as price_ticks, qty from fill join sym using (symbol_id) where ns < (select max(ns) // 86400000000000 * 86400000000000 from fill)
+""", "fill", "sym")

@@ -51,6 +51,16 @@ def _number(hexed: Column, kind: str, offset: int) -> Column:
     return value.cast("decimal(20,0)")
 
 
+def encode_record(record_type: int, **values) -> Column:
+    """The payload of one record as binary: columns by field name, header fields included; a field that is not named is zero."""
+    parts = []
+    for name, kind, _ in _fields(f"{HEADER} {RECORDS[record_type][1]}")[0]:
+        known = {"schema_version": F.lit(SCHEMA_VERSION), "record_type": F.lit(record_type)}
+        digits = F.lpad(F.hex(F.coalesce(known.get(name, values.get(name, F.lit(0))), F.lit(0)).cast("long")), 16, "0")
+        parts += [F.substring(digits, 15 - 2 * i, 2) for i in range(SIZES[kind])]
+    return F.unhex(F.concat(*parts))
+
+
 def decode_wire_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) from (stream_id, payload).
 

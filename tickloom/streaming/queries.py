@@ -57,7 +57,7 @@ def stream_bars(log: DataFrame, seconds: int, delay: str = "0 seconds") -> DataF
 
 
 class BarOnNextTrade(StatefulProcessor):
-    """Keeps the open bar of a symbol; a trade in a later bucket closes it."""
+    """Keeps the open bar of a symbol; a trade in any other bucket closes it, also one that comes late."""
 
     def __init__(self, width_ns: int):
         self.width = width_ns
@@ -73,7 +73,7 @@ class BarOnNextTrade(StatefulProcessor):
         out = []
         for t, p, n in zip(trades["timestamp_ns"].tolist(), trades["price_ticks"].tolist(), trades["qty"].tolist(), strict=True):
             start = t - t % self.width
-            if bar and start > bar[0]:
+            if bar and start != bar[0]:
                 out.append((key[0], *bar))
                 bar = None
             if bar is None:
@@ -204,9 +204,58 @@ def stream_gaps(frames: DataFrame) -> DataFrame:
     return frames.groupBy("channel").transformWithStateInPandas(Verdicts(), "channel string, arrival long, verdict string", "Append", "None")
 
 
-def stream_dedupe(orders: DataFrame, ttl: str) -> DataFrame:
-    """First submission of each (user_id, client_order_id) within the TTL of event time."""
-    return orders.withWatermark("event_time", ttl).dropDuplicatesWithinWatermark(["user_id", "client_order_id"])
+class FirstOutcome(StatefulProcessor):
+    """The time of a key's kept submission, for as long as the TTL lasts."""
+
+    def __init__(self, ttl_ns: int):
+        self.ttl = ttl_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "kept long")
+
+    def expiry(self, kept: int) -> int:
+        """Milliseconds of event time, rounded up, at which nothing falls under the TTL any more."""
+        return -(-(kept + self.ttl) // 1_000_000)
+
+    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
+        import pandas as pd
+
+        x = pd.concat(list(rows)).sort_values(["timestamp_ns", "seq_ord"])
+        before = kept = self.kept.get()[0] if self.kept.exists() else None
+        flags = []
+        for t in x["timestamp_ns"].tolist():
+            dup = kept is not None and t - kept < self.ttl
+            if not dup:
+                kept = t
+            flags.append(dup)
+        if kept != before:
+            if before is not None:
+                self.handle.deleteTimer(self.expiry(before))
+            self.kept.update((kept,))
+            self.handle.registerTimer(self.expiry(kept))
+        yield pd.DataFrame({"user_id": x["user_id"], "client_order_id": x["client_order_id"], "seq_ord": x["seq_ord"], "duplicate": flags})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        self.kept.clear()
+        yield pd.DataFrame({"user_id": [], "client_order_id": [], "seq_ord": [], "duplicate": []}).astype({"user_id": "int64", "client_order_id": "int64", "seq_ord": "int64", "duplicate": "bool"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_dedupe(orders: DataFrame, ttl_ns: int, delay: str = "0 seconds") -> DataFrame:
+    """(user_id, client_order_id, seq_ord, duplicate) of each submission, by the rule of the batch operator `first_outcomes`.
+
+    The TTL counts in the submissions' own time from the kept one. A timer
+    drops a key's state when the watermark has passed its TTL; rows behind
+    the watermark are late and are dropped.
+    """
+    x = orders.select("user_id", "client_order_id", "seq_ord", "timestamp_ns", "event_time").withWatermark("event_time", delay)
+    schema = "user_id long, client_order_id long, seq_ord long, duplicate boolean"
+    return x.groupBy("user_id", "client_order_id").transformWithStateInPandas(FirstOutcome(ttl_ns), schema, "Append", "EventTime")
 
 
 def stream_conflated(log: DataFrame, emit: Callable[[DataFrame, int], None], folder: str):
@@ -257,3 +306,10 @@ def stream_uptime(samples: DataFrame, emit: Callable[[DataFrame, int], None], fo
     """Running samples and two-sided share per maker and symbol, handed on as they change."""
     g = samples.groupBy("user_id", "symbol_id").agg(F.count("*").alias("samples"), F.round(F.avg(F.col("two_sided").cast("double")), 4).alias("two_sided_uptime"))
     return g.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+
+
+def stream_breaches(samples: DataFrame, max_spread_bps: int, min_size: int) -> DataFrame:
+    """The breaches of each quote sample as they happen, by the rules of the batch operator; `samples` also carries user_id, symbol_id and step_ns."""
+    from tickloom.operators import quality as Q
+
+    return Q.breach_rows(Q.with_breaches(samples, max_spread_bps, min_size))
