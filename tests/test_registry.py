@@ -37,7 +37,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(market.queries()) - set(market.oracle_sql()) == {"rate_limit_audit", "backtest_report"}
+    assert set(market.queries()) - set(market.oracle_sql()) == {"backtest_report"}
 
 
 def test_entry(spark):

@@ -680,7 +680,10 @@ def archive_scan(spark, d):
 
 
 def wire_log(spark, d) -> DataFrame:
-    """Accepts, fills and cancels as (stream_id, payload) of the binary log."""
+    """Accepts, fills and cancels as (stream_id, payload) of the binary log, written and read as the table a decoder would find.
+
+    Unwritten, the encoder's expression would be computed anew in every field of the decoder.
+    """
     a, f, c = logs(spark, d)
     u = lambda name: F.greatest(F.col(name), F.lit(0))  # noqa: E731  (ids are unsigned)
     same = lambda *names: {n: F.col(n) for n in ("seq_ms", "seq_ord", "timestamp_ns", "symbol_id", *names)}
@@ -690,7 +693,9 @@ def wire_log(spark, d) -> DataFrame:
         (c, I.encode_record(13, **same("user_id", "remaining_qty", "reason"), order_id=u("order_id"))),
     ]
     x, y, z = (df.select(F.concat_ws("-", "seq_ms", "seq_ord").alias("stream_id"), payload.alias("payload")) for df, payload in made)
-    return x.unionByName(y).unionByName(z)
+    folder = shared_folder(spark, "wire")
+    x.unionByName(y).unionByName(z).write.parquet(folder)
+    return spark.read.schema("stream_id string, payload binary").parquet(folder)
 
 
 @query

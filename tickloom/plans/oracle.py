@@ -543,3 +543,12 @@ ORACLES["stream_conflated_book"] = q("select symbol_id, side, price as price_tic
 ORACLES["stream_archive"] = q("""
 select name as symbol, seq_ord, price as price_ticks, qty from fill join sym using (symbol_id) where ns < (select max(ns) // 86400000000000 * 86400000000000 from fill)
 """, "fill", "sym")
+cte("rsub", """
+select user_id, seq_ord, (ns - 1000000) // 43200 as t, row_number() over (partition by user_id order by (ns - 1000000) // 43200, seq_ord) as rn from base where event_type in ('view', 'click')
+""", "base")
+cte("rfold", """
+select user_id, rn, seq_ord, t, true as ok, 0::double as rest from rsub where rn = 1
+union all select user_id, rn, seq_ord, t, tk >= 1.0, case when tk >= 1.0 then tk - 1.0 else tk end
+from (select s.*, least(1.0::double, f.rest + greatest(0, s.t - f.t) / 1e9::double) as tk from rfold f join rsub s on s.user_id = f.user_id and s.rn = f.rn + 1)
+""", "rsub")
+ORACLES["rate_limit_audit"] = q("select user_id, seq_ord as client_order_id, ok as allowed from rfold", "rfold")
