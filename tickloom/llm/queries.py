@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WORD, let, table
 from .decontam import find_contamination, items_digest, run_words
 from .lines import dedup_lines
 from .mixing import mix_sources
 from .near import near_duplicates
+from .periodic import find_runs
 from .quality import quality_verdicts
+from .resampling import resample
 from .secrets import scan_secrets, span_digest
 from .suffix import remove_repeats
 from .tokens import token_counts
@@ -77,8 +79,44 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """`docs` with the words of every tenth id, from some place on, repeating the words found there; as its contract has it. Rows without id stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.struct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), F.floor(h / 10).alias("g"))
+
+    def start(x):
+        n = F.size(x["w"]).cast("long")
+        a = F.pmod(x["g"], n)
+        return F.struct(x["w"].alias("w"), n.alias("n"), a.alias("a"), (1 + F.floor((n - a) / (3 + F.pmod(x["g"], F.lit(8))))).alias("p"))
+
+    def repeated(y):
+        place = F.sequence(F.lit(0).cast("long"), y["n"] - 1)
+        words = F.transform(place, lambda i: F.element_at(y["w"], F.when(i < y["a"], i).otherwise(y["a"] + F.pmod(i - y["a"], y["p"])).cast("int") + 1))
+        return F.when(y["n"] > 0, F.array_join(words, " ")).otherwise("")
+
+    planted = let(text, lambda x: let(start(x), repeated))
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("best", best).withColumn("listed", F.concat(listed, F.when(F.size("runs") > 0, "\n").otherwise("")))
+    length, period = F.col("best.length"), -F.col("best.p")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), max_n=1)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity, op10_suffix_dedup, op11_periodic_runs, op12_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -128,3 +128,77 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed,
        sha256(coalesce(string_agg(t, chr(10) order by i) filter (not coalesce(gone, false)), '')) as kept_sha256
 from j group by doc_id
 """
+
+
+# CRC-32 of column x of table `hashed` (name, x = hex of the bytes): its table follows from the polynomial.
+_CRC = """
+crc_table as (
+  select list_transform(range(256), lambda b: list_reduce([b::bigint] || range(8), lambda c, s: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), crc as (
+  select name, xor(list_reduce([4294967295] || [('0x' || substr(x, 2 * i + 1, 2))::bigint for i in range(length(x) // 2)], lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+  from hashed, crc_table
+)"""
+
+# In a run of length >= max(6, 4 * q) five words or more in a row come again q words later, so windows of five words find every period.
+ORACLES["op11_periodic_runs"] = rf"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), hashed as (select distinct doc_id as name, hex(encode(doc_id::varchar)) as x from d), {_CRC},
+planted as (
+  select doc_id, w, len(w) as n, crc, crc // 10 as g from d join crc on name = doc_id
+), p as (
+  select *, case when crc % 10 = 0 and n > 0 then g % n else n end as a,
+         case when crc % 10 = 0 and n > 0 then 1 + (n - g % n) // (3 + g % 8) else 1 end as per from planted
+), words as (
+  select doc_id, i, case when i >= a then w[a + (i - a) % per + 1] else w[i + 1] end as word
+  from (select *, unnest(range(n)) as i from p)
+), grams as (
+  select doc_id, i, word || ' ' || lead(word, 1) over v || ' ' || lead(word, 2) over v || ' ' || lead(word, 3) over v || ' ' || lead(word, 4) over v as gram
+  from words window v as (partition by doc_id order by i)
+), pairs as (
+  select x.doc_id, y.i - x.i as q, x.i from grams x join grams y on x.doc_id = y.doc_id and x.gram = y.gram and x.i < y.i
+), stretches as (
+  select doc_id, q, min(i) as start, count(*) + 4 + q as length
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as k from pairs) group by doc_id, q, k
+), long as (select * from stretches where length >= greatest(6, 4 * q)
+), runs as (
+  select * from long x where not exists (
+    select 1 from long y where y.doc_id = x.doc_id and y.q < x.q and x.q % y.q = 0 and y.start <= x.start and y.start + y.length >= x.start + x.length)
+), best as (
+  select doc_id, count(*) as n_runs, max(row(length, -start, -q)) as b, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as listed
+  from runs group by doc_id
+), gone as (select distinct doc_id, unnest(range(start + q, start + length)) as i from runs
+), kept as (
+  select doc_id, string_agg(word, ' ' order by i) as t from words anti join gone using (doc_id, i) group by doc_id
+)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, (-b[2])::bigint as start, b[1]::bigint as length, (-b[3])::bigint as period,
+       (1000 * b[1] // -b[3])::bigint as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from d left join best using (doc_id) left join kept using (doc_id)
+"""
+
+ORACLES["op12_importance_resampling"] = rf"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), dw as (select doc_id, unnest(w) as word from d), bw as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word
+  from benchmark
+), counts as (
+  select word as name, sum(s) as s, sum(t) as t from (select word, 1 as s, 0 as t from dw union all select word, 0, 1 from bw) group by word
+), hashed as (select name, hex(encode(name)) as x from counts), {_CRC},
+bucket as (
+  select crc % 10000 as b, sum(s)::double as s, sum(t)::double as t from counts join crc using (name) group by b
+), gain as (
+  select b, floor(1000 * ln((t + 1) * ((sum(s) over ()) + 10000) / ((s + 1) * ((sum(t) over ()) + 10000))))::bigint as gain from bucket
+), f as (
+  select doc_id, count(*) as n, floor(sum(gain) / count(*))::bigint as weight from dw join crc on name = word join gain on b = crc % 10000 group by doc_id
+), scored as (
+  select doc_id, coalesce(n, 0) as n, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from d left join f using (doc_id)
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as eligible from scored where n >= 20
+)
+select doc_id, n::bigint as n_features, weight, score::bigint as score, case when 10 * eligible // 100 >= rank then rank end as rank
+from scored left join ranked using (doc_id)
+"""
