@@ -29,7 +29,7 @@ def test_same_rows(spark, duck, name):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op2_token_counts", "op3_quality_rules", "op7_secret_scan", "op9_toxicity", "op10_suffix_dedup"])

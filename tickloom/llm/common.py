@@ -46,10 +46,16 @@ class Scratch:
         self.spark, self.folder, self.n = spark, f"{_shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
 
     def table(self, df: DataFrame) -> DataFrame:
-        """Write `df` and read it again."""
+        """Write `df` and read it again; what it shuffled is deleted at once, as nothing will ask for it."""
         self.n += 1
         path = f"{self.folder}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        old = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(key, old) if old else self.spark.conf.unset(key)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tables: DataFrame) -> None:

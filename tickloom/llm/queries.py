@@ -14,6 +14,7 @@ from .periodic import find_runs
 from .quality import quality_verdicts
 from .resampling import resample
 from .secrets import scan_secrets, span_digest
+from .substrings import remove_passages
 from .suffix import remove_repeats
 from .tokens import token_counts
 from .toxicity import learn_lexicon, score_toxicity
@@ -85,8 +86,8 @@ def _planted(docs: DataFrame) -> DataFrame:
     text = F.struct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"), F.floor(h / 10).alias("g"))
 
     def start(x):
-        n = F.size(x["w"]).cast("long")
-        a = F.pmod(x["g"], n)
+        n = F.coalesce(F.size(x["w"]), F.lit(0)).cast("long")
+        a = F.pmod(x["g"], F.greatest(n, F.lit(1)))
         return F.struct(x["w"].alias("w"), n.alias("n"), a.alias("a"), (1 + F.floor((n - a) / (3 + F.pmod(x["g"], F.lit(8))))).alias("p"))
 
     def repeated(y):
@@ -115,8 +116,14 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["first"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity, op10_suffix_dedup, op11_periodic_runs, op12_importance_resampling)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_counts, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_minhash, op7_secret_scan, op8_url_filter, op9_toxicity, op10_suffix_dedup, op11_periodic_runs, op12_importance_resampling, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -202,3 +202,19 @@ bucket as (
 select doc_id, n::bigint as n_features, weight, score::bigint as score, case when 10 * eligible // 100 >= rank then rank end as rank
 from scored left join ranked using (doc_id)
 """
+
+ORACLES["op13_substring_dedup"] = r"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+  select doc_id, i, array_to_string(w[i : i + 49], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)
+), first as (select k, min(doc_id) as least from windows group by k
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 50)) as i from windows join first using (k) where doc_id > least
+), words as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d
+), kept as (
+  select doc_id, string_agg(word, ' ' order by i) as t from words anti join gone using (doc_id, i) group by doc_id
+), n as (select doc_id, count(*) as n from gone group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join n using (doc_id) left join kept using (doc_id)
+"""
