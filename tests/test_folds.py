@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tickloom.operators import backtest as G
 from tickloom.operators import bars as B
 from tickloom.operators import book as K
+from tickloom.operators import intervals as V
 from tickloom.operators import ledger as L
+from tickloom.operators import quality as Q
 from tickloom.operators import risk as R
+from tickloom.sources import market as M
 
 ACC = "seq_ms long, seq_ord long, timestamp_ns long, symbol_id int, user_id long, order_id long, client_order_id long, side int, price_ticks long, qty long"
 FILL = "seq_ms long, seq_ord long, timestamp_ns long, symbol_id int, price_ticks long, qty long, aggressor_side int, maker_order_id long, taker_order_id long, maker_user_id long, taker_user_id long"
@@ -76,26 +79,116 @@ def test_book(spark, seed):
     assert all(r["difference"] == 0 for r in K.conservation(events).collect())
 
 
-def test_snapshots(spark):
+@pytest.mark.parametrize("parity", [False, True])
+def test_snapshots(spark, parity):
+    """Every covered second against a fold, laid out from the intervals; with parity as the archive had it."""
     a, f, c, log = frames(spark, 3)
-    second, unit = 1_000_000_000, 50 * 1_000_000_000
+    log = [x for x in log if x[1][2] // B.NS % 50 > 6 and not 100 < x[1][2] // B.NS < 150]  # units that begin quietly, and one without a record
+    keep = (F.col("timestamp_ns") / B.NS % 50 >= 7) & ~F.col("timestamp_ns").between(100 * B.NS, 150 * B.NS)
+    a, f, c = (x.where(keep) for x in (a, f, c))
+    log = [x for x in log if x[1][2] // B.NS % 50 >= 7]
+    second, unit = B.NS, 50 * B.NS
     allrows = a.select("timestamp_ns").union(f.select("timestamp_ns")).union(c.select("timestamp_ns"))
-    steps = K.covered_steps(allrows, second, unit)
-    snap = K.book_snapshots(K.level_changes(K.order_states(K.order_events(a, f, c))), steps, second, unit, 3)
-    ours = {(r["step_ns"], r["symbol_id"], r["side"], r["level"]): (r["price_ticks"], r["qty"]) for r in snap.collect()}
+    units = V.covered_units(allrows, second, unit)
+    iv = V.book_intervals(K.level_changes(K.order_states(K.order_events(a, f, c))), units, second, unit, 3, parity=parity)
+    ours, states = {}, {}
+    for r in V.laid_out(iv, "symbol_id").collect():
+        assert r["steps"] == (r["to_ns"] - r["from_ns"]) // second > 0
+        for s in range(r["from_ns"], r["to_ns"], second):
+            assert (s, r["symbol_id"], r["side"], r["level"]) not in ours
+            ours[s, r["symbol_id"], r["side"], r["level"]] = (r["price_ticks"], r["qty"])
     want = {}
-    for s in [r[0] for r in steps.collect()]:
-        live = {}
-        for _, _, live in fold_book([x for x in log if x[1][2] < s + second]):
-            pass
-        levels = {}
-        for v in live.values():
-            levels[tuple(v[:3])] = levels.get(tuple(v[:3]), 0) + v[3]
-        for sym in (1, 2):
-            for side in (1, 2):
-                p = sorted((k[2] for k in levels if k[:2] == (sym, side)), reverse=side == 1)[:3]
-                want |= {(s, sym, side, i): (x, levels[sym, side, x]) for i, x in enumerate(p)}
+    for u in units.collect():
+        for s in range(u["unit_ns"], u["unit_ns"] + unit, second):
+            upto = max(s, u["first_active_ns"]) if parity else s
+            live = {}
+            for _, _, live in fold_book([x for x in log if x[1][2] < upto + second]):
+                pass
+            levels = {}
+            for v in live.values():
+                levels[tuple(v[:3])] = levels.get(tuple(v[:3]), 0) + v[3]
+            for sym in (1, 2):
+                for side in (1, 2):
+                    p = sorted((k[2] for k in levels if k[:2] == (sym, side)), reverse=side == 1)[:3]
+                    want |= {(s, sym, side, i): (x, levels[sym, side, x]) for i, x in enumerate(p)}
     assert ours == want
+    # neighbours in a unit differ
+    for r in iv.orderBy("symbol_id", "from_ns").collect():
+        was = states.get((r["symbol_id"], r["unit_ns"]))
+        assert was is None or was[0] < r["from_ns"] or was[1] != (r["bids"], r["asks"])
+        states[r["symbol_id"], r["unit_ns"]] = (r["to_ns"], (r["bids"], r["asks"]))
+
+
+def test_obligations_by_second(spark):
+    """Breach seconds of each maker and symbol, and their share of a load step, against a count second by second."""
+    a, f, c, log = frames(spark, 8)
+    second, unit, key = B.NS, 50 * B.NS, ("user_id", "symbol_id")
+    units = V.covered_units(a.select("timestamp_ns").union(f.select("timestamp_ns")).union(c.select("timestamp_ns")), second, unit)
+    states = K.order_states(K.order_events(a, f, c)).where("user_id < 3")
+    quotes = V.best_quotes(V.book_intervals(K.level_changes(states, *key), units, second, unit, 1, key))
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (77, 1)], "user_id long, symbol_id int")
+    ob = V.obligation_intervals(quotes, pairs, units, second, unit, 300, 8)
+    want = {}
+    for u in sorted(x["unit_ns"] for x in units.collect()):
+        for s in range(u, u + unit, second):
+            live = {}
+            for _, _, live in fold_book([x for x in log if x[1][2] < s + second]):
+                pass
+            owner = {x[1][5]: x[1][4] for x in log if x[0] == "a"}
+            for user, sym in [(1, 1), (1, 2), (2, 1), (2, 2), (77, 1)]:
+                side = lambda n: [(v[2], v[3]) for o, v in live.items() if owner[o] == user and v[0] == sym and v[1] == n]  # noqa: B023, E731
+                bids, asks = side(1), side(2)
+                kinds = []
+                if not bids or not asks:
+                    kinds.append("not_two_sided")
+                else:
+                    bid, ask = max(bids)[0], min(asks)[0]
+                    if (ask + bid) // 2 > 0 and (ask - bid) * 10_000 // ((ask + bid) // 2) > 300:
+                        kinds.append("spread_too_wide")
+                    kinds += ["size_too_small"] * sum(sum(q for p, q in x if p == best) < 8 for x, best in ((bids, bid), (asks, ask)))
+                for k in kinds:
+                    want.setdefault((user, sym, k), []).append(s)
+    got = {tuple(r)[:3]: r["n"] for r in Q.breach_rows(ob).groupBy("user_id", "symbol_id", "kind").agg(F.sum("steps").alias("n")).collect()}
+    assert got == {k: len(v) for k, v in want.items()}
+    steps = spark.createDataFrame([(0, 30 * second + 5, 90 * second), (1, 0, 20 * second - 1), (2, 10_000 * second, 20_000 * second)], "step long, began long, ended long")
+    cut = V.within(Q.breach_rows(ob, "at"), steps, units, second, unit)
+    got = {tuple(r)[:4]: r["n"] for r in cut.groupBy("step", "user_id", "symbol_id", "kind").agg(F.sum("steps").alias("n")).collect()}
+    assert got == {(n, *k): m for n, lo, hi in ((0, 31 * second, 90 * second), (1, 0, 19 * second)) for k, v in want.items() if (m := sum(lo <= s <= hi for s in v))}
+
+
+@pytest.mark.parametrize("bins", [2, 1024])
+def test_nearest_rank(spark, bins):
+    r = random.Random(6)
+    rows = [(g, v, r.randint(1, 3)) for g, n in (("a", 500), ("b", 1), ("c", 40)) for v in [int(r.paretovariate(0.3)) % 10**15 for _ in range(n)]] + [("a", None, 1), ("c", -5, 2)]
+    df = spark.createDataFrame(rows, "g string, v long, w long")
+    q = {"q0": 0.0, "q5": 0.5, "q9": 0.99, "q1": 1.0}
+    for weight in (None, "w"):
+        got = {x["g"]: x for x in Q.nearest_rank(df, "v", ["g"], q, weight, bins=bins).collect()}
+        for g in "abc":
+            x = sorted(v for h, v, w in rows if h == g and v is not None for _ in range(w if weight else 1))
+            assert (got[g]["n"], got[g]["least"], got[g]["greatest"]) == (len(x), x[0], x[-1])
+            assert all(got[g][name] == x[min(int(p * len(x)), len(x) - 1)] for name, p in q.items())
+    x = sorted(v / 7 for _, v, _ in rows if v is not None)
+    assert Q.nearest_rank(df.withColumn("v", F.col("v") / 7), "v", [], {"q": 0.3}, bins=bins).first()["q"] == x[int(0.3 * len(x))]
+
+
+def test_joins_by_range(spark):
+    """As-of joins and numbering whose ranges hold a few rows give what one sort gives."""
+    r = random.Random(2)
+    left = [(i, r.randint(1, 2), i * 10, i) for i in range(1, 200) if r.random() < 0.5]
+    right = [(i, r.randint(1, 2), i * 10, i) for i in range(1, 200) if r.random() < 0.1]
+    cols = "v long, s long, seq_ms long, seq_ord long"
+    for strict in (True, False):
+        got = K.as_of(spark.createDataFrame(left, cols).drop("v"), spark.createDataFrame(right, cols), "s", ["v"], strict, 70).collect()
+        want = {x[3]: max((y[0] for y in right if y[1] == x[1] and (y[3] < x[3] or not strict and y[3] == x[3])), default=None) for x in left}
+        assert {x["seq_ord"]: x["v"] for x in got} == want
+    orders = spark.createDataFrame([(s, n, n) for _, s, _, n in left], "symbol_id long, seq_ord long, stamped_ns long")
+    seen = spark.createDataFrame([(s, n, n + 5) for _, s, _, n in right], "symbol_id long, frame_seq long, arrival_ns long")
+    want = {n: min((y[3] for y in right if y[1] == s and y[3] >= n), default=None) for _, s, _, n in left}
+    assert {x["seq_ord"]: x["frame_seq"] for x in Q.next_frame(orders, seen, 13).collect()} == want
+    rows = spark.createDataFrame(left, cols)
+    got = {x["seq_ord"]: x["n"] for x in M.numbered(rows, "s", "n", 9).collect()}
+    assert got == {x[3]: sum(y[1] == x[1] and y[3] < x[3] for y in left) for x in left}
 
 
 def test_price_time(spark):
@@ -114,8 +207,9 @@ def test_price_time(spark):
                     want.add((x[1], x[7], best))
         for _ in fold_one(live, kind, x):
             pass
-    got = {(r["seq_ord"], r["maker_order_id"], r["better_order_id"]) for r in K.audit_price_time(a, f, c, 40 * 1_000_000_000).collect()}
-    assert got == want and want
+    for slice_ns in (40 * B.NS, 3 * B.NS, 86_400 * B.NS):
+        got = {(r["seq_ord"], r["maker_order_id"], r["better_order_id"]) for r in K.audit_price_time(a, f, c, slice_ns).collect()}
+        assert got == want and want
 
 
 def fold_one(live, kind, x):
@@ -175,6 +269,9 @@ def test_late_rows(spark):
             opened -= gone
     log = spark.createDataFrame([(0, i, t * B.NS) for i, t in enumerate(times)], "seq_ms long, seq_ord long, timestamp_ns long")
     assert {x["seq_ord"] for x in B.late_rows(log, 10).collect()} == late
+    first = log.groupBy((F.floor(F.col("timestamp_ns") / (10 * B.NS)) * 10 * B.NS).alias("unit_ns")).agg(F.min(F.struct("seq_ms", "seq_ord")).alias("first"))
+    whole = {(x["unit_ns"], x["least"]) for x in B.over_units(first, "first", "least", True, True, 1000, 10 * B.NS).collect()}
+    assert whole == {(x["unit_ns"], x["least"]) for x in B.over_units(first, "first", "least", True, True, 2, 10 * B.NS).collect()}
 
 
 def test_rate_limit(spark):

@@ -13,6 +13,7 @@ from tickloom.operators import ledger as L
 from tickloom.operators import risk as R
 from tickloom.sources import ingest, market, sinks
 from tickloom.streaming import queries as S
+from tickloom.streaming import readmodel as RM
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
 
@@ -121,11 +122,63 @@ def test_streams_in_batches(spark, tmp_path):
     assert rows(got, *cols) == rows(want, *cols)
     got = S.with_rocks(spark, lambda: S.run_to_end(S.stream_private(log()), str(tmp_path / "private")))
     assert got.count() == b.count() and got.groupBy("user_id").agg((F.max("user_seq") - F.count("*")).alias("d")).where("d <> 0").count() == 0
-    q = S.stream_ledger(log(), str(tmp_path / "ledger"))
+
+
+def model_tables(model, version):
+    return {t: sorted(map(tuple, model.read(t, version).collect())) for t in RM.TABLES}
+
+
+def batch_tables(b):
+    """The model's tables by the batch operators."""
+    acc, legs = market.account_records(b), L.fill_legs(market.fills(b))
+    cash = {r["user_id"]: r["cash_ticks"] for r in L.cash_balances(L.cash_events(acc, legs)).collect()}
+    created = {r["user_id"] for r in acc.where("created").collect()}
+    orders = L.open_orders(market.accepts(b), legs, market.cancels(b)).select("order_id", "user_id", "symbol_id", "side", "price_ticks", "qty", "remaining")
+    fees = L.house_fees(market.fills(b)).where("date is not null").select("symbol_id", "date", "fees", "fills")
+    found = {"positions": L.positions(legs), "open_orders": orders, "house_fees": fees}
+    return {"accounts": sorted((u, c, u in created) for u, c in cash.items())} | {t: sorted(map(tuple, df.collect())) for t, df in found.items()}
+
+
+def test_read_model_of_a_stream(spark, tmp_path):
+    """Six batches, in which users trade before they sign up, against the batch operators; then a batch that runs again, and old versions that go."""
+    b = market.view(spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_id <= 600"))
+    source = str(tmp_path / "in")
+    files = S.write_in_order(spark.read.parquet("/root/testdata/sf0.01/events.parquet").where("event_id <= 600"), source, 6)
+    model = RM.ReadModel(spark, str(tmp_path / "m"), 4)
+    q = RM.stream_read_model(S.stream_log(spark, source, files), model)
     q.awaitTermination()
-    last = spark.read.parquet(f"{tmp_path}/ledger/balances/v={q.lastProgress['batchId']}")
-    want = L.cash_balances(L.cash_events(market.account_records(b), L.fill_legs(market.fills(b))))
-    assert rows(last, "user_id", "cash_ticks") == rows(want, "user_id", "cash_ticks")
+    version = RM.last_version(q)
+    assert version == 5
+    want = batch_tables(b)
+    assert model_tables(model, version) == want
+    model.apply(b.where("seq_ord > 500"), version)
+    assert model_tables(model, version) == want
+    before = model.manifest(version - 1)
+    assert model.vacuum(version, 2) > 0
+    assert model_tables(model, version) == want and model.manifest(version - 1) == before
+    model_tables(model, version - 1)
+    # a batch of one user's signup touches one bucket of one table
+    model.apply(b.where("event_type = 'signup'").limit(1), version + 1)
+    changed = {k for k, v in model.manifest(version + 1).items() if v == version + 1}
+    assert len(changed) == 1 and next(iter(changed))[0] == "accounts"
+
+
+def test_read_model_of_an_emptied_bucket(spark, tmp_path):
+    """An order that goes leaves its bucket empty, and a later order comes to it."""
+    b = market.view(spark.read.parquet("/root/testdata/sf0.01/events.parquet"))
+    model = RM.ReadModel(spark, str(tmp_path / "m"), 1)
+    first = b.where("event_type in ('view', 'click')").orderBy("seq_ord").limit(1)
+    order = first.first()
+    gone = spark.createDataFrame([order]).withColumn("event_type", F.lit("error")).withColumn("k", F.lit(0).cast("long")).withColumn("seq_ord", F.col("seq_ord") + 10).selectExpr(*b.columns)
+    model.apply(first, 0)
+    assert model.read("open_orders", 0).count() == 1
+    for v in range(1, 60):  # the cancel takes one unit at a time
+        if not model.read("open_orders", v - 1).count():
+            break
+        model.apply(gone.withColumn("k", F.lit(9).cast("long")).withColumn("seq_ord", F.lit(order["seq_ord"] + 10 * (1 + 9 % 20))), v)
+    assert model.read("open_orders", v - 1).count() == 0
+    model.apply(first, v)
+    assert model.read("open_orders", v).count() == 1
 
 
 def test_stream_restart(spark, tmp_path):
@@ -148,15 +201,28 @@ def test_stream_archive_and_others(spark, tmp_path):
     folder = str(tmp_path / "in")
     parts(spark, folder)
     log = lambda: S.stream_log(spark, folder, 1)
-    q = S.stream_archive(log(), market.symbol_dim(spark), str(tmp_path / "a"), 86_400 * B.NS, "0 seconds")
+    archive = S.SealedArchive(spark, market.symbol_dim(spark), str(tmp_path / "a"), 86_400)
+    q = S.stream_archive(log(), archive)
     q.awaitTermination()
-    tape = B.tape(market.fills(market.view(spark.read.parquet(EVENTS))))
-    last = tape.agg(F.max("timestamp_ns")).first()[0] // (86_400 * B.NS) * 86_400 * B.NS
-    got = sinks.archive_scan(spark, f"{tmp_path}/a/trades")
-    assert rows(got, "seq_ord", "price_ticks") == rows(tape.where(F.col("timestamp_ns") < last), "seq_ord", "price_ticks")
-    seen = []
-    q = S.with_rocks(spark, lambda: (x := S.stream_conflated(log(), lambda df, n: seen.extend(df.collect()), str(tmp_path / "c")), x.awaitTermination())[0])
-    assert seen and q.exception() is None
+    b = market.view(spark.read.parquet(EVENTS))
+    tape = B.tape(market.fills(b))
+    last = b.agg(F.max("timestamp_ns")).first()[0] // (86_400 * B.NS) * 86_400 * B.NS
+    archived = lambda: rows(sinks.archive_scan(spark, f"{tmp_path}/a/trades"), "seq_ord", "price_ticks")
+    assert archived() == rows(tape.where(F.col("timestamp_ns") < last), "seq_ord", "price_ticks")
+    assert archive.late().count() == 0
+    archive.apply(spark.createDataFrame(b.orderBy(F.desc("seq_ord")).limit(5).collect(), b.schema), q.lastProgress["batchId"] + 1)  # an old batch again, under a later number
+    late = spark.createDataFrame(b.orderBy("seq_ord").limit(7).collect(), b.schema).withColumn("seq_ms", F.col("seq_ms") + 10**10)
+    before = archived()
+    archive.apply(late, q.lastProgress["batchId"] + 2)
+    archive.apply(late, q.lastProgress["batchId"] + 2)
+    assert archived() == before and archive.late().agg(F.sum("late")).first()[0] == 7
+    got = S.with_rocks(spark, lambda: S.run_to_end(S.stream_conflated(log(), 50_000_000), str(tmp_path / "c")))
+    from tickloom.operators import book as K
+
+    changes = K.level_changes(K.order_states(K.order_events(market.accepts(b), market.fills(b), market.cancels(b))))
+    seen = b.agg(F.max("seq_ms")).first()[0] * 1_000_000 - B.NS
+    want = K.conflated(changes, 50_000_000).where(F.col("window_ns") + 50_000_000 <= seen)
+    assert rows(got, "symbol_id", "side", "price_ticks", "window_ns", "qty", "seq_ord") == rows(want, "symbol_id", "side", "price_ticks", "window_ns", "qty", "seq_ord")
     frames = log().select(F.concat(F.lit("tape:"), F.col("symbol_id")).alias("channel"), F.lit(False).alias("private"), F.col("seq_ord").alias("arrival"), F.col("seq_ms").alias("seq_a"), F.col("seq_ord").alias("seq_b"))
     got = S.with_rocks(spark, lambda: S.run_to_end(S.stream_gaps(frames), str(tmp_path / "g")))
     assert {r["verdict"] for r in got.collect()} == {"ok"}
@@ -165,10 +231,6 @@ def test_stream_archive_and_others(spark, tmp_path):
         got = S.with_rocks(spark, lambda: S.run_to_end(S.stream_dedupe(orders, ttl * B.NS), str(tmp_path / f"d{ttl}")))  # noqa: B023
         s = market.inbound(market.view(spark.read.parquet(EVENTS))).where("record_type = 'submit'").withColumn("client_order_id", F.col("qty") % 3)
         assert rows(got, "seq_ord", "duplicate") == rows(R.first_outcomes(s.select("user_id", "client_order_id", "seq_ord", "timestamp_ns"), ttl * B.NS), "seq_ord", "duplicate")
-    up = []
-    s = log().select("user_id", "symbol_id", (F.col("k") % 2 == 0).alias("two_sided"))
-    S.stream_uptime(s, lambda df, n: up.extend(df.collect()), str(tmp_path / "u")).awaitTermination()
-    assert up
 
 
 def test_outcomes_and_verdicts(spark):

@@ -72,7 +72,8 @@ def format_ticks(ticks, tick_size) -> Column:
     t, size = _c(ticks), _c(tick_size)
     digits = F.length(size.cast("string")) - 1
     whole, part = floor_div(F.abs(t), size), F.pmod(F.abs(t), size)
-    text = F.concat(F.when(t < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"), F.lit("."), F.lpad(part.cast("string"), digits, "0"))
+    tail = F.when(digits > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), digits, "0"))).otherwise(F.lit(""))
+    text = F.concat(F.when(t < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"), tail)
     return F.when(size.isNull(), F.raise_error(F.lit("a price has no scale without a tick size")).cast("string")).otherwise(text)
 
 
@@ -104,7 +105,8 @@ def grouped_ticks(ticks, tick_size, currency: bool = False, sign: bool = False)
     plain = format_ticks(F.abs(t), tick_size)
     grouped = F.regexp_replace(F.substring_index(plain, ".", 1), r"(\d)(?=(\d\d)+\d$)", "$1,")
     mark = F.when(t < 0, F.lit("-")).when((t > 0) & F.lit(sign), F.lit("+")).otherwise(F.lit(""))
-    return F.concat(mark, F.lit("₹" if currency else ""), grouped, F.lit("."), F.substring_index(plain, ".", -1))
+    tail = F.when(F.contains(plain, F.lit(".")), F.concat(F.lit("."), F.substring_index(plain, ".", -1))).otherwise(F.lit(""))
+    return F.concat(mark, F.lit("₹" if currency else ""), grouped, tail)
 
 
 def signed_percent(value, digits: int = 2) -> Column:

@@ -7,6 +7,7 @@ bars, whose cash refusals depend on its path, is Python: one group per run.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -45,19 +46,39 @@ class HoldWhileLong:
         return [(1, gap)] if gap > 0 else [(2, min(-gap, position))] if gap < 0 else []
 
 
-def sma_signal(bars: DataFrame, fast: Column | int, slow: Column | int, by: list[str], longest: int) -> DataFrame:
+@dataclass
+class BuySellCycle:
+    """Buys `qty` at every `period`-th bar and sells all it holds `hold` bars later; needs no signal."""
+
+    qty: int
+    period: int = 5
+    hold: int = 3
+
+    def on_bar(self, bar: Bar, cash: int, position: int) -> list[tuple[int, int]]:
+        if bar.index % self.period == 0:
+            return [(1, self.qty)]
+        return [(2, position)] if bar.index % self.period == self.hold and position else []
+
+
+def sma_signal(bars: DataFrame, fast: Column | int, slow: Column | int, by: list[str], lengths: list[int]) -> DataFrame:
     """Adds `long`: the fast mean is above the slow one; null until the slow window is full.
 
-    Means are compared in integers. `fast` and `slow` may be columns, so one
-    pass serves all parameters; `longest` bounds the slow window.
+    Means are compared in integers. A window's sum is the difference of two
+    running sums, so a row costs the same for every length. `fast` and `slow`
+    may be columns, so one pass serves all parameters; `lengths` are the
+    values they take, a small literal list.
     """
     w = W.partitionBy(*by).orderBy("bar_index")
-    closes = F.collect_list("close_ticks").over(w.rowsBetween(-(longest - 1), 0))
     fast, slow = (x if isinstance(x, Column) else F.lit(x) for x in (fast, slow))
-    total = lambda n: F.aggregate(F.slice("_closes", -n, n), F.lit(0).cast("long"), lambda a, x: a + x)
-    b = bars.withColumn("_closes", closes)
-    full = F.size("_closes") >= slow
-    return b.withColumn("long", F.when(full, F.when(full, total(fast)) * slow > F.when(full, total(slow)) * fast)).drop("_closes")
+    b = bars.withColumn("_upto", F.sum("close_ticks").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(w))
+    for n in lengths:
+        b = b.withColumn(f"_sum{n}", F.col("_upto") - F.coalesce(F.lag("_upto", n).over(w), F.lit(0)))
+
+    def total(length: Column) -> Column:
+        return reduce(lambda rest, n: F.when(length == n, F.col(f"_sum{n}")).otherwise(rest), lengths, F.lit(None).cast("long"))
+
+    b = b.withColumn("long", F.when(F.col("_n") >= slow, total(fast) * slow > total(slow) * fast))
+    return b.drop("_upto", "_n", *[f"_sum{n}" for n in lengths])
 
 
 FOLD = "run_id long, symbol_id int, kind string, bar_index long, side int, qty long, price_ticks long, fee_ticks long, realised_ticks long, cash_ticks long, position long, equity_ticks long, refused long, pending long"
@@ -160,8 +181,8 @@ def metrics(bars: DataFrame, folded: DataFrame) -> DataFrame:
     )
 
 
-def sweep(history: DataFrame, params: DataFrame, minutes: list[int], longest: int, lots: int = 10) -> DataFrame:
-    """Bars of every run: symbols x parameters (run_id, minutes, fast, slow, qty). The parameter table is a small literal one."""
+def sweep(history: DataFrame, params: DataFrame, minutes: list[int], lengths: list[int], lots: int = 10) -> DataFrame:
+    """Bars of every run: symbols x parameters (run_id, minutes, fast, slow, qty). The parameter table is a small literal one; `minutes` and `lengths` are the values it has."""
     from tickloom.operators.bars import research_bars
 
     made = None
@@ -171,7 +192,7 @@ def sweep(history: DataFrame, params: DataFrame, minutes: list[int], longest: in
     x = made.join(F.broadcast(params), "minutes")
     w = W.partitionBy(*RUN).orderBy("bar_index")
     x = x.withColumn("bar_no", F.row_number().over(w) - 1).withColumn("initial_cash", F.first("open_ticks").over(w) * lots)
-    return sma_signal(x, F.col("fast"), F.col("slow"), RUN, longest)
+    return sma_signal(x, F.col("fast"), F.col("slow"), RUN, lengths)
 
 
 def report(m: DataFrame, symbols: DataFrame) -> DataFrame:

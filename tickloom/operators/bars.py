@@ -39,21 +39,45 @@ def force_closed(b: DataFrame, cutoff_ns: int) -> DataFrame:
     return split_open(b).where(F.col("closed") | (F.col("open_ns") + F.col("bucket_seconds") * NS <= cutoff_ns)).drop("closed")
 
 
-def flush_units(log: DataFrame, unit_seconds: int) -> DataFrame:
-    """Per unit its first and last id, its rows and the id before its first record, from which a reader resumes.
+def over_units(units: DataFrame, value: str, name: str, backward: bool, inclusive: bool, units_a_part: int, unit_ns: int) -> DataFrame:
+    """Adds `name`: the least `value` of the units from a row's on (backward), or the greatest of those up to it, in two levels.
 
-    The previous id is found in each task's sort by (unit), then across
-    units: only one row per unit meets in the last window.
+    Units are windowed within parts of some thousand, and parts, one row
+    each, among each other, so no task sees all units of a long log.
     """
+    part = bucket("unit_ns", units_a_part * unit_ns)
+    best = F.min if backward else F.max
+    u = units.withColumn("_part", part)
+    order = F.desc("unit_ns") if backward else F.asc("unit_ns")
+    own = best(value).over(W.partitionBy("_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
+    parts = u.groupBy("_part").agg(best(value).alias("_v"))
+    beyond = best("_v").over(W.orderBy(F.desc("_part") if backward else F.asc("_part")).rowsBetween(W.unboundedPreceding, -1))
+    u = u.withColumn("_own", own).join(parts.select("_part", beyond.alias("_beyond")), "_part")
+    both = (F.least if backward else F.greatest)("_own", "_beyond")
+    return u.withColumn(name, both).drop("_part", "_own", "_beyond")
+
+
+def flush_units(log: DataFrame, unit_seconds: int) -> DataFrame:
+    """Per unit its first and last id, its rows and the id before its first record, from which a reader resumes."""
     at = F.struct(*SEQ)
     units = log.groupBy(bucket("timestamp_ns", unit_seconds * NS).alias("unit_ns")).agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n"))
-    before = F.max("last").over(W.orderBy("unit_ns").rowsBetween(W.unboundedPreceding, -1))
+    units = over_units(units, "last", "before", backward=False, inclusive=False, units_a_part=1440, unit_ns=unit_seconds * NS)
     return units.select(
         "unit_ns", F.col("first.seq_ms").alias("first_ms"), F.col("first.seq_ord").alias("first_ord"), F.col("last.seq_ms").alias("last_ms"),
-        F.col("last.seq_ord").alias("last_ord"), "n", F.coalesce(before["seq_ms"], F.lit(0)).alias("resume_ms"), F.coalesce(before["seq_ord"], F.lit(0)).alias("resume_ord"),
+        F.col("last.seq_ord").alias("last_ord"), "n", F.coalesce("before.seq_ms", F.lit(0)).alias("resume_ms"), F.coalesce("before.seq_ord", F.lit(0)).alias("resume_ord"),
     )
 
 
+def seals_of(first: DataFrame, unit_seconds: int) -> DataFrame:
+    """(unit_ns, seal) of units with their first record: the record from which on rows of the unit are late; only units that are sealed."""
+    over = {"backward": True, "units_a_part": 1440, "unit_ns": unit_seconds * NS}
+    # the first record of any later unit seals a unit that had begun by then
+    later = over_units(first, "first", "later", inclusive=False, **over)
+    sealed = later.withColumn("own", F.when(F.col("first") < F.col("later"), F.col("later")))
+    # and no unit before one that is sealed opens any more
+    return over_units(sealed, "own", "seal", inclusive=True, **over).where("seal is not null").select("unit_ns", "seal")
+
+
 def late_rows(log: DataFrame, unit_seconds: int) -> DataFrame:
     """Rows of units that were sealed before they came: a record of a later unit lies between.
 
@@ -63,16 +87,9 @@ def late_rows(log: DataFrame, unit_seconds: int) -> DataFrame:
     is late if a later unit has begun before it and its own unit was open,
     or had no chance to open, by then.
     """
-    at, w = F.struct(*SEQ), unit_seconds * NS
-    rows = log.withColumn("unit_ns", bucket("timestamp_ns", w))
-    first = rows.groupBy("unit_ns").agg(F.min(at).alias("first"))
-    # the first record of any later unit, and the greatest unit that such a record seals
-    later = F.min("first").over(W.orderBy("unit_ns").rowsBetween(1, W.unboundedFollowing))
-    seals = first.select(F.col("unit_ns").alias("sealed_ns"), later.alias("seal"), F.col("first").alias("u_first"))
-    seals = seals.where(F.col("seal").isNotNull() & (F.col("u_first") < F.col("seal"))).select("sealed_ns", "seal")
-    # a row of unit v is late once any unit u >= v that opened is sealed
-    by_unit = first.select("unit_ns").join(seals, F.col("sealed_ns") >= F.col("unit_ns")).groupBy("unit_ns").agg(F.min("seal").alias("seal"))
-    return rows.join(by_unit, "unit_ns").where(at > F.col("seal"))
+    rows = log.withColumn("unit_ns", bucket("timestamp_ns", unit_seconds * NS))
+    first = rows.groupBy("unit_ns").agg(F.min(F.struct(*SEQ)).alias("first"))
+    return rows.join(seals_of(first, unit_seconds), "unit_ns").where(F.struct(*SEQ) > F.col("seal"))
 
 
 def reconcile(prints: DataFrame, archived: DataFrame, widths: list[int]) -> DataFrame:
@@ -96,8 +113,8 @@ def research_bars(history: DataFrame, minutes: int, first: int | None = None, la
         h = h.where(F.col("minute_index") >= first)
     if last is not None:
         h = h.where(F.col("minute_index") < last)
-    start = F.min("minute_index").over(W.partitionBy("symbol_id"))
-    h = h.withColumn("bar_index", F.call_function("div", F.col("minute_index") - start, F.lit(minutes)))
+    start = h.groupBy("symbol_id").agg(F.min("minute_index").alias("start"))
+    h = h.join(start, "symbol_id").withColumn("bar_index", F.call_function("div", F.col("minute_index") - F.col("start"), F.lit(minutes)))
     return (
         h.groupBy("symbol_id", "bar_index")
         .agg(

@@ -83,10 +83,11 @@ def bbo(levels: DataFrame, *by: str) -> DataFrame:
     return b.withColumn("two_sided", two).withColumn("spread", F.col("ask") - F.col("bid")).withColumn("mid", floor_div(F.col("ask") + F.col("bid"), 2))
 
 
-def level_changes(states: DataFrame) -> DataFrame:
-    """Quantity of a price level after each record that changes it; 0 is gone."""
-    d = states.where("delta <> 0").groupBy("symbol_id", "side", "price_ticks", *SEQ, "timestamp_ns").agg(F.sum("delta").alias("delta")).where("delta <> 0")
-    return d.withColumn("qty", F.sum("delta").over(W.partitionBy("symbol_id", "side", "price_ticks").orderBy(*SEQ)))
+def level_changes(states: DataFrame, *by: str) -> DataFrame:
+    """Quantity of a price level after each record that changes it; 0 is gone. Levels of a symbol, or of what `by` names."""
+    own = [*(by or ["symbol_id"]), "side", "price_ticks"]
+    d = states.where("delta <> 0").groupBy(*own, *SEQ, "timestamp_ns").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+    return d.withColumn("qty", F.sum("delta").over(W.partitionBy(*own).orderBy(*SEQ)))
 
 
 def level_intervals(changes: DataFrame) -> DataFrame:
@@ -96,37 +97,11 @@ def level_intervals(changes: DataFrame) -> DataFrame:
     return last.withColumn("to_ns", to)
 
 
-def covered_steps(log: DataFrame, step_ns: int, unit_ns: int) -> DataFrame:
-    """(step_ns): starts of all sampling steps of the units that have a record."""
-    units = log.select(bucket("timestamp_ns", unit_ns).alias("u")).distinct()
-    return units.select(F.explode(F.sequence(F.col("u"), F.col("u") + unit_ns - step_ns, F.lit(step_ns))).alias("step_ns"))
-
-
-def book_snapshots(changes: DataFrame, steps: DataFrame, step_ns: int, unit_ns: int, depth: int | None = None) -> DataFrame:
-    """Long L2 table: for each covered step the book after its last record, labelled by the step's start.
-
-    A level's interval is laid out in the covered units it touches, which are
-    one row each, and its steps there follow from its ends: no rows of
-    different levels or symbols meet before the ranks.
-    """
-    iv = level_intervals(changes).where("qty > 0")
-    first = bucket("from_ns", step_ns)  # the step that holds from_ns ends after it
-    end = F.coalesce(bucket("to_ns", step_ns), F.lit(None).cast("long"))  # not in the step in which it ends
-    iv = iv.select("symbol_id", "side", "price_ticks", "qty", first.alias("lo"), end.alias("hi"))
-    units = steps.select(bucket("step_ns", unit_ns).alias("unit")).distinct()
-    last = units.agg(F.max("unit").alias("last_unit"))  # one row
-    iv = iv.join(F.broadcast(last)).withColumn("hi", F.coalesce("hi", F.col("last_unit") + unit_ns)).where("lo < hi").drop("last_unit")
-    spread = iv.withColumn("unit", F.explode(F.sequence(bucket("lo", unit_ns), bucket(F.col("hi") - 1, unit_ns), F.lit(unit_ns)))).join(units, "unit")
-    inside = F.sequence(F.greatest("lo", "unit"), F.least("hi", F.col("unit") + unit_ns) - step_ns, F.lit(step_ns))
-    rows = spread.select("symbol_id", F.explode(inside).alias("step_ns"), "side", "price_ticks", "qty")
-    out = ranked(rows, "symbol_id", "step_ns")
-    return out if depth is None else out.where(F.col("level") < depth)
-
-
-def nested_frames(snapshots: DataFrame, depth: int) -> DataFrame:
-    """One row per symbol and step with arrays of (price, qty), best first; an empty side is an empty array."""
-    side = lambda s: F.transform(F.array_sort(F.collect_list(F.when((F.col("side") == s) & (F.col("level") < depth), F.struct("level", "price_ticks", "qty")))), lambda x: F.struct(x["price_ticks"].alias("price_ticks"), x["qty"].alias("qty")))
-    return snapshots.groupBy("symbol_id", "step_ns").agg(side(1).alias("bids"), side(2).alias("asks"))
+def book_at(changes: DataFrame, symbol_id: int, second: int) -> DataFrame:
+    """One symbol's levels after the last record of a second (since the epoch): filters that reach the scan, then ranks."""
+    end = (second + 1) * 1_000_000_000
+    iv = level_intervals(changes.where((F.col("symbol_id") == symbol_id) & (F.col("timestamp_ns") < end))).where("qty > 0 and to_ns is null")
+    return ranked(iv.select("symbol_id", F.lit(second * 1_000_000_000).alias("step_ns"), "side", "price_ticks", "qty"), "symbol_id", "step_ns")
 
 
 def conflated(changes: DataFrame, window_ns: int) -> DataFrame:
@@ -134,20 +109,6 @@ def conflated(changes: DataFrame, window_ns: int) -> DataFrame:
     return changes.groupBy("symbol_id", "side", "price_ticks", bucket("timestamp_ns", window_ns).alias("window_ns")).agg(F.max_by("qty", F.struct(*SEQ)).alias("qty"), F.max(F.struct(*SEQ)).alias("at")).select("symbol_id", "side", "price_ticks", "window_ns", "qty", F.col("at.seq_ord").alias("seq_ord"))
 
 
-def crossed(best: DataFrame) -> DataFrame:
-    """Per symbol: snapshots, crossed ones (bid >= ask) and the longest run of them."""
-    w = W.partitionBy("symbol_id").orderBy("step_ns")
-    c = best.withColumn("crossed", F.coalesce(F.col("bid") >= F.col("ask"), F.lit(False)))
-    c = c.withColumn("island", F.sum((~F.col("crossed")).cast("int")).over(w))
-    runs = c.groupBy("symbol_id", "island").agg(F.count("*").alias("n"), F.sum(F.col("crossed").cast("long")).alias("run"))
-    return runs.groupBy("symbol_id").agg(F.sum("n").alias("snapshots"), F.sum("run").alias("crossed"), F.max("run").alias("longest_run"))
-
-
-def depth_share(snapshots: DataFrame) -> DataFrame:
-    most = F.max("qty").over(W.partitionBy("symbol_id", "step_ns"))
-    return snapshots.withColumn("share", F.col("qty") / most)
-
-
 def bbo_timeline(changes: DataFrame) -> DataFrame:
     """Best bid and ask after each record that changes a level of the symbol.
 
@@ -215,12 +176,23 @@ def bbo_timeline(changes: DataFrame) -> DataFrame:
     return rows.repartition("symbol_id", "part").sortWithinPartitions("symbol_id", "part", *SEQ).mapInArrow(run, schema)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, values: list[str], strict: bool = True) -> DataFrame:
-    """Rows of `left` with the last `values` of `right` before them (or at the same record, if not strict), by one sort of both."""
+def as_of(left: DataFrame, right: DataFrame, by: str, values: list[str], strict: bool = True, width_ms: int = 43_200_000) -> DataFrame:
+    """Rows of `left` with the last `values` of `right` before them (or at the same record, if not strict).
+
+    Both are sorted together in ranges of time, so that one key is not one
+    task; a row with nothing before it in its range takes the last values of
+    the ranges before, of which each gives one row.
+    """
     first, second = (0, 1) if strict else (1, 0)
-    u = left.withColumn("_kind", F.lit(first)).unionByName(right.select(by, *SEQ, F.struct(*values).alias("_v")).withColumn("_kind", F.lit(second)), allowMissingColumns=True)
-    w = W.partitionBy(by).orderBy(*SEQ, "_kind").rowsBetween(W.unboundedPreceding, 0)
-    u = u.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where(F.col("_kind") == first)
+    part = bucket("seq_ms", width_ms).alias("_part")
+    seen = right.select(by, *SEQ, F.struct(*values).alias("_v")).withColumn("_kind", F.lit(second))
+    u = left.withColumn("_kind", F.lit(first)).unionByName(seen, allowMissingColumns=True).select("*", part)
+    lasts = seen.select(by, part, "_v", F.struct(*SEQ).alias("_at")).groupBy(by, "_part").agg(F.max_by("_v", "_at").alias("_own"))
+    parts = u.select(by, "_part").distinct().join(lasts, [by, "_part"], "left")
+    carried = parts.select(by, "_part", F.last("_own", ignorenulls=True).over(W.partitionBy(by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    w = W.partitionBy(by, "_part").orderBy(*SEQ, "_kind").rowsBetween(W.unboundedPreceding, 0)
+    u = u.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where(F.col("_kind") == first).join(carried, [by, "_part"])
+    u = u.withColumn("_v", F.coalesce("_v", "_before"))
     return u.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
@@ -258,33 +230,60 @@ def audit_event_log(accepts: DataFrame, fills: DataFrame, cancels: DataFrame) ->
     return f.select(*SEQ, broken(rules)).unionByName(c.select(*SEQ, broken(c_rules)))
 
 
-def live_intervals(states: DataFrame) -> DataFrame:
-    """(order_id, symbol_id, side, price_ticks, a_ord.., from, to): records after which an order has something left, until the record that ends it."""
-    over = states.where("rem = 0").groupBy("order_id").agg(F.min(F.struct(*SEQ)).alias("to"))
-    return states.where("delta > 0").select("order_id", "symbol_id", "side", "price_ticks", F.struct("a_ms", "a_ord").alias("from"), "timestamp_ns").join(over, "order_id", "left")
-
-
 def audit_price_time(accepts: DataFrame, fills: DataFrame, cancels: DataFrame, slice_ns: int = 86_400 * 1_000_000_000) -> DataFrame:
     """(seq_ms, seq_ord, maker_order_id, better_order_id): fills whose maker was not the best live opposite order of the taker.
 
-    Live intervals are laid out in time slices, so the theta join is an
-    equi-join on symbol and slice with a residual; each fill keeps the best
-    order only, with an aggregate that combines before the shuffle.
+    A symbol's time slice is folded on its own: it begins with the orders
+    that were live before it, then come acceptances, ends of orders and fills
+    in order. A heap per side has the best live order, by price, then age, on
+    top; ended orders leave it when they come up. So a slice of n records
+    costs n log n, however many orders are live.
     """
+    import pyarrow as pa
+
     states = order_states(order_events(accepts, fills, cancels))
-    live = live_intervals(states)
-    ends = states.where("rem = 0").groupBy("order_id").agg(F.min("timestamp_ns").alias("end_ns"))
-    last = fills.agg(F.max(bucket("timestamp_ns", slice_ns)).alias("last_slice"))
-    live = live.join(ends, "order_id", "left").join(F.broadcast(last)).withColumn("slice", F.explode(F.sequence(bucket("timestamp_ns", slice_ns), F.greatest(bucket("timestamp_ns", slice_ns), F.coalesce(bucket("end_ns", slice_ns), F.col("last_slice"))), F.lit(slice_ns))))
-    live = live.select("order_id", "symbol_id", "slice", "price_ticks", "from", "to", F.col("side").alias("o_side"))
-    taker = accepts.select(F.col("order_id").alias("taker_order_id"), F.col("side").alias("t_side"), F.col("price_ticks").alias("t_price"), F.struct(*SEQ).alias("t_at"), F.col("symbol_id").alias("t_symbol"))
-    f = fills.select(*SEQ, F.struct(*SEQ).alias("at"), "maker_order_id", "taker_order_id", bucket("timestamp_ns", slice_ns).alias("slice")).join(taker, "taker_order_id").where("t_at < at")
-    f = f.withColumnRenamed("t_symbol", "symbol_id")
-    fits = F.when(F.col("t_side") == 1, F.col("price_ticks") <= F.col("t_price")).otherwise(F.col("price_ticks") >= F.col("t_price"))
-    c = f.join(live, ["symbol_id", "slice"]).where((F.col("o_side") != F.col("t_side")) & (F.col("from") < F.col("at")) & (F.col("to").isNull() | (F.col("to") >= F.col("at"))) & fits)
-    rank = F.struct(F.when(F.col("t_side") == 1, F.col("price_ticks")).otherwise(-F.col("price_ticks")).alias("p"), F.col("from").alias("f"))
-    best = c.groupBy(*SEQ, "maker_order_id").agg(F.min_by("order_id", rank).alias("better_order_id"))
-    return best.where("better_order_id <> maker_order_id")
+    own = ["order_id", "symbol_id", "side", "price_ticks", "a_ms", "a_ord"]
+    lives = states.groupBy(*own).agg(F.min("timestamp_ns").alias("from_ns"), F.min(F.when(F.col("rem") == 0, F.struct(*SEQ, "timestamp_ns"))).alias("to"))
+    at_slice = lambda c: bucket(c, slice_ns)
+    last = fills.agg(F.max(at_slice("timestamp_ns")).alias("last_slice"))  # one row
+    lives = lives.join(F.broadcast(last)).withColumn("slice", at_slice("from_ns")).withColumn("end_slice", F.coalesce(at_slice("to.timestamp_ns"), F.greatest("last_slice", "slice")))
+    key, none = ["symbol_id", "slice"], F.lit(None).cast("long")
+    order = ["side", "price_ticks", F.col("a_ms").alias("age_ms"), F.col("a_ord").alias("age_ord"), "order_id", none.alias("maker_order_id")]
+    begun = lives.select(*key, F.col("a_ms").alias("seq_ms"), F.col("a_ord").alias("seq_ord"), F.lit(2).alias("kind"), *order)
+    carried = lives.where("slice < end_slice").withColumn("slice", F.explode(F.sequence(F.col("slice") + slice_ns, F.col("end_slice"), F.lit(slice_ns))))
+    before = F.lit(-1).cast("long")
+    opening = carried.select(*key, before.alias("seq_ms"), before.alias("seq_ord"), F.lit(2).alias("kind"), *order)
+    ended = lives.where("to is not null").select("symbol_id", at_slice("to.timestamp_ns").alias("slice"), "to.seq_ms", "to.seq_ord", F.lit(1).alias("kind"), *order)
+    taker = accepts.select(F.col("order_id").alias("taker_order_id"), "symbol_id", "side", "price_ticks", F.col("seq_ms").alias("t_ms"), F.col("seq_ord").alias("t_ord"))
+    f = fills.drop("symbol_id", "price_ticks").join(taker, "taker_order_id").where(F.struct("t_ms", "t_ord") < F.struct(*SEQ))
+    asked = f.select("symbol_id", at_slice("timestamp_ns").alias("slice"), *SEQ, F.lit(0).alias("kind"), "side", "price_ticks", none.alias("age_ms"), none.alias("age_ord"), none.alias("order_id"), "maker_order_id")
+    rows = begun.unionByName(opening).unionByName(ended).unionByName(asked)
+    schema = "seq_ms long, seq_ord long, maker_order_id long, better_order_id long"
+
+    def run(batches):
+        from heapq import heappop, heappush
+
+        group, live, heaps = None, set(), ([], [])
+        for b in batches:
+            found = []
+            for sym, slot, ms, seq, kind, side, price, age_ms, age_ord, oid, maker in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (sym, slot) != group:
+                    group, live, heaps = (sym, slot), set(), ([], [])
+                if kind == 2:
+                    live.add(oid)
+                    heappush(heaps[side - 1], (-price if side == 1 else price, age_ms, age_ord, oid))
+                elif kind == 1:
+                    live.discard(oid)
+                else:  # a buy meets the sells, and the other way round
+                    other = heaps[2 - side]
+                    while other and other[0][3] not in live:
+                        heappop(other)
+                    if other and (other[0][0] <= price if side == 1 else -other[0][0] >= price) and other[0][3] != maker:
+                        found.append((ms, seq, maker, other[0][3]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["seq_ms", "seq_ord", "maker_order_id", "better_order_id"])
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *SEQ, "kind").mapInArrow(run, schema)
 
 
 def conservation(events: DataFrame) -> DataFrame:

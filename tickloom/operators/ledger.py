@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,10 +111,9 @@ def private_timeline(accepts: DataFrame, legs: DataFrame, cancels: DataFrame, ac
     return u.withColumn("user_seq", F.row_number().over(W.partitionBy("user_id").orderBy(*SEQ, "leg")))
 
 
-def changed_keys(accepts: DataFrame, legs: DataFrame, cancels: DataFrame, accounts: DataFrame, after: int, upto: int) -> DataFrame:
-    """(kind, user_id, other): accounts, positions and orders that the records in (after, upto] touch."""
-    span = (F.col("seq_ord") > after) & (F.col("seq_ord") <= upto)
-    t = lambda df, kind, other: df.where(span).select(F.lit(kind).alias("kind"), F.col("user_id").cast("long").alias("user_id"), (F.lit(None) if other is None else F.col(other)).cast("long").alias("other"))
+def changed_keys(accepts: DataFrame, legs: DataFrame, cancels: DataFrame, accounts: DataFrame, batch: Column) -> DataFrame:
+    """(batch, kind, user_id, other): accounts, positions and orders that the records of each batch touch; `batch` numbers a record by its columns."""
+    t = lambda df, kind, other: df.select(batch.cast("long").alias("batch"), F.lit(kind).alias("kind"), F.col("user_id").cast("long").alias("user_id"), (F.lit(None) if other is None else F.col(other)).cast("long").alias("other"))
     rows = t(accounts, "account", None).union(t(legs, "account", None)).union(t(legs, "position", "symbol_id"))
     return rows.union(t(accepts, "order", "order_id")).union(t(legs, "order", "order_id")).union(t(cancels, "order", "order_id")).distinct()
 

@@ -2,46 +2,55 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickloom.functions.ticks import BPS, floor_div
+from tickloom.sources.sinks import written
 
 
-def spread_samples(snapshots: DataFrame, probe_price: int, depth: int) -> DataFrame:
-    """Per symbol and step, without own probe levels: spread in basis points and the thinner side's quantity in `depth` levels; null and one_sided where a side is empty."""
-    s = snapshots.where(F.col("price_ticks") > probe_price)
-    best = F.row_number().over(W.partitionBy("symbol_id", "step_ns", "side").orderBy("level"))
-    s = s.withColumn("rank", best)
-    price = lambda side: F.max(F.when((F.col("side") == side) & (F.col("rank") == 1), F.col("price_ticks")))
-    qty = lambda side: F.sum(F.when((F.col("side") == side) & (F.col("rank") <= depth), F.col("qty")))
-    g = s.groupBy("symbol_id", "step_ns").agg(price(1).alias("bid"), price(2).alias("ask"), qty(1).alias("bq"), qty(2).alias("aq"))
-    two = F.col("bid").isNotNull() & F.col("ask").isNotNull()
-    spread = (F.col("ask") - F.col("bid")) / ((F.col("bid") + F.col("ask")) / 2) * BPS
-    return g.select("symbol_id", "step_ns", "bid", "ask", (~two).alias("one_sided"), F.when(two, spread).alias("spread_bps"), F.when(two, F.least("bq", "aq")).alias("thin_qty"))
-
+def nearest_rank(rows: DataFrame, value: str, by: list[str], quantiles: dict[str, float], weight: str | None = None, rounds: int = 2, bins: int = 1024) -> DataFrame:
+    """Count, least, greatest and quantiles by the rule index = floor(q * n), at most n - 1; a row counts `weight` times.
 
-def nearest_rank(rows: DataFrame, value: str, by: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Count, least, greatest and quantiles by the rule index = floor(q * n), at most n - 1.
-
-    Values are counted first, so what meets in a group is one row for each
-    distinct value. Nulls are left out.
+    Distributed selection: equal values are counted first; then each round
+    cuts a group's range of values in equal bins, of which only those that
+    hold a wanted rank are kept, with the count before them. A group's values
+    so never meet in one task, only its bins and what the last round leaves.
+    Nulls are left out.
     """
-    c = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    key = by or [F.lit(0)]
-    c = c.withColumn("upto", F.sum("c").over(W.partitionBy(*key).orderBy("v"))).withColumn("n", F.sum("c").over(W.partitionBy(*key)))
+    key = by or ["_all"]
+    c = (rows if by else rows.withColumn("_all", F.lit(0))).where(F.col(value).isNotNull())
+    c = written(c.groupBy(*key, F.col(value).alias("v")).agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("long").alias("c")), "ranks")
+    ends = c.groupBy(*key).agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"))
     at = lambda q: F.least(F.floor(F.lit(q) * F.col("n")), F.col("n") - 1)
+    kept = c.withColumn("before", F.lit(0).cast("long"))
+    path = list(key)
+    for k in range(rounds):
+        size = kept.groupBy(*path).agg(F.min("v").cast("double").alias("lo"), F.max("v").cast("double").alias("hi"))
+        share = (F.col("v").cast("double") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))  # never falls as v grows
+        own = f"bin{k}"
+        binned = kept.join(size, path).withColumn(own, F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")).drop("lo", "hi")
+        m = binned.groupBy(*path, own).agg(F.sum("c").alias("m"), F.min("before").alias("base")).join(ends.select(*key, "n"), key)
+        before = F.col("base") + F.sum("m").over(W.partitionBy(*path).orderBy(own)) - F.col("m")
+        m = m.withColumn("before", before)
+        holds = [(at(q) >= F.col("before")) & (at(q) < F.col("before") + F.col("m")) for q in quantiles.values()]
+        m = m.where(reduce(lambda x, y: x | y, holds)).select(*path, own, "before")
+        kept = binned.drop("before").join(m, [*path, own])
+        path = [*path, own]
+    upto = F.col("before") + F.sum("c").over(W.partitionBy(*path).orderBy("v"))
     pick = [F.min(F.when(F.col("upto") > at(q), F.col("v"))).alias(name) for name, q in quantiles.items()]
-    return c.groupBy(*by).agg(F.max("n").alias("n"), F.min("v").alias("least"), *pick, F.max("v").alias("greatest"))
+    found = kept.withColumn("upto", upto).join(ends.select(*key, "n"), key).groupBy(*key).agg(*pick)
+    return ends.join(found, key).select(*by, "n", "least", *quantiles, "greatest")
 
 
 def by_step(samples: DataFrame, breaches: DataFrame, steps: DataFrame) -> DataFrame:
-    """Per load step [began, ended], both ends in: spread quantiles and breaches by kind. The steps are a small literal table."""
-    inside = lambda df, t: df.join(F.broadcast(steps), (F.col(t) >= F.col("began")) & (F.col(t) <= F.col("ended")))
-    q = nearest_rank(inside(samples, "step_ns"), "spread_bps", ["step"], {"p50": 0.5, "p95": 0.95})
+    """Per load step: spread quantiles and breaches by kind, each weighed by its sampled steps. `samples` and `breaches` are cut to load steps already (`intervals.within`)."""
+    q = nearest_rank(samples, "spread_bps", ["step"], {"p50": 0.5, "p95": 0.95}, "steps")
     kinds = ["not_two_sided", "spread_too_wide", "size_too_small"]
-    b = inside(breaches, "step_ns").groupBy("step").pivot("kind", kinds).count()
+    b = breaches.groupBy("step").pivot("kind", kinds).agg(F.sum("steps"))
     return steps.select("step").join(q, "step", "left").join(b, "step", "left").fillna(0, kinds)
 
 
@@ -55,31 +64,19 @@ def with_breaches(quotes: DataFrame, max_spread_bps: int, min_size: int) -> Data
     return quotes.withColumn("two_sided", two).withColumn("spread_bps", spread).withColumn("breaches", found)
 
 
-def obligation_samples(quotes: DataFrame, pairs: DataFrame, steps: DataFrame, max_spread_bps: int, min_size: int) -> DataFrame:
-    """One row per maker, symbol and step with the array of its breaches.
-
-    `quotes`: (user_id, symbol_id, step_ns, side, price_ticks, qty), the best
-    of each side. A pair without a quote of both sides breaches once, so
-    every step has a row of every pair: each task lays the pairs, at most
-    makers times listed symbols, beside its own steps.
-    """
-    side = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    q = quotes.groupBy("user_id", "symbol_id", "step_ns").agg(side(1, "price_ticks").alias("bid"), side(2, "price_ticks").alias("ask"), side(1, "qty").alias("bid_qty"), side(2, "qty").alias("ask_qty"))
-    s = steps.join(F.broadcast(pairs)).join(q, ["user_id", "symbol_id", "step_ns"], "left")
-    return with_breaches(s, max_spread_bps, min_size).select("user_id", "symbol_id", "step_ns", "two_sided", "spread_bps", "breaches")
-
-
-def breach_rows(samples: DataFrame) -> DataFrame:
-    return samples.select("user_id", "symbol_id", "step_ns", F.explode("breaches").alias("kind"))
+def breach_rows(intervals: DataFrame, *more: str) -> DataFrame:
+    """One row per breach of each interval, with its sampled steps."""
+    return intervals.select("user_id", "symbol_id", "from_ns", "to_ns", "steps", *more, F.explode("breaches").alias("kind"))
 
 
-def obligation_summary(samples: DataFrame, min_uptime: float) -> DataFrame:
-    """Per maker and symbol: samples, share of two-sided ones (4 digits), whether it meets the minimum, breaches by kind."""
-    kind = lambda k: F.sum(F.size(F.filter("breaches", lambda x: x == k))).alias(k)
-    up = F.avg(F.col("two_sided").cast("double"))
-    return samples.groupBy("user_id", "symbol_id").agg(
-        F.count("*").alias("samples"), F.round(up, 4).alias("two_sided_uptime"), (up >= min_uptime).alias("meets"), kind("not_two_sided"), kind("spread_too_wide"), kind("size_too_small"), F.sum(F.size("breaches")).alias("total")
-    )
+def obligation_summary(intervals: DataFrame, min_uptime: float) -> DataFrame:
+    """Per maker and symbol: sampled steps, share of two-sided ones (4 digits), whether it meets the minimum, breaches by kind."""
+    kind = lambda k: F.sum(F.col("steps") * F.size(F.filter("breaches", lambda x: x == k))).alias(k)
+    up = F.sum(F.when(F.col("two_sided"), F.col("steps")).otherwise(0)) / F.sum("steps")
+    return intervals.groupBy("user_id", "symbol_id").agg(
+        F.sum("steps").alias("samples"), F.round(up, 4).alias("two_sided_uptime"), (up >= min_uptime).alias("meets"), kind("not_two_sided"), kind("spread_too_wide"), kind("size_too_small"),
+        F.sum(F.col("steps") * F.size("breaches")).alias("total"),
+    )
 
 
 def maker_activity(accepts: DataFrame, cancels: DataFrame, held: DataFrame, makers_below: int) -> DataFrame:
@@ -127,13 +124,23 @@ def load_result(samples: DataFrame, receipts: DataFrame, steps: DataFrame, warm_
     return g.join(q, "step", "left").withColumn("achieved_per_s", F.round(rate, 6)).drop("began", "ended")
 
 
-def next_frame(orders: DataFrame, frames: DataFrame) -> DataFrame:
-    """Forward as-of join: for each order of (symbol_id, seq_ord, stamped_ns) the first frame of its symbol with frame_seq >= seq_ord, by one sort of both."""
-    u = orders.select("symbol_id", "seq_ord", "stamped_ns", F.lit(0).alias("kind"), F.lit(None).cast("struct<frame_seq:bigint,arrival_ns:bigint>").alias("f")).unionByName(
-        frames.select("symbol_id", F.col("frame_seq").alias("seq_ord"), F.lit(None).cast("long").alias("stamped_ns"), F.lit(1).alias("kind"), F.struct("frame_seq", "arrival_ns").alias("f"))
-    )
-    w = W.partitionBy("symbol_id").orderBy(F.desc("seq_ord"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
-    u = u.withColumn("f", F.last("f", ignorenulls=True).over(w)).where("kind = 0")
+def next_frame(orders: DataFrame, frames: DataFrame, width: int = 500_000) -> DataFrame:
+    """Forward as-of join: for each order of (symbol_id, seq_ord, stamped_ns) the first frame of its symbol with frame_seq >= seq_ord.
+
+    Both are sorted together in ranges of `width` numbers of the log, so that
+    a symbol is not one task; an order with no frame left in its range takes
+    the first one of the ranges after it, of which each gives one row.
+    """
+    part = F.call_function("div", F.col("seq_ord"), F.lit(width)).alias("part")
+    seen = frames.select("symbol_id", F.col("frame_seq").alias("seq_ord"), F.lit(None).cast("long").alias("stamped_ns"), F.lit(1).alias("kind"), F.struct("frame_seq", "arrival_ns").alias("f"))
+    u = orders.select("symbol_id", "seq_ord", "stamped_ns", F.lit(0).alias("kind"), F.lit(None).cast("struct<frame_seq:bigint,arrival_ns:bigint>").alias("f")).unionByName(seen).select("*", part)
+    firsts = seen.select("symbol_id", part, "f").groupBy("symbol_id", "part").agg(F.min("f").alias("own"))
+    parts = u.select("symbol_id", "part").distinct().join(firsts, ["symbol_id", "part"], "left")
+    later = F.first("own", ignorenulls=True).over(W.partitionBy("symbol_id").orderBy("part").rowsBetween(1, W.unboundedFollowing))
+    carried = parts.select("symbol_id", "part", later.alias("later"))
+    w = W.partitionBy("symbol_id", "part").orderBy(F.desc("seq_ord"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    u = u.withColumn("f", F.last("f", ignorenulls=True).over(w)).where("kind = 0").join(carried, ["symbol_id", "part"])
+    u = u.withColumn("f", F.coalesce("f", "later"))
     return u.select("symbol_id", "seq_ord", "f.frame_seq", (F.col("f.arrival_ns") - F.col("stamped_ns")).alias("delay_ns"))
 
 

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.functions import ticks as X
 from tickloom.operators import bars as B
 from tickloom.operators import book as K
+from tickloom.operators import intervals as V
 from tickloom.operators import ledger as L
 from tickloom.operators import risk as R
 from tickloom.operators import backtest as G
 from tickloom.operators import quality as Q
 from tickloom.sources.sinks import archive_scan as read_archive
 from tickloom.sources.sinks import archive_stats as stats_of_archive
-from tickloom.sources.sinks import archive_write, shared_folder, upsert
+from tickloom.sources.sinks import archive_write, shared_folder
+from tickloom.sources.sinks import result_json as result_documents
 from tickloom.streaming import queries as S
+from tickloom.streaming import readmodel as RM
 from tickloom.sources import ingest as I
 from tickloom.sources import market as M
 
@@ -61,21 +64,21 @@ def build_price_history(spark, d):
     b = M.base(spark, d)
     text = (F.col("price_ticks") * 5 + F.col("k")).cast("decimal(20,3)") / 1000  # a decimal price with three digits
     h = b.withColumn("close", text.cast("decimal(20,3)").cast("string"))
-    from pyspark.sql import Window as W
-
-    minute = (F.row_number().over(W.partitionBy("symbol_id").orderBy("seq_ord")) - 1).cast("long")
     ticks = F.greatest(F.lit(1).cast("long"), X.half_even(F.col("close").cast("decimal(20,3)") * F.call_function("div", F.col("tick_size_ticks"), F.lit(100))))
     name = F.concat(F.lit("SERIES_"), F.lpad(F.col("symbol_id").cast("string"), 2, "0"))
-    return h.join(F.broadcast(M.symbol_dim(spark)), "symbol_id").select(name.alias("symbol"), minute.alias("minute_index"), ticks.alias("close_ticks"))
+    h = M.numbered(h.select("symbol_id", "seq_ord", "close"), "symbol_id", "minute_index")
+    return h.join(F.broadcast(M.symbol_dim(spark)), "symbol_id").select(name.alias("symbol"), "minute_index", ticks.alias("close_ticks"))
 
 
 @query
 def history_quality(spark, d):
+    """Twins are symbols of the same path; paths are compared by 128 bits of hash of their points."""
     h = M.price_history(M.base(spark, d))
+    point = lambda seed: F.sum(F.xxhash64("minute_index", "close_ticks", F.lit(seed)).cast("decimal(38,0)"))
     stats = h.groupBy("symbol_id").agg(F.count("*").alias("n"), F.min("close_ticks").alias("min_close"), F.countDistinct("close_ticks").alias("n_closes"))
-    y = h.select(F.col("symbol_id").alias("other"), "minute_index", F.col("close_ticks").alias("theirs"))
-    pairs = h.join(y, "minute_index").where("symbol_id <> other").groupBy("symbol_id", "other").agg(F.count("*").alias("n"), F.count(F.when(F.col("close_ticks") == F.col("theirs"), 1)).alias("same"))
-    twins = pairs.where("same = n").groupBy("symbol_id").agg(F.count("*").alias("twins"))
+    paths = h.groupBy("symbol_id").agg(F.struct(F.count("*"), point(1), point(2)).alias("path"))
+    alike = paths.groupBy("path").agg(F.count("*").alias("alike"))
+    twins = paths.join(alike, "path").select("symbol_id", (F.col("alike") - 1).alias("twins"))
     s = M.symbol_dim(spark).join(stats, "symbol_id", "left").join(twins, "symbol_id", "left")
     return s.select("name", "n", "min_close", "n_closes", (F.col("min_close") > 0).alias("all_positive"), (F.col("n_closes") > 1).alias("moves"), F.coalesce("twins", F.lit(0)).cast("long").alias("twins"))
 
@@ -136,11 +139,14 @@ def flush_units(spark, d):
     return B.flush_units(M.base(spark, d), DAY)
 
 
+def with_steps_back(log: DataFrame) -> DataFrame:
+    return log.withColumn("timestamp_ns", F.when(F.col("k") % 9 == 0, F.col("timestamp_ns") - 93600 * B.NS).otherwise(F.col("timestamp_ns")))
+
+
 @query
 def late_rows(spark, d):
     """On a log whose time goes back by 26 hours in every ninth record."""
-    log = M.base(spark, d).withColumn("timestamp_ns", F.when(F.col("k") % 9 == 0, F.col("timestamp_ns") - 93600 * B.NS).otherwise(F.col("timestamp_ns")))
-    return B.late_rows(log, DAY).select("seq_ms", "seq_ord", "unit_ns")
+    return B.late_rows(with_steps_back(M.base(spark, d)), DAY).select("seq_ms", "seq_ord", "unit_ns")
 
 
 @query
@@ -205,9 +211,13 @@ def changes_of(spark, d) -> DataFrame:
     return K.level_changes(K.order_states(events_of(spark, d)))
 
 
-def snapshots_of(spark, d, depth=None) -> DataFrame:
-    steps = K.covered_steps(M.base(spark, d), HOUR * B.NS, DAY * B.NS)
-    return K.book_snapshots(changes_of(spark, d), steps, HOUR * B.NS, DAY * B.NS, depth)
+def units_of(spark, d) -> DataFrame:
+    return V.covered_units(M.base(spark, d), B.NS, DAY * B.NS)
+
+
+def intervals_of(spark, d, depth: int, parity: bool = False) -> DataFrame:
+    """The best levels of each second, as intervals; archive units are days."""
+    return V.book_intervals(changes_of(spark, d), units_of(spark, d), B.NS, DAY * B.NS, depth, parity=parity)
 
 
 @query
@@ -242,13 +252,19 @@ def level_changes(spark, d):
 
 @query
 def book_snapshots_1hz(spark, d):
-    """Sampled each hour, as the test log spans a month."""
-    return snapshots_of(spark, d, depth=10)
+    """The best ten levels of each second of the month; seconds that agree are one interval."""
+    return V.laid_out(intervals_of(spark, d, 10), "symbol_id")
+
+
+@query
+def book_snapshots_parity(spark, d):
+    """The same with the archive's own seconds before a unit's first record."""
+    return V.laid_out(intervals_of(spark, d, 3, parity=True), "symbol_id")
 
 
 @query
 def book_at(spark, d):
-    return snapshots_of(spark, d).where((F.col("symbol_id") == 3) & (F.col("step_ns") == 1705305600 * B.NS))
+    return K.book_at(changes_of(spark, d), 3, 1705305600)
 
 
 @query
@@ -258,12 +274,12 @@ def conflated_book(spark, d):
 
 @query
 def crossed_books(spark, d):
-    return K.crossed(K.bbo(snapshots_of(spark, d), "symbol_id", "step_ns"))
+    return V.crossed(V.with_best(intervals_of(spark, d, 1)))
 
 
 @query
 def depth_share(spark, d):
-    return K.depth_share(snapshots_of(spark, d, depth=5)).select("symbol_id", "step_ns", "side", "level", "qty", "share")
+    return V.depth_share(intervals_of(spark, d, 5)).select("symbol_id", "from_ns", "steps", "side", "level", "qty", "share")
 
 
 @query
@@ -358,8 +374,9 @@ def private_timeline(spark, d):
 
 @query
 def changed_keys(spark, d):
+    """Of every 500 records of the log."""
     a, _, c = logs(spark, d)
-    return L.changed_keys(a, legs_of(spark, d), c, M.account_records(M.base(spark, d)), 400, 900)
+    return L.changed_keys(a, legs_of(spark, d), c, M.account_records(M.base(spark, d)), F.call_function("div", F.col("seq_ord"), F.lit(500)))
 
 
 @query
@@ -462,7 +479,7 @@ RUNS = [(1, 15, 3, 8, 5), (2, 15, 5, 20, 5), (3, 60, 2, 5, 3)]
 
 def swept(spark, d, runs=RUNS[:1]) -> DataFrame:
     params = spark.createDataFrame(runs, "run_id long, minutes int, fast int, slow int, qty long")
-    return G.sweep(M.price_history(M.base(spark, d)), params, sorted({r[1] for r in runs}), max(r[3] for r in runs))
+    return G.sweep(M.price_history(M.base(spark, d)), params, sorted({r[1] for r in runs}), sorted({n for r in runs for n in r[2:4]}))
 
 
 def curve_of(spark, d) -> DataFrame:
@@ -480,6 +497,34 @@ def backtest_trades(spark, d):
     return t.select("run_id", "symbol_id", "bar_index", "side", "qty", "price_ticks", "fee_ticks", "realised_ticks")
 
 
+@query
+def strategy_udf(spark, d):
+    """Trades of a strategy class that a user hands in."""
+    t = G.run_backtests(swept(spark, d), G.BuySellCycle).where("kind = 'trade'")
+    return t.select("run_id", "symbol_id", "bar_index", "side", "qty", "price_ticks", "fee_ticks", "realised_ticks")
+
+
+@query
+def result_json(spark, d):
+    """Realised profit per run as documents with sorted keys."""
+    return result_documents(realised_pnl(spark, d), "no slippage").select("run_id", "symbol_id", "document")
+
+
+@query
+def dataset_checksum(spark, d):
+    """Closes written in files of 10,000 per symbol and held against recorded digests, of which those of symbol 4 are wrong; one file is recorded that there is not."""
+    h = M.price_history(M.base(spark, d)).join(F.broadcast(M.symbol_dim(spark)), "symbol_id")
+    part = F.call_function("div", F.col("minute_index"), F.lit(10_000)).cast("string")
+    h = h.select(F.concat_ws("-", "name", part).alias("name"), "symbol_id", "minute_index", F.concat("close_ticks", F.lit("\n")).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("minute_index", "line"))), lambda x: x["line"]), "")
+    right = F.sha2(text, 256)
+    recorded = h.groupBy("name", "symbol_id").agg(F.when(F.col("symbol_id") == 4, F.sha2(F.lit("x"), 256)).otherwise(right).alias("expected")).select("name", "expected")
+    recorded = recorded.unionByName(spark.createDataFrame([("none-0", "0")], "name string, expected string"))
+    folder = shared_folder(spark, "files")
+    h.repartition("name").sortWithinPartitions("name", "minute_index").select(F.rtrim("line", F.lit("\n")).alias("value"), "name").write.partitionBy("name").text(folder)
+    return I.verify_files(spark, folder, recorded, r"name=([^/]*)/").select("name", "found", "ok")
+
+
 @query
 def equity_curve(spark, d):
     return curve_of(spark, d).select("run_id", "symbol_id", "bar_index", "cash_ticks", "position", "equity_ticks", "refused")
@@ -531,28 +576,25 @@ def load_steps(spark) -> DataFrame:
 
 
 def spreads(spark, d) -> DataFrame:
-    return Q.spread_samples(snapshots_of(spark, d, depth=10), 5, 3)
+    return V.spread_samples(intervals_of(spark, d, 10), 5, 3)
 
 
 def obligations(spark, d) -> DataFrame:
     """Makers' own books: one book per maker and symbol."""
-    own = F.col("user_id") < M.MARKET_MAKERS
-    states = K.order_states(events_of(spark, d)).where(own).withColumn("symbol_id", (F.col("user_id") * 100 + F.col("symbol_id")).cast("long"))
-    steps = K.covered_steps(M.base(spark, d), HOUR * B.NS, DAY * B.NS)
-    best = K.book_snapshots(K.level_changes(states), steps, HOUR * B.NS, DAY * B.NS, 1)
-    quotes = best.select(F.call_function("div", F.col("symbol_id"), F.lit(100)).alias("user_id"), (F.col("symbol_id") % 100).alias("symbol_id"), "step_ns", "side", "price_ticks", "qty")
-    pairs = logs(spark, d)[0].where(own).select("user_id", F.col("symbol_id").cast("long").alias("symbol_id")).distinct()
-    return Q.obligation_samples(quotes, pairs, steps, 2000, 20)
+    own, units = F.col("user_id") < M.MARKET_MAKERS, units_of(spark, d)
+    key = ("user_id", "symbol_id")
+    quotes = V.book_intervals(K.level_changes(K.order_states(events_of(spark, d)).where(own), *key), units, B.NS, DAY * B.NS, 1, key)
+    return V.obligation_intervals(V.best_quotes(quotes), logs(spark, d)[0].where(own).select(*key).distinct(), units, B.NS, DAY * B.NS, 2000, 20)
 
 
 @query
 def spread_bps(spark, d):
-    return spreads(spark, d).select("symbol_id", "step_ns", "one_sided", "spread_bps")
+    return spreads(spark, d).select("symbol_id", "from_ns", "to_ns", "steps", "one_sided", "spread_bps")
 
 
 @query
 def thin_side_depth(spark, d):
-    return spreads(spark, d).where("not one_sided").select("symbol_id", "step_ns", "thin_qty")
+    return spreads(spark, d).where("not one_sided").select("symbol_id", "from_ns", "to_ns", "steps", "thin_qty")
 
 
 @query
@@ -563,7 +605,10 @@ def nearest_rank(spark, d):
 
 @query
 def quality_by_step(spark, d):
-    return Q.by_step(spreads(spark, d), Q.breach_rows(obligations(spark, d)), load_steps(spark))
+    units, steps = units_of(spark, d), load_steps(spark)
+    cut = lambda x: V.within(x, steps, units, B.NS, DAY * B.NS)
+    samples = V.placed(spreads(spark, d).withColumn("unit_ns", X.bucket("from_ns", DAY * B.NS)), units, B.NS)
+    return Q.by_step(cut(samples), cut(Q.breach_rows(obligations(spark, d), "at")), steps)
 
 
 @query
@@ -627,18 +672,24 @@ def update_delay(spark, d):
     return Q.delay_summary(delays(spark, d).join(users, ["symbol_id", "seq_ord"]), ["clients"])
 
 
+def streamed(spark, d, parts: int = 4) -> DataFrame:
+    """The log as a stream of several triggers: its events in files by time, a range of them at a time."""
+    folder = shared_folder(spark, "log")
+    return S.stream_log(spark, folder, S.write_in_order(spark.read.parquet(f"{d}/events.parquet"), folder, parts))
+
+
 @query
 def stream_tape(spark, d):
-    return S.run_to_end(S.stream_tape(S.stream_log(spark, f"{d}/events.parque[t]")), shared_folder(spark, "stream"))
+    return S.run_to_end(S.stream_tape(streamed(spark, d)), shared_folder(spark, "stream"))
 
 
 @query
 def stream_bars(spark, d):
-    return S.run_to_end(S.stream_bars(S.stream_log(spark, f"{d}/events.parque[t]"), HOUR), shared_folder(spark, "stream"))
+    return S.run_to_end(S.stream_bars(streamed(spark, d), HOUR), shared_folder(spark, "stream"))
 
 
 def stateful(spark, d, build) -> DataFrame:
-    return S.with_rocks(spark, lambda: S.run_to_end(build(S.stream_log(spark, f"{d}/events.parque[t]")), shared_folder(spark, "stream")))
+    return S.with_rocks(spark, lambda: S.run_to_end(build(streamed(spark, d)), shared_folder(spark, "stream")))
 
 
 @query
@@ -661,13 +712,37 @@ def stream_gaps(spark, d):
     return stateful(spark, d, lambda log: S.stream_gaps(frames_of(log)))
 
 
+def model_of(spark, d) -> tuple[RM.ReadModel, int]:
+    """The read model after a stream of six batches, and its version."""
+    model = RM.ReadModel(spark, shared_folder(spark, "model"))
+    q = RM.stream_read_model(streamed(spark, d, 6), model)
+    q.awaitTermination()
+    return model, RM.last_version(q)
+
+
+def model_rows(model: RM.ReadModel, version: int) -> DataFrame:
+    """Accounts, positions, open orders and house fees in one shape."""
+    line = lambda tbl, a, b, n: model.read(tbl, version).select(F.lit(tbl).alias("tbl"), F.expr(a).cast("long").alias("a"), F.expr(b).cast("long").alias("b"), F.col(n).cast("long").alias("amount"))
+    rows = line("accounts", "user_id", "created", "cash_ticks").union(line("positions", "user_id", "symbol_id", "position"))
+    return rows.union(line("open_orders", "order_id", "user_id", "remaining")).union(line("house_fees", "symbol_id", "unix_date(to_date(date))", "fees"))
+
+
 @query
 def stream_ledger(spark, d):
-    folder = shared_folder(spark, "stream")
-    q = S.stream_ledger(S.stream_log(spark, f"{d}/events.parque[t]"), folder)
-    q.awaitTermination()
-    versions = spark.read.schema("user_id long, cash_ticks long, v int").parquet(f"{folder}/balances")
-    return versions.where(F.col("v") == versions.agg(F.max("v")).first()[0]).drop("v")
+    model, version = model_of(spark, d)
+    return model.read("accounts", version).select("user_id", "cash_ticks")
+
+
+@query
+def stream_read_model(spark, d):
+    """All tables of the ledger after six batches."""
+    return model_rows(*model_of(spark, d))
+
+
+@query
+def stream_house_fees(spark, d):
+    model, version = model_of(spark, d)
+    return model.house_fees(version)
 
 
 @query
@@ -698,24 +773,30 @@ def wire_log(spark, d) -> DataFrame:
     return spark.read.schema("stream_id string, payload binary").parquet(folder)
 
 
-@query
-def decode_wire_log(spark, d):
-    """The log encoded as binary records and decoded again."""
-    good, _ = I.decode_wire_log(wire_log(spark, d))
+def decoded(good: DataFrame) -> DataFrame:
     ids = [F.col(c).cast("long").alias(c) for c in ("order_id", "user_id", "maker_order_id", "taker_order_id", "maker_user_id", "taker_user_id")]
     return good.select("seq_ms", "seq_ord", "timestamp_ns", "record_type", "record", "symbol_id", "price_ticks", "qty", "remaining_qty", *ids)
 
 
 @query
-def decode_quarantine(spark, d):
-    """Records of the binary log of which some are damaged: another version, an unknown type, cut off, too short, lost."""
+def decode_wire_log(spark, d):
+    """The log encoded as binary records and decoded again."""
+    return decoded(I.decode_wire_log(wire_log(spark, d))[0])
+
+
+def damaged() -> Column:
+    """Payloads of which some have another version, an unknown type, are cut off, too short, or lost."""
     at = X.stream_ord("stream_id") % 7
     tail = lambda n: F.substring("payload", n, 1000)
-    damaged = (
+    return (
         F.when(at == 1, F.concat(F.unhex(F.lit("0900")), tail(3))).when(at == 2, F.concat(F.substring("payload", 1, 2), F.unhex(F.lit("6300")), tail(5)))
         .when(at == 3, tail(1).substr(F.lit(1), F.length("payload") - 1)).when(at == 4, F.substring("payload", 1, 7)).when(at != 5, F.col("payload"))
     )
-    _, bad = I.decode_wire_log(wire_log(spark, d).withColumn("payload", damaged))
+
+
+@query
+def decode_quarantine(spark, d):
+    _, bad = I.decode_wire_log(wire_log(spark, d).withColumn("payload", damaged()))
     return bad.select("stream_id", "reason")
 
 
@@ -757,10 +838,9 @@ def bar_partition_audit(spark, d):
 @query
 def l2_frames(spark, d):
     """Nested frames of five levels a side, with the depth and the best price of each."""
-    f = K.nested_frames(snapshots_of(spark, d, depth=5), 5)
-    best = lambda c: F.get(c, F.lit(0))["price_ticks"]
+    f = V.with_best(intervals_of(spark, d, 5))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda t, x: t + x["qty"])
-    return f.select("symbol_id", "step_ns", F.size("bids").alias("bids"), F.size("asks").alias("asks"), best("bids").alias("bid"), best("asks").alias("ask"), total("bids").alias("bid_qty"), total("asks").alias("ask_qty"))
+    return f.select("symbol_id", "from_ns", "steps", F.size("bids").alias("n_bids"), F.size("asks").alias("n_asks"), "bid", "ask", total("bids").alias("bid_qty"), total("asks").alias("ask_qty"))
 
 
 @query
@@ -772,18 +852,43 @@ def manifest(spark, d):
 
 @query
 def read_model_upsert(spark, d):
-    """Positions after half the month, brought up to date by the keys that changed later."""
-    legs, half = legs_of(spark, d), 1705276800000
-    old = L.positions(legs.where(F.col("seq_ms") < half))
-    changed = legs.where(F.col("seq_ms") >= half).groupBy("user_id", "symbol_id").agg(F.sum("signed_qty").alias("more"))
-    keys = ["user_id", "symbol_id"]
-    new = changed.join(old, keys, "left").select(*keys, (F.coalesce("position", F.lit(0)) + F.col("more")).alias("position"))
-    return upsert(old, new, keys, "position = 0")
+    """The tables brought up to date by three batches of the log, ten days each; the second is applied twice."""
+    b, model = M.base(spark, d), RM.ReadModel(spark, shared_folder(spark, "model"))
+    day = F.call_function("div", F.col("seq_ms") - 1704067200000, F.lit(10 * DAY * 1000))
+    for version, n in enumerate((0, 1, 2)):
+        batch = b.where(F.least(F.greatest(day, F.lit(0)), F.lit(2)) == n)
+        model.apply(batch, version)
+        if n == 1:
+            model.apply(batch, version)
+    return model_rows(model, 2)
 
 
 @query
 def stream_log(spark, d):
-    return S.run_to_end(S.stream_log(spark, f"{d}/events.parque[t]"), shared_folder(spark, "stream")).drop("event_time")
+    return S.run_to_end(streamed(spark, d), shared_folder(spark, "stream")).drop("event_time")
+
+
+def streamed_wire(spark, d, damage=None) -> str:
+    """The folder of a stream's two sinks: the binary log in files by time, decoded."""
+    wire = wire_log(spark, d).withColumn("ord", X.stream_ord("stream_id"))
+    source, folder = shared_folder(spark, "wire"), shared_folder(spark, "stream")
+    files = S.write_in_order(wire if damage is None else wire.withColumn("payload", damage), source, 3, "ord")
+    rows = spark.readStream.schema("stream_id string, payload binary, ord long").option("maxFilesPerTrigger", files).parquet(source)
+    S.stream_decode(rows.drop("ord"), folder).awaitTermination()
+    return folder
+
+
+@query
+def stream_decode(spark, d):
+    """The binary log as a stream: its records."""
+    good, _ = I.decode_wire_log(spark.createDataFrame([], "stream_id string, payload binary"))
+    return decoded(spark.read.schema(good.schema).parquet(streamed_wire(spark, d) + "/records"))
+
+
+@query
+def stream_quarantine(spark, d):
+    """The binary log as a stream, with damage: what can't be read."""
+    return spark.read.schema("stream_id string, payload binary, reason string").parquet(streamed_wire(spark, d, damaged()) + "/quarantine").select("stream_id", "reason")
 
 
 @query
@@ -798,32 +903,64 @@ def stream_dedupe(spark, d):
     return stateful(spark, d, build)
 
 
+def sealed_units(spark, d) -> DataFrame:
+    """Units that ended a second before the last event, as the streams' watermark has it."""
+    log = M.base(spark, d)
+    seen = log.agg((F.max("seq_ms") * 1_000_000 - B.NS).alias("seen"))  # one row
+    return units_of(spark, d).join(F.broadcast(seen)).where(F.col("unit_ns") + DAY * B.NS <= F.col("seen")).drop("seen")
+
+
+def quotes_of(spark, d) -> str:
+    """The folder of makers' quotes as a stream has left it."""
+    folder = shared_folder(spark, "stream")
+    S.with_rocks(spark, lambda: S.run_to_end(S.stream_quotes(streamed(spark, d), M.MARKET_MAKERS, B.NS, DAY * B.NS), folder))
+    return f"{folder}/out"
+
+
+QUOTES = "user_id long, symbol_id int, from_ns long, to_ns long, bid long, bid_qty long, ask long, ask_qty long"
+
+
 @query
 def stream_obligations(spark, d):
-    """Breaches as they happen; each event is a quote sample of its user."""
-    k = F.col("k")
-    sample = lambda log: log.select(
-        "user_id", "symbol_id", F.col("timestamp_ns").alias("step_ns"), "seq_ord", F.when(k % 11 != 0, F.col("price_ticks")).alias("bid"), F.when(k % 13 != 0, F.col("price_ticks") + 1 + k * 20).alias("ask"),
-        (1 + k).alias("bid_qty"), (1 + k * 2 % 50).alias("ask_qty"),
-    )
-    return S.run_to_end(S.stream_breaches(sample(S.stream_log(spark, f"{d}/events.parque[t]")), 2000, 20), shared_folder(spark, "stream"))
+    """Breaches of makers by the quotes that the stream kept, over the units it has sealed."""
+    quotes, units = V.cut_by_unit(spark.read.schema(QUOTES).parquet(quotes_of(spark, d)), B.NS, DAY * B.NS), sealed_units(spark, d)
+    pairs = logs(spark, d)[0].where(F.col("user_id") < M.MARKET_MAKERS).select("user_id", "symbol_id").distinct()
+    return Q.breach_rows(V.obligation_intervals(quotes, pairs, units, B.NS, DAY * B.NS, 2000, 20))
+
+
+@query
+def stream_uptime(spark, d):
+    """A second stream reads the quotes of the first and keeps each maker's running seconds; here its last word on each."""
+    folder, units = shared_folder(spark, "stream"), sealed_units(spark, d)
+    quotes = spark.readStream.schema(QUOTES).option("maxFilesPerTrigger", 8).parquet(quotes_of(spark, d))
+    emit = lambda df, n: df.withColumn("v", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/uptime/batch={n}")
+    S.stream_uptime(V.cut_by_unit(quotes, B.NS, DAY * B.NS).join(units.select("unit_ns"), "unit_ns", "left_semi"), 20, emit, folder).awaitTermination()
+    last = spark.read.parquet(f"{folder}/uptime").groupBy("user_id", "symbol_id")
+    return last.agg(F.max_by("quoted", "v").alias("quoted"), F.max_by("full_size", "v").alias("full_size"))
 
 
 @query
 def stream_conflated_book(spark, d):
-    """One trigger: the last quantity of each level that moved."""
-    folder = shared_folder(spark, "stream")
-    emit = lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/levels/v={n}")
-    S.with_rocks(spark, lambda: S.stream_conflated(S.stream_log(spark, f"{d}/events.parque[t]"), emit, folder).awaitTermination())
-    return spark.read.parquet(f"{folder}/levels").select("symbol_id", "side", "price_ticks", "qty", "seq_ord")
+    """Ticks of 50 ms by event time."""
+    return stateful(spark, d, lambda log: S.stream_conflated(log, 50_000_000))
+
+
+def archive_of(spark, d) -> S.SealedArchive:
+    """An archive of days by a stream whose time goes back by 26 hours in every ninth record."""
+    archive = S.SealedArchive(spark, M.symbol_dim(spark), shared_folder(spark, "stream"), DAY)
+    S.stream_archive(with_steps_back(streamed(spark, d)), archive).awaitTermination()
+    return archive
 
 
 @query
 def stream_archive(spark, d):
-    """Trades of the days that a later trade has sealed."""
-    folder = shared_folder(spark, "stream")
-    S.stream_archive(S.stream_log(spark, f"{d}/events.parque[t]"), M.symbol_dim(spark), folder, DAY * B.NS, "0 seconds").awaitTermination()
-    return read_archive(spark, f"{folder}/trades").select("symbol", "seq_ord", "price_ticks", "qty")
+    """Trades of the days that are sealed."""
+    return read_archive(spark, f"{archive_of(spark, d).folder}/trades").select("symbol", "seq_ord", "price_ticks", "qty")
+
+
+@query
+def stream_late_rows(spark, d):
+    return archive_of(spark, d).late()
 
 
 def queries() -> dict:

@@ -72,9 +72,7 @@ from (select b.symbol_id, row_number() over (partition by b.symbol_id order by s
 ORACLES["history_quality"] = q("""
 select name, s.n, s.min_close, s.n_closes, s.min_close > 0 as all_positive, s.n_closes > 1 as moves, coalesce(t.twins, 0)::bigint as twins
 from sym left join (select symbol_id, count(*) as n, min(close_ticks) as min_close, count(distinct close_ticks) as n_closes from hist group by symbol_id) s using (symbol_id)
-left join (select a as symbol_id, count(*) as twins from (
-   select x.symbol_id as a, y.symbol_id as b, count(*) filter (x.close_ticks = y.close_ticks) as same, count(*) as n
-   from hist x join hist y on x.minute_index = y.minute_index and x.symbol_id <> y.symbol_id group by all) where same = n group by a) t using (symbol_id)
+left join (select symbol_id, count(*) over (partition by path) - 1 as twins from (select symbol_id, list(close_ticks order by minute_index) as path from hist group by 1)) t using (symbol_id)
 """, "hist", "sym")
 ORACLES["symbol_dim"] = q("""
 select name, tick_size_ticks, lot_size, count(f.symbol_id) as trades, coalesce(sum(qty), 0)::bigint as volume from sym left join fill f using (symbol_id) group by all
@@ -175,25 +173,55 @@ from (select symbol_id, max(price) filter (side = 1) as bid, min(price) filter (
 cte("chg0", "select symbol_id, side, price, seq_ord, ns, sum(delta)::bigint as delta from ost where delta <> 0 group by all having sum(delta) <> 0", "ost")
 cte("chg", "select *, sum(delta) over (partition by symbol_id, side, price order by seq_ord)::bigint as qty from chg0", "chg0")
 ORACLES["level_changes"] = q("select symbol_id, side, price as price_ticks, seq_ord, qty from chg", "chg")
-cte("step", "select unnest(generate_series(u, u + 86400000000000 - 3600000000000, 3600000000000)) as step_ns from (select distinct ns // 86400000000000 * 86400000000000 as u from base)", "base")
-cte("iv", """
-select *, coalesce(lead(ns) over (partition by symbol_id, side, price order by ns), 9000000000000000000) as to_ns
-from (select symbol_id, side, price, ns, arg_max(qty, seq_ord) as qty from chg group by all)
+_DAY, _SEC = 86_400_000_000_000, 1_000_000_000
+cte("cov", f"""
+select u as unit_ns, first_ns, (row_number() over (order by u) - 1) * 86400 as covered from (select ns // {_DAY} * {_DAY} as u, min(ns) // {_SEC} * {_SEC} as first_ns from base group by 1)
+""", "base")
+
+
+def intervals(name: str, changes: str, by: str, depth: int, parity: bool = False, units: str = "cov") -> None:
+    """Tables <name>l, the levels at each second that has a change and at each unit's start, and <name>, the intervals in which the best `depth` levels stay."""
+    at = f"case when s <= first_ns then s // {_DAY} * {_DAY} else s end" if parity else "s"
+    cte(f"{name}0", f"""
+select *, coalesce(lead(step) over (partition by {by}, side, price order by step), 9000000000000000000) as nxt from (
+  select {by}, side, price, step, arg_max(qty, seq_ord) as qty from (
+    select *, {at} as step from (select *, ns // {_SEC} * {_SEC} as s from {changes}) join {units} on unit_ns = s // {_DAY} * {_DAY}) group by all)
+""", changes, units)
+    cte(f"{name}p", f"select distinct {by}, step, step // {_DAY} * {_DAY} as unit_ns from {name}0 union select {by}, unit_ns, unit_ns from {units}, (select distinct {by} from {name}0)", f"{name}0", units)
+    cte(f"{name}l", f"""
+select *, row_number() over (partition by {by}, step, side order by case side when 1 then -price else price end) as rk from (
+  select {by}, p.step, side, price, qty from {name}p p join {name}0 l using ({by}) where l.step <= p.step and nxt > p.step and qty > 0)
+""", f"{name}p", f"{name}0")
+    cte(name, f"""
+select {by}, unit_ns, step as from_ns, upto as to_ns, (upto - step) // {_SEC} as steps from (
+  select *, coalesce(lead(step) over (partition by {by}, unit_ns order by step), unit_ns + {_DAY}) as upto from (
+    select *, lag(state) over (partition by {by}, unit_ns order by step) as was from (
+      select {name}p.*, coalesce(state, '') as state from {name}p left join (
+        select {by}, step, string_agg(side || ':' || rk || ':' || price || ':' || qty, ',' order by side, rk) as state from {name}l where rk <= {depth} group by all) using ({by}, step)))
+  where was is null or was <> state) where state <> ''
+""", f"{name}p", f"{name}l")
+
+
+for _d in (1, 5, 10):
+    intervals(f"top{_d}_", "chg", "symbol_id", _d)
+intervals("par", "chg", "symbol_id", 3, parity=True)
+_LONG = "select symbol_id, from_ns, to_ns, steps, side, price as price_ticks, qty, rk - 1 as level from {0} t join {0}l l using (symbol_id) where l.step = from_ns and rk <= {1}"
+ORACLES["book_snapshots_1hz"] = q(_LONG.format("top10_", 10), "top10_")
+ORACLES["book_snapshots_parity"] = q(_LONG.format("par", 3), "par")
+ORACLES["book_at"] = q(f"""
+select symbol_id, {1705305600 * _SEC} as step_ns, side, price as price_ticks, qty, row_number() over (partition by side order by case side when 1 then -price else price end) - 1 as level
+from (select symbol_id, side, price, arg_max(qty, seq_ord) as qty from chg where symbol_id = 3 and ns < {1705305601 * _SEC} group by all) where qty > 0
 """, "chg")
-cte("snap0", "select symbol_id, step_ns, side, price, qty from iv join step on iv.ns < step_ns + 3600000000000 and to_ns >= step_ns + 3600000000000 where qty > 0", "iv", "step")
-cte("snap", "select *, row_number() over (partition by symbol_id, step_ns, side order by case side when 1 then -price else price end) - 1 as level from snap0", "snap0")
-ORACLES["book_snapshots_1hz"] = q("select symbol_id, step_ns, side, price as price_ticks, qty, level from snap where level < 10", "snap")
-ORACLES["book_at"] = q("select symbol_id, step_ns, side, price as price_ticks, qty, level from snap where symbol_id = 3 and step_ns = 1705305600000000000", "snap")
 ORACLES["conflated_book"] = q("""
 select symbol_id, side, price as price_ticks, ns // 50000000 * 50000000 as window_ns, arg_max(qty, seq_ord) as qty, max(seq_ord) as seq_ord from chg group by all
 """, "chg")
-cte("best", "select symbol_id, step_ns, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask from snap group by all", "snap")
+cte("best", "select t.symbol_id, from_ns, any_value(steps) as steps, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask from top1_ t join top1_l l on l.symbol_id = t.symbol_id and l.step = from_ns and rk <= 1 group by all", "top1_")
 ORACLES["crossed_books"] = q("""
 select symbol_id, sum(n)::bigint as snapshots, sum(run)::bigint as crossed, max(run)::bigint as longest_run from (
-  select symbol_id, island, count(*) as n, sum(c) as run from (
-    select *, sum(1 - c) over (partition by symbol_id order by step_ns) as island from (select *, case when bid >= ask then 1 else 0 end as c from best)) group by all) group by 1
+  select symbol_id, island, sum(steps) as n, sum(c * steps) as run from (
+    select *, sum(1 - c) over (partition by symbol_id order by from_ns) as island from (select *, case when bid >= ask then 1 else 0 end as c from best)) group by all) group by 1
 """, "best")
-ORACLES["depth_share"] = q("select symbol_id, step_ns, side, level, qty, qty / max(qty) over (partition by symbol_id, step_ns) as share from snap where level < 5", "snap")
+ORACLES["depth_share"] = q("select symbol_id, from_ns, steps, side, rk - 1 as level, qty, qty / max(qty) over (partition by symbol_id, from_ns) as share from top5_ t join top5_l l using (symbol_id) where l.step = from_ns and rk <= 5", "top5_")
 cte("bb", """
 select symbol_id, at_ord as seq_ord, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask from (
   select distinct c.symbol_id, c.seq_ord as at_ord, l.side, l.price from chg c left join (
@@ -261,6 +289,18 @@ select a.order_id, user_id, symbol_id, side, price as price_ticks, qty, (qty - c
   select m.order_id, sum(off) as off from (select order_id, seq_ord, qty as off from leg union all select order_id, seq_ord, remaining_qty from can) m join acc using (order_id)
   where m.seq_ord > acc.seq_ord group by 1) o using (order_id) where qty - coalesce(off, 0) > 0
 """, "acc", "leg", "can")
+cte("oo", """
+select a.order_id, a.user_id, (a.qty - coalesce(off, 0))::bigint as remaining from acc a left join (
+  select m.order_id, sum(off) as off from (select order_id, seq_ord, qty as off from leg union all select order_id, seq_ord, remaining_qty from can) m join acc using (order_id)
+  where m.seq_ord > acc.seq_ord group by 1) o using (order_id) where a.qty - coalesce(off, 0) > 0
+""", "acc", "leg", "can")
+_MODEL = """
+select 'accounts' as tbl, user_id as a, bool_or(created)::bigint as b, any_value(cash_ticks)::bigint as amount from cev join bal using (user_id) group by 2
+union all select 'positions', user_id, symbol_id, position from pos
+union all select 'open_orders', order_id, user_id, remaining from oo
+union all select 'house_fees', symbol_id, ns // 86400000000000, sum(mfee + tfee)::bigint from fee group by all
+"""
+ORACLES["stream_read_model"] = ORACLES["read_model_upsert"] = q(_MODEL, "cev", "bal", "pos", "oo", "fee")
 ORACLES["house_fees"] = q("""
 select symbol_id, strftime(make_timestamp(ns // 1000), '%Y-%m-%d') as date, sum(mfee + tfee)::bigint as fees, count(*) as fills from fee group by grouping sets ((symbol_id, date), (symbol_id), ())
 """, "fee")
@@ -284,9 +324,9 @@ ORACLES["private_timeline"] = q("""
 select user_id, row_number() over (partition by user_id order by seq_ord, leg) as user_seq, seq_ord, kind, role, name as symbol, order_id, qty from priv left join sym using (symbol_id)
 """, "priv", "sym")
 ORACLES["changed_keys"] = q("""
-select distinct kind, user_id, other from (
+select distinct seq_ord // 500 as batch, kind, user_id, other from (
   select 'account' as kind, user_id, null::bigint as other, seq_ord from acct union all select 'account', user_id, null, seq_ord from leg union all select 'position', user_id, symbol_id, seq_ord from leg
-  union all select 'order', user_id, order_id, seq_ord from acc union all select 'order', user_id, order_id, seq_ord from leg union all select 'order', user_id, order_id, seq_ord from can) where seq_ord > 400 and seq_ord <= 900
+  union all select 'order', user_id, order_id, seq_ord from acc union all select 'order', user_id, order_id, seq_ord from leg union all select 'order', user_id, order_id, seq_ord from can)
 """, "acct", "leg", "acc", "can")
 cte("lt", "select symbol_id, arg_max(price, seq_ord) as px from fill group by 1", "fill")
 ORACLES["mark_to_market"] = q("""
@@ -411,14 +451,36 @@ join dd using (run_id, symbol_id) left join rat using (run_id, symbol_id) left j
 ORACLES["backtest_metrics"] = q(_METRICS + " where run_id = 1", "btf", "dd", "rat", "bh")
 ORACLES["backtest_sweep"] = q(_METRICS, "btf", "dd", "rat", "bh")
 
+
+def _money(c: str) -> str:
+    return f"case when {c} < 0 then '-' else '' end || (abs({c}) // tick_size_ticks) || '.' || lpad((abs({c}) % tick_size_ticks)::varchar, (length(tick_size_ticks::varchar) - 1)::int, '0') as {c.removesuffix('_ticks')}"
+
+
+ORACLES["backtest_report"] = q(f"""
+select run_id, name, {_money('initial_cash_ticks')}, {_money('final_equity_ticks')}, {_money('pnl_ticks')}, format('{{:,.2f}}', return_pct) as return_pct, trade_count, refused, unfilled_at_end, first_trade_bar,
+       'fills at the next bar''s open, taker fee, whole units, no slippage' as fill_model
+from ({_METRICS}) join sym using (symbol_id)
+""", "btf", "dd", "rat", "bh", "sym")
+_RULE = "case i % 5 when 0 then qty when 3 then -{0} else 0 end"
+cte("cyc", CTE["btf"].replace("case when long then qty else 0 end::bigint", _RULE.format("0") + "::bigint").replace("case when long then qty else 0 end - pos", _RULE.format("pos")).replace("long is not null", "true").replace("from btf b", "from cyc b"), "sig")
+ORACLES["strategy_udf"] = q("select run_id, symbol_id, i as bar_index, case when tq > 0 then 1 else 2 end as side, abs(tq) as qty, o as price_ticks, fee as fee_ticks, gain as realised_ticks from cyc where run_id = 1 and tq <> 0", "cyc")
+ORACLES["result_json"] = q("""
+select run_id, symbol_id, '{"limitations":"no slippage","realised_ticks":' || realised_ticks || ',"run_id":' || run_id || ',"symbol_id":' || symbol_id || ',"trades":' || trades || '}' as document
+from (select run_id, symbol_id, sum(gain)::bigint as realised_ticks, count(*) as trades from btf where run_id = 1 and tq <> 0 group by all)
+""", "btf")
+ORACLES["dataset_checksum"] = q("""
+select name || '-' || minute_index // 10000 as name, sha256(string_agg(close_ticks || chr(10), '' order by minute_index)) as found, symbol_id <> 4 as ok from hist join sym using (symbol_id) group by all
+union all select 'none-0', null, false
+""", "sym", "hist")
+
 # --- quality --------------------------------------------------------------
-cte("sp0", "select *, row_number() over (partition by symbol_id, step_ns, side order by level) as rk from snap where level < 10 and price > 5", "snap")
+cte("sp0", "select t.*, side, price, qty, row_number() over (partition by symbol_id, from_ns, side order by l.rk) as rk from top10_ t join top10_l l using (symbol_id) where l.step = from_ns and l.rk <= 10 and price > 5", "top10_")
 cte("sp", """
-select symbol_id, step_ns, bid, ask, bid is null or ask is null as one_sided, (ask - bid) / ((bid + ask) / 2) * 10000 as spread_bps, case when bid is not null and ask is not null then least(bq, aq) end::bigint as thin_qty from (
-  select symbol_id, step_ns, max(price) filter (side = 1 and rk = 1) as bid, max(price) filter (side = 2 and rk = 1) as ask, sum(qty) filter (side = 1 and rk <= 3) as bq, sum(qty) filter (side = 2 and rk <= 3) as aq from sp0 group by all)
+select symbol_id, from_ns, to_ns, unit_ns, steps, bid, ask, bid is null or ask is null as one_sided, (ask - bid) / ((bid + ask) / 2) * 10000 as spread_bps, case when bid is not null and ask is not null then least(bq, aq) end::bigint as thin_qty from (
+  select symbol_id, from_ns, to_ns, unit_ns, steps, max(price) filter (side = 1 and rk = 1) as bid, max(price) filter (side = 2 and rk = 1) as ask, sum(qty) filter (side = 1 and rk <= 3) as bq, sum(qty) filter (side = 2 and rk <= 3) as aq from sp0 group by all)
 """, "sp0")
-ORACLES["spread_bps"] = q("select symbol_id, step_ns, one_sided, spread_bps from sp", "sp")
-ORACLES["thin_side_depth"] = q("select symbol_id, step_ns, thin_qty from sp where not one_sided", "sp")
+ORACLES["spread_bps"] = q("select symbol_id, from_ns, to_ns, steps, one_sided, spread_bps from sp", "sp")
+ORACLES["thin_side_depth"] = q("select symbol_id, from_ns, to_ns, steps, thin_qty from sp where not one_sided", "sp")
 cte("smp", """
 select seq_ord as client_order_id, ns as intended, ns + k * 1000 + price * 1000 as acked, case event_type when 'view' then 202 when 'click' then 202 when 'purchase' then 200 when 'error' then 429 else 500 end as status, k from base
 """, "base")
@@ -432,33 +494,54 @@ ORACLES["nearest_rank"] = q(f"""
 select status, count(*) as n, min(x) as least, {_rank('x', .5)} as p50, {_rank('x', .95)} as p95, {_rank('x', .99)} as p99, {_rank('x', .999)} as p999, max(x) as greatest from (select status, acked - intended as x from smp) group by status
 """, "smp")
 cte("steps10", "select n as step, 1704067200000000000 + n * 259200000000000 as began, 1704067200000000000 + (n + 1) * 259200000000000 - 1 as ended from (select unnest(generate_series(0, 9)) as n)")
-cte("mst", "select (user_id * 100 + symbol_id) as bk, side, price, seq_ord, ns, sum(delta)::bigint as delta from ost where user_id < 10 and delta <> 0 group by all having sum(delta) <> 0", "ost")
-cte("mch", "select *, sum(delta) over (partition by bk, side, price order by seq_ord)::bigint as qty from mst", "mst")
-cte("miv", "select *, coalesce(lead(ns) over (partition by bk, side, price order by ns), 9000000000000000000) as to_ns from (select bk, side, price, ns, arg_max(qty, seq_ord) as qty from mch group by all)", "mch")
-cte("mq", """
-select bk, step_ns, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask, arg_max(qty, price) filter (side = 1) as bq, arg_min(qty, price) filter (side = 2) as aq
-from miv join step on miv.ns < step_ns + 3600000000000 and to_ns >= step_ns + 3600000000000 where qty > 0 group by all
-""", "miv", "step")
-cte("ob", """
-select bk // 100 as user_id, bk % 100 as symbol_id, step_ns, bid is not null and ask is not null as two_sided, bid, ask, bq, aq
-from (select distinct user_id * 100 + symbol_id as bk from acc where user_id < 10) p cross join step left join mq using (bk, step_ns)
-""", "acc", "step", "mq")
-cte("br", """
-select user_id, symbol_id, step_ns, 'not_two_sided' as kind from ob where not two_sided union all select user_id, symbol_id, step_ns, 'spread_too_wide' from ob where two_sided and (ask + bid) // 2 > 0 and cast(floor((ask - bid) * 10000 / ((ask + bid) // 2)) as bigint) > 2000
-union all select user_id, symbol_id, step_ns, 'size_too_small' from ob where two_sided and bq < 20 union all select user_id, symbol_id, step_ns, 'size_too_small' from ob where two_sided and aq < 20
-""", "ob")
-ORACLES["obligation_samples"] = q("select * from br", "br")
+cte("mst", "select user_id, symbol_id, side, price, seq_ord, ns, sum(delta)::bigint as delta from ost where user_id < 10 and delta <> 0 group by all having sum(delta) <> 0", "ost")
+cte("mch", "select *, sum(delta) over (partition by user_id, symbol_id, side, price order by seq_ord)::bigint as qty from mst", "mst")
+
+
+def obligations(mark: str, units: str) -> None:
+    """Tables ob<mark>, all covered seconds of each maker and symbol as intervals, and br<mark>, their breaches."""
+    intervals(f"mq{mark}", "mch", "user_id, symbol_id", 1, units=units)
+    cte(f"two{mark}", f"""
+select user_id, symbol_id, from_ns, to_ns, steps, covered + (from_ns - t.unit_ns) // {_SEC} as ix, bid, ask, bq, aq from (
+  select t.*, max(price) filter (side = 1) as bid, max(price) filter (side = 2) as ask, max(qty) filter (side = 1) as bq, max(qty) filter (side = 2) as aq
+  from mq{mark} t join mq{mark}l l using (user_id, symbol_id) where l.step = from_ns and rk <= 1 group by all) t join {units} using (unit_ns) where bid is not null and ask is not null
+""", f"mq{mark}", units)
+    cte(f"ends{mark}", f"select min(unit_ns) as lo, max(unit_ns) + {_DAY} as hi, count(*) * 86400 as n from {units}", units)
+    # a second is two-sided or lies between two such intervals
+    cte(f"ob{mark}", f"""
+select user_id, symbol_id, from_ns, to_ns, ix, steps, true as two_sided, bid, ask, bq, aq from two{mark} union all
+select user_id, symbol_id, to_ns, next_ns, ix + steps, next_ix - ix - steps, false, null, null, null, null from (
+  select *, lead(ix) over w as next_ix, lead(from_ns) over w as next_ns from (
+    select user_id, symbol_id, from_ns, to_ns, ix, steps from two{mark}
+    union all select user_id, symbol_id, lo, lo, 0, 0 from p, ends{mark} union all select user_id, symbol_id, hi, hi, n, 0 from p, ends{mark}) window w as (partition by user_id, symbol_id order by ix, steps)) where next_ix > ix + steps
+""", f"two{mark}", "p", f"ends{mark}")
+    cols = f"select user_id, symbol_id, from_ns, to_ns, ix, steps, '{{0}}' as kind from ob{mark} where {{1}}"
+    wide = "two_sided and (ask + bid) // 2 > 0 and cast(floor((ask - bid) * 10000 / ((ask + bid) // 2)) as bigint) > 2000"
+    rules = [("not_two_sided", "not two_sided"), ("spread_too_wide", wide), ("size_too_small", "two_sided and bq < 20"), ("size_too_small", "two_sided and aq < 20")]
+    cte(f"br{mark}", " union all ".join(cols.format(*r) for r in rules), f"ob{mark}")
+
+
+cte("p", "select distinct user_id, symbol_id from acc where user_id < 10", "acc")
+obligations("", "cov")
+ORACLES["obligation_samples"] = q("select user_id, symbol_id, from_ns, to_ns, steps, kind from br", "br")
 ORACLES["obligation_summary"] = q("""
-select user_id, symbol_id, samples, round(up, 4) as two_sided_uptime, up >= 0.95 as meets, coalesce(a, 0) as not_two_sided, coalesce(b, 0) as spread_too_wide, coalesce(c, 0) as size_too_small, coalesce(a + b + c, 0) as total
-from (select user_id, symbol_id, count(*) as samples, avg(two_sided::int) as up from ob group by all) left join (
-  select user_id, symbol_id, count(*) filter (kind = 'not_two_sided') as a, count(*) filter (kind = 'spread_too_wide') as b, count(*) filter (kind = 'size_too_small') as c from br group by all) using (user_id, symbol_id)
+select user_id, symbol_id, samples, round(up, 4) as two_sided_uptime, up >= 0.95 as meets, coalesce(a, 0)::bigint as not_two_sided, coalesce(b, 0)::bigint as spread_too_wide, coalesce(c, 0)::bigint as size_too_small,
+  (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0))::bigint as total
+from (select user_id, symbol_id, sum(steps)::bigint as samples, sum(case when two_sided then steps else 0 end) / sum(steps) as up from ob group by all) left join (
+  select user_id, symbol_id, sum(steps) filter (kind = 'not_two_sided') as a, sum(steps) filter (kind = 'spread_too_wide') as b, sum(steps) filter (kind = 'size_too_small') as c from br group by all) using (user_id, symbol_id)
 """, "ob", "br")
-ORACLES["quality_by_step"] = q(f"""
-select step, n, least, p50, p95, greatest, coalesce(a, 0) as not_two_sided, coalesce(b, 0) as spread_too_wide, coalesce(c, 0) as size_too_small from steps10
-left join (select step, count(*) as n, min(spread_bps) as least, {_rank('spread_bps', .5)} as p50, {_rank('spread_bps', .95)} as p95, max(spread_bps) as greatest
-  from (select * from sp where spread_bps is not null) join steps10 on step_ns between began and ended group by step) using (step)
-left join (select step, count(*) filter (kind = 'not_two_sided') as a, count(*) filter (kind = 'spread_too_wide') as b, count(*) filter (kind = 'size_too_small') as c from br join steps10 on step_ns between began and ended group by step) using (step)
-""", "sp", "steps10", "br")
+# seconds are counted one by one: which of them lie in a load step follows from their own time
+cte("sec", f"select unit_ns, covered, unit_ns + i * {_SEC} as t, covered + i as ix from cov, range(86400) r(i)", "cov")
+cte("secstep", "select step, min(ix) as low, max(ix) + 1 as high from sec join steps10 on t between began and ended group by step", "sec", "steps10")
+cte("spw", f"select step, spread_bps, least(covered + (from_ns - unit_ns) // {_SEC} + steps, high) - greatest(covered + (from_ns - unit_ns) // {_SEC}, low) as n from sp join cov using (unit_ns) join secstep on covered + (from_ns - unit_ns) // {_SEC} < high and covered + (from_ns - unit_ns) // {_SEC} + steps > low where spread_bps is not null", "sp", "cov", "secstep")
+cte("spc", "select *, sum(n) over (partition by step order by spread_bps) as upto, sum(n) over (partition by step) as total from (select step, spread_bps, sum(n) as n from spw group by all)", "spw")
+ORACLES["quality_by_step"] = q("""
+select step, n::bigint as n, least, p50, p95, greatest, coalesce(a, 0)::bigint as not_two_sided, coalesce(b, 0)::bigint as spread_too_wide, coalesce(c, 0)::bigint as size_too_small from steps10
+left join (select step, max(total) as n, min(spread_bps) as least, min(spread_bps) filter (upto > least(floor(0.5::double * total), total - 1)) as p50, min(spread_bps) filter (upto > least(floor(0.95::double * total), total - 1)) as p95, max(spread_bps) as greatest
+  from spc group by step) using (step)
+left join (select step, sum(m) filter (kind = 'not_two_sided') as a, sum(m) filter (kind = 'spread_too_wide') as b, sum(m) filter (kind = 'size_too_small') as c
+  from (select step, kind, least(ix + steps, high) - greatest(ix, low) as m from br join secstep on ix < high and ix + steps > low) group by step) using (step)
+""", "spc", "steps10", "br", "secstep")
 ORACLES["maker_activity"] = q("""
 select user_id, symbol_id, coalesce(p, 0) as placed, coalesce(c, 0) as cancelled, coalesce(position, 0) as position from (select user_id, symbol_id, count(*) as p from acc where user_id < 10 group by all)
 full join (select user_id, symbol_id, count(*) as c from can where user_id < 10 group by all) using (user_id, symbol_id) full join (select * from pos where user_id < 10) using (user_id, symbol_id)
@@ -519,30 +602,36 @@ ORACLES["breach_log_parse"] = q("select seq_ms // 1000 as at_s, case event_type
 ORACLES["archive_stats"] = q("select name as symbol, count(distinct ns // 86400000000000) as files, true as filled from fill join sym using (symbol_id) group by 1", "fill", "sym")
 ORACLES["bar_partition_audit"] = q("select symbol_id, open_ns, strftime(make_timestamp(open_ns // 1000 + 86400000000), '%Y-%m-%d') as date from bar where bucket_seconds = 3600 and open_ns % 7 = 3", "bar")
 ORACLES["l2_frames"] = q("""
-select symbol_id, step_ns, (count(*) filter (side = 1))::int as bids, (count(*) filter (side = 2))::int as asks, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask,
-       coalesce(sum(qty) filter (side = 1), 0)::bigint as bid_qty, coalesce(sum(qty) filter (side = 2), 0)::bigint as ask_qty
-from snap where level < 5 group by 1, 2
-""", "snap")
+select symbol_id, from_ns, any_value(steps) as steps, count(*) filter (side = 1) as n_bids, count(*) filter (side = 2) as n_asks, max(price) filter (side = 1) as bid, min(price) filter (side = 2) as ask,
+  coalesce(sum(qty) filter (side = 1), 0)::bigint as bid_qty, coalesce(sum(qty) filter (side = 2), 0)::bigint as ask_qty
+from top5_ t join top5_l l using (symbol_id) where l.step = from_ns and rk <= 5 group by all
+""", "top5_")
 ORACLES["manifest"] = q("""
 select symbol_id, minutes, lowest, j as manifest_json, substr(sha256(j), 1, 16) as manifest_id
 from (select *, '{"lowest":' || lowest || ',"minutes":' || minutes || ',"symbol_id":' || symbol_id || '}' as j from (select symbol_id, count(*) as minutes, min(close_ticks) as lowest from hist group by 1))
 """, "hist")
-ORACLES["read_model_upsert"] = q("select user_id, symbol_id, position from pos where position <> 0", "pos")
+ORACLES["stream_house_fees"] = ORACLES["house_fees"]
 ORACLES["stream_log"] = q("select seq_ms, seq_ord, ns as timestamp_ns, symbol_id, user_id, k, event_type, price as price_ticks from base", "base")
 ORACLES["stream_dedupe"] = ORACLES["first_outcome_dedupe"]
-cte("quo", """
-select user_id, symbol_id, ns as step_ns, case when k % 11 <> 0 then price end as bid, case when k % 13 <> 0 then price + 1 + k * 20 end as ask, 1 + k as bq, 1 + k * 2 % 50 as aq from base
-""", "base")
-ORACLES["stream_obligations"] = q("""
-select user_id, symbol_id, step_ns, 'not_two_sided' as kind from quo where bid is null or ask is null
-union all select user_id, symbol_id, step_ns, 'spread_too_wide' from quo where (ask + bid) // 2 > 0 and (ask - bid) * 10000 // ((ask + bid) // 2) > 2000
-union all select user_id, symbol_id, step_ns, 'size_too_small' from quo where bid is not null and ask is not null and bq < 20
-union all select user_id, symbol_id, step_ns, 'size_too_small' from quo where bid is not null and ask is not null and aq < 20
-""", "quo")
-ORACLES["stream_conflated_book"] = q("select symbol_id, side, price as price_ticks, arg_max(qty, seq_ord) as qty, max(seq_ord) as seq_ord from chg group by 1, 2, 3", "chg")
+# what the streams have sealed: days and windows that ended a second before the last event
+_SEEN = "(select max(ns) // 1000000 * 1000000 - 1000000000 from base)"
+cte("sealed", f"select * from cov where unit_ns + {_DAY} <= {_SEEN}", "cov", "base")
+obligations("s", "sealed")
+ORACLES["stream_obligations"] = q("select user_id, symbol_id, from_ns, to_ns, steps, kind from brs", "brs")
+ORACLES["stream_uptime"] = q("select user_id, symbol_id, sum(steps)::bigint as quoted, sum(case when bq >= 20 and aq >= 20 then steps else 0 end)::bigint as full_size from twos group by all", "twos")
+ORACLES["stream_conflated_book"] = q(f"""
+select * from (select symbol_id, side, price as price_ticks, ns // 50000000 * 50000000 as window_ns, arg_max(qty, seq_ord) as qty, max(seq_ord) as seq_ord from chg group by all) where window_ns + 50000000 <= {_SEEN}
+""", "chg", "base")
+cte("jfirst", "select u, min(seq_ord) as f from jlog group by u", "jlog")
+cte("jseal", """
+select a.u, min(seal) as seal from jfirst a join (select u, f, (select min(z.f) from jfirst z where z.u > x.u) as seal from jfirst x) b on b.u >= a.u and b.f < b.seal group by a.u
+""", "jfirst")
+ORACLES["stream_late_rows"] = q("select u * 86400000000000 as unit_ns, count(*) as late from jlog join jseal using (u) where seq_ord > seal group by 1", "jlog", "jseal")
 ORACLES["stream_archive"] = q("""
-select name as symbol, seq_ord, price as price_ticks, qty from fill join sym using (symbol_id) where ns < (select max(ns) // 86400000000000 * 86400000000000 from fill)
-""", "fill", "sym")
+select name as symbol, seq_ord, price as price_ticks, qty from fill join sym using (symbol_id) join jlog using (seq_ord) join jseal using (u) where seq_ord <= seal
+""", "fill", "sym", "jlog", "jseal")
+ORACLES["stream_decode"] = ORACLES["decode_wire_log"]
+ORACLES["stream_quarantine"] = ORACLES["decode_quarantine"]
 cte("rsub", """
 select user_id, seq_ord, (ns - 1000000) // 43200 as t, row_number() over (partition by user_id order by (ns - 1000000) // 43200, seq_ord) as rn from base where event_type in ('view', 'click')
 """, "base")

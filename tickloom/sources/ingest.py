@@ -101,10 +101,10 @@ def decode_wire_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, x.where("reason is not null").select("stream_id", "payload", "reason")
 
 
-def verify_files(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
-    """(name, expected, found, ok) of each recorded file under `path`; a missing file is not ok."""
+def verify_files(spark: SparkSession, path: str, digests: DataFrame, name: str = r"([^/]*)$") -> DataFrame:
+    """(name, expected, found, ok) of each recorded file under `path`; a missing file is not ok. `name` takes a file's name out of its path; a file has at most 2 GB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+    found = files.select(F.regexp_extract("path", name, 1).alias("name"), F.sha2("content", 256).alias("found"))
     return digests.join(found, "name", "left").select("name", "expected", "found", F.coalesce(F.col("expected") == F.col("found"), F.lit(False)).alias("ok"))
 
 

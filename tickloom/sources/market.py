@@ -94,8 +94,22 @@ def inbound(b: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame, by: str, name: str, width: int = 1_000_000) -> DataFrame:
+    """Adds `name`: 0, 1, 2, .. within `by` in the order of seq_ord.
+
+    Rows are numbered in ranges of `width` ids, which hold so many rows at
+    most, and each range goes on from the count of those before it.
+    """
+    x = rows.withColumn("_part", F.call_function("div", F.col("seq_ord"), F.lit(width)))
+    sizes = x.groupBy(by, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(by).orderBy("_part")) - F.col("_n")
+    starts = sizes.select(by, "_part", before.alias("_before"))
+    own = F.row_number().over(W.partitionBy(by, "_part").orderBy("seq_ord")) - 1
+    return x.withColumn("_own", own).join(starts, [by, "_part"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
+
+
 def price_history(b: DataFrame) -> DataFrame:
-    return b.select("symbol_id", (F.row_number().over(W.partitionBy("symbol_id").orderBy("seq_ord")) - 1).cast("long").alias("minute_index"), F.col("price_ticks").alias("close_ticks"))
+    return numbered(b.select("symbol_id", "seq_ord", F.col("price_ticks").alias("close_ticks")), "symbol_id", "minute_index").select("symbol_id", "minute_index", "close_ticks")
 
 
 def load_samples(b: DataFrame) -> DataFrame:

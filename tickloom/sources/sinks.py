@@ -12,11 +12,20 @@ from tickloom.functions.ticks import utc_date
 
 
 def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """A new folder that driver and executors share; a temporary one only where the session names none."""
+    """A new folder that driver and executors share: below the one that spark.checkpoint.dir names, or a temporary one where all run on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(named or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, for what several steps read: it is computed once, and a lost executor takes nothing with it."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def archive_write(rows: DataFrame, symbols: DataFrame, path: str, time_col: str, unit_ns: int | None = None) -> None:
     """Rows to <path>/symbol=../date=..[/unit=..], zstd; an unknown symbol becomes id=<n>.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickloom.operators import bars as B
+from tickloom.operators.intervals import SideOfBook
 from tickloom.sources import market as M
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -22,6 +23,16 @@ def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 8) -> Da
     return b.withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("timestamp_ns"), F.lit(1000))))
 
 
+def write_in_order(events: DataFrame, folder: str, parts: int, key: str = "event_id", rows_per_file: int = 5_000_000) -> int:
+    """Rows as files that a stream takes in order: `parts` ranges of a number, each written after the one before; returns the files of a range."""
+    low, high, n = events.agg(F.min(key), F.max(key), F.count("*")).first()
+    files = 1 + n // (parts * rows_per_file)
+    for k in range(parts if n else 1):
+        part = events.where(F.col(key).between(low + (high - low + 1) * k // parts, low + (high - low + 1) * (k + 1) // parts - 1)) if n else events
+        part.repartitionByRange(files, key).write.mode("append").parquet(folder)
+    return files
+
+
 def run_to_end(df: DataFrame, folder: str) -> DataFrame:
     """Everything that is there now through an append query into a table; a second call goes on where the first ended."""
     spark = df.sparkSession
@@ -94,57 +105,232 @@ def stream_bars_on_next_trade(log: DataFrame, seconds: int) -> DataFrame:
     return f.groupBy("symbol_id").transformWithStateInPandas(BarOnNextTrade(seconds * B.NS), schema, "Append", "None")
 
 
+class Kept:
+    """A map state for the time of one call: each key is read once and written once."""
+
+    def __init__(self, state):
+        self.state, self.now, self.changed = state, {}, set()
+
+    def get(self, key: tuple):
+        if key not in self.now:
+            self.now[key] = tuple(self.state.getValue(key)) if self.state.containsKey(key) else None
+        return self.now[key]
+
+    def put(self, key: tuple, value) -> None:
+        """A value of None takes the key away."""
+        self.now[key] = value
+        self.changed.add(key)
+
+    def write(self) -> None:
+        for key in self.changed:
+            if self.now[key] is not None:
+                self.state.updateValue(key, self.now[key])
+            elif self.state.containsKey(key):
+                self.state.removeKey(key)
+
+
+def order_moves(records, orders: Kept):
+    """(time, seq_ord, [(order's value, change of what rests)]) of each record in order; `orders` holds (user, side, price, rest) of live orders."""
+    cols = ["timestamp_ns", "seq_ord", "event_type", "a", "b", "user_id", "side", "price_ticks", "qty"]
+    for at, seq, kind, a, b, user, side, price, qty in zip(*[records[c].tolist() for c in cols], strict=True):
+        moves = []
+        if kind == "accept":
+            order = (int(user), int(side), int(price), int(qty))
+            orders.put((int(a),), order)
+            moves.append((order, int(qty)))
+        else:
+            for o in (a, b) if kind == "fill" else (a,):
+                order = None if o is None or o != o else orders.get((int(o),))
+                if order is None:
+                    continue
+                off = order[3] if kind == "cancel" else min(order[3], int(qty))
+                left = order[3] - off
+                orders.put((int(o),), (*order[:3], left) if left else None)
+                moves.append((order, -off))
+        yield int(at), int(seq), moves
+
+
+def level_moves(records, orders: Kept, levels: Kept):
+    """(time, seq_ord, side, price, quantity after it) of each level that a record changes."""
+    for at, seq, moves in order_moves(records, orders):
+        moved: dict = {}
+        for (_, side, price, _), d in moves:
+            moved[side, price] = moved.get((side, price), 0) + d
+        for key, d in moved.items():
+            if d:
+                before = levels.get(key)
+                now = (before[0] if before else 0) + d
+                levels.put(key, (now,) if now else None)
+                yield at, seq, *key, now
+
+
 class BookBySymbol(StatefulProcessor):
     """Live orders and level quantities of a symbol; emits each level after a record that changes it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.orders = handle.getMapState("orders", "order_id long", "side int, price long, rem long")
+        self.handle = handle
+        self.orders = handle.getMapState("orders", "order_id long", "user long, side int, price long, rem long")
         self.levels = handle.getMapState("levels", "side int, price long", "qty long")
 
+    def moves(self, rows: Iterator):
+        import pandas as pd
+
+        orders, levels = Kept(self.orders), Kept(self.levels)
+        yield from level_moves(pd.concat(list(rows)).sort_values(["seq_ms", "seq_ord"]), orders, levels)
+        orders.write()
+        levels.write()
+
     def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
         import pandas as pd
 
-        out = []
-        records = pd.concat(list(rows)).sort_values(["seq_ms", "seq_ord"])
-        cols = ["seq_ord", "event_type", "a", "b", "side", "price_ticks", "qty"]
-        for seq, kind, a, b, side, price, qty in zip(*[records[c].tolist() for c in cols], strict=True):
-            moved: dict = {}
-            if kind == "accept":
-                self.orders.updateValue((int(a),), (int(side), int(price), int(qty)))
-                moved[int(side), int(price)] = int(qty)
-            else:
-                for o in (a, b) if kind == "fill" else (a,):
-                    if o is None or o != o or not self.orders.containsKey((int(o),)):
-                        continue
-                    s, p, rem = self.orders.getValue((int(o),))
-                    off = rem if kind == "cancel" else min(rem, int(qty))
-                    moved[s, p] = moved.get((s, p), 0) - off
-                    if rem > off:
-                        self.orders.updateValue((int(o),), (s, p, rem - off))
-                    else:
-                        self.orders.removeKey((int(o),))
-            for (s, p), d in moved.items():
-                if d:
-                    before = self.levels.getValue((s, p))[0] if self.levels.containsKey((s, p)) else 0
-                    if before + d:
-                        self.levels.updateValue((s, p), (before + d,))
-                    else:
-                        self.levels.removeKey((s, p))
-                    out.append((key[0], s, p, int(seq), before + d))
+        out = [(key[0], side, price, seq, qty) for _, seq, side, price, qty in self.moves(rows)]
         yield pd.DataFrame(out, columns=["symbol_id", "side", "price_ticks", "seq_ord", "qty"])
 
     def close(self) -> None:
         pass
 
 
-def book_records(log: DataFrame) -> DataFrame:
+class ConflatedBook(BookBySymbol):
+    """The book with what has moved since the last tick: a tick's levels are handed on when a later one begins or its time is over."""
+
+    def __init__(self, tick_ns: int):
+        self.tick = tick_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getValueState("open", "tick long")
+        self.moved = handle.getMapState("moved", "side int, price long", "qty long, seq long")
+
+    def table(self, out):
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=["symbol_id", "side", "price_ticks", "window_ns", "qty", "seq_ord"]).astype({"symbol_id": "int32", "side": "int32", "price_ticks": "int64", "window_ns": "int64", "qty": "int64", "seq_ord": "int64"})
+
+    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
+        tick = self.open.get()[0] if self.open.exists() else None
+        before = tick
+        moved = {tuple(k): tuple(v) for k, v in self.moved.iterator()} if tick is not None else {}
+        out = []
+        for at, seq, side, price, qty in self.moves(rows):
+            if tick is not None and at - at % self.tick != tick:
+                out += [(key[0], *k, tick, *v) for k, v in moved.items()]
+                moved = {}
+            tick = at - at % self.tick
+            moved[side, price] = (qty, seq)
+        if tick != before:
+            if before is not None:
+                self.handle.deleteTimer(self.over(before))
+            self.open.update((tick,))
+            self.handle.registerTimer(self.over(tick))
+        self.moved.clear()
+        for k, v in moved.items():
+            self.moved.updateValue(k, v)
+        yield self.table(out)
+
+    def over(self, tick: int) -> int:
+        """Milliseconds of event time at which a tick has ended."""
+        return -(-(tick + self.tick) // 1_000_000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        tick = self.open.get()[0] if self.open.exists() else None
+        out = [] if tick is None else [(key[0], *k, tick, *v) for k, v in self.moved.iterator()]
+        self.open.clear()
+        self.moved.clear()
+        yield self.table(out)
+
+
+class MakerQuotes(StatefulProcessor):
+    """Makers' live orders of a symbol; emits each maker's best quote for as long as it stood, in steps.
+
+    A step has the quote after its last record. A quote that still stands is
+    handed on up to the end of each archive unit that is over.
+    """
+
+    COLUMNS = ["user_id", "symbol_id", "from_ns", "to_ns", "bid", "bid_qty", "ask", "ask_qty"]
+
+    def __init__(self, step_ns: int, unit_ns: int):
+        self.step, self.unit = step_ns, unit_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.orders = handle.getMapState("orders", "order_id long", "user long, side int, price long, rem long")
+        self.levels = handle.getMapState("levels", "user long, side int, price long", "qty long")
+        self.quotes = handle.getMapState("quotes", "user long", "since long, bid long, bid_qty long, ask long, ask_qty long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def table(self, out):
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=self.COLUMNS).astype({c: "Int64" for c in self.COLUMNS} | {"symbol_id": "int32"})
+
+    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
+        import pandas as pd
+
+        orders, levels, quotes = Kept(self.orders), Kept(self.levels), Kept(self.quotes)
+        books: dict = {}
+        for (user, side, price), (qty,) in self.levels.iterator():
+            books.setdefault(user, (SideOfBook(-1), SideOfBook(1)))[side - 1].put(price, qty)
+        out, touched, step = [], set(), None
+
+        def settle() -> None:
+            """The step that has ended."""
+            for user in touched:
+                bid, ask = (s.best(1) or ((None, None),) for s in books[user])
+                now, was = (*bid[0], *ask[0]), quotes.get((user,))
+                if was is None or now != was[1:]:
+                    if was is not None and was[0] < step:
+                        out.append((user, key[0], was[0], step, *was[1:]))
+                    quotes.put((user,), (step, *now) if any(x is not None for x in now) else None)
+            touched.clear()
+
+        for at, _, moves in order_moves(pd.concat(list(rows)).sort_values(["seq_ms", "seq_ord"]), orders):
+            if at - at % self.step != step:
+                if step is not None:
+                    settle()
+                step = at - at % self.step
+            for (user, side, price, _), d in moves:
+                before = levels.get((user, side, price))
+                now = (before[0] if before else 0) + d
+                levels.put((user, side, price), (now,) if now else None)
+                books.setdefault(user, (SideOfBook(-1), SideOfBook(1)))[side - 1].put(price, now)
+                touched.add(user)
+        if step is not None:
+            settle()
+        for state in (orders, levels, quotes):
+            state.write()
+        if not self.timer.exists() and step is not None:
+            self.wake(step)
+        yield self.table(out)
+
+    def wake(self, after: int) -> None:
+        at = (after - after % self.unit + self.unit) // 1_000_000
+        self.timer.update((at,))
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        now = timerValues.getCurrentWatermarkInMs() * 1_000_000
+        end = now - now % self.unit
+        out = []
+        for (user,), quote in list(self.quotes.iterator()):
+            if quote[0] < end:
+                out.append((user, key[0], quote[0], end, *quote[1:]))
+                self.quotes.updateValue((user,), (end, *quote[1:]))
+        self.wake(end)
+        yield self.table(out)
+
+    def close(self) -> None:
+        pass
+
+
+def book_records(log: DataFrame, *more: str) -> DataFrame:
     """Accepts, fills and cancels of the log in one shape."""
     k = F.col("k")
     kind = F.expr("case event_type when 'view' then 'accept' when 'click' then 'accept' when 'purchase' then 'fill' when 'error' then 'cancel' end")
     a = F.when(kind == "accept", F.col("seq_ord")).when(kind == "fill", F.col("seq_ord") - 10 * (1 + k % 50)).otherwise(F.col("seq_ord") - 10 * (1 + k % 20))
     b = F.when(kind == "fill", F.col("seq_ord") - 10 * (1 + (k + 7) % 50))
     qty = F.when(kind == "fill", 1 + k % 20).otherwise(1 + k)
-    return log.where("event_type <> 'signup'").select("symbol_id", *M.SEQ, kind.alias("event_type"), a.alias("a"), b.alias("b"), F.when(F.col("event_type") == "view", 1).otherwise(2).alias("side"), "price_ticks", qty.alias("qty"))
+    side = F.when(F.col("event_type") == "view", 1).otherwise(2)
+    return log.where("event_type <> 'signup'").select("symbol_id", *M.SEQ, "timestamp_ns", kind.alias("event_type"), a.alias("a"), b.alias("b"), "user_id", side.alias("side"), "price_ticks", qty.alias("qty"), *more)
 
 
 def stream_book(log: DataFrame) -> DataFrame:
@@ -152,6 +338,20 @@ def stream_book(log: DataFrame) -> DataFrame:
     return book_records(log).groupBy("symbol_id").transformWithStateInPandas(BookBySymbol(), schema, "Append", "None")
 
 
+def stream_conflated(log: DataFrame, tick_ns: int, delay: str = "1 second") -> DataFrame:
+    """(symbol_id, side, price_ticks, window_ns, qty, seq_ord): per tick of event time the last quantity of the levels that moved in it."""
+    records = book_records(log, "event_time").withWatermark("event_time", delay)
+    schema = "symbol_id int, side int, price_ticks long, window_ns long, qty long, seq_ord long"
+    return records.groupBy("symbol_id").transformWithStateInPandas(ConflatedBook(tick_ns), schema, "Append", "EventTime")
+
+
+def stream_quotes(log: DataFrame, makers_below: int, step_ns: int, unit_ns: int, delay: str = "1 second") -> DataFrame:
+    """(user_id, symbol_id, from_ns, to_ns, bid, bid_qty, ask, ask_qty): how long each maker's best quote stood, up to the units that are over."""
+    records = book_records(log, "event_time").where((F.col("event_type") != "accept") | (F.col("user_id") < makers_below)).withWatermark("event_time", delay)
+    schema = "user_id long, symbol_id int, from_ns long, to_ns long, bid long, bid_qty long, ask long, ask_qty long"
+    return records.groupBy("symbol_id").transformWithStateInPandas(MakerQuotes(step_ns, unit_ns), schema, "Append", "EventTime")
+
+
 class Numbered(StatefulProcessor):
     """A dense number per key."""
 
@@ -258,58 +458,69 @@ def stream_dedupe(orders: DataFrame, ttl_ns: int, delay: str = "0 seconds") -> D
     return x.groupBy("user_id", "client_order_id").transformWithStateInPandas(FirstOutcome(ttl_ns), schema, "Append", "EventTime")
 
 
-def stream_conflated(log: DataFrame, emit: Callable[[DataFrame, int], None], folder: str):
-    """Each trigger hands on the last quantity of the levels that moved in it."""
-
-    def batch(df: DataFrame, n: int) -> None:
-        emit(df.groupBy("symbol_id", "side", "price_ticks").agg(F.max_by("qty", "seq_ord").alias("qty"), F.max("seq_ord").alias("seq_ord")), n)
-
-    return stream_book(log).writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+def stream_uptime(quotes: DataFrame, min_size: int, emit: Callable[[DataFrame, int], None], folder: str):
+    """Running steps with a quote of both sides, and of those the ones of full size, per maker and symbol; handed on as they change. `quotes` have `steps`."""
+    two = F.col("bid").isNotNull() & F.col("ask").isNotNull()
+    full = (F.col("bid_qty") >= min_size) & (F.col("ask_qty") >= min_size)
+    g = quotes.where(two).groupBy("user_id", "symbol_id").agg(F.sum("steps").alias("quoted"), F.sum(F.when(full, F.col("steps")).otherwise(0)).alias("full_size"))
+    return g.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
 
 
-def stream_ledger(log: DataFrame, folder: str):
-    """Balances kept current: each batch's cash changes are merged into the snapshot before it, written as a new version.
+class SealedArchive:
+    """Trades of sealed units, written once each, and a count of the rows that came too late.
 
-    A version's name is its batch, so a batch that runs again writes the same
-    files; the one before is always there to start from.
+    A batch merges the first record of each unit into a table of one row a
+    unit, from which follows what is sealed and by which record. Its rows are
+    late if their unit was sealed before them; the others are staged by unit.
+    Units that this batch has sealed are written from the stage, under names
+    that follow from the data. All tables of a batch carry its number, so one
+    that runs again, also after a stop in its middle, leaves the same files.
     """
-    from tickloom.operators import ledger as L
 
-    spark = log.sparkSession
-    schema = "user_id long, cash_ticks long"
+    UNITS = "unit_ns long, first struct<seq_ms: long, seq_ord: long>"
 
-    def batch(df: DataFrame, n: int) -> None:
-        old = spark.read.schema(schema).parquet(f"{folder}/balances/v={n - 1}") if n else spark.createDataFrame([], schema)
-        acc = M.account_records(df, old.select("user_id"))
-        events = L.cash_events(acc, L.fill_legs(M.fills(df)))
-        carry = old.select("user_id", F.lit(-1).cast("long").alias("seq_ms"), F.lit(-1).cast("long").alias("seq_ord"), F.lit(0).alias("leg"), F.lit(False).alias("created"), F.col("cash_ticks").alias("delta"))
-        L.cash_balances(events.unionByName(carry)).write.mode("overwrite").parquet(f"{folder}/balances/v={n}")
+    def __init__(self, spark: SparkSession, symbols: DataFrame, folder: str, unit_seconds: int):
+        self.spark, self.symbols, self.folder, self.unit = spark, symbols, folder, unit_seconds
 
-    return log.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    def units(self, version: int) -> DataFrame:
+        return self.spark.read.schema(self.UNITS).parquet(f"{self.folder}/units/v={version}") if version >= 0 else self.spark.createDataFrame([], self.UNITS)
 
+    def apply(self, log: DataFrame, version: int) -> None:
+        from tickloom.functions.ticks import bucket
+        from tickloom.sources.sinks import archive_write
 
-def stream_archive(log: DataFrame, symbols: DataFrame, folder: str, unit_ns: int, delay: str):
-    """Trades of sealed units only: a unit is written when the watermark has passed its end; late rows are dropped by the same watermark."""
-    from tickloom.sources.sinks import archive_write
+        rows = log.withColumn("unit_ns", bucket("timestamp_ns", self.unit * B.NS))
+        old = self.units(version - 1)
+        mine = rows.groupBy("unit_ns").agg(F.min(F.struct(*M.SEQ)).alias("first"))
+        old.unionByName(mine).groupBy("unit_ns").agg(F.min("first").alias("first")).write.mode("overwrite").parquet(f"{self.folder}/units/v={version}")
+        seals = B.seals_of(self.units(version), self.unit)
+        judged = rows.join(seals, "unit_ns", "left").withColumn("late", F.coalesce(F.struct(*M.SEQ) > F.col("seal"), F.lit(False)))
+        judged.where("late").groupBy("unit_ns").agg(F.count("*").alias("late")).write.mode("overwrite").parquet(f"{self.folder}/late/v={version}")
+        trades = M.fills(judged.where("not late")).select("symbol_id", *M.SEQ, "price_ticks", "qty", "aggressor_side", "timestamp_ns")
+        trades.withColumn("unit_ns", bucket("timestamp_ns", self.unit * B.NS)).write.mode("overwrite").partitionBy("unit_ns").parquet(f"{self.folder}/stage/v={version}")
+        now = seals.select("unit_ns").join(B.seals_of(old, self.unit), "unit_ns", "left_anti")
+        stage = self.spark.read.schema("symbol_id int, seq_ms long, seq_ord long, price_ticks long, qty long, aggressor_side int, timestamp_ns long, v int, unit_ns long").parquet(f"{self.folder}/stage")
+        done = stage.where(F.col("v") <= version).join(now, "unit_ns", "left_semi").drop("v", "unit_ns")
+        archive_write(done, self.symbols, f"{self.folder}/trades", "timestamp_ns", self.unit * B.NS)
 
-    f = log.where("event_type = 'purchase'").withColumn("qty", 1 + F.col("k") % 20).withColumn("aggressor_side", (1 + F.col("k") % 2).cast("int")).withWatermark("event_time", delay)
-    units = f.groupBy(F.window("event_time", f"{unit_ns // B.NS} seconds"), "symbol_id").agg(F.collect_list(F.struct(*M.SEQ, "price_ticks", "qty", "aggressor_side", "timestamp_ns")).alias("rows"))
+    def late(self) -> DataFrame:
+        return self.spark.read.schema("unit_ns long, late long, v int").parquet(f"{self.folder}/late").groupBy("unit_ns").agg(F.sum("late").alias("late"))
 
-    def batch(df: DataFrame, n: int) -> None:
-        rows = df.select("symbol_id", F.explode("rows").alias("r")).select("symbol_id", "r.*")
-        archive_write(rows, symbols, f"{folder}/trades", "timestamp_ns", unit_ns)
 
-    return units.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+def stream_archive(log: DataFrame, archive: SealedArchive):
+    return log.writeStream.foreachBatch(archive.apply).option("checkpointLocation", f"{archive.folder}/state").trigger(availableNow=True).start()
 
 
-def stream_uptime(samples: DataFrame, emit: Callable[[DataFrame, int], None], folder: str):
-    """Running samples and two-sided share per maker and symbol, handed on as they change."""
-    g = samples.groupBy("user_id", "symbol_id").agg(F.count("*").alias("samples"), F.round(F.avg(F.col("two_sided").cast("double")), 4).alias("two_sided_uptime"))
-    return g.writeStream.outputMode("update").foreachBatch(emit).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+def stream_decode(wire: DataFrame, folder: str):
+    """One source of binary records, two sinks: typed records, and those that can't be read with the reason."""
+    from tickloom.sources.ingest import decode_wire_log
 
-
-def stream_breaches(samples: DataFrame, max_spread_bps: int, min_size: int) -> DataFrame:
-    """The breaches of each quote sample as they happen, by the rules of the batch operator; `samples` also carries user_id, symbol_id and step_ns."""
-    from tickloom.operators import quality as Q
-
-    return Q.breach_rows(Q.with_breaches(samples, max_spread_bps, min_size))
+    def batch(df: DataFrame, n: int) -> None:
+        df = df.persist()
+        try:
+            for part, name in zip(decode_wire_log(df), ("records", "quarantine"), strict=True):
+                part.write.mode("overwrite").parquet(f"{folder}/{name}/v={n}")
+        finally:
+            df.unpersist()
+
+    return wire.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
