@@ -345,8 +345,25 @@ def test_contamination_of_rows_with_one_id(spark):
     assert got["the end"]["items"] == ["5"] and got[item]["items"] == []
 
 
+def test_contamination_without_ids(spark):
+    """Rows without an id do not meet each other: their hits are filed by text, as many as with ids."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(4))
+    items = {str(i): " ".join(word() for _ in range(14)) for i in range(8)}
+    texts = [" ".join([*(word() for _ in range(r.randint(0, 20))), *items[str(i % 8)].split()[i % 3 : 11 + i % 3]]) for i in range(300)] + ["zz " * 40] * 50
+    b = spark.createDataFrame(list(items.items()), "item_id string, text string")
+    key = lambda rows: sorted((x["n_words"], str(x["hit_runs"]), str(x["items"])) for x in rows)
+    without = decontam.find_contamination(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string"), b).collect()
+    assert key(without) == key(decontam.find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b).collect())
+    want = sorted(brute.decontamination(t.encode(), {k: v.encode() for k, v in items.items()}) for t in texts)
+    assert sorted((x["n_words"], sum(e - s for s, e in x["hit_runs"]), x["items"]) for x in without) == want
+    d = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").select(F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("t"))
+    index = decontam.postings(d, {items["0"].split()[0].encode()})
+    assert index.groupBy("th").count().agg(F.max("count")).first()[0] == 1
+
+
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, bytearray(b"red fish blue fish")), (2, bytearray(b"blue one two three red"))], "doc_id long, t binary")
+    d = spark.createDataFrame([(1, bytearray(b"red fish blue fish")), (2, bytearray(b"blue one two three red"))], "th long, t binary")
     index = decontam.postings(d, {b"red", b"blue"})
     assert {tuple(x) for x in decontam.proximity_matches(index, b"red", b"blue", 2).collect()} == {(1, 0, 2)}
 

@@ -55,10 +55,10 @@ def term_counts(docs: DataFrame, terms: set[bytes]) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: set[bytes]) -> DataFrame:
-    """(term, doc_id, positions): the positional index of all whole texts for the given terms."""
+    """(term, th, positions): the positional index of all whole texts for the given terms; a text is known by its hash `th`, so copies share one entry."""
 
     def start():
-        def row(doc_id, t):
+        def row(th, t):
             found: dict[bytes, list[int]] = {}
             words = words_of(t)
             if not terms.isdisjoint(words):
@@ -66,28 +66,27 @@ def postings(docs: DataFrame, terms: set[bytes]) -> DataFrame:
                     if w in terms:
                         found.setdefault(w, []).append(i)
             for w, places in found.items():
-                yield w, doc_id, places
+                yield w, th, places
 
         return row
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "t"), start, f"term binary, doc_id {kind}, positions array<int>")
+    return map_rows(docs.select("th", "t"), start, "term binary, th long, positions array<int>")
 
 
 def proximity_matches(index: DataFrame, first: bytes, second: bytes, within: int) -> DataFrame:
-    """(doc_id, a, b): places of two terms at most `within` words apart, from their posting lists."""
-    side = lambda w, name: index.where(F.col("term") == F.lit(w)).select("doc_id", F.explode("positions").alias(name))
-    return side(first, "a").join(side(second, "b"), "doc_id").where((F.col("a") != F.col("b")) & (F.abs(F.col("a") - F.col("b")) <= within))
+    """(th, a, b): places of two terms at most `within` words apart, from their posting lists."""
+    side = lambda w, name: index.where(F.col("term") == F.lit(w)).select("th", F.explode("positions").alias(name)).distinct()
+    return side(first, "a").join(side(second, "b"), "th").where((F.col("a") != F.col("b")) & (F.abs(F.col("a") - F.col("b")) <= within))
 
 
 def alignments(index: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, item, shift, at): posting lists less the term's place in the item.
+    """(th, item, shift, at): posting lists less the term's place in the item.
 
     `at` are the item's places found on one alignment: two at least, or one
     in items of which a window has a single place.
     """
-    hits = index.join(places, "term").select("doc_id", "item", "place", "need", F.explode("positions").alias("p"))
-    found = hits.groupBy("doc_id", "item", (F.col("p") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("at"), F.min("need").alias("need"))
+    hits = index.join(places, "term").select("th", "item", "place", "need", F.explode("positions").alias("p"))
+    found = hits.groupBy("th", "item", (F.col("p") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("at"), F.min("need").alias("need"))
     return found.where(F.size("at") >= F.col("need")).drop("need")
 
 
@@ -98,8 +97,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id
     one. `hit_runs` are the maximal runs [start, end) of document words
     inside any occurrence of a window, `items` the sorted ids, as strings,
     of the items with occurring windows. Null and empty texts have no words;
-    a null id is an id like others. Rows that share an id are compared each
-    by its own text, whose hash is `th`. A null item id counts as an empty
+    a null id is an id like others. What aligns is filed under the hash `th`
+    of a text, so rows that share an id or have none do not meet, and each
+    row is compared by its own text. A null item id counts as an empty
     one. Other columns of both tables play no part.
 
     Each block of the benchmark asks the documents for its terms' counts and
@@ -154,10 +154,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id
     if found is None:
         rows = d.withColumn("hits", F.lit(None).cast("array<struct<name:string,item_t:binary,places:array<struct<shift:int,at:array<int>>>>>"))
     else:
-        per_item = scratch.table(found.groupBy("doc_id", "item").agg(F.collect_set(F.struct("shift", "at")).alias("places")))
-        with_text = per_item.join(items, "item").select(F.col("doc_id").alias("hit_id"), F.struct("name", "item_t", "places").alias("h"))
-        per_doc = with_text.groupBy("hit_id").agg(F.collect_list("h").alias("hits"))
-        rows = d.join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+        per_item = scratch.table(found.groupBy("th", "item").agg(F.collect_set(F.struct("shift", "at")).alias("places")))
+        with_text = per_item.join(items, "item").select("th", F.struct("name", "item_t", "places").alias("h"))
+        per_text = with_text.groupBy("th").agg(F.collect_list("h").alias("hits"))
+        rows = d.join(per_text, "th", "left")
     return map_rows(rows.select("doc_id", "th", "t", "hits"), start, schema)
 
 
