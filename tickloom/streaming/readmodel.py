@@ -10,6 +10,7 @@ starts from the manifest before it and writes the same files.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,15 +110,18 @@ class ReadModel:
             now = dict(old)
             dealt = [rows.select(F.lit(name).alias("tbl"), self._bucket(TABLES[name][1]).alias("b")) for name in TABLES for rows in keys[name]]
             found = reduce(DataFrame.unionByName, dealt).distinct().collect()  # tables times buckets at most
-            for name, (schema, key) in TABLES.items():
-                touched = {r["b"] for r in found if r["tbl"] == name}
-                if not touched:
-                    continue
-                before = self._rows(name, {b: v for (t, b), v in old.items() if t == name and b in touched})
-                after = merges[name](before).select(*before.columns).withColumn("bucket", self._bucket(key))
-                bare = self.spark.createDataFrame([(b,) for b in sorted(touched)], "bucket int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in before.schema], "bucket")
+            touched = {name: {r["b"] for r in found if r["tbl"] == name} for name in TABLES}
+
+            def merge(name: str) -> None:
+                key, wanted = TABLES[name][1], touched[name]
+                before = self._rows(name, {b: v for (t, b), v in old.items() if t == name and b in wanted})
+                after = merges[name](before).select(*[F.col(f.name).cast(f.dataType) for f in before.schema]).withColumn("bucket", self._bucket(key))
+                bare = self.spark.createDataFrame([(b,) for b in sorted(wanted)], "bucket int").select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in before.schema], "bucket")
                 after.unionByName(bare).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/v={version}")
-                now |= {(name, b): version for b in touched}
+
+            with ThreadPoolExecutor(len(TABLES)) as pool:  # the tables don't depend on each other
+                list(pool.map(merge, [name for name in TABLES if touched[name]]))
+            now |= {(name, b): version for name in TABLES for b in touched[name]}
             rows = [(t, b, v) for (t, b), v in sorted(now.items())]
             self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/manifest/v={version}")
         finally:
