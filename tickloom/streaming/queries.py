@@ -42,14 +42,16 @@ def run_to_end(df: DataFrame, folder: str) -> DataFrame:
 
 
 def with_rocks(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
-    """Run with the state store that stateful processors need, and put the session's own back."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)
+    """Run with the state store that stateful processors need, which writes what has changed and not the whole state, and put the session's own settings back."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    old = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         return run()
     finally:
-        spark.conf.set(key, old) if old else spark.conf.unset(key)
+        for key, value in old.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
 
 
 def stream_tape(log: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def level_moves(records, orders: Kept, levels: Kept):
 
 
 class BookBySymbol(StatefulProcessor):
-    """Live orders and level quantities of a symbol; emits each level after a record that changes it."""
+    """Live orders and level quantities of a symbol, for processors that watch its whole book."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -180,12 +182,6 @@ class BookBySymbol(StatefulProcessor):
         orders.write()
         levels.write()
 
-    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
-        import pandas as pd
-
-        out = [(key[0], side, price, seq, qty) for _, seq, side, price, qty in self.moves(rows)]
-        yield pd.DataFrame(out, columns=["symbol_id", "side", "price_ticks", "seq_ord", "qty"])
-
     def close(self) -> None:
         pass
 
@@ -333,9 +329,57 @@ def book_records(log: DataFrame, *more: str) -> DataFrame:
     return log.where("event_type <> 'signup'").select("symbol_id", *M.SEQ, "timestamp_ns", kind.alias("event_type"), a.alias("a"), b.alias("b"), "user_id", side.alias("side"), "price_ticks", qty.alias("qty"), *more)
 
 
-def stream_book(log: DataFrame) -> DataFrame:
+class OrderMoves(StatefulProcessor):
+    """Live orders of one slot of a symbol; emits what each record takes off or adds to a level."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.orders = handle.getMapState("orders", "order_id long", "user long, side int, price long, rem long")
+
+    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
+        import pandas as pd
+
+        orders = Kept(self.orders)
+        records = pd.concat(list(rows)).sort_values(["seq_ms", "seq_ord"])
+        out = [(key[0], order[1], order[2], at, seq, d) for at, seq, moves in order_moves(records, orders) for order, d in moves]
+        orders.write()
+        yield pd.DataFrame(out, columns=["symbol_id", "side", "price_ticks", "timestamp_ns", "seq_ord", "delta"])
+
+    def close(self) -> None:
+        pass
+
+
+class LevelTotals(StatefulProcessor):
+    """Quantities of one slot of a symbol's price levels; emits each level after a record that changes it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.levels = handle.getMapState("levels", "side int, price long", "qty long")
+
+    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
+        import pandas as pd
+
+        levels, out = Kept(self.levels), []
+        moves = pd.concat(list(rows)).groupby(["timestamp_ns", "seq_ord", "side", "price_ticks"], as_index=False)["delta"].sum()  # sorted by its keys
+        for _, seq, side, price, d in zip(*[moves[c].tolist() for c in moves.columns], strict=True):
+            if d:
+                before = levels.get((side, price))
+                now = (before[0] if before else 0) + d
+                levels.put((side, price), (now,) if now else None)
+                out.append((key[0], side, price, seq, now))
+        levels.write()
+        yield pd.DataFrame(out, columns=["symbol_id", "side", "price_ticks", "seq_ord", "qty"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_book(log: DataFrame, slots: int = 2) -> DataFrame:
+    """Each level after a record that changes it. Two stateful steps: orders are keyed by symbol and a slot of their id, levels by symbol and a slot of their price, so `slots` divide a symbol's work."""
+    slot = lambda c: F.pmod(F.col(c), F.lit(slots)).cast("int")
+    legs = book_records(log).withColumn("a", F.explode(F.array_compact(F.array("a", "b")))).withColumn("b", F.lit(None).cast("long")).withColumn("slot", slot("a"))
+    moved = "symbol_id int, side int, price_ticks long, timestamp_ns long, seq_ord long, delta long"
+    moves = legs.groupBy("symbol_id", "slot").transformWithStateInPandas(OrderMoves(), moved, "Append", "None")
     schema = "symbol_id int, side int, price_ticks long, seq_ord long, qty long"
-    return book_records(log).groupBy("symbol_id").transformWithStateInPandas(BookBySymbol(), schema, "Append", "None")
+    return moves.withColumn("slot", slot("price_ticks")).groupBy("symbol_id", "slot").transformWithStateInPandas(LevelTotals(), schema, "Append", "None")
 
 
 def stream_conflated(log: DataFrame, tick_ns: int, delay: str = "1 second") -> DataFrame:
