@@ -49,8 +49,10 @@ ORACLE_SQL = None
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a temporary one only where none is named."""
+    """A new folder in the one that driver and executors share; a temporary one only where all run on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(named or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
 
 

@@ -14,7 +14,7 @@ from tickloom.functions.ticks import utc_date
 def shared_folder(spark: SparkSession, prefix: str) -> str:
     """A new folder that driver and executors share: below the one that spark.checkpoint.dir names, or a temporary one where all run on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{(named or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
