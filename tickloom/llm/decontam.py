@@ -156,7 +156,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id
     else:
         per_item = scratch.table(found.groupBy("th", "item").agg(F.collect_set(F.struct("shift", "at")).alias("places")))
         with_text = per_item.join(items, "item").select("th", F.struct("name", "item_t", "places").alias("h"))
-        per_text = with_text.groupBy("th").agg(F.collect_list("h").alias("hits"))
+        per_text = scratch.table(with_text.groupBy("th").agg(F.collect_list("h").alias("hits")))  # a table, so that the join can split a text of many copies
         rows = d.join(per_text, "th", "left")
     return map_rows(rows.select("doc_id", "th", "t", "hits"), start, schema)
 
