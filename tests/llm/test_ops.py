@@ -416,6 +416,30 @@ def test_near_duplicates_of_rows_with_one_id(spark):
     assert sorted(str((x["doc_id"], len(x["text"] or ""))) for x in left) == sorted(str(x) for x in [(1, len(rows[0][1])), (1, len(rows[1][1])), (None, len(next(x["text"] for x in left if x["doc_id"] is None and x["text"]))), (4, 0), (4, 0), (None, 0)])
 
 
+def test_a_hub_meets_its_members_in_slots(spark, monkeypatch):
+    """Links and edits are the same however many slots the members of one text are dealt out to."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for _ in range(60):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            t[r.randrange(60)] = f"e{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    name = lambda i: bytearray(str(i).encode())
+    rows = spark.createDataFrame([(name(i), bytearray(t.encode()), len(t)) for i, t in enumerate(texts)], "node binary, t binary, n_bytes int")
+    pairs = spark.createDataFrame([(name(0), name(i)) for i in range(1, len(texts))] + [(name(5), name(6))], "a binary, b binary")
+    sets = [set(near.shingle_set(t.encode(), near.WordHashes()).view(np.int64).tolist()) for t in texts]
+    want = {(a, b): (len(sets[b] - sets[a]), len(sets[a] - sets[b]), 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])) for a, b in [*((0, i) for i in range(1, len(texts))), (5, 6)]}
+    for slot, times in ((near.SLOT, near.PER_HUB), (500, 1)):
+        monkeypatch.setattr(near, "SLOT", slot)
+        monkeypatch.setattr(near, "PER_HUB", times)
+        got = {(int(bytes(x["a"])), int(bytes(x["b"]))): (len(x["added"]), len(x["removed"]), x["is_link"]) for x in near.confirm(pairs, rows, 75, True).collect()}
+        assert got == want
+        assert {(int(bytes(x["a"])), int(bytes(x["b"]))) for x in near.confirm(pairs, rows, 75).collect()} == {k for k, v in want.items() if v[2]}
+    assert near.confirm(pairs.limit(0), rows, 75).count() == 0
+
+
 def test_estimates():
     """Corrected estimates are near the true similarity."""
     r = np.random.default_rng(0)

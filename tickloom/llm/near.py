@@ -18,6 +18,8 @@ BITS = 4
 PER_LONG = 64 // BITS
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD_CACHE = 1_000_000
+#: Bytes of the texts that are compared with one hub in one place, or so many times the hub's own.
+SLOT, PER_HUB = 1 << 18, 8
 
 _rng = np.random.default_rng(20240229)
 MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -133,7 +135,12 @@ def linked(both, x, y, percent: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, edits: bool = False) -> DataFrame:
-    """The (a, b) whose full shingle sets are linked.
+    """The (a, b) whose full shingle sets are linked; `texts` are (node, t, n_bytes).
+
+    The members b of one a are dealt out to slots of SLOT bytes, or of some
+    times the text of a if that is longer. The text of a is sent once to each
+    slot, ahead of its members, so no row holds both texts and a task holds
+    one set beside the batch it reads, however many members there are.
 
     With `edits` every pair comes, with `is_link`, the sizes of both sets and
     the shingles that b adds to and removes from those of a.
@@ -141,12 +148,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, edits: bool = Fals
 
     def start():
         hashes = WordHashes()
-        last = [None, None]
-
-        def row(a, b, ta, tb):
-            if last[0] != a:
-                last[:] = [a, shingle_set(ta, hashes)]
-            x, y = last[1], shingle_set(tb, hashes)
+        hub = [None, None]
+
+        def row(a, b, t):
+            if b is None:
+                if hub[0] != a:
+                    hub[:] = [a, shingle_set(t, hashes)]
+                return
+            x, y = hub[1], shingle_set(t, hashes)
             both = len(np.intersect1d(x, y, assume_unique=True))
             link = bool(both) and linked(both, len(x), len(y), percent)
             if edits:
@@ -157,10 +166,16 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, edits: bool = Fals
 
         return row
 
+    side = lambda name, *more: texts.select(F.col("node").alias(name), *more)
+    size = pairs.join(side("b", "n_bytes"), "b").groupBy("a").agg(F.sum("n_bytes").alias("met"))
+    room = F.greatest(F.lit(SLOT), PER_HUB * F.col("n_bytes"))
+    slots = size.join(side("a", "n_bytes"), "a").select("a", F.ceil(F.greatest(F.col("met"), F.lit(1)) / room).cast("int").alias("slots"))
+    members = pairs.join(slots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slots")).cast("int").alias("slot"), "b").join(side("b", "t"), "b")
+    hubs = slots.join(side("a", "t"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "t")
+    rows = hubs.unionByName(members).repartition("a", "slot").sortWithinPartitions("a", "slot", F.col("b").isNotNull())
     kind = pairs.schema["a"].dataType.simpleString()
-    t = lambda side: texts.select(F.col("node").alias(side), F.col("t").alias(f"t{side}"))
     more = ", is_link boolean, n_a int, n_b int, added array<long>, removed array<long>" if edits else ""
-    return map_rows(pairs.join(t("a"), "a").join(t("b"), "b").select("a", "b", "ta", "tb"), start, f"a {kind}, b {kind}{more}")
+    return map_rows(rows.select("a", "b", "t"), start, f"a {kind}, b {kind}{more}")
 
 
 def _groups(d: DataFrame, percent: int, slack: float) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +205,7 @@ def _groups(d: DataFrame, percent: int, slack: float) -> tuple[DataFrame, DataFr
     def confirmed(pairs: DataFrame, edits: bool = False) -> DataFrame:
         wanted = pairs.select("a").union(pairs.select("b")).distinct()
         rows = wanted.join(classes, F.col("a") == F.col("rep")).select(F.col("rep").alias("node"), F.col("one.doc_id").alias("w"), F.col("one.th").alias("wh"))
-        texts = d.join(rows, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh"))).select("node", "t").dropDuplicates(["node"])
+        texts = d.join(rows, F.col("doc_id").eqNullSafe(F.col("w")) & (F.col("th") == F.col("wh"))).select("node", "t", F.octet_length("t").alias("n_bytes")).dropDuplicates(["node"])
         return scratch.table(confirm(pairs, scratch.table(texts), percent, edits))
 
     met = members.where(F.col("rep") != F.col("leader"))
