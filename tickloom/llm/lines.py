@@ -320,19 +320,23 @@ def segment_table(docs: DataFrame, least: int, tau: int, probing: bool) -> DataF
     def run(batches):
         import pyarrow as pa
 
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
             for _, texts in text_groups(b.column(0)):
                 data, _, _, start, end = _lines(texts)
                 big = np.flatnonzero(end - start >= least)
                 h = Hashes(data, BASES[2])
-                sig = gram_parities(data, start[big], end[big])
-                ids, once = np.unique(_scramble(h.of(start[big], end[big]) ^ _scramble(sig.view(np.uint64))), return_index=True)
-                new = np.fromiter((i not in seen for i in ids.tolist()), bool, len(ids))
+                raw = digests(data, start[big], end[big]).tobytes()
                 if len(seen) > SEEN:
                     seen.clear()
-                seen.update(ids[new].tolist())
-                big, sig = big[once[new]], sig[once[new]]
+                known, new = len(seen), []
+                for i in range(len(big)):
+                    seen.add(raw[16 * i : 16 * i + 16])
+                    if len(seen) > known:
+                        known += 1
+                        new.append(i)
+                big = big[new]
+                sig = gram_parities(data, start[big], end[big])
                 for lines, keys in segment_keys(h, start[big], end[big], tau)[probing]:
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sig[lines], pa.int64())], names=["key", "sig"])
 
