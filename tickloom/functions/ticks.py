@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,12 @@ def bucket(ns, width_ns) -> Column:
     return _c(ns) - F.pmod(_c(ns), _c(width_ns))
 
 
+def wrapped(n) -> Column:
+    """A whole decimal number modulo 2^64, as the signed long of the same 64 bits; itself where it fits a long."""
+    m = F.pmod(_c(n).cast("decimal(38,0)"), F.lit(Decimal(1 << 64)))
+    return F.when(m >= F.lit(Decimal(1 << 63)), m - F.lit(Decimal(1 << 64))).otherwise(m).cast("long")
+
+
 def fee(price, qty, bps: int) -> Column:
     """Fee of one side of a fill, rounded down."""
     return floor_div(_c(price) * _c(qty) * bps, BPS)

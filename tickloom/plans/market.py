@@ -386,11 +386,12 @@ def mark_to_market(spark, d):
 
 @query
 def state_snapshot(spark, d):
-    """A digest of each state table that doesn't depend on the order of its rows."""
+    """A digest of each state table that doesn't depend on the order of its rows: the sum of its lines' 48-bit hashes, modulo 2^64 as a signed long."""
     line = lambda df, name, *c: df.select(F.lit(name).alias("tbl"), F.concat_ws(":", *c).alias("line"))
     rows = line(L.cash_balances(cash_of(spark, d)), "cash", "user_id", "cash_ticks").union(line(L.positions(legs_of(spark, d)), "position", "user_id", "symbol_id", "position"))
     rows = rows.union(line(K.resting_orders(events_of(spark, d)), "resting", "order_id", "rem"))
-    return rows.groupBy("tbl").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha2("line", 256), 1, 12), 16, 10).cast("long")).alias("digest"))
+    part = F.conv(F.substring(F.sha2("line", 256), 1, 12), 16, 10).cast("decimal(38,0)")  # 65,536 lines and more sum up to 2^63
+    return rows.groupBy("tbl").agg(F.count("*").alias("n"), X.wrapped(F.sum(part)).alias("digest"))
 
 
 @query
