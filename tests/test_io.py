@@ -234,6 +234,54 @@ def test_stream_archive_and_others(spark, tmp_path):
         assert rows(got, "seq_ord", "duplicate") == rows(R.first_outcomes(s.select("user_id", "client_order_id", "seq_ord", "timestamp_ns"), ttl * B.NS), "seq_ord", "duplicate")
 
 
+@pytest.mark.parametrize("slots", [{}, {"slots": 1}])
+def test_stream_dedupe_by_slots(spark, tmp_path, slots):
+    """5,000 keys cost calls and state by slots, and what has passed its TTL goes."""
+    hour = 3600 * B.NS
+    n = F.col("id")
+    s = spark.range(15_000).select((n % 5000).alias("user_id"), (n % 2).alias("client_order_id"), n.alias("seq_ord"), (1_704_067_200 * B.NS + n * 250_000_000).alias("timestamp_ns"))
+    s = s.union(spark.createDataFrame([(1, 1, 15_000, 1_704_067_200 * B.NS + 99 * hour)], s.schema))
+    seen, want = 0, rows(R.first_outcomes(s, hour // 2), "seq_ord", "user_id", "client_order_id", "duplicate")
+    for low, high in ((0, 7500), (7500, 15_000), (15_000, 15_001)):
+        s.where(F.col("seq_ord").between(low, high - 1)).repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+        x = spark.readStream.schema(s.schema).parquet(f"{tmp_path}/in").withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("timestamp_ns"), F.lit(1000))))
+
+        def run():
+            q = S.stream_dedupe(x, hour // 2, **slots).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()  # noqa: B023
+            q.awaitTermination()
+            return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+
+        seen = S.with_rocks(spark, run)
+        assert 0 < max(seen) <= slots.get("slots", 512)
+    assert seen[-1] == 1  # the slot of the last row
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "seq_ord", "user_id", "client_order_id", "duplicate") == want
+
+
+def test_stream_dedupe_with_null_ids(spark, tmp_path):
+    """A null is a key of its own, and ids beside it stay whole numbers, also in the state between batches."""
+    big, t = 2**60, 1_704_067_200 * B.NS
+    keys = [(big + 1, 1), (big + 2, 1), (None, 1), (1, None), (None, None), (0, 1), (0, 0), (1, 0)]
+    s = spark.createDataFrame([(u, c, i * 100 + j, t + i * 1800 * B.NS + j) for i in range(4) for j, (u, c) in enumerate(keys)], "user_id long, client_order_id long, seq_ord long, timestamp_ns long")
+    for i in range(4):
+        s.where(F.col("seq_ord").between(i * 100, i * 100 + 99)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        x = spark.readStream.schema(s.schema).parquet(f"{tmp_path}/in").withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("timestamp_ns"), F.lit(1000))))
+        S.with_rocks(spark, lambda: S.run_to_end(S.stream_dedupe(x, 3600 * B.NS, slots=1), str(tmp_path / "d")))  # noqa: B023
+    got = {r["seq_ord"]: (r["user_id"], r["client_order_id"], r["duplicate"]) for r in spark.read.parquet(f"{tmp_path}/d/out").collect()}
+    want = {r["seq_ord"]: (r["user_id"], r["client_order_id"], r["duplicate"]) for r in R.first_outcomes(s, 3600 * B.NS).collect()}
+    assert got == want and sum(x[2] for x in want.values()) == 16
+
+
+def test_stream_dedupe_takes_the_log_by_time(spark, tmp_path):
+    """Of a second copy with later ids at the same times, no row is late."""
+    from tickloom.plans import market as plans
+
+    e = spark.read.parquet(EVENTS)
+    e.union(e.withColumn("event_id", F.col("event_id") + 1000).withColumn("user_id", F.col("user_id") + F.col("event_id") % 2)).write.parquet(f"{tmp_path}/events.parquet")
+    cols = ["user_id", "client_order_id", "seq_ord", "duplicate"]
+    want = rows(plans.queries()["first_outcome_dedupe"](spark, str(tmp_path)), *cols)
+    assert len(want) > 700 and rows(plans.queries()["stream_dedupe"](spark, str(tmp_path)), *cols) == want
+
+
 def test_outcomes_and_verdicts(spark):
     hour = 3600 * B.NS
     s = spark.createDataFrame([(1, 7, 0, 0), (1, 7, 1, hour // 2), (1, 7, 2, hour + 1), (1, 7, 3, hour + 2), (2, 7, 4, 5)], "user_id long, client_order_id long, seq_ord long, timestamp_ns long")

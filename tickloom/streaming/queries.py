@@ -23,12 +23,18 @@ def stream_log(spark: SparkSession, path: str, files_per_trigger: int = 8) -> Da
     return b.withColumn("event_time", F.timestamp_micros(F.call_function("div", F.col("timestamp_ns"), F.lit(1000))))
 
 
-def write_in_order(events: DataFrame, folder: str, parts: int, key: str = "event_id", rows_per_file: int = 5_000_000) -> int:
-    """Rows as files that a stream takes in order: `parts` ranges of a number, each written after the one before; returns the files of a range."""
+def in_ranges(events: DataFrame, parts: int, key: str, rows_per_file: int = 5_000_000) -> Iterator[tuple[DataFrame, int]]:
+    """`parts` ranges of a number, one after the other, each with the number of files it fills if rows are spread evenly."""
     low, high, n = events.agg(F.min(key), F.max(key), F.count("*")).first()
     files = 1 + n // (parts * rows_per_file)
     for k in range(parts if n else 1):
         part = events.where(F.col(key).between(low + (high - low + 1) * k // parts, low + (high - low + 1) * (k + 1) // parts - 1)) if n else events
+        yield part, files
+
+
+def write_in_order(events: DataFrame, folder: str, parts: int, key: str = "event_id", rows_per_file: int = 5_000_000) -> int:
+    """Rows as files that a stream takes in order: `parts` ranges of a number, each written after the one before; returns the files of a range."""
+    for part, files in in_ranges(events, parts, key, rows_per_file):
         part.repartitionByRange(files, key).write.mode("append").parquet(folder)
     return files
 
@@ -449,14 +455,18 @@ def stream_gaps(frames: DataFrame) -> DataFrame:
 
 
 class FirstOutcome(StatefulProcessor):
-    """The time of a key's kept submission, for as long as the TTL lasts."""
+    """The times of kept submissions of a slot of keys, as columns; one call and one value serve all keys of the slot.
+
+    What is past its TTL goes when rows of the slot come, and all of it when
+    its last one is past it.
+    """
 
     def __init__(self, ttl_ns: int):
         self.ttl = ttl_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("kept", "kept long")
+        self.kept = handle.getValueState("kept", "user_id array<long>, client_order_id array<long>, kept array<long>")
 
     def expiry(self, kept: int) -> int:
         """Milliseconds of event time, rounded up, at which nothing falls under the TTL any more."""
@@ -466,19 +476,29 @@ class FirstOutcome(StatefulProcessor):
         import pandas as pd
 
         x = pd.concat(list(rows)).sort_values(["timestamp_ns", "seq_ord"])
-        before = kept = self.kept.get()[0] if self.kept.exists() else None
-        flags = []
-        for t in x["timestamp_ns"].tolist():
-            dup = kept is not None and t - kept < self.ttl
+        users, ids, times = self.kept.get() if self.kept.exists() else ((), (), ())
+        kept = {(u, c): t for u, c, t in zip(users, ids, times, strict=True)}
+        before, flags = max(times, default=None), []
+        for u, c, t in zip(x["user_id"].tolist(), x["client_order_id"].tolist(), x["timestamp_ns"].tolist(), strict=True):
+            since = kept.get((u, c))
+            dup = since is not None and t - since < self.ttl
             if not dup:
-                kept = t
+                kept[u, c] = t
             flags.append(dup)
-        if kept != before:
+        passed = timer_values.getCurrentWatermarkInMs()  # rows of later batches are not behind it
+        left = [(u, c, t) for (u, c), t in kept.items() if self.expiry(t) > passed]
+        last = max((t for _, _, t in left), default=None)
+        if last != before:
             if before is not None:
                 self.handle.deleteTimer(self.expiry(before))
-            self.kept.update((kept,))
-            self.handle.registerTimer(self.expiry(kept))
-        yield pd.DataFrame({"user_id": x["user_id"], "client_order_id": x["client_order_id"], "seq_ord": x["seq_ord"], "duplicate": flags})
+            if last is not None:
+                self.handle.registerTimer(self.expiry(last))
+        if left:
+            self.kept.update(tuple(list(c) for c in zip(*left, strict=True)))
+        else:
+            self.kept.clear()
+        _, no_user, no_id = key
+        yield pd.DataFrame({"user_id": None if no_user else x["user_id"], "client_order_id": None if no_id else x["client_order_id"], "seq_ord": x["seq_ord"], "duplicate": flags})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
@@ -490,16 +510,19 @@ class FirstOutcome(StatefulProcessor):
         pass
 
 
-def stream_dedupe(orders: DataFrame, ttl_ns: int, delay: str = "0 seconds") -> DataFrame:
+def stream_dedupe(orders: DataFrame, ttl_ns: int, delay: str = "0 seconds", slots: int = 512) -> DataFrame:
     """(user_id, client_order_id, seq_ord, duplicate) of each submission, by the rule of the batch operator `first_outcomes`.
 
-    The TTL counts in the submissions' own time from the kept one. A timer
-    drops a key's state when the watermark has passed its TTL; rows behind
-    the watermark are late and are dropped.
+    The TTL counts in the submissions' own time from the kept one. Keys are
+    dealt over `slots`, so a batch costs calls and state reads by slot, not by
+    key; keys with a null are apart from others. Keys that the watermark has passed by their TTL are dropped; rows
+    behind the watermark are late and are dropped.
     """
-    x = orders.select("user_id", "client_order_id", "seq_ord", "timestamp_ns", "event_time").withWatermark("event_time", delay)
+    slot = F.pmod(F.xxhash64("user_id", "client_order_id"), F.lit(slots)).cast("int").alias("slot")
+    known = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("user_id", "client_order_id")]  # beside a null, pandas would have floats
+    x = orders.select(slot, F.isnull("user_id").alias("no_user"), F.isnull("client_order_id").alias("no_id"), *known, "seq_ord", "timestamp_ns", "event_time").withWatermark("event_time", delay)
     schema = "user_id long, client_order_id long, seq_ord long, duplicate boolean"
-    return x.groupBy("user_id", "client_order_id").transformWithStateInPandas(FirstOutcome(ttl_ns), schema, "Append", "EventTime")
+    return x.groupBy("slot", "no_user", "no_id").transformWithStateInPandas(FirstOutcome(ttl_ns), schema, "Append", "EventTime")
 
 
 def stream_uptime(quotes: DataFrame, min_size: int, emit: Callable[[DataFrame, int], None], folder: str):
